@@ -16,16 +16,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Encodings of this many distinct matches are remembered by a Python worker.
-REMEMBERED = 400_000
+#: Encodings of about so many distinct matches are remembered by a Python worker.
+REMEMBERED = 800_000
 
 
 class ByteBPE:
@@ -91,15 +92,20 @@ class Prefixes:
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        data, ranks, last, fits = self.data + more, self.bpe.ranks, self.last, self.bpe.fits
+        data, find, last, bpe = self.data + more, self.bpe.ranks.get, self.last, self.bpe
         self.data = data
-        longest = self.bpe.longest
+        longest, known = bpe.longest, bpe._fits
         for end in range(len(last) + 1, len(data) + 1):
             for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and (start == 0 or fits(last[start - 1], token)):
-                    last.append(token)
-                    break
+                token = find(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    before = last[start - 1]
+                    if not (known[before, token] if (before, token) in known else bpe.fits(before, token)):
+                        continue
+                last.append(token)
+                break
 
     def edit(self, start: int, end: int, new: bytes) -> None:
         """Replace bytes ``start`` to ``end``; prefixes before ``start`` stay."""
@@ -118,41 +124,52 @@ class Prefixes:
 
 
 _loaded: dict = {}
+_known: dict = {}
 
 
 def load(path: str) -> ByteBPE:
     """The encoder of a file of base64 tokens and ranks, made once per Python worker."""
     if path not in _loaded:
         with open(path, "rb") as lines:
-            _loaded[path] = (ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}), {})
-    return _loaded[path][0]
-
-
-def encode_text(path: str, pattern, text: str) -> list[tuple[tuple[int, ...], str]]:
-    """(ids, decimal ids joined by a space) of each match of the pattern in ``text``."""
-    bpe = load(path)
-    known = _loaded[path][1]
-    out = []
-    for match in pattern.findall(text):
-        got = known.get(match)
-        if got is None:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            ids = tuple(bpe.encode(match.encode("utf-8", "surrogatepass")))
-            got = (ids, " ".join(map(str, ids)))
-            if len(match) <= 64:
-                known[match] = got
-        out.append(got)
-    return out
+            _loaded[path] = ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+    return _loaded[path]
+
+
+def encode_texts(path: str, pattern: str, texts: list[str | None]):
+    """For each text a list of (ids as unsigned 32-bit integers, decimal ids joined by a space), a match each."""
+    bpe, split = load(path), regex.compile(pattern)
+    known = _known.setdefault((path, pattern), {})
+    for text in texts:
+        matches = split.findall(text or "")
+        try:
+            yield list(map(known.__getitem__, matches))
+            continue
+        except KeyError:
+            pass
+        if len(known) > REMEMBERED:
+            known.clear()
+        found = []
+        for match in matches:
+            got = known.get(match)
+            if got is None:
+                ids = bpe.encode(match.encode("utf-8", "surrogatepass"))
+                got = (array("I", ids).tobytes(), " ".join(map(str, ids)))
+                if len(match) <= 64:
+                    known[match] = got
+            found.append(got)
+        yield found
+
+
+def ids_of(found: list[tuple[bytes, str]]) -> np.ndarray:
+    return np.frombuffer(b"".join([x[0] for x in found]), dtype=np.uint32)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and token ids (``array<int>``) of every text."""
 
     def run(batches):
-        split = regex.compile(pattern)
         for batch in batches:
-            ids = [list(chain.from_iterable(x[0] for x in encode_text(path, split, text or ""))) for text in batch.column(1).to_pylist()]
+            ids = [ids_of(found).astype(np.int32) for found in encode_texts(path, pattern, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -176,14 +193,13 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
     """
 
     def run(batches):
-        split, bpe = regex.compile(pattern), load(path)
+        bpe = load(path)
         for batch in batches:
             rows: list[list] = [[], [], []]
-            for text in batch.column(1).to_pylist():
-                found = encode_text(path, split, text or "")
-                ids = list(chain.from_iterable(x[0] for x in found))
+            for found in encode_texts(path, pattern, batch.column(1).to_pylist()):
+                ids = ids_of(found).tolist()
                 rows[0].append(len(ids))
-                rows[1].append(hashlib.sha256(" ".join(x[1] for x in found).encode()).hexdigest())
+                rows[1].append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
                 rows[2].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
