@@ -120,10 +120,10 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, terms: list[
     return Chain(terms, names, models)
 
 
-def indexes(terms: list[str]) -> Column:
-    """Positions in ``terms`` of those that the column ``terms`` has, ascending."""
+def indexes(terms: list[str], found: Column) -> Column:
+    """Positions in ``terms`` of those that the array ``found`` has."""
     known = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    return F.transform(F.array_sort(F.array_intersect(known, F.col("terms"))), lambda t: (F.array_position(known, t) - 1).cast("int"))
+    return F.transform(F.array_intersect(known, found), lambda t: (F.array_position(known, t) - 1).cast("int"))
 
 
 def _matrix(rows: list, width: int) -> np.ndarray:
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = L
     chosen = F.broadcast(labels.where(h < int(share * 1_000_000)))  # bounded by ``rows``
     labelled = cut(docs.select(F.col("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "toxic", "quality", terms_of(F.col("text")).alias("terms")))
     terms = choose_terms(labelled)
-    got = labelled.select("doc_id", "toxic", "quality", indexes(terms).alias("found"))
+    got = labelled.select("doc_id", "toxic", "quality", indexes(terms, F.col("terms")).alias("found"))
     got = got.withColumn("hits", F.size("found")).select("found", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(FOLDS)).alias("fold"), *(F.expr(f"cast({where} as int)").alias(f"y{i}") for i, (_, where) in enumerate(categories)))
     frame = got.toPandas()
     names = [name for name, _ in categories]
@@ -161,7 +161,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             out = chain.predict(_matrix(batch.column(1).to_pylist(), len(chain.terms)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k]) for k in range(out.shape[1]))], names=["doc_id", *chain.names])
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), terms_of(F.col(text_col)).alias("terms")).select("doc_id", indexes(chain.terms).alias("found"))
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), indexes(chain.terms, terms_of(F.col(text_col))).alias("found"))
     return found.mapInArrow(run, schema)
 
 
@@ -174,12 +174,11 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents judged toxic; all columns stay as they are."""
     chain = fit(docs, labels)
+    width = len(chain.terms)
 
     def verdict(found):
         import pandas as pd
 
-        return pd.Series(chain.predict(_matrix(list(found), len(chain.terms)))[:, -1] >= threshold)
+        return pd.Series(chain.predict(_matrix(list(found), width))[:, -1] < threshold) if len(found) else pd.Series([], dtype=bool)
 
-    judged = docs.withColumn("terms_", F.struct(terms_of(F.col("text")).alias("terms")))
-    found = indexes(chain.terms)
-    return judged.select(*(F.col(c) for c in docs.columns), F.col("terms_.terms").alias("terms") if "terms" not in docs.columns else F.col("terms_.terms").alias("_terms")).where(~F.pandas_udf(verdict, "boolean")(found)).select(*docs.columns)
+    return docs.where(F.pandas_udf(verdict, "boolean")(indexes(chain.terms, terms_of(F.col("text")))))
