@@ -18,27 +18,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.llm.quality_rules import words
+from parley.llm.quality_rules import shingle_hashes, word_hashes
 
 SHINGLE = 5
 SKETCH = 128
 
 
-def sketch(text: Column, k: int = SKETCH, shingle: int = SHINGLE) -> Column:
-    """The sketch of a text as an ascending array<long>."""
-    return sketch_of_words(words(text), k, shingle)
+def sketch_of(w: str, k: int = SKETCH, shingle: int = SHINGLE) -> Column:
+    """The sketch of a text, an ascending array<long>, from the column ``w`` of its word hashes."""
+    return F.when(F.size(w) > 0, F.slice(F.sort_array(F.array_distinct(shingle_hashes(w, shingle))), 1, k)).otherwise(F.array().cast("array<bigint>"))
 
 
-def sketch_of_words(w: Column, k: int = SKETCH, shingle: int = SHINGLE) -> Column:
-    n = F.size(w)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - (shingle - 1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, shingle)))
-    return F.when(n > 0, F.slice(F.array_sort(F.array_distinct(hashes)), 1, k)).otherwise(F.array().cast("array<bigint>"))
+def with_sketch(docs: DataFrame, text_col: str, name: str, k: int = SKETCH, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with the sketch of ``text_col`` as column ``name``."""
+    hashed = docs.withColumn("_parley_w", word_hashes(F.col(text_col)))
+    return hashed.withColumn(name, sketch_of("_parley_w", k, shingle)).drop("_parley_w")
 
 
 def merge(a: Column, b: Column, k: int = SKETCH) -> Column:
     """The sketch of both texts' shingles together."""
-    return F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
 def merge_all(sketches: DataFrame, by: list[str], col: str = "sketch", k: int = SKETCH) -> DataFrame:
@@ -49,7 +48,7 @@ def merge_all(sketches: DataFrame, by: list[str], col: str = "sketch", k: int =
     """
     flat = sketches.select(*by, F.explode(col).alias("_h")).distinct()
     ranked = flat.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h"))).where(F.col("_r") <= k)
-    return ranked.groupBy(*by).agg(F.array_sort(F.collect_list("_h")).alias(col))
+    return ranked.groupBy(*by).agg(F.sort_array(F.collect_list("_h")).alias(col))
 
 
 def resemblance(a: Column, b: Column, k: int = SKETCH) -> Column:
@@ -108,7 +107,7 @@ def with_next(docs: DataFrame, cols: list[str], order: str = "doc_id", buckets:
 
 def fingerprint_documents(docs: DataFrame, k: int = SKETCH, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and its sketch."""
-    return docs.select("doc_id", sketch(F.col("text"), k, shingle).alias("sketch"))
+    return with_sketch(docs.select("doc_id", "text"), "text", "sketch", k, shingle).select("doc_id", "sketch")
 
 
 def edited_likeness(docs: DataFrame, k: int = SKETCH, shingle: int = SHINGLE) -> DataFrame:
@@ -119,13 +118,13 @@ def edited_likeness(docs: DataFrame, k: int = SKETCH, shingle: int = SHINGLE) ->
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # The sketch is made before the shuffle, so that a follower brings its own.
-    base = base.withColumns({"n_chars": F.length("text").cast("long"), "sketch": sketch(F.col("text"), k, shingle)})
+    base = with_sketch(base.withColumn("n_chars", F.length("text").cast("long")), "text", "sketch", k, shingle)
     paired = with_next(base, ["text", "sketch"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next.text"), F.lit(1), half))
     paired = paired.select("doc_id", "n_chars", "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
-    paired = paired.select("doc_id", "n_chars", "sketch", "next_sketch", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), words(F.col("edited")).alias("w"))
-    paired = paired.select("doc_id", "n_chars", "sketch", "next_sketch", "edited_sha256", sketch_of_words(F.col("w"), k, shingle).alias("edited_sketch"))
+    paired = paired.select("doc_id", "n_chars", "sketch", "next_sketch", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "edited")
+    paired = with_sketch(paired, "edited", "edited_sketch", k, shingle)
     return paired.select(
         "doc_id",
         "n_chars",

@@ -34,6 +34,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")
 
 
+def word_hashes(text: Column) -> Column:
+    """A 64-bit hash of every word. Meant to be a column of its own: lambdas over a text would split it anew each time."""
+    return F.transform(words(text), lambda x: F.xxhash64(x))
+
+
+def shingle_hashes(w: str, size: int) -> Column:
+    """Hashes of all runs of ``size`` words, from the column ``w`` of word hashes; of fewer words, one of them all."""
+    n = F.size(w)
+    runs = F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(F.col(w), i + k) for k in range(1, size))))
+    return F.slice(runs, 1, F.greatest(F.lit(1), n - (size - 1)))
+
+
 def count_chars(text: Column, chars: str) -> Column:
     """How many code points of ``text`` are in the class ``chars``."""
     return (F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))).cast("long")
@@ -46,7 +58,7 @@ def repeated_words(hashes: Column, size: int) -> Column:
     covered words are summed over the gaps between consecutive repeated positions.
     """
     n = F.size(hashes)
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     before = F.concat(F.slice(placed, 1, 1), F.slice(placed, 1, n - 1))
     after = F.concat(F.slice(placed, 2, n), F.slice(placed, n, 1))
     three = F.arrays_zip(placed.alias("a"), before.alias("b"), after.alias("c"))
@@ -55,7 +67,7 @@ def repeated_words(hashes: Column, size: int) -> Column:
         three,
         lambda x: ((x["a"]["h"] == x["b"]["h"]) & (x["a"]["i"] != x["b"]["i"])) | ((x["a"]["h"] == x["c"]["h"]) & (x["a"]["i"] != x["c"]["i"])),
     )
-    at = F.array_sort(F.transform(repeats, lambda x: x["a"]["i"]))
+    at = F.sort_array(F.transform(repeats, lambda x: x["a"]["i"]))
     covered = F.aggregate(
         at,
         F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-size).alias("last")),
@@ -70,11 +82,10 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     t = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), t.alias("_t"), words(F.col(text_col)).alias("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    base = base.select("doc_id", "_t", "_w", F.size("_w").cast("long").alias("n_words"), lines.alias("_l"))
-    hashes = F.when(
-        F.col("n_words") >= window, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - (window - 1))), lambda i: F.xxhash64(F.slice("_w", i, window)))
-    ).otherwise(F.array().cast("array<bigint>"))
-    base = base.select("*", hashes.alias("_h"))
+    # Each step is a projection of its own whose columns the next uses more than once, so that Catalyst keeps them apart.
+    base = base.select("doc_id", "_t", "_w", F.size("_w").cast("long").alias("n_words"), lines.alias("_l"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_x"))
+    hashes = F.when(F.col("n_words") >= window, shingle_hashes("_x", window)).otherwise(F.array().cast("array<bigint>"))
+    base = base.select("doc_id", "_t", "_w", "n_words", "_l", hashes.alias("_h"))
     return base.select(
         "doc_id",
         "n_words",
