@@ -77,27 +77,30 @@ def repeated_words(hashes: Column, size: int) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == n, F.lit(0).cast("long")).otherwise(covered)
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8) -> DataFrame:
-    """doc_id and the statistics of each whole text; one pass, no shuffle."""
+def text_statistics(docs: DataFrame, carry: dict[str, Column] | None = None, text_col: str = "text", window: int = 8) -> DataFrame:
+    """The columns ``carry`` (by default ``doc_id``) and the statistics of each whole text; one pass, no shuffle."""
+    carry = carry or {"doc_id": F.col("doc_id")}
     t = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), t.alias("_t"), words(F.col(text_col)).alias("_w"))
+    base = docs.select(*(c.alias(name) for name, c in carry.items()), t.alias("_t"), words(F.col(text_col)).alias("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     # Each step is a projection of its own whose columns the next uses more than once, so that Catalyst keeps them apart.
-    base = base.select("doc_id", "_t", "_w", F.size("_w").cast("long").alias("n_words"), lines.alias("_l"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_x"))
+    base = base.select(*carry, "_t", "_w", F.size("_w").cast("long").alias("n_words"), lines.alias("_l"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_x"))
     hashes = F.when(F.col("n_words") >= window, shingle_hashes("_x", window)).otherwise(F.array().cast("array<bigint>"))
-    base = base.select("doc_id", "_t", "_w", "n_words", "_l", hashes.alias("_h"))
-    return base.select(
-        "doc_id",
-        "n_words",
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        count_chars(F.col("_t"), "#*$%&|<>").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_h"), window).alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        count_chars(F.col("_t"), r"\p{Lu}").alias("n_upper"),
-        count_chars(F.col("_t"), "!?.,;:").alias("n_marks"),
-        count_chars(F.col("_t"), "0-9").alias("n_digits"),
-    )
+    base = base.select(*carry, "_t", "_w", "n_words", "_l", hashes.alias("_h"))
+    found = {
+        "n_words": F.col("n_words"),
+        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+        "n_symbols": count_chars(F.col("_t"), "#*$%&|<>"),
+        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+        "n_repeat_words": repeated_words(F.col("_h"), window),
+        "n_lines": F.size("_l").cast("long"),
+        "n_upper": count_chars(F.col("_t"), r"\p{Lu}"),
+        "n_marks": count_chars(F.col("_t"), "!?.,;:"),
+        "n_digits": count_chars(F.col("_t"), "0-9"),
+    }
+    # A generator of one row: filters on the statistics stay above it, so that each is computed once a row.
+    once = base.select(*carry, F.explode(F.array(F.struct(*(c.alias(name) for name, c in found.items())))).alias("_s"))
+    return once.select(*carry, "_s.*")
 
 
 def features() -> list[Column]:
@@ -228,25 +231,35 @@ def verdict(rules: list[list[Condition]]) -> Column:
     return out
 
 
-def fit_from_labels(statistics: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[list[Condition]]:
-    """Fit on about ``rows`` labelled documents, chosen by a hash of their id; a third of them prune.
-
-    Rows that the base rule fails are left out: the list only has to judge the others.
-    """
+def chosen_labels(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+    """(doc_id, quality, grow) of about ``rows`` labelled documents, chosen by a hash of their id; a third of them prune."""
     labels = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
     share = min(1.0, rows / max(1, labels.count()))
     h = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1_000_000))
-    chosen = labels.where(h < int(share * 1_000_000)).dropDuplicates(["doc_id"])
-    return fit_decision_list(statistics.where(~base_failed()).join(chosen, "doc_id").withColumn("grow", F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(3)) != 0))
+    return labels.where(h < int(share * 1_000_000)).dropDuplicates(["doc_id"]).withColumn("grow", F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(3)) != 0)
 
 
 def judge(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """Statistics, base verdict, number of the rule that rejects (or null) and ``kept`` of every document.
 
     The statistics are computed once and kept in the shared folder: they are a few dozen
-    bytes a document, and both fitting and judging read them.
+    bytes a document, and both fitting and judging read them. Rows that the base rule fails
+    take no part in fitting, since the list only has to judge the others.
     """
     statistics = cut(text_statistics(docs))
-    rules = fit_from_labels(statistics, labels, rows)
+    rules = fit_decision_list(statistics.where(~base_failed()).join(chosen_labels(labels, rows), "doc_id"))
     judged = statistics.withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def reject(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+    """``docs`` without the documents that the base rule or the list rejects; all columns stay as they are.
+
+    Fitting reads the labelled documents only; the verdict is then part of one pass over the rows.
+    """
+    chosen = F.broadcast(chosen_labels(labels, rows))  # bounded by ``rows``
+    labelled = docs.select("doc_id", "text").join(chosen, "doc_id")
+    statistics = text_statistics(labelled, {c: F.col(c) for c in ("doc_id", "quality", "grow")})
+    rules = fit_decision_list(statistics.where(~base_failed()))
+    judged = text_statistics(docs, {"_row": F.struct(*docs.columns)})
+    return judged.where(~base_failed() & verdict(rules).isNull()).select("_row.*")

@@ -277,26 +277,43 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id, the smallest id of the document's component."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every distinct fingerprint."""
     prints = cut(fingerprints(docs, id_col, text_col))
     least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     member = components(links(least.select("fp"), radius))
     rooted = least.join(member, least["fp"] == member["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(smallest, "root").select("fp", "component_id")
-    # One fingerprint may stand for a third of all rows. ``ids`` has it once, so the adaptive
+    return prints, rooted.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id, the smallest id of the document's component."""
+    prints, classes = _classes(docs, id_col, text_col, radius)
+    # One fingerprint may stand for a third of all rows. ``classes`` has it once, so the adaptive
     # skew join can split its documents over tasks.
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = prints.join(classes.select("fp", "component_id"), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; all columns stay.
+    """One row of ``docs`` for each component, the one with its smallest id; all columns stay.
 
-    Rows without an id can't be named as the one to keep, so they stay only where their
-    component has no id. Of repeated rows with the smallest id one stays.
+    Of repeated rows with that id one stays. Rows without an id stay only where no row of
+    their component has one: then one row with the component's smallest fingerprint stays.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_parley_id")).distinct()
-    once = docs.dropDuplicates([id_col])
-    return once.join(kept, F.col(id_col).eqNullSafe(F.col("_parley_id")), "left_semi").select(*docs.columns)
+    _, classes = _classes(docs, id_col, text_col, radius)
+    classes = cut(classes)
+    kept = classes.where("component_id is not null").select(F.col("component_id").alias("_parley_id")).distinct()
+    # The join and the removal of repeats share one shuffle by the id.
+    named = docs.join(kept, F.col(id_col) == F.col("_parley_id"), "left_semi").dropDuplicates([id_col])
+    alone = classes.where("component_id is null and fp = root").select(F.col("fp").alias("_parley_fp"))
+    if not alone.limit(1).count():
+        return named.select(*docs.columns)
+
+    def prints_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype="object").map(lambda x: x - (x >> 63 << 64)).astype("int64")
+
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("_parley_fp", F.pandas_udf(prints_of, "long")(F.col(text_col)))
+    nameless = nameless.join(alone, "_parley_fp", "left_semi").dropDuplicates(["_parley_fp"])
+    return named.select(*docs.columns).unionByName(nameless.select(*docs.columns))

@@ -250,10 +250,11 @@ def removal_digests(docs: DataFrame, **how) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = None, **how) -> DataFrame:
     """``docs`` with repeated passages taken out of the text; texts without any stay byte for byte.
 
-    All rows and columns stay; a changed text is its kept words joined by one space.
+    All rows and columns stay; a changed text is its kept words joined by one space. ``length_col``,
+    if given, becomes the changed text's length in code points.
     """
 
     def cut_text(texts, spans):
@@ -263,4 +264,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
 
     shorten = F.pandas_udf(cut_text, "string")
     joined = with_ranges(docs, find_ranges(docs, text_col, **how), text_col)
-    return joined.withColumn(text_col, shorten(F.col(text_col), F.col("_parley_spans"))).select(*docs.columns)
+    found = joined.withColumn("_parley_text", shorten(F.col(text_col), F.col("_parley_spans")))
+    new = {text_col: F.col("_parley_text")}
+    if length_col:
+        new[length_col] = F.when(F.col("_parley_spans").isNull(), F.col(length_col)).otherwise(F.length("_parley_text").cast(docs.schema[length_col].dataType))
+    return found.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
