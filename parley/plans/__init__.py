@@ -1,6 +1,5 @@
 """Queries over the driver's tables, and the SQL that they must agree with."""
 
-from __future__ import annotations
+from parley.plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
