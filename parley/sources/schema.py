@@ -6,23 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD = T._parse_datatype_string(
-    "start double, end double, text string, confidence double, speaker string, overlap boolean, origin string, alternatives array<string>, uncertain boolean, repetition_removed boolean"
-)
-SEGMENT = T._parse_datatype_string("start double, end double, text string, speaker string, confidence double, overlap boolean, uncertain boolean").add("words", T.ArrayType(WORD))
-TRANSCRIPT = (
-    T._parse_datatype_string("source string, model string, device string, language string, language_probability double, duration_seconds double, text string, readable_text string")
-    .add("segments", T.ArrayType(SEGMENT))
-    .add("raw_segments", T.ArrayType(SEGMENT))
-    .add("diagnostics", T.MapType(T.StringType(), T.StringType()))
-    .add("provenance", T.ArrayType(T.StringType()))
-)
-CORRECTION = TRANSCRIPT.__class__(TRANSCRIPT.fields).add(
-    "correction_metadata", T._parse_datatype_string("training_eligible boolean, held_out boolean, split_group string, verified boolean, tags struct<dialect:string,noise:string>")
+_TYPES = {"double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType()}
+
+
+def _struct(**kinds) -> T.StructType:
+    """A struct of fields by name; kinds are names of simple types or types. Needs no session, unlike parsed DDL."""
+    return T.StructType([T.StructField(name, _TYPES.get(kind, kind) if isinstance(kind, str) else kind) for name, kind in kinds.items()])
+
+
+_TIMED = {"start": "double", "end": "double", "text": "string"}
+WORD = _struct(
+    **_TIMED, confidence="double", speaker="string", overlap="boolean", origin="string", alternatives=T.ArrayType(T.StringType()), uncertain="boolean", repetition_removed="boolean"
 )
-MANIFEST = T._parse_datatype_string(
-    "version int, held_out boolean, training_excluded boolean, duration_seconds double, items array<struct<id:string,audio:string,source_name:string,source_start:double,source_end:double,duration:double,gold_segments:array<struct<start:double,end:double,text:string,speaker:string>>,complete:boolean>>"
+SEGMENT = _struct(**_TIMED, speaker="string", confidence="double", overlap="boolean", uncertain="boolean", words=T.ArrayType(WORD))
+_TRANSCRIPT = {
+    **dict.fromkeys(("source", "model", "device", "language"), "string"),
+    **dict.fromkeys(("language_probability", "duration_seconds"), "double"),
+    **dict.fromkeys(("text", "readable_text"), "string"),
+    "segments": T.ArrayType(SEGMENT),
+    "raw_segments": T.ArrayType(SEGMENT),
+    "diagnostics": T.MapType(T.StringType(), T.StringType()),
+    "provenance": T.ArrayType(T.StringType()),
+}
+TRANSCRIPT = _struct(**_TRANSCRIPT)
+CORRECTION = _struct(
+    **_TRANSCRIPT,
+    correction_metadata=_struct(training_eligible="boolean", held_out="boolean", split_group="string", verified="boolean", tags=_struct(dialect="string", noise="string")),
 )
+_ITEM = _struct(
+    id="string", audio="string", source_name="string", source_start="double", source_end="double", duration="double",
+    gold_segments=T.ArrayType(_struct(**_TIMED, speaker="string")), complete="boolean",
+)
+MANIFEST = _struct(version="int", held_out="boolean", training_excluded="boolean", duration_seconds="double", items=T.ArrayType(_ITEM))
 
 
 def _word(w: Column) -> Column:

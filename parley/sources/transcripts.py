@@ -22,7 +22,7 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
     """A stage's stored result, or None if it is missing or damaged, so that the stage runs again."""
     kept = T.StructType([*TRANSCRIPT.fields, T.StructField("_corrupt_record", T.StringType())])
     try:
-        found = spark.read.schema(kept).option("multiLine", True).option("mode", "PERMISSIVE").json(path).cache()
+        found = spark.read.schema(kept).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
         damaged = found.where("_corrupt_record is not null or source is null").limit(1).count()
         whole = None if damaged or not found.limit(1).count() else with_defaults(found.drop("_corrupt_record"))
     except Exception as error:  # a missing path is found at analysis

@@ -116,7 +116,7 @@ def test_span_properties(spark):
 def test_overlap_dedup(spark):
     word = lambda t, a, b: (a, b, t, t.lower())
     schema = "call int, seg_no int, start double, end double, words array<struct<start:double,end:double,text:string,token:string>>"
-    rows = [(1, 0, 0.0, 4.0, [word(t, i, i + 1.0) for i, t in enumerate("one two three four".split())]), (1, 1, 3.0, 7.0, [word(t, 3.0 + i, 4.0 + i) for i, t in enumerate("Three four five six".split())]), (1, 2, 6.5, 7.0, [word("six", 6.5, 7.0)]), (1, 3, 9.0, 10.0, [word("six", 9.0, 10.0)])]
+    rows = [(1, 0, 0.0, 4.0, [word(t, i * 1.0, i + 1.0) for i, t in enumerate("one two three four".split())]), (1, 1, 3.0, 7.0, [word(t, 3.0 + i, 4.0 + i) for i, t in enumerate("Three four five six".split())]), (1, 2, 6.5, 7.0, [word("six", 6.5, 7.0)]), (1, 3, 9.0, 10.0, [word("six", 9.0, 10.0)])]
     got = sessions.overlap_dedup(spark.createDataFrame(rows, schema), "call", "seg_no").orderBy("seg_no").collect()
     assert [(r["seg_no"], r["start"], r["text"]) for r in got] == [(0, 0.0, "one two three four"), (1, 5.0, "five six"), (3, 9.0, "six")]
 
@@ -133,9 +133,9 @@ def test_alignment_and_consensus(spark):
         assert sum(i is None or j is None or a[i] != b[j] for i, j in path) == _distance(a, b)
     schema = "call int, word_no int, token string, text string, start double, end double, confidence double, speaker string, overlap boolean"
     first = spark.createDataFrame([(1, i, t, t, i * 1.0, i + 1.0, c, "A", False) for i, (t, c) in enumerate([("a", 0.5), ("b", 0.5), ("c", None)])], schema)
-    second = spark.createDataFrame([(1, i, t, t, 9.0, 9.5, c, "B", True) for i, (t, c) in enumerate([("a", 0.9), ("x", 0.65), ("y", 0.6), ("z", 0.9)])], schema)
+    second = spark.createDataFrame([(1, i, t, t, 9.0, 9.5, c, "B", True) for i, (t, c) in enumerate([("a", 0.9), ("x", 0.9), ("y", 0.65), ("z", 0.6)])], schema)
     got = consensus.consensus_words(first, second, "call").orderBy("step").collect()
-    assert [(r["text"], r["start"], r["speaker"]) for r in got] == [("a", 0.0, "A"), ("x", 1.0, "A"), ("c", 2.0, "A"), ("z", 9.0, "B")]
+    assert [(r["text"], r["start"], r["speaker"]) for r in got] == [("a", 0.0, "A"), ("x", 9.0, "B"), ("y", 1.0, "A"), ("c", 2.0, "A")]
 
 
 def _distance(a, b):
