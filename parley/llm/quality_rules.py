@@ -170,7 +170,9 @@ def fit_decision_list(
     quantiles = rows.approxQuantile(names, [i / bins for i in range(1, bins)], 0.002)
     # Bad rows are few; their own quantiles give thresholds where they lie.
     quantiles_bad = rows.where("quality = 0").approxQuantile(names, [i / 16 for i in range(0, 17)], 0.002)
-    cuts = [sorted(set(a) | set(b)) for a, b in zip(quantiles, quantiles_bad, strict=True)]
+    points = [sorted(set(a) | set(b)) for a, b in zip(quantiles, quantiles_bad, strict=True)]
+    # Thresholds lie midway, so that a value seen in either kind is not on the border itself.
+    cuts = [[(a + b) / 2 for a, b in zip(p, p[1:], strict=False)] for p in points]
     rows = cut(rows.select("*", F.array(*(_interval(x, c) for c, x in zip(cuts, cols, strict=True))).alias("bin")))
 
     def counts(where: Column) -> dict:

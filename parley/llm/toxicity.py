@@ -32,11 +32,12 @@ from parley.llm.store import cut
 LABELLED_ROWS = 20_000
 TERMS = 256
 LEAST_DOCUMENTS = 4
+CLEAR = 2.0
 FOLDS = 3
 RIDGE = 0.2
 THRESHOLD = 0.5
 #: Categories in chain order, as conditions on a labelled row (columns ``toxic``, ``quality``, ``hits``:
-#: how many of the chosen terms it has). The last is the verdict.
+#: how many of the terms that speak for it). The last is the verdict.
 CATEGORIES = (("crude", "toxic = 1 and quality = 0"), ("severe", "toxic = 1 and hits >= 3"), ("toxic", "toxic = 1"))
 _NOT_WORD = r"[^\p{L}\p{N}']+"
 
@@ -46,20 +47,25 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _NOT_WORD), ""))
 
 
-def choose_terms(labelled: DataFrame, label: str = "toxic", terms: int = TERMS, least: int = LEAST_DOCUMENTS) -> list[str]:
-    """The terms that speak most clearly for or against ``label``: at most ``terms`` reach the driver."""
+def choose_terms(labelled: DataFrame, label: str = "toxic", terms: int = TERMS, least: int = LEAST_DOCUMENTS, clear: float = CLEAR) -> tuple[list[str], int]:
+    """The terms that speak most clearly for or against ``label``, those for it first, and how many these are.
+
+    At most ``terms`` reach the driver; a term counts from ``clear`` standard errors on.
+    """
     sizes = labelled.groupBy(label).count().collect()
     n = {r[label]: r["count"] for r in sizes}
     yes, no = n.get(1, 0), n.get(0, 0)
     if not yes or not no:
-        return []
+        return [], 0
     counted = labelled.select(label, F.explode("terms").alias("term")).groupBy("term").agg(F.sum(label).alias("a"), F.count("*").alias("all"))
     counted = counted.where(F.col("all") >= least).withColumn("b", F.col("all") - F.col("a"))
     # Log odds of the term in either kind, with half a document added to each cell.
     odds = lambda x, of: F.log((x + 0.5) / (F.lit(of) - x + 0.5))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     z = (odds(F.col("a"), yes) - odds(F.col("b"), no)) / error
-    return [r["term"] for r in counted.orderBy(F.desc(F.abs(z)), "term").limit(terms).collect()]
+    found = counted.withColumn("z", z).where(F.abs("z") >= clear).orderBy(F.desc(F.abs("z")), "term").limit(terms).select("term", "z").collect()
+    speaks = [r["term"] for r in found if r["z"] > 0]
+    return speaks + [r["term"] for r in found if r["z"] <= 0], len(speaks)
 
 
 @dataclass
@@ -83,13 +89,22 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int =
     w[-1] = np.log(share / (1 - share))
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = x1 @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + penalty @ (w * w) / 2)
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
         gradient = x1.T @ (p - y) + penalty * w
         hessian = (x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        # Whole steps may overshoot where classes are nearly separable: halve them until the loss falls.
+        while (then := loss(w - step)) > now and np.abs(step).max() > 1e-6:
+            step /= 2
+        w, done, now = w - step, np.abs(step).max() < 1e-6, then
+        if done:
             break
     return Linear(w[:-1], float(w[-1]))
 
@@ -143,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = L
     h = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1_000_000))
     chosen = F.broadcast(labels.where(h < int(share * 1_000_000)))  # bounded by ``rows``
     labelled = cut(docs.select(F.col("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "toxic", "quality", terms_of(F.col("text")).alias("terms")))
-    terms = choose_terms(labelled)
+    terms, speaking = choose_terms(labelled)
     got = labelled.select("doc_id", "toxic", "quality", indexes(terms, F.col("terms")).alias("found"))
-    got = got.withColumn("hits", F.size("found")).select("found", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(FOLDS)).alias("fold"), *(F.expr(f"cast({where} as int)").alias(f"y{i}") for i, (_, where) in enumerate(categories)))
+    got = got.withColumn("hits", F.size(F.filter("found", lambda i: i < speaking))).select("found", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(FOLDS)).alias("fold"), *(F.expr(f"cast({where} as int)").alias(f"y{i}") for i, (_, where) in enumerate(categories)))
     frame = got.toPandas()
     names = [name for name, _ in categories]
     y = np.stack([frame[f"y{i}"].to_numpy().astype(float) for i in range(len(names))], axis=1) if len(frame) else np.zeros((0, len(names)))
