@@ -67,4 +67,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Of the others SQL lacks the learned models, the hash functions or the tokenizer.
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+g AS (SELECT doc_id, i, word, count(*) OVER f AS n, md5(string_agg(word, ' ') OVER f) AS h FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT doc_id, i, word, CASE WHEN n = 35 AND count(*) FILTER (n = 35) OVER (PARTITION BY h) > 1 THEN 1 ELSE 0 END AS again FROM g),
+c AS (SELECT doc_id, i, word, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r),
+s AS (SELECT doc_id, count(*) AS n, sum(gone) AS k, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS t FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, CAST(coalesce(k, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN s ON d.doc_id = s.doc_id""",
+}
