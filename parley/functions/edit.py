@@ -29,16 +29,31 @@ def with_distance(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, checked).drop("_vocabulary")
 
 
+def char_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two texts; close texts are settled within a narrow band of the table."""
+    within = lambda k: F.nullif(F.levenshtein(a, b, k), F.lit(-1))
+    return F.coalesce(within(32), within(256), F.levenshtein(a, b))
+
+
 def rate(distance: Column, expected: Column, actual: Column) -> Column:
     """Errors by the reference's length; of an empty reference 0 if the hypothesis is empty too, else 1."""
     return F.when(expected > 0, distance / F.greatest(expected, F.lit(1))).when(actual > 0, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores: texts are small next to the work on them, so partitions joined by size would leave cores idle."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def with_error_rates(df: DataFrame, ref: str, hyp: str) -> DataFrame:
-    """Adds ``n_ref``, ``word_errors``, ``wer``, ``char_errors`` and ``cer`` of two text columns (null: empty)."""
-    df = df.withColumns({"_r": F.coalesce(normalize(F.col(ref)), F.lit("")), "_h": F.coalesce(normalize(F.col(hyp)), F.lit(""))})
+    """Adds ``n_ref``, ``word_errors``, ``wer``, ``char_errors`` and ``cer`` of two text columns (null: empty).
+
+    The work grows with the product of two texts' lengths, so rows are spread over all cores first.
+    """
+    df = spread(df).withColumns({"_r": F.coalesce(normalize(F.col(ref)), F.lit("")), "_h": F.coalesce(normalize(F.col(hyp)), F.lit(""))})
     df = df.withColumns({"_rt": split_tokens(F.col("_r")), "_ht": split_tokens(F.col("_h"))})
-    df = with_distance(df, "_rt", "_ht", "word_errors").withColumn("char_errors", F.levenshtein("_r", "_h"))
+    df = with_distance(df, "_rt", "_ht", "word_errors").withColumn("char_errors", char_distance(F.col("_r"), F.col("_h")))
     return df.withColumns(
         {
             "n_ref": F.size("_rt"),
