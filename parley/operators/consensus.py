@@ -49,14 +49,16 @@ def align_words(a: DataFrame, b: DataFrame, call: str, no: str = "word_no", toke
     kind = a.schema[call].dataType.simpleString()
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values(no), right.sort_values(no)
-        found = align(left[token].tolist(), right[token].tolist())
-        numbers = left[no].tolist(), right[no].tolist()
+        left, right = left.sort_values("no"), right.sort_values("no")
+        found = align(left["token"].tolist(), right["token"].tolist())
+        numbers = left["no"].tolist(), right["no"].tolist()
         out = pd.DataFrame({"a_no": [None if i is None else numbers[0][i] for i, _ in found], "b_no": [None if j is None else numbers[1][j] for _, j in found], "step": range(len(found))}).astype({"a_no": "Int32", "b_no": "Int32", "step": "int32"})
         out.insert(0, call, key[0])
         return out
 
-    return a.select(call, no, token).groupBy(call).cogroup(b.select(call, no, token).groupBy(call)).applyInPandas(one, f"{call} {kind}, {ALIGNED}")
+    # Fresh names on both sides: two transcripts often come from one table, whose columns Catalyst would mix up.
+    side = lambda df: df.select(F.col(call).alias("call"), F.col(no).alias("no"), F.col(token).alias("token")).groupBy("call")
+    return side(a).cogroup(side(b)).applyInPandas(one, f"{call} {kind}, {ALIGNED}")
 
 
 def consensus_words(a: DataFrame, b: DataFrame, call: str, margin: float = 0.15, sure: float = 0.85) -> DataFrame:
