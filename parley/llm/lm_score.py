@@ -2,23 +2,28 @@
 
 Training documents are counted exactly: every word (A-Z lower-cased) and one end token a
 document. The base score is the add-``DELTA`` unigram probability from these counts. The
-model conditions on the word before: bigrams of the ``VOCABULARY`` most frequent words that
-occur at least ``LEAST_PAIR`` times are kept in a log-frequency Bloom filter, which holds a
-bigram together with each level 1, 2, ... up to the logarithm of its count. A count is read
-back by probing level after level until one is missing, and rounded down to its level.
-With discount D, and g(v) the mass that discounting leaves to context v,
+model conditions on the word before: bigrams that occur at least ``LEAST_PAIR`` times, of
+whatever words, are kept in a log-frequency Bloom filter, which holds a bigram together with
+each level 1, 2, ... up to the logarithm of its count. A count is read back by probing level
+after level until one is missing, and rounded down to its level. With discount D, and g(v) the
+mass that discounting leaves to context v,
 
     P(w | v) = max(count(v, w) - D, 0) / count(v) + g(v) * P_base(w)
 
-so the score is the base score plus, for each token, log10(1 + ...) of the pair's share, and words
-outside the vocabulary keep their base probability. The filter has at most ``filter_bytes``:
-if more levels are to be held than fit at ``BITS`` bits each, the least count that a bigram must have
-is raised until they fit, and ``g`` takes account of it. Everything else is bounded by ``VOCABULARY``.
+so the score is the base score plus, for each token, log10(1 + ...) of the pair's share; after a word
+that training doesn't have, the next keeps its base probability.
+
+Neither the words nor the filter are sent to all workers. The filter is dealt to shards by a
+hash of the bigram, as many as the text asks for, so that a shard has at least about ``BITS`` bits
+a level at any size of the input. The texts are taken in slices of about ``GROUP`` bytes: a slice sends
+each of its words and bigrams once, bigrams to their shard, which is built from what all slices
+count and probed at once, and gets counts and levels back. No word or bigram has more rows than there are slices.
 
 Cases: a null text is empty and has only its end token; a null id is in training, as its
 remainder isn't known, and keeps its row; repeated rows count again and score alike; with no
 training document every count is 0 and N is 0; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored. The texts are read more than once and must come in the same order each time; if a
+slice finds a word that it did not send, the job fails.
 """
 
 from __future__ import annotations
@@ -27,22 +32,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parley.llm import filters
-from parley.llm.store import cut, table
+from parley.llm.store import table
 from parley.llm.words import hash_words, mix, split_words, text_slices
 
 DELTA = 0.1
 DISCOUNT = 0.75
-VOCABULARY = 1 << 16
 LEAST_PAIR = 2
 BITS = 12
-FILTER_BYTES = 64 << 20
 BASE = 1.5
 LEVELS = 40
 END = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
+_LEVEL = np.uint64(0xD6E8FEB86659FD93)
 SLICE = 8 << 20
+#: Bytes of text that send their words and bigrams together.
+GROUP = 16 << 20
+#: Segments of the filter in one shard.
+SEGMENTS = 8
+#: Fewer bytes than this a word are not expected: what a shard holds is reckoned from it.
+WORD_BYTES = 5
 
 
 def level_of(count):
@@ -55,195 +66,199 @@ def count_of(level):
     return np.where(level > 0, np.ceil(BASE ** (level - 1.0) - 1e-9), 0.0)
 
 
-def _tokens(texts: pa.Array):
-    """(first row, rows, token hashes with an end after each row's words, row of each token) of each slice."""
-    for first, data, offsets in text_slices(texts, SLICE):
-        words = split_words(data, offsets)
-        rows = len(offsets) - 1
-        n = len(words.starts)
-        ends = words.bounds[1:] + np.arange(rows)
-        out = np.empty(n + rows, np.uint64)
-        inner = np.ones(n + rows, dtype=bool)
-        inner[ends] = False
-        out[ends] = END
-        out[inner] = hash_words(data, words, lower=True)
-        yield first, rows, out, np.repeat(np.arange(rows), np.diff(words.bounds) + 1)
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of a slice, with an end after each row's words, and the row of each token."""
+    words = split_words(data, offsets)
+    rows = len(offsets) - 1
+    n = len(words.starts)
+    ends = words.bounds[1:] + np.arange(rows)
+    out = np.empty(n + rows, np.uint64)
+    inner = np.ones(n + rows, dtype=bool)
+    inner[ends] = False
+    out[ends] = END
+    out[inner] = hash_words(data, words, lower=True)
+    return out, np.repeat(np.arange(rows), np.diff(words.bounds) + 1)
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, n): how often each token is in the texts."""
-
-    def run(batches):
-        for batch in batches:
-            for _, _, tokens, _ in _tokens(batch.column(0)):
-                found, n = np.unique(tokens, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def _ranks(vocabulary: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Index of each token in the ascending vocabulary, or -1."""
-    if not len(vocabulary):
-        return np.full(len(tokens), -1)
-    at = np.minimum(np.searchsorted(vocabulary, tokens), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == tokens, at, -1)
-
-
 def _contexts(tokens: np.ndarray) -> np.ndarray:
     """The token before each; a text begins after an end."""
     return np.r_[END, tokens[:-1]].astype(np.uint64)
 
 
-def pair_counts(docs: DataFrame, vocabulary) -> DataFrame:
-    """(v, w, n): how often word w of the vocabulary follows word v, as indexes of it."""
-
-    def run(batches):
-        known = vocabulary.value
-        for batch in batches:
-            for _, _, tokens, _ in _tokens(batch.column(0)):
-                rank = _ranks(known, tokens)
-                before = np.r_[_ranks(known, np.array([END])), rank[:-1]]
-                both = (rank >= 0) & (before >= 0)
-                found, n = np.unique(before[both] << 32 | rank[both], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((found >> 32).astype(np.int32)), pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["v", "w", "n"])
-
-    return docs.select("text").mapInArrow(run, "v int, w int, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
-
-
-def _pair_keys(v: np.ndarray, w: np.ndarray, level) -> np.ndarray:
-    return mix((v.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)) * _PAIR + np.asarray(level).astype(np.uint64))
-
-
-class Model:
-    """What workers get: the vocabulary's words, counts and left-over masses, and the filter."""
-
-    def __init__(self, words, counts, left, bits, segments, total, distinct):
-        self.words, self.counts, self.left = words, counts, left
-        self.bits, self.segments, self.total, self.distinct = bits, segments, total, distinct
-
-    def pair_count(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Quantised counts of pairs, by probing level after level."""
-        level = np.zeros(len(v), np.int64)
-        at = np.arange(len(v))
-        for step in range(1, LEVELS + 1):
-            at = at[filters.contains(self.bits, self.segments, _pair_keys(v[at], w[at], step))]
-            if not len(at):
-                break
-            level[at] = step
-        return count_of(level)
-
-
-def train(training: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, least_pair: int = LEAST_PAIR, filter_bytes: int = FILTER_BYTES) -> Model:
-    """``counts``: exact (h, n) of the training texts' tokens."""
-    spark = training.sparkSession
-    total, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    top = counts.orderBy(F.desc("n"), "h").limit(vocabulary).toPandas()
-    words = top["h"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    words, n = words[order], top["n"].to_numpy().astype(np.float64)[order]
-    sent = spark.sparkContext.broadcast(words)
-    pairs = table(pair_counts(training, sent).where(F.col("n") >= least_pair), "lm-pairs")
-    levels = F.least(F.lit(LEVELS), F.lit(1) + F.floor(F.log("n") / F.log(F.lit(BASE)) + F.lit(1e-9))).cast("int")
-    # How many levels are held if a pair must have a count of so many levels: at most LEVELS rows.
-    sizes = {r["l"]: r["k"] for r in pairs.groupBy(levels.alias("l")).agg((F.count("*") * F.first(levels)).alias("k")).collect()}
-    least, keys = 1, sum(sizes.values())
-    while keys * BITS > filter_bytes * 8 and least < LEVELS:
-        keys -= sizes.get(least, 0)
-        least += 1
-    pairs = pairs.withColumn("level", levels).where(F.col("level") >= least)
-    quantised = F.ceil(F.pow(F.lit(BASE), F.col("level") - 1) - F.lit(1e-9))
-    mass = pairs.groupBy("v").agg(F.sum(F.greatest(quantised - F.lit(DISCOUNT), F.lit(0.0))).alias("mass")).toPandas()  # at most a row a word of the vocabulary
-    left = np.ones(len(words))
-    left[mass["v"].to_numpy().astype(np.int64)] = np.maximum(1 - mass["mass"].to_numpy().astype(np.float64) / n[mass["v"].to_numpy().astype(np.int64)], 1e-6)
-
-    def keyed(batches):
-        for batch in batches:
-            v, w, level = (batch.column(i).to_numpy() for i in range(3))
-            keys = _pair_keys(v, w, level)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
-
-    held = pairs.select("v", "w", F.explode(F.sequence(F.lit(1), F.col("level"))).alias("level")).mapInArrow(keyed, "key long")
-    segments = filters.segments_for(keys, BITS, filter_bytes)
-    return Model(words, n, left, filters.build(held, segments), segments, total, distinct)
-
-
-PARTS = "doc_id long, k1 long, n_tokens long, n_known long, base double, gain double, rare array<struct<h:long,n:long>>"
-
-
-def score_parts(docs: DataFrame, model) -> DataFrame:
-    """Each text's tokens: what the vocabulary settles, and the counts of its other words.
-
-    ``gain`` is the sum over tokens of log10 P / P_base, which needs a word's base
-    probability only if a kept pair leads to it, and those are of the vocabulary.
-    """
-
-    def run(batches):
-        m = model.value
-        floor = m.total + DELTA * (m.distinct + 1)
-        end = _ranks(m.words, np.array([END]))
-        for batch in batches:
-            for first, rows, tokens, row in _tokens(batch.column(1)):
-                rank = _ranks(m.words, tokens)
-                inside = rank >= 0
-                before = np.r_[end, rank[:-1]]
-                log_base = np.zeros(len(tokens))
-                log_base[inside] = np.log10((m.counts[rank[inside]] + DELTA) / floor)
-                base = np.bincount(row, log_base, rows)
-                gain = np.zeros(len(tokens))
-                known = before >= 0
-                ratio = np.where(known, m.left[before], 1.0)
-                both = np.flatnonzero(known & inside)
-                pairs, inverse = np.unique(before[both] << 32 | rank[both], return_inverse=True)
-                share = np.maximum(m.pair_count(pairs >> 32, pairs & 0xFFFFFFFF) - DISCOUNT, 0)[inverse] / m.counts[before[both]]
-                ratio[both] += share / 10.0 ** log_base[both]
-                gain = np.bincount(row, np.log10(ratio), rows)
-                outside = np.flatnonzero(~inside)
-                # Counts of the other words, row by row.
-                order = outside[np.lexsort((tokens[outside], row[outside]))]
-                new = np.flatnonzero(np.r_[True, (tokens[order][1:] != tokens[order][:-1]) | (row[order][1:] != row[order][:-1])]) if len(order) else order
-                n = np.diff(np.r_[new, len(order)])
-                per_row = np.bincount(row[order[new]], minlength=rows) if len(order) else np.zeros(rows, np.int64)
-                struct = pa.StructArray.from_arrays([pa.array(tokens[order[new]].view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_row)].astype(np.int32)), struct)
-                cut_rows = slice(first, first + rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[cut_rows], batch.column(2)[cut_rows], pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(row[inside], minlength=rows)), pa.array(base), pa.array(gain), rare],
-                    names=["doc_id", "k1", "n_tokens", "n_known", "base", "gain", "rare"],
-                )
-
-    keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("k1"))
-    return keyed.mapInArrow(run, PARTS)
-
-
-def score(docs: DataFrame, vocabulary: int = VOCABULARY, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
-
-    Words outside the vocabulary meet their exact counts by a shuffle of (word, document) rows.
-    """
+def _pairs(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(v * _PAIR + w)
+
+
+def _level_keys(pairs: np.ndarray, level) -> np.ndarray:
+    return mix(pairs + np.asarray(level).astype(np.uint64) * _LEVEL)
+
+
+def _sliced(batches):
+    """(slice, batch, first row, bytes, row offsets) of all texts of a task, slices in turn."""
+    from pyspark import TaskContext
+
+    number, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for first, data, offsets in text_slices(batch.column(1), SLICE):
+            if held and held + len(data) > GROUP:
+                number, held = number + 1, 0
+            held += len(data)
+            yield number, batch, first, data, offsets
+
+
+def _counted(keys: np.ndarray, n: np.ndarray):
+    """Distinct keys, the index of one place of each, and their summed counts."""
+    found, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return found, first, np.bincount(inverse, n, len(found)).astype(np.int64)
+
+
+def _sent(batches, reduce, names):
+    """Rows (slice, ...) of what ``reduce`` makes of each sub-slice, equal keys of a slice summed."""
+    at, parts = None, []
+
+    def out():
+        key, other, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, first, n = _counted(key, n)
+        arrays = [np.full(len(key), at), key.view(np.int64), other[first].view(np.int64), n]
+        for begin in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[begin : begin + 100_000]) for x in arrays], names=names)
+
+    for number, batch, first, data, offsets in _sliced(batches):
+        if number != at and parts:
+            yield from out()
+            parts = []
+        at = number
+        tokens, row = _tokens(data, offsets)
+        training = batch.column(2).slice(first, len(offsets) - 1).to_numpy(zero_copy_only=False)[row]
+        key, other = reduce(tokens)
+        key, where, n = _counted(key, training)
+        parts.append((key, other[where], n))
+    if parts:
+        yield from out()
+
+
+def word_rows(docs: DataFrame) -> DataFrame:
+    """(slice, h, n): each slice's distinct tokens and how often its training texts have them."""
+    names = ["slice", "h", "same", "n"]
+    return docs.mapInArrow(lambda batches: _sent(batches, lambda t: (t, t), names), "slice long, h long, same long, n long").drop("same")
+
+
+def pair_rows(docs: DataFrame) -> DataFrame:
+    """(slice, p, v, n): each slice's distinct bigrams, their first words and how often its training texts have them."""
+
+    def reduce(tokens):
+        before = _contexts(tokens)
+        return _pairs(before, tokens), before
+
+    return docs.mapInArrow(lambda batches: _sent(batches, reduce, ["slice", "p", "v", "n"]), "slice long, p long, v long, n long")
+
+
+def shard_levels(p: np.ndarray, n: np.ndarray, least_pair: int = LEAST_PAIR):
+    """Of one shard: distinct bigrams, one place and the places of each, their own level, and the level its filter reads."""
+    found, first, inverse = np.unique(p, return_index=True, return_inverse=True)
+    total = np.bincount(inverse, n, len(found)).astype(np.int64)
+    level = np.where(total >= least_pair, np.minimum(level_of(total), LEVELS), 0)
+    bits = np.zeros(SEGMENTS * filters.SEGMENT_BITS, dtype=bool)
+    for step in range(1, int(level.max(initial=0)) + 1):
+        bits[filters.positions(_level_keys(found[level >= step], step), SEGMENTS).ravel().astype(np.int64)] = True
+    packed = np.packbits(bits, bitorder="little")
+    read, at = np.zeros(len(found), np.int64), np.arange(len(found))
+    for step in range(1, LEVELS + 1):
+        at = at[filters.contains(packed, SEGMENTS, _level_keys(found[at], step))]
+        if not len(at):
+            break
+        read[at] = step
+    return found, first, inverse, level, read
+
+
+def pair_levels(docs: DataFrame, least_pair: int = LEAST_PAIR) -> DataFrame:
+    """(slice, key, level, mass): bigrams that the filter has, for each slice that asked; without a slice, shares of a word's mass."""
+
+    def shard(rows: pa.Table) -> pa.Table:
+        p, v, slices, n = (rows.column(c).to_numpy() for c in ("p", "v", "slice", "n"))
+        found, first, inverse, level, read = shard_levels(p.view(np.uint64), n, least_pair)
+        held = np.flatnonzero(level)
+        words, which = np.unique(v[first[held]], return_inverse=True)
+        mass = np.bincount(which, np.maximum(count_of(level[held]) - DISCOUNT, 0), len(words))
+        back = np.flatnonzero(read[inverse])
+        none = np.zeros(len(back)), np.zeros(len(words), np.int64)
+        is_word = np.r_[np.zeros(len(back), bool), np.ones(len(words), bool)]
+        return pa.table(
+            {
+                "slice": pa.array(np.r_[slices[back], none[1]], mask=is_word),
+                "key": pa.array(np.r_[p[back], words]),
+                "level": pa.array(np.r_[read[inverse[back]], none[1]].astype(np.int32)),
+                "mass": pa.array(np.r_[none[0], mass], mask=~is_word),
+            }
+        )
+
+    size = docs.agg(F.sum(F.octet_length("text") + WORD_BYTES)).first()[0] or 0  # an end token a text
+    shards = max(1, -(-int(size) * BITS // (WORD_BYTES * SEGMENTS * filters.SEGMENT_BITS)))
+    dealt = pair_rows(docs).groupBy(filters.segment_of(F.col("p"), shards).alias("shard"))
+    return dealt.applyInArrow(shard, "slice long, key long, level int, mass double")
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    training = docs.where(~held_out(F.col("doc_id")))
-    counts = table(word_counts(training), "lm-words")
-    model = train(training, counts, vocabulary, filter_bytes=filter_bytes)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    floor = float(np.log10(model.total + DELTA * (model.distinct + 1)))
-    parts = cut(score_parts(docs, sent))
-    rare = parts.select("k1", F.explode("rare").alias("r")).select("k1", "r.h", F.col("r.n").alias("here"))
-    met = rare.join(counts, "h", "left").groupBy("k1").agg(
-        F.sum(F.col("here") * (F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(DELTA)) - F.lit(floor))).alias("rare_base"),
-        F.sum(F.when(F.col("n") > 0, F.col("here")).otherwise(0)).alias("rare_known"),
-    )
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return parts.drop("rare").join(met, "k1", "left").select(
+    docs = docs.withColumn("training", ~held_out(F.col("doc_id")))
+    pairs = table(pair_levels(docs), "lm-pairs")
+    mass = pairs.where("slice is null").groupBy(F.col("key").alias("h")).agg(F.sum("mass").alias("mass"))
+    # One shuffle brings a word's rows of all slices and its mass together.
+    met = word_rows(docs).withColumn("mass", F.lit(None).cast("double")).unionByName(mass.select(F.lit(None).cast("long").alias("slice"), "h", F.lit(0).cast("long").alias("n"), "mass"))
+    one = Window.partitionBy("h")
+    words = met.select("slice", F.col("h").alias("key"), F.sum("n").over(one).alias("n"), F.max("mass").over(one).alias("mass"), (F.min("slice").over(one) == F.col("slice")).alias("first"))
+    words = table(words.where("slice is not null"), "lm-words")
+    total, distinct = (int(x or 0) for x in words.where("first and n > 0").agg(F.sum("n"), F.count("*")).first())
+    floor = float(np.log10(total + DELTA * (distinct + 1)))
+    left = F.when(F.col("n") > 0, F.greatest(1 - F.coalesce("mass", F.lit(0.0)) / F.col("n"), F.lit(1e-6))).otherwise(1.0)
+    answers = words.select("slice", "key", "n", left.alias("left")).unionByName(pairs.where("slice is not null").select("slice", "key", F.col("level").cast("long").alias("n"), F.lit(None).cast("double").alias("left")))
+
+    def tag(batches):
+        for number, batch, first, _, offsets in _sliced(batches):
+            rows = batch.slice(first, len(offsets) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number)), rows.column(0), rows.column(1)], names=["slice", "doc_id", "text"])
+
+    def rate(texts: pa.Table, told: pa.Table) -> pa.Table:
+        key, n, left = told.column("key").to_numpy().view(np.uint64), told.column("n").to_numpy(), told.column("left").to_numpy()
+        is_word = ~np.isnan(left)
+        order = np.argsort(key[is_word])
+        words, count, left = key[is_word][order], n[is_word][order].astype(np.float64), left[is_word][order]
+        order = np.argsort(key[~is_word])
+        pairs, level = np.r_[key[~is_word][order], np.uint64(0)], np.r_[n[~is_word][order], 0]
+        out = []
+        for chunk in texts.column("text").chunks:
+            for _, data, offsets in text_slices(chunk, SLICE):
+                tokens, row = _tokens(data, offsets)
+                rows = len(offsets) - 1
+                here, inverse = np.unique(tokens, return_inverse=True)
+                at = np.searchsorted(words, here)
+                if len(words) == 0 or (words[np.minimum(at, len(words) - 1)] != here).any():
+                    raise RuntimeError("the texts came in another order than before")
+                at = at[inverse]
+                before = np.r_[np.searchsorted(words, END), at[:-1]]
+                asked, inverse = np.unique(_pairs(_contexts(tokens), tokens), return_inverse=True)
+                place = np.minimum(np.searchsorted(pairs[:-1], asked), len(pairs) - 1)
+                held = count_of(np.where(pairs[place] == asked, level[place], 0))[inverse]
+                log_base = np.log10(count[at] + DELTA) - floor
+                share = np.where(count[before] > 0, np.maximum(held - DISCOUNT, 0) / np.maximum(count[before], 1), 0.0)
+                gain = np.log10(left[before] + share / 10.0**log_base)
+                out.append((np.bincount(row, minlength=rows), np.bincount(row[count[at] > 0], minlength=rows), np.bincount(row, log_base, rows), np.bincount(row, gain, rows)))
+        n_tokens, n_known, base, gain = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0)] * 4
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base": pa.array(base, pa.float64()), "gain": pa.array(gain, pa.float64())})
+
+    sent = docs.mapInArrow(tag, "slice long, doc_id long, text string")
+    rated = sent.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(rate, "doc_id long, n_tokens long, n_known long, base double, gain double")
+    return rated.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("gain")).alias("score"),
+        "n_known",
+        F.lit(total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        (F.col("base") + F.col("gain")).alias("score"),
     )

@@ -51,6 +51,16 @@ def test_model_scores_equal_exact_tables(docs, empty, rows):
     assert lm_score.score(empty).count() == 0
 
 
+def test_model_keeps_bigrams_of_all_words(spark):
+    # More different words than any fixed vocabulary: each rare bigram is there twice, in training documents.
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(80)] * 2
+    ids = [i for i in range(1000) if not brute.is_held_out(i)][: len(texts)]
+    rows = list(zip(ids, texts, strict=True))
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, text), want in zip(rows, brute.bigram_scores(rows), strict=True):
+        assert abs(got[i] - want) <= 0.001 * len(text.split())
+
+
 def test_filter_has_no_false_negatives():
     keys = np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64)
     bits = np.zeros(filters.SEGMENT_BITS, bool)
