@@ -164,7 +164,8 @@ def repeated_windows(found: DataFrame) -> DataFrame:
     Rows meet by fingerprint; within it windows are counted by the hash of their words. Both
     the count and the masks use that one shuffle.
     """
-    by_fp = found.repartition("fp")
+    # Rows that send nothing are the many copies of a text: only their ``known`` counts, below.
+    by_fp = found.where(F.size(F.array_remove("windows", F.lit(0).cast("long"))) > 0).repartition("fp")
     single = by_fp.select("fp", "k1", "k2", "at", "known", F.posexplode("windows").alias("i", "h")).where("h <> 0")
     weight = F.expr("1 + (shiftright(known, i) & 1)")  # a window that its slice has twice counts twice
     counted = single.select("*", F.sum(weight).over(Window.partitionBy("fp", "h")).alias("n")).where("n > 1")
@@ -189,7 +190,9 @@ def ranges(repeats: DataFrame, size: int = SIZE) -> DataFrame:
                 out.append(np.stack([starts[new], starts[last] + size], 1).ravel().tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["k1", "k2", "spans"])
 
-    grouped = repeats.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "mask")).alias("e"))
+    # Copies of a text name the same anchors: united before the shuffle, a text has as many entries as its own anchors.
+    united = repeats.groupBy("k1", "k2", "at").agg(F.bit_or("mask").alias("mask"))
+    grouped = united.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "mask")).alias("e"))
     return grouped.mapInArrow(run, "k1 long, k2 int, spans array<int>")
 
 

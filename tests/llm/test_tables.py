@@ -41,6 +41,19 @@ def test_windows_within_one_text_and_other_sizes(spark):
         assert got == sorted(brute.removals(texts))
 
 
+def test_copies_of_a_text_are_gathered_once(spark, monkeypatch):
+    repeats = spark.createDataFrame([(1, 2, at, mask) for at, mask in ((0, 1), (0, 2), (40, 1)) for _ in range(500)], "k1 long, k2 int, at int, mask int")
+    gathered, through = [], type(repeats).mapInArrow
+
+    def watched(frame, *args, **kwargs):
+        gathered.extend(r[0] for r in frame.select(F.size("e")).collect())
+        return through(frame, *args, **kwargs)
+
+    monkeypatch.setattr(type(repeats), "mapInArrow", watched)
+    assert [r["spans"] for r in substring_dedup.ranges(repeats).collect()] == [[0, 36, 40, 75]]
+    assert gathered == [2]
+
+
 def test_index_runs_are_joined_and_compacted(spark):
     index = substring_dedup.FingerprintIndex(spark, fan_in=2)
     batch = lambda *x: spark.createDataFrame([(f, 1) for f in x], "fp long, n long")
