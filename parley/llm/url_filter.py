@@ -4,7 +4,7 @@ Rules decide what they cover; the longest one that fits wins. The URLs they cove
 the labelled examples from which boosted trees learn lexical features of the rest: lengths,
 depth, digit ratio, entropy, parameter counts and statistics of host suffixes. All features
 are Spark expressions, suffix statistics come from grouped counts, and the trees are Spark
-ML's, trained on at most about ``rows`` labelled URLs.
+ML's, trained on at most about ``rows`` labelled URLs. The statistics count all labelled URLs.
 
 Cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is
 judged by the trees as an empty string would be; rows are judged one by one, so repeated rows
@@ -23,11 +23,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most about this many labelled URLs are used, chosen by a hash of the URL.
+from parley.llm.store import table
+
+#: At most about this many labelled URLs train the trees, chosen by a hash of the URL.
 LABELLED_ROWS = 20_000
 #: Suffix statistics are kept for suffixes with at least this many labelled URLs.
 LEAST_SUFFIX = 5
-SUFFIXES = 500
 SEED = 17
 
 
@@ -116,20 +117,26 @@ def suffixes(host: Column) -> Column:
 
 
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """suffix, and its smoothed share of blocked URLs: the ``SUFFIXES`` most frequent in the labelled rows.
-
-    The bound keeps the table small enough to be a literal of the plan at any size of the input.
-    """
+    """suffix, and its smoothed share of blocked URLs, of all suffixes in at least ``LEAST_SUFFIX`` labelled rows."""
     each = labelled.select("label", F.explode(F.array_distinct(suffixes(F.col("host")))).alias("suffix"))
     counted = each.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).where(F.col("n") >= LEAST_SUFFIX)
-    return counted.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).select("suffix", ((F.col("blocked") + 1) / (F.col("n") + 2)).alias("share"))
+    return counted.select("suffix", ((F.col("blocked") + 1) / (F.col("n") + 2)).alias("share"))
+
+
+SUFFIX_NAMES = ["suffix1", "suffix2", "suffix3"]
+
+
+def host_shares(hosts: DataFrame, shares: DataFrame) -> DataFrame:
+    """host and the shares of its suffixes, for each distinct host; 0.5 for suffixes without statistics."""
+    out = hosts.select("host").distinct()
+    for i, name in enumerate(SUFFIX_NAMES):
+        out = out.withColumn("suffix", suffixes(F.col("host"))[i]).join(shares.withColumnRenamed("share", name), "suffix", "left").drop("suffix")
+    return out.select("host", *(F.coalesce(name, F.lit(0.5)).alias(name) for name in SUFFIX_NAMES))
 
 
-def with_suffixes(urls: DataFrame, shares: dict[str, float]) -> tuple[DataFrame, list[str]]:
-    names = ["suffix1", "suffix2", "suffix3"]
-    known = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)) if shares else F.create_map().cast("map<string,double>")
-    tails = suffixes(F.col("host"))
-    return urls.withColumns({k: F.coalesce(F.try_element_at(known, tails[i]), F.lit(0.5)) for i, k in enumerate(names)}), names
+def with_suffixes(urls: DataFrame, by_host: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Adds the suffix shares: few hosts are broadcast, else the adaptive skew join splits a host of many URLs."""
+    return urls.join(by_host, "host", "left"), SUFFIX_NAMES
 
 
 def fit(labelled: DataFrame, inputs: list[str], trees: int = 20, depth: int = 4) -> GBTClassificationModel:
@@ -147,17 +154,18 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = LABELLE
     labelled = urls.where("r is not null").select("url", "host", "path", (~F.col("r.allow")).cast("double").alias("label"))
     n = labelled.count()
     h = F.pmod(F.xxhash64(F.lit(SEED), "url"), F.lit(1_000_000))
-    labelled = labelled.where(h < int(min(1.0, rows / max(n, 1)) * 1_000_000))
+    ruled_urls, labelled = labelled, labelled.where(h < int(min(1.0, rows / max(n, 1)) * 1_000_000))
     kinds = sorted(r[0] for r in labelled.select("label").distinct().limit(2).collect())
     if len(kinds) < 2:
         default = "block" if kinds == [1.0] else "allow"
         return urls.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(ruled, F.lit(default)).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
-    shares = {r["suffix"]: r["share"] for r in suffix_statistics(labelled).collect()}
+    shares = table(suffix_statistics(ruled_urls), "suffix-shares")
+    by_host = table(host_shares(urls, shares), "host-shares")
     known, inputs = lexical(labelled)
-    known, more = with_suffixes(known, shares)
+    known, more = with_suffixes(known, by_host)
     model = fit(known, inputs + more)
     asked, _ = lexical(urls)
-    asked, _ = with_suffixes(asked, shares)
+    asked, _ = with_suffixes(asked, by_host)
     judged = model.transform(VectorAssembler(inputCols=inputs + more, outputCol="features").transform(asked))
     probability = vector_to_array("probability")[1]
     return judged.select(

@@ -156,6 +156,13 @@ def test_trees_learn_from_ruled_urls(spark):
     assert sum(got[200 + i] == ("block" if i % 2 == 0 else "allow") for i in range(40)) >= 36
 
 
+def test_shares_of_all_suffixes(spark):
+    hosts = [f"a.s{i}.com" for i in range(600)]
+    labelled = spark.createDataFrame([(h, float(i % 3 == 0)) for i, h in enumerate(hosts) for _ in range(5)], "host string, label double")
+    shares = {r["suffix"]: r["share"] for r in url_filter.suffix_statistics(labelled).collect()}
+    assert shares == {"com": 1001 / 3002} | {s: 6 / 7 if i % 3 == 0 else 1 / 7 for i, h in enumerate(hosts) for s in (h, h[2:])}
+
+
 def test_entropy(spark):
     df = spark.createDataFrame([("",), ("aaaa",), ("abab",), ("abcd",)], "a string")
     assert [round(r[0], 6) for r in df.select(url_filter.entropy(F.col("a"))).collect()] == [0.0, 0.0, 1.0, 2.0]
