@@ -17,6 +17,7 @@ import bisect
 import json
 import zlib
 from collections import deque
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +37,21 @@ def encoder(path: str, pattern: str):
 
     The file's vocabulary lists tokens in the order of their merges, so its ids are ranks, and
     tiktoken gives the same ids from them as the tokenizers library (a test holds the two
-    against each other) at a quarter of its memory traffic. Special tokens are ordinary text.
+    against each other) at a quarter of its memory traffic. Added tokens are matched inside texts,
+    as the tokenizers library does by default.
     """
     if path not in _encoders:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        special = {x["content"] for x in model["added_tokens"]}
+        special = {x["content"]: x["id"] for x in model["added_tokens"]}
         # Byte-level files write a byte as itself if it is printable and else as a letter from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [x for x in range(256) if x not in set(plain)]
         byte = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(others)}
         ranks = {bytes(byte[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
-        _encoders[path] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
@@ -67,7 +69,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_i
 
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
-            encode = encoder(path, pattern).encode_ordinary
+            encode = partial(encoder(path, pattern).encode, allowed_special="all")
             out: dict[str, list] = {c: [] for c in ("doc", "piece", "start", "length", "crc", "item")}
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([*encode(text or ""), end_id], dtype="<u4")

@@ -89,6 +89,15 @@ def test_packing(docs, empty, rows, how):
     assert packing.pack_documents(empty, JSON, public_tokenizers.PATTERN).count() == 0
 
 
+def test_added_tokens_inside_texts(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y <|endoftext", "plain"]
+    tokenizer = Tokenizer.from_file(JSON)
+    assert tokenizer.token_to_id("<|endoftext|>") in tokenizer.encode(texts[0], add_special_tokens=False).ids
+    found = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON, public_tokenizers.PATTERN).collect()
+    want = {(i, k, *p) for i, t in enumerate(texts) for k, p in brute.pieces(t, lambda x: tokenizer.encode(x, add_special_tokens=False).ids).items()}
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found} == want
+
+
 def test_best_fit_takes_the_fullest_bin():
     import numpy as np
 
