@@ -29,9 +29,12 @@ from parley.llm.store import table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: As ``_ATTRIBUTE``, with attributes that have no value.
+_NAMED = re.compile(_ATTRIBUTE.pattern.replace(r"\s*=", r"(?:\s*=", 1) + ")?")
 #: Tags whose content isn't text of the page.
 HIDDEN = frozenset("script style noscript template head title iframe object embed svg math canvas audio video select option textarea button".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Tags that are boilerplate wherever they stand.
@@ -51,6 +54,14 @@ def _step(tag: str, attributes: str) -> tuple[str, str]:
     return tag + ("." + kind.replace(" ", ".") if kind else ""), " ".join(x for x in (found.get("class", ""), found.get("id", ""), found.get("role", "")) if x)
 
 
+def _hides(attributes: str) -> bool:
+    """Whether a tag's own attributes hide it."""
+    if not re.search(r"hidden|display", attributes, re.I):
+        return False
+    found = {k.lower(): (a or b or c).strip().lower() for k, a, b, c in _NAMED.findall(attributes)}
+    return found.get("hidden", "false") != "false" or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
+
+
 def parse(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
     """Blocks of a page in order: (path, text, characters in links, boilerplate)."""
     blocks: list[tuple[tuple[str, ...], str, int, bool]] = []
@@ -59,7 +70,7 @@ def parse(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
     linked = links = 0
     path: tuple[str, ...] = ()
     outside = hidden = False
-    until = None
+    at = 0
 
     def flush() -> None:
         nonlocal linked
@@ -77,12 +88,10 @@ def parse(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         outside = any(x[2] for x in stack)
         hidden = any(x[3] for x in stack)
 
-    for match in _TOKEN.finditer(page):
+    while at < len(page):
+        match = _TOKEN.match(page, at)
+        at = match.end()
         closing, tag, attributes, text = match.groups()
-        if until is not None:  # inside a raw tag only its end counts
-            if not (tag and closing and tag.lower() == until):
-                continue
-            until = None
         if text is not None:
             if not hidden:
                 parts.append(text)
@@ -117,9 +126,10 @@ def parse(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         # A header belongs to the page, unless it is the article's own.
         page_header = tag == "header" and not any(x[0] in ("article", "main") for x in stack)
         off = tag in OUTSIDE or page_header or bool(names and tag not in ("html", "body", "article", "main") and _OUTSIDE_NAMES.search(names))
-        hide = tag in HIDDEN or bool(attributes and re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", attributes) and tag not in ("html", "body"))
+        hide = tag in HIDDEN or bool(attributes and tag not in ("html", "body") and _hides(attributes))
         if tag in RAW and not (attributes or "").endswith("/"):
-            until = tag
+            end = _RAW_END[tag].search(page, at)  # inside a raw tag only its end counts
+            at = end.start() if end else len(page)
             continue
         stack.append((tag, step, off, hide))
         path += (step,)

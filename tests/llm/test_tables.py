@@ -205,6 +205,16 @@ def test_hosts_vote_for_a_path(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_hidden_is_an_attribute_and_scripts_are_skipped_whole():
+    texts = lambda page: [b[1] for b in html_extract.parse(page)]
+    assert texts('<div class="overflow-hidden" data-x="hidden"><p>shown</p></div>') == ["shown"]
+    for how in ("hidden", 'class="a" HIDDEN', 'hidden=""', 'aria-hidden="true"', 'style="color:red; display: none"'):
+        assert texts(f"<div {how}><p>gone</p></div><p>shown</p>") == ["shown"]
+    assert texts('<div aria-hidden="false"><p>shown</p></div>') == ["shown"]
+    assert texts("<p>one</p><script>for(i=0;i<n;i++){}</script><p>two</p><SCRIPT>if (a<b) '</scripts>'</SCRIPT ><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p><style>a{}") == ["one"]
+
+
 def test_queries_are_registered():
     assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
 
