@@ -58,25 +58,20 @@ def base_scores(docs):
     return out
 
 
-def bigram_scores(docs, discount=0.75, least=2, step=1.5):
-    """The model of lm_score with an exact table in place of its filter, every word in the vocabulary."""
+def bigram_scores(docs, mu=256.0, step=1.5):
+    """The model of lm_score with exact tables in place of its filter."""
     train = [tokens(text) for i, text in docs if not is_held_out(i)]
     counts = Counter(t for x in train for t in x)
     pairs = Counter((v, w) for x in train for v, w in zip([END, *x], x, strict=False))
     level = lambda n: 1 + math.floor(math.log(n) / math.log(step) + 1e-9)
-    held = {p: math.ceil(step ** (level(n) - 1) - 1e-9) for p, n in pairs.items() if n >= least}
-    mass = defaultdict(float)
-    for (v, _), n in held.items():
-        mass[v] += max(n - discount, 0)
+    held = {p: math.ceil(step ** (level(n) - 1) - 1e-9) for p, n in pairs.items()}
     total, distinct = sum(counts.values()), len(counts)
     out = []
     for _, text in docs:
         found, score = tokens(text), 0.0
         for v, w in zip([END, *found], found, strict=False):
             p = (counts[w] + 0.1) / (total + 0.1 * (distinct + 1))
-            if counts[v]:
-                p = max(held.get((v, w), 0) - discount, 0) / counts[v] + max(1 - mass[v] / counts[v], 1e-6) * p
-            score += math.log10(p)
+            score += math.log10((held.get((v, w), 0) + mu * p) / (counts[v] + mu))
         out.append(score)
     return out
 
