@@ -5,11 +5,15 @@ of the ``gram`` consecutive words in it that hashes smallest. Equal windows choo
 same words, so a window can only be repeated if its fingerprint is, while neighbouring
 windows share fingerprints, which leaves about one for ten words.
 
-``FingerprintIndex`` holds fingerprints in immutable runs sorted by fingerprint. A new
-batch is merge-joined with the runs before it; runs of a level are compacted into one of the
-next. Fingerprints only name candidates. These are verified by the hash of the window's
+``FingerprintIndex`` holds fingerprints in immutable runs, bucketed and sorted by fingerprint. A new
+batch becomes a run and is merge-joined with the runs before it, bucket by bucket, without shuffling
+these; what was there before, or is twice in the batch, is a hit. Runs of a level are then compacted
+into one of the next. Hits only name candidates. These are verified by the hash of the window's
 whole word sequence (64 bits over all words), counted over all documents.
 
+``find_ranges`` feeds a table to a new index batch by batch; ``find_new_ranges`` adds one more batch to
+an index that is kept, and judges that batch only.
+
 Cases: a null text has no words; a text of fewer than ``size`` words has no windows and
 stays; an empty table gives an empty result; ids may be null or repeated, since rows
 are matched by content (two hashes of the text), never by id; repeated rows repeat each other's
@@ -19,6 +23,8 @@ windows and lose them all; other columns, whatever their names, are not touched.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.llm import filters
-from parley.llm.store import table
+from parley.llm.store import discard, new_path, remove, table
 from parley.llm.words import hash_words, mix, sliding_min, split_words, text_slices, window_hashes
 
 SIZE = 35
 GRAM = 16
 #: Removed ranges up to this size are broadcast to the texts; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: A fingerprint with more than this share of all places (of places that repeat) is counted apart; there are at most as many as its inverse.
+HOT_SHARE, HOT_PLACES = 1e-4, 1000
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -52,60 +60,105 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, size: int, gram: int):
     return words, windows, valid, anchor, grams
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(fp, n): fingerprints of all windows and at how many places they lie, summed per slice."""
+def fingerprints(docs: DataFrame, text_col: str = "text", size: int = SIZE, gram: int = GRAM, batches: int = 1) -> DataFrame:
+    """(fp, n, batch): fingerprints of all windows and at how many places they lie, summed per slice; ``batch`` deals the input's partitions."""
 
-    def run(batches):
-        for batch in batches:
+    def run(parts):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() % batches
+        for batch in parts:
             for _, data, offsets in text_slices(batch.column(0)):
                 _, _, _, anchor, grams = _anchors(data, offsets, size, gram)
                 found, n = np.unique(grams[np.unique(anchor)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.full(len(found), number, np.int32))], names=["fp", "n", "batch"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "fp long, n long")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "fp long, n long, batch int")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints in the shared folder, merged level by level."""
+    """Sorted immutable runs of fingerprints in a folder, merged level by level.
 
-    def __init__(self, spark: SparkSession, fan_in: int = 4):
-        self.spark, self.fan_in = spark, fan_in
-        self.levels: list[list[DataFrame]] = []
+    A run is a Parquet table (fp, n) in ``buckets`` buckets, each sorted by fp, so that runs are joined bucket by
+    bucket as they lie. After each batch the folder's log gets the list of runs that count from then on; ``open``
+    goes on from the last entry. The default folder is a new one in the shared folder.
+    """
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Add a batch of (fp, n); returns its run with ``before``, how often earlier batches had each fingerprint."""
-        run = table(batch.groupBy("fp").agg(F.sum("n").alias("n")), "fingerprint-run", sort=["fp"])
-        earlier = self.merged()
-        joined = run.withColumn("before", F.lit(0).cast("long"))
-        if earlier is not None:
-            joined = run.join(earlier.withColumnRenamed("n", "before").hint("merge"), "fp", "left").fillna(0, ["before"])
-        self._push(run, 0)
-        return joined
-
-    def _push(self, run: DataFrame, level: int) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = 4, buckets: int | None = None):
+        self.spark, self.fan_in = spark, fan_in
+        self.path = path or new_path(spark, "fingerprint-index")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.version, self.levels = 0, []  # of each level, the tables' names
+        self.names: dict[str, str] = {}  # in the folder, of each table
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, fan_in: int = 4) -> FingerprintIndex:
+        """The index in ``path`` as its last batch left it."""
+        log = spark.read.parquet(f"{path}/log")
+        last = log.join(log.agg(F.max("version").alias("version")), "version").orderBy("level", "name").collect()  # a few runs a level
+        index = cls(spark, path, fan_in, last[0]["buckets"])
+        index.version = last[0]["version"]
+        for row in last:
+            name = f"parley_run_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {name} (fp BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {index.buckets} BUCKETS LOCATION '{path}/{row['name']}'")
+            index._put(name, row["name"], row["level"])
+        return index
+
+    def _put(self, table_name: str, folder: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fan_in:
-            whole = self._sum(self.levels[level])
-            self.levels[level] = []
-            self._push(table(whole, "fingerprint-run", sort=["fp"]), level + 1)
+        self.levels[level].append(table_name)
+        self.names[table_name] = folder
 
-    @staticmethod
-    def _sum(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("fp").agg(F.sum("n").alias("n"))
+    def _write(self, counted: DataFrame, level: int) -> str:
+        name = f"parley_run_{uuid.uuid4().hex}"
+        folder = f"run-{self.version:06d}-{level}-{name[-8:]}"
+        counted.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").option("path", f"{self.path}/{folder}").saveAsTable(name)
+        self._put(name, folder, level)
+        return name
 
-    def merged(self) -> DataFrame | None:
-        """All runs as one: each fingerprint and how often it lies anywhere."""
-        runs = [run for level in self.levels for run in level]
-        return None if not runs else runs[0] if len(runs) == 1 else self._sum(runs)
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, f"{self.path}/{self.names.pop(name)}")
 
-    def repeated(self) -> DataFrame:
-        """Fingerprints that lie at two places or more."""
-        return self.merged().where("n > 1").select("fp")
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Add a batch of (fp, n); the hits: (fp, n, before) of its fingerprints that earlier batches had, or that it has twice."""
+        self.version += 1
+        earlier = [name for level in self.levels for name in level]
+        run = self.spark.table(self._write(batch.groupBy("fp").agg(F.sum("n").alias("n")), 0))
+        joined, before = run, F.lit(0).cast("long")
+        for k, name in enumerate(earlier):
+            joined = joined.join(self.spark.table(name).withColumnRenamed("n", f"n{k}").hint("merge"), "fp", "left")
+            before = before + F.coalesce(f"n{k}", F.lit(0))
+        hits = table(joined.select("fp", "n", before.alias("before")).where("before + n > 1"), "fingerprint-hits")
+        level = 0
+        while level < len(self.levels) and len(self.levels[level]) >= self.fan_in:
+            merged, self.levels[level] = self.levels[level], []
+            self._write(self._sum(merged), level + 1)
+            self._drop(merged)
+            level += 1
+        now = [(self.version, k, self.names[name], self.buckets) for k, names in enumerate(self.levels) for name in names]
+        self.spark.createDataFrame(now, "version long, level int, name string, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        return hits
+
+    def _sum(self, names: list[str]) -> DataFrame:
+        # Read as plain files: Spark 4.1 takes a union of bucketed tables for bucketed and then doesn't shuffle it.
+        runs = [self.spark.read.schema("fp long, n long").parquet(f"{self.path}/{self.names[name]}") for name in names]
+        return reduce(DataFrame.unionByName, runs).groupBy("fp").agg(F.sum("n").alias("n"))
+
+    def merged(self) -> DataFrame:
+        """All runs as one: each fingerprint and at how many places it lies."""
+        return self._sum([name for level in self.levels for name in level])
+
+    def close(self, delete: bool = False) -> None:
+        """Forget the tables; the folder stays unless it is to be deleted."""
+        for level in self.levels:
+            for name in level:
+                self.spark.sql(f"DROP TABLE {name}")
+        self.levels, self.names = [], {}
+        if delete:
+            remove(self.spark, self.path)
 
 
 CANDIDATES = "fp long, k1 long, k2 int, at int, known int, windows array<long>"
@@ -158,20 +211,27 @@ def candidates(docs: DataFrame, bits, segments: int, text_col: str = "text", siz
     return keyed.select("text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2")).mapInArrow(run, CANDIDATES)
 
 
-def repeated_windows(found: DataFrame) -> DataFrame:
+def repeated_windows(found: DataFrame, hot: list[int] | None = None) -> DataFrame:
     """(k1, k2, at, mask): verified repeats, bit i standing for window ``at + i``.
 
     Rows meet by fingerprint; within it windows are counted by the hash of their words. Both
-    the count and the masks use that one shuffle.
+    the count and the masks use that one shuffle. Rows of the fingerprints in ``hot`` don't meet: their
+    windows are counted with map-side sums, and the counts joined to the rows, which
+    the adaptive skew join can split.
     """
     # Rows that send nothing are the many copies of a text: only their ``known`` counts, below.
-    by_fp = found.where(F.size(F.array_remove("windows", F.lit(0).cast("long"))) > 0).repartition("fp")
-    single = by_fp.select("fp", "k1", "k2", "at", "known", F.posexplode("windows").alias("i", "h")).where("h <> 0")
+    sent = found.where(F.size(F.array_remove("windows", F.lit(0).cast("long"))) > 0)
     weight = F.expr("1 + (shiftright(known, i) & 1)")  # a window that its slice has twice counts twice
-    counted = single.select("*", F.sum(weight).over(Window.partitionBy("fp", "h")).alias("n")).where("n > 1")
-    masks = counted.groupBy("fp", "k1", "k2", "at").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
+    each = lambda rows: rows.select("fp", "k1", "k2", "at", "known", F.posexplode("windows").alias("i", "h")).where("h <> 0")
+    cold = sent.where(~F.col("fp").isin(hot)) if hot else sent
+    counted = each(cold.repartition("fp")).select("*", F.sum(weight).over(Window.partitionBy("fp", "h")).alias("n")).where("n > 1")
+    masks = counted.groupBy("fp", "k1", "k2", "at").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask")).drop("fp")
+    if hot:
+        rows = each(sent.where(F.col("fp").isin(hot)))
+        often = rows.groupBy("h").agg(F.sum(weight).alias("n")).where("n > 1").select("h")
+        masks = masks.unionByName(rows.join(often, "h").select("k1", "k2", "at", F.expr("shiftleft(1, i)").alias("mask")))
     local = found.where("known <> 0").select("k1", "k2", "at", F.col("known").alias("mask"))
-    return masks.select("k1", "k2", "at", "mask").unionByName(local)
+    return masks.unionByName(local)
 
 
 def ranges(repeats: DataFrame, size: int = SIZE) -> DataFrame:
@@ -196,23 +256,52 @@ def ranges(repeats: DataFrame, size: int = SIZE) -> DataFrame:
     return grouped.mapInArrow(run, "k1 long, k2 int, spans array<int>")
 
 
-def find_ranges(docs: DataFrame, text_col: str = "text", batches: int = 2, size: int = SIZE, gram: int = GRAM, filter_bytes: int = 64 << 20) -> DataFrame:
-    """Word ranges to remove from each distinct text, by way of the index.
+def verified_ranges(docs: DataFrame, repeated: DataFrame, text_col: str = "text", size: int = SIZE, gram: int = GRAM, filter_bytes: int = 64 << 20) -> DataFrame:
+    """(k1, k2, spans) of all texts of ``docs``; ``repeated``: a table of (key, n), the fingerprints that may repeat and their places.
 
-    The documents enter the index in ``batches`` by a hash of the text. Its repeated
-    fingerprints go to the workers as a Bloom filter of at most ``filter_bytes``: a
+    These go to the workers as a Bloom filter of at most ``filter_bytes``: a
     fuller filter lets more candidates through to verification, and never changes the result.
     """
-    spark = docs.sparkSession
-    index = FingerprintIndex(spark)
-    for k in range(batches):
-        part = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(batches)) == k) if batches > 1 else docs
-        index.add(fingerprints(part, text_col, size, gram))
-    repeated = table(index.repeated().withColumnRenamed("fp", "key"), "repeated-fingerprints")
-    segments = filters.segments_for(repeated.count(), 12, filter_bytes)
-    bits = spark.sparkContext.broadcast(filters.build(repeated, segments))
+    total, keys = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    hot = [r["key"] for r in repeated.where(F.col("n") > max(HOT_PLACES, int(total * HOT_SHARE))).select("key").collect()]  # at most 1 / HOT_SHARE
+    segments = filters.segments_for(keys, 12, filter_bytes)
+    bits = docs.sparkSession.sparkContext.broadcast(filters.build(repeated.select("key"), segments))
     found = table(candidates(docs, bits, segments, text_col, size, gram), "window-candidates")
-    return table(ranges(repeated_windows(found), size), "repeated-ranges")
+    spans = table(ranges(repeated_windows(found, hot), size), "repeated-ranges")
+    discard(found)
+    return spans
+
+
+def find_ranges(docs: DataFrame, text_col: str = "text", batches: int = 5, size: int = SIZE, gram: int = GRAM, **how) -> DataFrame:
+    """Word ranges to remove from each distinct text: all of ``docs`` goes through a new index in ``batches`` batches of whole partitions."""
+    index = FingerprintIndex(docs.sparkSession)
+    anchors = table(fingerprints(docs, text_col, size, gram, batches), "window-fingerprints")
+    hits = [index.add(anchors.where(F.col("batch") == k)) for k in range(batches)]
+    index.close(delete=True)
+    # A fingerprint is a hit in every batch from its second place on: the last has all its places.
+    met = reduce(DataFrame.unionByName, hits).groupBy(F.col("fp").alias("key")).agg(F.max(F.col("before") + F.col("n")).alias("n"))
+    repeated = table(met, "repeated-fingerprints")
+    discard(anchors, *hits)
+    spans = verified_ranges(docs, repeated, text_col, size, gram, **how)
+    discard(repeated)
+    return spans
+
+
+def find_new_ranges(index: FingerprintIndex, batch: DataFrame, history: DataFrame | None, text_col: str = "text", size: int = SIZE, gram: int = GRAM, **how) -> DataFrame:
+    """Adds ``batch`` to ``index`` and gives the ranges of its texts whose windows lie in it twice or in ``history`` already.
+
+    ``history``: all that the index was given before, read once (without a shuffle) to verify hits.
+    """
+    hits = index.add(fingerprints(batch, text_col, size, gram).drop("batch"))
+    repeated = table(hits.select(F.col("fp").alias("key"), (F.col("before") + F.col("n")).alias("n")), "repeated-fingerprints")
+    text = lambda docs: docs.select(F.col(text_col).alias("text"))
+    both = text(batch) if history is None else text(batch).unionByName(text(history))
+    spans = verified_ranges(both, repeated, "text", size, gram, **how)
+    t = F.coalesce(F.col("text"), F.lit(""))
+    mine = text(batch).select(F.xxhash64(t).alias("k1"), F.hash(t).alias("k2"))
+    out = table(spans.join(mine, ["k1", "k2"], "left_semi"), "repeated-ranges")
+    discard(hits, repeated, spans)
+    return out
 
 
 def with_ranges(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
@@ -235,8 +324,8 @@ def _kept(text: str | None, spans) -> tuple[int, list[bytes]]:
     return len(words), out + words[at:]
 
 
-def removal_digests(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_words, n_removed and the SHA-256 of the kept words of every document."""
+def removal_digests(docs: DataFrame, spans: DataFrame | None = None, **how) -> DataFrame:
+    """doc_id, n_words, n_removed and the SHA-256 of the kept words of every document; ``spans``: found before, else of ``docs``."""
 
     def run(batches):
         for batch in batches:
@@ -249,7 +338,7 @@ def removal_digests(docs: DataFrame, **how) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = with_ranges(docs, find_ranges(docs, **how)).select("doc_id", "text", "_parley_spans")
+    joined = with_ranges(docs, find_ranges(docs, **how) if spans is None else spans).select("doc_id", "text", "_parley_spans")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

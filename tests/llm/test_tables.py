@@ -36,8 +36,8 @@ def test_windows_within_one_text_and_other_sizes(spark):
     cell = " ".join(f"w{i}" for i in range(40))
     texts = [cell + " x " + cell, "y " + cell[:-4] + " z", " ".join(["same"] * 80), " ".join(f"v{i}" for i in range(100))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for batches in (1, 3):
-        got = sorted(tuple(r)[1:] for r in substring_dedup.removal_digests(docs, batches=batches).orderBy("doc_id").collect())
+    for batches in (1, 5):
+        got = sorted(tuple(r)[1:] for r in substring_dedup.removal_digests(docs.repartition(4), batches=batches).orderBy("doc_id").collect())
         assert got == sorted(brute.removals(texts))
 
 
@@ -57,10 +57,50 @@ def test_copies_of_a_text_are_gathered_once(spark, monkeypatch):
 def test_index_runs_are_joined_and_compacted(spark):
     index = substring_dedup.FingerprintIndex(spark, fan_in=2)
     batch = lambda *x: spark.createDataFrame([(f, 1) for f in x], "fp long, n long")
-    seen = [sorted((r["fp"], r["n"], r["before"]) for r in index.add(b).collect()) for b in (batch(1, 2, 2), batch(2, 3), batch(3, 1, 9))]
-    assert seen == [[(1, 1, 0), (2, 2, 0)], [(2, 1, 2), (3, 1, 0)], [(1, 1, 1), (3, 1, 1), (9, 1, 0)]]
+    hits = lambda b: sorted((r["fp"], r["n"], r["before"]) for r in index.add(b).collect())
+    assert [hits(b) for b in (batch(1, 2, 2), batch(2, 3), batch(3, 1, 9))] == [[(2, 2, 0)], [(2, 1, 2)], [(1, 1, 1), (3, 1, 1)]]
     assert [len(x) for x in index.levels] == [1, 1]
-    assert sorted(r["fp"] for r in index.repeated().collect()) == [1, 2, 3]
+    index.close()
+    index = substring_dedup.FingerprintIndex.open(spark, index.path, fan_in=2)
+    assert [len(x) for x in index.levels] == [1, 1]
+    assert {r["fp"]: r["n"] for r in index.merged().collect()} == {1: 2, 2: 3, 3: 2, 9: 1}
+    assert hits(batch(9, 4)) == [(9, 1, 1)] and [len(x) for x in index.levels] == [0, 0, 1]
+    index.close(delete=True)
+
+
+def test_runs_meet_by_merge_joins_without_shuffling_them(spark, monkeypatch):
+    index, plans = substring_dedup.FingerprintIndex(spark), []
+    through = substring_dedup.table
+    monkeypatch.setattr(substring_dedup, "table", lambda df, *a: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), through(df, *a))[1])
+    for k in range(3):
+        index.add(spark.range(100).select((F.col("id") + k).alias("fp"), F.lit(1).cast("long").alias("n")))
+    assert plans[2].count("SortMergeJoin") == 2 and "Exchange" not in plans[2]
+    index.close(delete=True)
+
+
+def test_batches_one_after_another(spark, docs, rows):
+    parts = [docs.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(3)) == k).select("doc_id", "text").cache() for k in range(3)]
+    given = [[(r["doc_id"], r["text"]) for r in p.collect()] for p in parts]
+    assert sum(map(len, given)) == len(rows)
+    index, before, path = substring_dedup.FingerprintIndex(spark, fan_in=2), None, None
+    for k, part in enumerate(parts):
+        if path:  # another session would go on like this
+            index.close()
+            index = substring_dedup.FingerprintIndex.open(spark, path, fan_in=2)
+        path = index.path
+        got = substring_dedup.removal_digests(part, substring_dedup.find_new_ranges(index, part, before))
+        texts = [t for b in given[: k + 1] for _, t in b]
+        want = brute.removals(texts)[len(texts) - len(given[k]) :]
+        assert Counter(tuple(r) for r in got.collect()) == Counter((i, *w) for (i, _), w in zip(given[k], want, strict=True))
+        before = part if before is None else before.unionByName(part)
+
+
+def test_hot_fingerprints_are_counted_apart(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_PLACES", 2)
+    seen, through = [], substring_dedup.repeated_windows
+    monkeypatch.setattr(substring_dedup, "repeated_windows", lambda found, hot: (seen.extend(hot), through(found, hot))[1])
+    got = Counter(tuple(r) for r in substring_dedup.removal_digests(docs).collect())
+    assert seen and got == Counter((i, *w) for (i, _), w in zip(rows, brute.removals([t for _, t in rows]), strict=True))
 
 
 def check_packing(found, rows, capacity=2048):
@@ -200,13 +240,13 @@ def test_hosts_vote_for_a_path(spark):
     poor = '<body><div class="main-7"><p>short text</p></div><div class="extra"><p>a much longer block of other text that would win on this page alone, by far</p></div></body>'
     rich = '<body><div class="main-3"><p>' + "long prose of an article " * 20 + '</p></div><div class="extra"><p>small</p></div></body>'
     pages = spark.createDataFrame([(i, "http://v.org/", rich) for i in range(5)] + [(9, "http://v.org/", poor)], "page_id long, url string, html string")
-    assert [r["path"] for r in html_extract.winning_paths(pages).collect()] == ["body/div.main-#"]
+    assert [r["path"] % 2**64 for r in html_extract.winning_paths(pages).collect()] == [html_extract.path_hash("body/div.main-#")]
     assert html_extract.extract_pages(pages).where("page_id = 9").first()["text"] == "short text"
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
 def test_hidden_is_an_attribute_and_scripts_are_skipped_whole():
-    texts = lambda page: [b[1] for b in html_extract.parse(page)]
+    texts = lambda page: [b[1] for b in html_extract.parse(page).blocks]
     assert texts('<div class="overflow-hidden" data-x="hidden"><p>shown</p></div>') == ["shown"]
     for how in ("hidden", 'class="a" HIDDEN', 'hidden=""', 'aria-hidden="true"', 'style="color:red; display: none"'):
         assert texts(f"<div {how}><p>gone</p></div><p>shown</p>") == ["shown"]
@@ -215,6 +255,49 @@ def test_hidden_is_an_attribute_and_scripts_are_skipped_whole():
     assert texts("<p>one</p><style>a{}") == ["one"]
 
 
+def text_of(page):
+    return html_extract.extract(html_extract.parse(page), None)
+
+
+def test_names_of_boilerplate_and_of_articles():
+    prose = "<p>" + "plain words of an article " * 8 + "</p>"
+    want = ("plain words of an article " * 8).strip()
+    for name in ("content no-sidebar", "post has-comments", "layout-sidebar-right", "article-body", "post"):
+        assert text_of(f'<body><div class="{name}">{prose}</div></body>') == want, name
+    for name in ("sidebar", "post-comments", "widget-area", "footer-content", "ad-12", "entry related", "cookie_notice", "sidebar-left", "site-header"):
+        assert text_of(f'<body><div class="x">{prose}</div><div class="{name}"><p>not this</p></div></body>') == want, name
+    for role in ("navigation", "complementary", "contentinfo", "search"):
+        assert text_of(f'<body><div role="{role}"><p>not this</p></div>{prose}</body>') == want
+    headed = f'<div class="post-header"><h1>Head &amp; line</h1></div>'
+    assert text_of(f"<body><article>{headed}{prose}</article></body>") == "Head & line " + want
+    assert text_of(f'<body><h1>Head</h1><div class="content">{prose}</div><h1>Later</h1></body>') == "Head " + want
+    assert text_of(f'<body><form id="aspnet"><article>{prose}</article></form><form><p>Your mail</p></form></body>') == want
+    assert text_of(f"<body><div>{prose}</div><div>{prose}</div></body>") == f"{want} {want}"
+
+
+def test_what_does_not_split_a_block():
+    assert text_of("<p>inter<script>x</script>national<!-- c --> un<img src=x>divided<wbr>ly <x-y>own</x-y>ed &am<b>p; on</b></p>") == "international undividedly owned &amp; on".replace("&amp;", "&am" + "p;")
+    assert text_of("<p>a<br>b<button>Send</button>c <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <select><option>no</select>d</p>") == "a bc x=2 d"
+    assert text_of("<table><tr><td>a<td>b<tr><td>c</table><dl><dt>d<dd>e</dl>") == "a b c d e"
+    assert text_of("<p>one <span hidden>gone</span>two<div>three <button>four") == "one two three four"
+    assert text_of("1 < 2 and 3<4 </> <5") == "1 < 2 and 3<4 <5"
+    assert text_of('<p><a title="x>one</a> two</p>') == "one two"
+    assert text_of("<p><a title=it's>one</a> two don't</p>") == "one two don't"
+    assert text_of('<p title="a>b" data-x=\'"\'>one</p><p class="') == "one"
+    assert text_of("<!--> one <!-- two --> three <![CDATA[ x > y ]]> four <!-- five") == "one three four"
+
+
+def test_time_grows_with_the_page_only():
+    import time
+
+    many = 100_000
+    pages = ["<div>" * many + "deep", "<p>" * many + "flat", "<div>" * many + "x" + "</b></i></q>" * many, "<button>" * many + "y", "<a title='" * many, "<div>a</p>" * (many // 5), "<ul><li>" * (many // 2) + "z", "<form>" * (many // 2) + "<h1>h"]
+    for page in pages:
+        began = time.process_time()
+        text_of(page)
+        assert time.process_time() - began < 4, page[:20]
+
+
 def test_queries_are_registered():
     assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
 
