@@ -11,6 +11,11 @@ bounded block at a time to the fingerprints of the same shards. A search task un
 finds and sends a spanning forest, not the pairs: links inside a dense group grow with its
 members. Connected components are found by alternating star contraction.
 
+``keep_similar`` works on similarity instead of a few bits: word shingles of ``WIDE_SHINGLE`` words that
+texts share to ``SIMILARITY`` (Jaccard) or more. There fingerprints of ``WIDE_BITS`` bits estimate the
+similarity, shards are samples of bits, as many and as wide as the number of fingerprints asks for, and a
+shard's trees are built and searched where its fingerprints meet.
+
 Cases: a null, empty or blank text has no words and the fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; a null id keeps its row, with the
 smallest other id of the component (null if there is none); repeated rows are equal
@@ -26,8 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.store import cut, table
-from parley.llm.words import text_slices
+from parley.llm.store import cut, discard, table
+from parley.llm.words import hash_words, mix, split_words, text_slices, window_hashes
 
 SHINGLE = 4
 RADIUS = 4
@@ -35,6 +40,9 @@ SEED = 42
 #: Fingerprints in one tree, and in all trees of one broadcast: 16 bytes each.
 TREE_NODES = 1 << 13
 BROADCAST_NODES = 1 << 20
+WIDE_SHINGLE, WIDE_BITS, SIMILARITY = 5, 512, 0.8
+#: Share of the pairs of just ``SIMILARITY`` that some shard shall hold; fingerprints that a shard holds on average; most of them in one tree.
+RECALL, SHARD_PRINTS, PART_PRINTS = 0.95, 24, 1 << 14
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LANES = np.uint64(0x0101010101010101)
@@ -79,17 +87,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)
+    """Differing bits of fingerprints: 64-bit words, or rows of such words."""
+    n = np.bitwise_count(a ^ b).astype(np.int64)
+    return n if n.ndim == 1 else n.sum(axis=1)
 
 
 class BKForest:
-    """BK-trees over 64-bit words, one for each group, in arrays.
+    """BK-trees over fingerprints, one for each group, in arrays.
 
-    Child edges are the sorted keys ``parent * 65 + distance``; ``child`` is where each leads.
+    Child edges are the sorted keys ``parent * span + distance``; ``child`` is where each leads.
     """
 
     def __init__(self, groups: np.ndarray, words: np.ndarray):
         self.words = words
+        self.span = 64 * (1 if words.ndim == 1 else words.shape[1]) + 1
         order = np.argsort(groups, kind="stable")
         first = np.r_[True, groups[order][1:] != groups[order][:-1]] if len(order) else np.zeros(0, bool)
         roots = order[first]
@@ -99,7 +110,7 @@ class BKForest:
         node, parent = order[rest], parent[rest]
         keys, children = [], []
         while len(node):
-            edge = parent * 65 + distance(words[node], words[parent])
+            edge = parent * self.span + distance(words[node], words[parent])
             key, at, inverse = np.unique(edge, return_index=True, return_inverse=True)
             keys.append(key)
             children.append(node[at])
@@ -111,8 +122,12 @@ class BKForest:
         order = np.argsort(key)
         self.keys, self.child = key[order], child[order]
 
-    def search(self, groups: np.ndarray, words: np.ndarray, radius: int):
-        """Yield (query, node) index arrays of all words within ``radius`` in the query's own group."""
+    def search(self, groups: np.ndarray, words: np.ndarray, radius: int, connect: bool = False):
+        """Yield (query, node) index arrays of words within ``radius`` in the query's own group.
+
+        All of them; with ``connect`` so many as connect all: what hangs on a hit by an edge within the radius
+        is near that hit itself and is not looked at again.
+        """
         at = np.searchsorted(self.groups, groups)
         inside = (at < len(self.groups)) & (self.groups[np.minimum(at, len(self.groups) - 1)] == groups) if len(self.groups) else np.zeros(len(groups), bool)
         for begin in range(0, len(groups), 4_000):
@@ -122,13 +137,21 @@ class BKForest:
                 found = distance(words[query], self.words[node])
                 hit = found <= radius
                 yield query[hit], node[hit]
-                low = np.searchsorted(self.keys, node * 65 + np.maximum(found - radius, 0), "left")
-                high = np.searchsorted(self.keys, node * 65 + np.minimum(found + radius, 64), "right")
-                n = high - low
+                least = np.maximum(found - radius, 0)
+                if connect:
+                    least = np.where(hit, radius + 1, least)
+                low = np.searchsorted(self.keys, node * self.span + least, "left")
+                high = np.searchsorted(self.keys, node * self.span + np.minimum(found + radius, self.span - 1), "right")
+                n = np.maximum(high - low, 0)
                 query = np.repeat(query, n)
                 edge = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 node = self.child[edge]
 
+    def near_parents(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(node, parent) of the edges within the radius: with these, ``connect`` loses no connection."""
+        found = self.keys % self.span <= radius
+        return self.child[found], self.keys[found] // self.span
+
 
 class Union:
     """Union-find over 64-bit values; the representative is the smallest."""
@@ -296,24 +319,183 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each component, the one with its smallest id; all columns stay.
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, bits: int = WIDE_BITS) -> DataFrame:
+    """doc_id and ``fp``, as bytes, of every row: majority bits of the hashes of its distinct shingles."""
+    offsets = mix(np.arange(1, bits // 64 + 1, dtype=np.uint64))
+
+    def majorities(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Rows of 64-bit words; ``bounds``: where the hashes of each text begin."""
+        n = np.diff(bounds)
+        cut_at = np.concatenate([np.arange(a, b, 255) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a])  # eight counters of a byte in each lane
+        owner = np.searchsorted(bounds, cut_at, "right") - 1
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        some = np.flatnonzero(n)
+        out = np.zeros((len(n), bits // 64), np.uint64)
+        for word in range(bits // 64):
+            h = mix(hashes ^ offsets[word])
+            ones = np.empty((len(some), 64), np.int64)
+            for bit in range(8):
+                lanes = np.add.reduceat((h >> np.uint64(bit)) & _LANES, cut_at)
+                ones[:, bit::8] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first)
+            out[some, word] = np.packbits(2 * ones > n[some][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for row, data, ends in text_slices(batch.column(1)):
+                words = split_words(data, ends)
+                hashes = hash_words(data, words, lower=True)
+                count = np.diff(words.bounds)
+                grams = window_hashes(hashes, shingle)
+                inside = np.flatnonzero(words.row[shingle - 1 :] == words.row[: len(grams)]) if len(grams) else np.zeros(0, np.int64)
+                short = np.flatnonzero((count > 0) & (count < shingle))
+                whole = np.array([mix(np.bitwise_xor.reduce(mix(hashes[words.bounds[i] : words.bounds[i + 1]] + np.arange(count[i], dtype=np.uint64)), keepdims=True))[0] for i in short], np.uint64)
+                owner, h = np.r_[words.row[inside], short].astype(np.int64), np.r_[grams[inside], whole]
+                order = np.lexsort((h, owner))
+                owner, h = owner[order], h[order]
+                if len(h):
+                    new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]
+                    owner, h = owner[new], h[new]
+                    fp = majorities(h, np.searchsorted(owner, np.arange(len(count) + 1)))
+                else:
+                    fp = np.zeros((len(count), bits // 64), np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(count)), pa.array([x.tobytes() for x in fp], pa.binary())], names=["doc_id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary")
+
+
+def samples(prints: int, bits: int = WIDE_BITS, similarity: float = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
+    """The bits of each sample that deals so many fingerprints to shards.
+
+    Two fingerprints of texts with this similarity agree in a bit with probability 1 - angle / pi, so a sample
+    of k bits has both in one shard with that to the power of k. k makes shards hold about ``SHARD_PRINTS`` others; there
+    are as many samples as the recall asks for.
+    """
+    k = max(4, int(np.ceil(np.log2(max(1, prints) / SHARD_PRINTS)))) if prints > SHARD_PRINTS else 4
+    together = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** k
+    rng = np.random.default_rng(41)
+    return [np.sort(rng.permutation(bits)[:k]) for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - together))))]
+
+
+def wide_radius(bits: int = WIDE_BITS, similarity: float = SIMILARITY) -> int:
+    """Bits in which fingerprints of texts with this similarity differ, and half a standard deviation more."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.floor(bits * p + np.sqrt(bits * p * (1 - p)) / 2))
+
+
+def similar_links(distinct: DataFrame, count: int, bits: int = WIDE_BITS, similarity: float = SIMILARITY, recall: float = RECALL, part_prints: int = PART_PRINTS) -> DataFrame:
+    """(a, b): links between the ``node`` of distinct fingerprints (node, fp) that connect all near pairs within shards.
+
+    A shard of more than ``part_prints`` fingerprints is dealt to several trees. Of each only those fingerprints that are
+    no tree-child of a near one go on to meet those of the shard's other trees, round by round.
+    """
+    radius, chosen = wide_radius(bits, similarity), samples(count, bits, similarity, recall)
+
+    def deal(batches):
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, bits // 8)
+            one = np.unpackbits(flat, axis=1, bitorder="little")
+            for number, sample in enumerate(chosen):
+                shard = (number << 40) + one[:, sample].astype(np.int64) @ (1 << np.arange(len(sample), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(1)], names=["shard", "node", "fp"])
+
+    def meet(batches):
+        """Links have a null shard; leaders name theirs, for the shards that were dealt to several trees."""
+        held: list = []
+        rows = 0
+
+        def look(groups: np.ndarray, node: np.ndarray, raw: np.ndarray, dealt: np.ndarray):
+            words = raw.view(np.uint64)
+            forest = BKForest(groups, words)
+            child, parent = forest.near_parents(radius)
+            union = Union(node)
+            union.join(node[child], node[parent])
+            for a, b in forest.search(groups, words, radius, connect=True):
+                union.join(node[a], node[b])
+            a, b = union.edges()
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([None] * len(a), pa.int64()), pa.array([None] * len(a), pa.binary())], names=names)
+            leads = np.ones(len(node), bool)
+            leads[child] = False
+            leads &= dealt
+            if leads.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[leads]), pa.array([None] * int(leads.sum()), pa.int64()), pa.array(groups[leads] >> 16), pa.array([x.tobytes() for x in raw[leads]], pa.binary())], names=names)
+
+        def grouped(all_of_it: bool):
+            nonlocal held, rows
+            group, node, dealt, raw = (np.concatenate(x) for x in zip(*held, strict=True))
+            end = len(group) if all_of_it else int(np.flatnonzero(group != group[-1]).max(initial=-1)) + 1
+            rest = (group[end:], node[end:], dealt[end:], raw[end:])
+            group, node, dealt, raw = group[:end], node[:end], dealt[:end], raw[:end]
+            held, rows = ([rest], len(rest[0])) if len(rest[0]) else ([], 0)
+            if end:
+                _, inverse, n = np.unique(group, return_inverse=True, return_counts=True)
+                met = (n[inverse] > 1) | dealt
+                if met.any():
+                    yield from look(group[met], node[met], np.ascontiguousarray(raw[met]), dealt[met])
+
+        for batch in batches:
+            if batch.num_rows:
+                raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, bits // 8)
+                held.append(((batch.column(0).to_numpy() << 16) + batch.column(3).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy() > 1, raw))
+                rows += batch.num_rows
+                if rows > 200_000:
+                    yield from grouped(False)
+        if rows:
+            yield from grouped(True)
+
+    names = ["a", "b", "shard", "fp"]
+    shards = table(distinct.select("node", "fp").mapInArrow(deal, "shard long, node long, fp binary"), "simhash-shards")
+    out, left, taken = [], None, 0
+    while True:
+        large = shards.groupBy("shard").count().where(F.col("count") > part_prints).select("shard", F.ceil(F.col("count") / part_prints).cast("int").alias("parts"))
+        large = table(large, "simhash-large-shards")  # one in ``part_prints`` rows at most
+        now, parts = shards.count(), F.coalesce("parts", F.lit(1))
+        # Where leaders no longer get fewer, the rest meets in one tree.
+        parts = F.lit(1) if left is not None and now > 0.7 * left else parts
+        keyed = shards.join(large, "shard", "left").select("shard", "node", "fp", F.pmod(F.xxhash64("node", F.lit(taken)), parts).cast("int").alias("part"), parts.alias("parts"))
+        met = keyed.repartition("shard", "part").sortWithinPartitions("shard", "part").select("shard", "node", "fp", "part", "parts")
+        found = table(met.select("shard", "node", "fp", F.col("part").cast("long"), F.col("parts").cast("long")).mapInArrow(meet, "a long, b long, shard long, fp binary"), "simhash-links")
+        out.append(found.where("shard is null").select("a", "b"))
+        discard(shards, large)
+        left, taken = now, taken + 1
+        shards = table(found.where("shard is not null").select("shard", F.col("a").alias("node"), "fp"), "simhash-leaders")
+        if not shards.limit(1).count():
+            break
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole.distinct()
 
-    Of repeated rows with that id one stays. Rows without an id stay only where no row of
-    their component has one: then one row with the component's smallest fingerprint stays.
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(fp, node, root, component_id) of every distinct wide fingerprint; ``component_id`` is the smallest id of the component."""
+    prints = table(wide_fingerprints(docs, id_col, text_col), "simhash-prints")
+    least = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp")), "simhash-distinct")
+    member = components(similar_links(least.select("node", "fp"), least.count(), **how))
+    member = member.select(F.col("node").alias("m"), "root")
+    rooted = least.join(member, least["node"] == member["m"], "left").select("fp", "node", "least", F.coalesce("root", "node").alias("root"))
+    # A component of a third of all texts is one root: its smallest id is a map-side minimum and the join is split.
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = table(rooted.join(smallest, "root").select("fp", "node", "root", "component_id"), "simhash-classes")
+    discard(prints, least)
+    return out
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of ``docs`` for each group of texts connected by similarities of ``SIMILARITY`` or more, the one with the smallest id.
+
+    All columns stay. Similarity is that of the sets of shingles, estimated by the fingerprints with a standard error of about
+    0.04. Of repeated rows with the id one stays. Rows without an id stay only where no row of their group has one.
     """
-    _, classes = _classes(docs, id_col, text_col, radius)
-    classes = cut(classes)
+    classes = similar_classes(docs, id_col, text_col, **how)
     kept = classes.where("component_id is not null").select(F.col("component_id").alias("_parley_id")).distinct()
-    # The join and the removal of repeats share one shuffle by the id.
     named = docs.join(kept, F.col(id_col) == F.col("_parley_id"), "left_semi").dropDuplicates([id_col])
-    alone = classes.where("component_id is null and fp = root").select(F.col("fp").alias("_parley_fp"))
+    alone = classes.where("component_id is null and node = root").select(F.col("fp").alias("_parley_fp"))
     if not alone.limit(1).count():
         return named.select(*docs.columns)
-
-    def prints_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype="object").map(lambda x: x - (x >> 63 << 64)).astype("int64")
-
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("_parley_fp", F.pandas_udf(prints_of, "long")(F.col(text_col)))
-    nameless = nameless.join(alone, "_parley_fp", "left_semi").dropDuplicates(["_parley_fp"])
+    # Rows without an id are told apart by their text.
+    texts = docs.where(F.col(id_col).isNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("_parley_text")).distinct()
+    made = wide_fingerprints(texts.select(F.xxhash64("_parley_text").alias("doc_id"), F.col("_parley_text").alias("text")))
+    chosen = made.join(alone, F.col("fp") == F.col("_parley_fp"), "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_parley_key")).select("_parley_key")
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("_parley_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(chosen, "_parley_key", "left_semi").dropDuplicates(["_parley_key"])
     return named.select(*docs.columns).unionByName(nameless.select(*docs.columns))

@@ -163,3 +163,31 @@ def jaccard(a, b, size=5):
 
     x, y = shingles(a), shingles(b)
     return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def similar_components(rows, least=0.8):
+    """Smallest id of each row's group of texts that are connected by similarities of ``least`` or more."""
+
+    def shingles(text):
+        w = words(lower(text))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    kinds = sorted(set(sets), key=sorted)
+    root = list(range(len(kinds)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(kinds):
+        for j in range(i):
+            if a and kinds[j] and len(a & kinds[j]) >= least * len(a | kinds[j]):
+                root[find(i)] = find(j)
+    at = {k: find(i) for i, k in enumerate(kinds)}
+    ids = {}
+    for (i, _), s in zip(rows, sets, strict=True):
+        if i is not None:
+            ids[at[s]] = min(i, ids.get(at[s], i))
+    return [ids.get(at[s]) for s in sets]

@@ -149,18 +149,86 @@ def test_components_equal_brute_force(docs, empty, rows):
     prints = [brute.simhash(t) for _, t in rows]
     want = Counter((i, f"{p:016x}", c) for (i, _), p, c in zip(rows, prints, brute.components(prints, [i for i, _ in rows]), strict=True))
     assert Counter(tuple(r) for r in simhash.near_duplicates(docs).collect()) == want
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_similar(empty).count() == 0
 
 
-def test_one_row_of_each_component_stays(docs, rows):
-    prints = [brute.simhash(t) for _, t in rows]
-    kept = simhash.keep_one(docs)
+def test_one_row_of_each_group_of_similar_texts_stays(docs, rows):
+    kept = simhash.keep_similar(docs)
     assert kept.columns == docs.columns
-    component = brute.components(prints, [i for i, _ in rows])
+    component = brute.similar_components(rows)
     got = Counter(r["doc_id"] for r in kept.collect())
     assert got == Counter({c: 1 for c in set(component) - {None}}) + Counter({None: 1})
 
 
+def test_similar_texts_are_found(spark):
+    import random
+
+    rnd = random.Random(3)
+    texts, near = [], []
+    for _ in range(150):
+        words = [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 400)}" for _ in range(rnd.randint(80, 400))]
+        first = len(texts)
+        texts.append(" ".join(words))
+        for _ in range(rnd.randint(1, 3)):
+            rate = rnd.choice((0.002, 0.005, 0.01, 0.015, 0.05, 0.1))
+            near.append((first, len(texts)))
+            texts.append(" ".join(f"changed{rnd.random()}" if rnd.random() < rate else w for w in words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = simhash.similar_classes(rows)
+    by_fp = {bytes(r["fp"]): r["component_id"] for r in classes.collect()}
+    group = {r["doc_id"]: by_fp[bytes(r["fp"])] for r in simhash.wide_fingerprints(rows).collect()}
+    alike = {pair: brute.jaccard(texts[pair[0]], texts[pair[1]]) for pair in near}
+    same = lambda least, most: [group[a] == group[b] for (a, b), s in alike.items() if least <= s < most]
+    assert sum(same(0.8, 1.01)) >= 0.9 * len(same(0.8, 1.01)) and len(same(0.8, 1.01)) > 60
+    assert all(same(0.9, 1.01)) and not any(same(0, 0.65)) and len(same(0, 0.65)) > 50
+    # No group has texts of two origins.
+    origin = {i: i for i in range(len(texts))} | {b: a for a, b in near}
+    assert all(origin[c] == origin[i] for i, c in group.items())
+
+
+def test_large_shards_are_dealt_to_several_trees(spark):
+    import random
+
+    rnd = random.Random(9)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(300)]
+    texts = []
+    for _ in range(400):
+        other = list(base)
+        for at in rnd.sample(range(300), 2):
+            other[at] = f"v{rnd.random()}"
+        texts.append(" ".join(other))
+    texts += [" ".join(f"u{rnd.randint(0, 5000)}" for _ in range(200)) for _ in range(100)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for part in (1 << 14, 20):
+        kept = sorted(r["doc_id"] for r in simhash.keep_similar(rows, part_prints=part).select("doc_id").collect())
+        assert kept == [0, *range(400, 500)]
+
+
+def test_connected_searches_lose_no_connection():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 2**64, (300, 2), dtype=np.uint64)
+    for k in range(1, 300):
+        if k % 3:
+            words[k] = words[k - 1]
+            for bit in rng.choice(128, rng.integers(1, 8), replace=False):
+                words[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    groups, ids = np.arange(300) % 2 * 0, np.arange(300)
+    forest = simhash.BKForest(groups, words)
+    whole, few = simhash.Union(ids), simhash.Union(ids)
+    pairs = 0
+    for a, b in forest.search(groups, words, 6):
+        whole.join(a, b)
+        pairs += len(a)
+    few.join(*forest.near_parents(6))
+    less = 0
+    for a, b in forest.search(groups, words, 6, connect=True):
+        few.join(a, b)
+        less += len(a)
+    assert (whole.root == few.root).all() and less < pairs
+
+
 def test_links_of_random_words(spark):
     import numpy as np
 
@@ -317,8 +385,7 @@ def test_pipeline(spark, docs, labels, tmp_path):
         if name == "quality_rules":
             assert not any(brute.statistics(t)[-1] for _, t in after)
         if name == "simhash_near_dedup":
-            prints = {(i, t): brute.simhash(t) for i, t in before}
-            component = brute.components([prints[x] for x in before], [i for i, _ in before])
+            component = brute.similar_components(before)
             assert Counter(i for i, _ in after.elements() if i is not None) == Counter(set(component) - {None})
         if name == "substring_dedup":
             want = brute.removals([t for _, t in before])
