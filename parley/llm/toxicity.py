@@ -6,9 +6,11 @@ probabilities are out of fold: every labelled row gets them from models that wer
 fitted without its fold, so that later models learn from predictions as good as those that they
 will meet. The last category decides.
 
-Terms are chosen by how much more often labelled documents of the category have them than
-others (log odds with a prior, over its standard error), counted over all words of whole
-texts. Fitting uses at most about ``rows`` labelled documents, chosen by a hash of their id.
+Terms are the words of a text and, of longer words, their first ``STEM`` letters. They are chosen by how much
+more often labelled documents of the category have them than others (log odds with a prior, over
+its standard error), counted over all words of whole texts; all that are clear enough count. What
+a fold is predicted with is chosen without that fold. Fitting uses at most about ``rows``
+labelled documents, chosen by a hash of their id.
 
 Cases: a null text has no terms; rows without a label or with a null id take no part in fitting;
 rows are judged one by one, so repeated rows get equal results; an empty table gives an empty
@@ -30,42 +32,48 @@ from parley.llm.store import cut
 
 #: At most about this many labelled documents are used.
 LABELLED_ROWS = 20_000
-TERMS = 256
 LEAST_DOCUMENTS = 4
-CLEAR = 2.0
+#: Standard errors from which on a term counts.
+CLEAR = 3.0
+STEM = 4
 FOLDS = 3
 RIDGE = 0.2
-THRESHOLD = 0.5
-#: Categories in chain order, as conditions on a labelled row (columns ``toxic``, ``quality``, ``hits``:
-#: how many of the terms that speak for it). The last is the verdict.
-CATEGORIES = (("crude", "toxic = 1 and quality = 0"), ("severe", "toxic = 1 and hits >= 3"), ("toxic", "toxic = 1"))
+THRESHOLD = 0.4
+#: Categories in chain order, as conditions on a labelled row (columns ``toxic`` and ``quality``). The last is the verdict.
+CATEGORIES = (("poor", "quality = 0"), ("crude", "toxic = 1 and quality = 0"), ("toxic", "toxic = 1"))
 _NOT_WORD = r"[^\p{L}\p{N}']+"
+#: Rows of the matrix that are taken at once while fitting.
+_ROWS = 4096
 
 
-def terms_of(text: Column) -> Column:
-    """Distinct lower-case terms of a text."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _NOT_WORD), ""))
+def terms_of(text: Column, stem: int = STEM) -> Column:
+    """Distinct lower-case words of a text, and the beginnings of the longer ones, marked by a star."""
+    words = F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _NOT_WORD), ""))
+    stems = F.transform(F.filter(words, lambda w: F.length(w) > stem), lambda w: F.concat(F.substring(w, 1, stem), F.lit("*")))
+    return F.array_union(words, stems)
 
 
-def choose_terms(labelled: DataFrame, label: str = "toxic", terms: int = TERMS, least: int = LEAST_DOCUMENTS, clear: float = CLEAR) -> tuple[list[str], int]:
-    """The terms that speak most clearly for or against ``label``, those for it first, and how many these are.
+def choose_terms(labelled: DataFrame, label: str = "toxic", folds: int = FOLDS, least: int = LEAST_DOCUMENTS, clear: float = CLEAR) -> tuple[list[str], np.ndarray]:
+    """The terms that speak clearly for or against ``label``, and which are chosen: by all rows, then without each fold.
 
-    At most ``terms`` reach the driver; a term counts from ``clear`` standard errors on.
+    A term is in at least ``least`` of the rows and ``clear`` standard errors off. The driver gets
+    the chosen ones only, fewer than the words of the ``rows`` that a chain is fitted on.
     """
-    sizes = labelled.groupBy(label).count().collect()
-    n = {r[label]: r["count"] for r in sizes}
-    yes, no = n.get(1, 0), n.get(0, 0)
-    if not yes or not no:
-        return [], 0
-    counted = labelled.select(label, F.explode("terms").alias("term")).groupBy("term").agg(F.sum(label).alias("a"), F.count("*").alias("all"))
-    counted = counted.where(F.col("all") >= least).withColumn("b", F.col("all") - F.col("a"))
+    parts = {(r["fold"], r[label]): r["count"] for r in labelled.groupBy("fold", label).count().collect()}
+    counted = labelled.select("fold", label, F.explode("terms").alias("term")).groupBy("term")
+    counted = counted.agg(*(x for f in range(folds) for x in (F.count_if(F.col("fold") == f).alias(f"n{f}"), F.sum(F.when(F.col("fold") == f, F.col(label)).otherwise(0)).alias(f"a{f}"))))
     # Log odds of the term in either kind, with half a document added to each cell.
     odds = lambda x, of: F.log((x + 0.5) / (F.lit(of) - x + 0.5))
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    z = (odds(F.col("a"), yes) - odds(F.col("b"), no)) / error
-    found = counted.withColumn("z", z).where(F.abs("z") >= clear).orderBy(F.desc(F.abs("z")), "term").limit(terms).select("term", "z").collect()
-    speaks = [r["term"] for r in found if r["z"] > 0]
-    return speaks + [r["term"] for r in found if r["z"] <= 0], len(speaks)
+    sides = []
+    for out in (None, *range(folds)):
+        used = [f for f in range(folds) if f != out]
+        yes, no = (sum(parts.get((f, y), 0) for f in used) for y in (1, 0))
+        a, n = (sum((F.col(f"{c}{f}") for f in used), F.lit(0)) for c in ("a", "n"))
+        error = F.sqrt(1 / (a + 0.5) + 1 / (n - a + 0.5))
+        z = (odds(a, yes) - odds(n - a, no)) / error
+        sides.append((n >= least) & (F.abs(z) >= clear) if yes and no else F.lit(False))
+    found = counted.select("term", *(side.alias(f"s{k}") for k, side in enumerate(sides))).where(" or ".join(f"s{k}" for k in range(len(sides)))).orderBy("term").collect()
+    return [r["term"] for r in found], np.array([[r[f"s{k}"] for r in found] for k in range(len(sides))], dtype=bool).reshape(len(sides), len(found))
 
 
 @dataclass
@@ -80,25 +88,29 @@ class Linear:
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> Linear:
-    """Ridge logistic regression by Newton's method."""
+    """Ridge logistic regression by Newton's method; ``x`` is taken a block of rows at a time."""
     share = (y.sum() + 0.0) / max(len(y), 1)
     if not len(y) or share in (0.0, 1.0):
         return Linear(np.zeros(x.shape[1]), -30.0 if share == 0 else 30.0)
-    x1 = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     w[-1] = np.log(share / (1 - share))
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
+    blocks = [slice(at, at + _ROWS) for at in range(0, len(x), _ROWS)]
+    whole = lambda block: np.c_[x[block].astype(np.float64), np.ones(len(x[block]))]
 
     def loss(w: np.ndarray) -> float:
-        z = x1 @ w
+        z = np.concatenate([whole(b) @ w for b in blocks])
         return float(np.sum(np.logaddexp(0, z) - y * z) + penalty @ (w * w) / 2)
 
     now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        gradient = x1.T @ (p - y) + penalty * w
-        hessian = (x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(penalty)
+        gradient, hessian = penalty * w, np.diag(penalty)
+        for b in blocks:
+            part = whole(b)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            gradient = gradient + part.T @ (p - y[b])
+            hessian = hessian + (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
         step = np.linalg.solve(hessian, gradient)
         # Whole steps may overshoot where classes are nearly separable: halve them until the loss falls.
         while (then := loss(w - step)) > now and np.abs(step).max() > 1e-6:
@@ -122,17 +134,20 @@ class Chain:
         return x[:, x.shape[1] - len(self.models) :]
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, terms: list[str], names: list[str]) -> Chain:
-    """``labels``: rows x categories; ``folds``: the fold of each row."""
-    models, seen = [], x
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, terms: list[str], names: list[str], chosen: np.ndarray | None = None) -> Chain:
+    """``labels``: rows x categories; ``folds``: the fold of each row; ``chosen``: terms used by the chain, then by what predicts each fold."""
+    chosen = np.ones((1 + int(folds.max(initial=0) + 1), x.shape[1]), bool) if chosen is None else chosen
+    models, earlier = [], np.zeros((len(x), 0))
     for k in range(len(names)):
         y = labels[:, k].astype(float)
-        models.append(fit_linear(seen, y))
+        seen = lambda rows, which, earlier=earlier: np.c_[x[rows][:, chosen[which]], earlier[rows]]
+        models.append(fit_linear(seen(slice(None), 0), y))
         out_of_fold = np.zeros(len(x))
         for fold in np.unique(folds):
-            out_of_fold[folds == fold] = fit_linear(seen[folds != fold], y[folds != fold]).predict(seen[folds == fold])
-        seen = np.c_[seen, out_of_fold]
-    return Chain(terms, names, models)
+            model = fit_linear(seen(folds != fold, 1 + fold), y[folds != fold])
+            out_of_fold[folds == fold] = model.predict(seen(folds == fold, 1 + fold))
+        earlier = np.c_[earlier, out_of_fold]
+    return Chain([t for t, use in zip(terms, chosen[0], strict=True) if use], names, models)
 
 
 def indexes(terms: list[str], found: Column) -> Column:
@@ -142,7 +157,7 @@ def indexes(terms: list[str], found: Column) -> Column:
 
 
 def _matrix(rows: list, width: int) -> np.ndarray:
-    x = np.zeros((len(rows), width))
+    x = np.zeros((len(rows), width), np.float32)
     for i, found in enumerate(rows):
         x[i, found] = 1
     return x
@@ -157,14 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = L
     share = min(1.0, rows / max(1, labels.count()))
     h = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1_000_000))
     chosen = F.broadcast(labels.where(h < int(share * 1_000_000)))  # bounded by ``rows``
-    labelled = cut(docs.select(F.col("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "toxic", "quality", terms_of(F.col("text")).alias("terms")))
-    terms, speaking = choose_terms(labelled)
-    got = labelled.select("doc_id", "toxic", "quality", indexes(terms, F.col("terms")).alias("found"))
-    got = got.withColumn("hits", F.size(F.filter("found", lambda i: i < speaking))).select("found", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(FOLDS)).alias("fold"), *(F.expr(f"cast({where} as int)").alias(f"y{i}") for i, (_, where) in enumerate(categories)))
-    frame = got.toPandas()
+    fold = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(FOLDS)).cast("int")
+    labelled = cut(docs.select(F.col("doc_id"), "text").join(chosen, "doc_id").select(fold.alias("fold"), "toxic", "quality", terms_of(F.col("text")).alias("terms")))
+    terms, used = choose_terms(labelled)
+    frame = labelled.select(indexes(terms, F.col("terms")).alias("found"), "fold", *(F.expr(f"cast({where} as int)").alias(f"y{i}") for i, (_, where) in enumerate(categories))).toPandas()
     names = [name for name, _ in categories]
     y = np.stack([frame[f"y{i}"].to_numpy().astype(float) for i in range(len(names))], axis=1) if len(frame) else np.zeros((0, len(names)))
-    return fit_chain(_matrix(list(frame["found"]), len(terms)), y, frame["fold"].to_numpy(), terms, names)
+    return fit_chain(_matrix(list(frame["found"]), len(terms)), y, frame["fold"].to_numpy(), terms, names, used)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

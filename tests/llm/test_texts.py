@@ -111,7 +111,15 @@ def test_later_models_get_earlier_probabilities(toxic):
     docs, labels, _ = toxic
     chain = toxicity.fit(docs, labels)
     width = len(chain.terms)
-    assert [len(m.weights) for m in chain.models] == [width, width + 1, width + 2] and width <= toxicity.TERMS
+    assert [len(m.weights) for m in chain.models] == [width, width + 1, width + 2]
+    assert {"vile", "nasty", "rotten", "filthy", "nast*"} <= set(chain.terms)
+
+
+def test_terms_of_a_fold_are_chosen_without_it(spark):
+    rows = [(f, int(k < 6), ["both", "only" if f == 1 and k < 6 else "x"] if k < 6 else ["x"]) for f in range(3) for k in range(40)]
+    terms, used = toxicity.choose_terms(spark.createDataFrame(rows, "fold int, toxic int, terms array<string>"), clear=2.0)
+    chosen = {t: used[:, i].tolist() for i, t in enumerate(terms)}
+    assert chosen["both"] == [True] * 4 and chosen["only"] == [True, True, False, True]
 
 
 def test_out_of_fold_probabilities_never_see_their_row():
