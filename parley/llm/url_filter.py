@@ -2,7 +2,8 @@
 
 Rules decide what they cover; the longest one that fits wins. The URLs they cover are also
 the labelled examples from which boosted trees learn lexical features of the rest: lengths,
-depth, digit ratio, entropy, parameter counts and statistics of host suffixes. All features
+depth, digit ratio, entropy, parameter counts and statistics of host suffixes and of the path's first
+segment. All features
 are Spark expressions, suffix statistics come from grouped counts, and the trees are Spark
 ML's, trained on at most about ``rows`` labelled URLs. The statistics count all labelled URLs.
 
@@ -29,7 +30,8 @@ from parley.llm.store import table
 LABELLED_ROWS = 20_000
 #: Suffix statistics are kept for suffixes with at least this many labelled URLs.
 LEAST_SUFFIX = 5
-SEED = 17
+SEED, FOLD_SEED = 17, 19
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -116,27 +118,49 @@ def suffixes(host: Column) -> Column:
     return F.array(*(F.substring_index(host, ".", -n) for n in (1, 2, 3)))
 
 
+def segment(path: Column) -> Column:
+    """The first segment of a path, with its slash: statistics keep it apart from hosts by that."""
+    return F.concat(F.lit("/"), F.regexp_extract(path, r"^/([^/]*)", 1))
+
+
+def fold_of(host: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(FOLD_SEED), host), F.lit(FOLDS)).cast("int")
+
+
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """suffix, and its smoothed share of blocked URLs, of all suffixes in at least ``LEAST_SUFFIX`` labelled rows."""
-    each = labelled.select("label", F.explode(F.array_distinct(suffixes(F.col("host")))).alias("suffix"))
-    counted = each.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).where(F.col("n") >= LEAST_SUFFIX)
-    return counted.select("suffix", ((F.col("blocked") + 1) / (F.col("n") + 2)).alias("share"))
+    """suffix (or first segment of the path), and for all hosts and without each fold of hosts the smoothed share of blocked URLs, 0.5 if fewer than ``LEAST_SUFFIX`` are left."""
+    each = labelled.select("label", fold_of(F.col("host")).alias("fold"), F.explode(F.array_distinct(F.concat(suffixes(F.col("host")), F.array(segment(F.col("path")))))).alias("suffix"))
+    counted = each.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("b"), *(x for f in range(FOLDS) for x in (F.count_if(F.col("fold") == f).alias(f"n{f}"), F.sum(F.when(F.col("fold") == f, F.col("label")).otherwise(0.0)).alias(f"b{f}"))))
+    share = lambda n, b: F.when(n >= LEAST_SUFFIX, (b + 1) / (n + 2)).otherwise(0.5)
+    without = F.array(*(share(F.col("n") - F.col(f"n{f}"), F.col("b") - F.col(f"b{f}")) for f in range(FOLDS)))
+    return counted.where(F.col("n") >= LEAST_SUFFIX).select("suffix", share(F.col("n"), F.col("b")).alias("share"), without.alias("without"))
 
 
 SUFFIX_NAMES = ["suffix1", "suffix2", "suffix3"]
 
 
 def host_shares(hosts: DataFrame, shares: DataFrame) -> DataFrame:
-    """host and the shares of its suffixes, for each distinct host; 0.5 for suffixes without statistics."""
+    """host and the shares of its suffixes, for each distinct host: of all URLs, and (``known_``) of those outside its own fold.
+
+    The second kind describes labelled URLs to the trees, so that no label is part of its own feature. 0.5 for suffixes without statistics.
+    """
     out = hosts.select("host").distinct()
     for i, name in enumerate(SUFFIX_NAMES):
-        out = out.withColumn("suffix", suffixes(F.col("host"))[i]).join(shares.withColumnRenamed("share", name), "suffix", "left").drop("suffix")
-    return out.select("host", *(F.coalesce(name, F.lit(0.5)).alias(name) for name in SUFFIX_NAMES))
+        named = shares.select("suffix", F.col("share").alias(name), F.col("without").alias(f"known_{name}"))
+        out = out.withColumn("suffix", suffixes(F.col("host"))[i]).join(named, "suffix", "left").drop("suffix")
+    half = F.lit(0.5)
+    return out.select("host", *(F.coalesce(name, half).alias(name) for name in SUFFIX_NAMES), *(F.coalesce(F.col(f"known_{name}")[fold_of(F.col("host"))], half).alias(f"known_{name}") for name in SUFFIX_NAMES))
+
 
+def with_shares(urls: DataFrame, by_host: DataFrame, shares: DataFrame, known: bool = False) -> tuple[DataFrame, list[str]]:
+    """Adds the shares of the host's suffixes and of the path's first segment, ``known`` those without the host's own fold.
 
-def with_suffixes(urls: DataFrame, by_host: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Adds the suffix shares: few hosts are broadcast, else the adaptive skew join splits a host of many URLs."""
-    return urls.join(by_host, "host", "left"), SUFFIX_NAMES
+    Few hosts or segments are broadcast, else the adaptive skew join splits those of many URLs.
+    """
+    out = urls.join(by_host.select("host", *(F.col(f"known_{x}" if known else x).alias(x) for x in SUFFIX_NAMES)), "host", "left")
+    share = F.col("_without")[fold_of(F.col("host"))] if known else F.col("_share")
+    out = out.withColumn("_segment", segment(F.col("path"))).join(shares.select(F.col("suffix").alias("_segment"), F.col("share").alias("_share"), F.col("without").alias("_without")), "_segment", "left")
+    return out.withColumn("segment_share", F.coalesce(share, F.lit(0.5))).drop("_segment", "_share", "_without"), [*SUFFIX_NAMES, "segment_share"]
 
 
 def fit(labelled: DataFrame, inputs: list[str], trees: int = 20, depth: int = 4) -> GBTClassificationModel:
@@ -162,10 +186,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = LABELLE
     shares = table(suffix_statistics(ruled_urls), "suffix-shares")
     by_host = table(host_shares(urls, shares), "host-shares")
     known, inputs = lexical(labelled)
-    known, more = with_suffixes(known, by_host)
+    known, more = with_shares(known, by_host, shares, known=True)
     model = fit(known, inputs + more)
     asked, _ = lexical(urls)
-    asked, _ = with_suffixes(asked, by_host)
+    asked, _ = with_shares(asked, by_host, shares)
     judged = model.transform(VectorAssembler(inputCols=inputs + more, outputCol="features").transform(asked))
     probability = vector_to_array("probability")[1]
     return judged.select(
