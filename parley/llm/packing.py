@@ -151,8 +151,7 @@ def pack(found: DataFrame, capacity: int = 2048, slack: int = 2, fan_in: int = 8
 
     ``slack``: a bin with at most so many free places is final. ``fan_in``: how many
     partitions' leftovers meet in one of the next round. ``group_items`` bounds a merge
-    task; leftovers beyond it are spread over more tasks, and the rounds end when one
-    brings no bin fewer. Each round writes its placements, so a lost executor costs one round.
+    task; leftovers beyond it are spread over more tasks. Each round writes its placements, so a lost executor costs one round.
     """
     # Whole pieces are bins already; the rest are dealt to tasks of a bounded size.
     whole = found.where(F.col("length") >= capacity).select(*found.columns, F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -161,8 +160,10 @@ def pack(found: DataFrame, capacity: int = 2048, slack: int = 2, fan_in: int = 8
     left = items.count()
     groups = max(1, -(-left // (group_items // 8)))
     placements: DataFrame | None = None
+    taken = 0
     while left:
-        items = items.repartition(groups, F.xxhash64("item")) if groups > 1 else items.coalesce(1)
+        taken += 1
+        items = items.repartition(groups, F.xxhash64("item", F.lit(taken))) if groups > 1 else items.coalesce(1)
         placed = cut(_pack_round(items, capacity, slack))
         if placements is None:
             placements = placed.select("item", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
@@ -173,8 +174,13 @@ def pack(found: DataFrame, capacity: int = 2048, slack: int = 2, fan_in: int = 8
             )
         rest = placed.where(~F.col("full")).select(F.col("bin").alias("item"), "size").distinct()
         before, left = left, rest.count()
-        if groups == 1 or left == 0 or left > 0.98 * before:
+        if groups == 1:
             break
+        if left > 0.98 * before:
+            rest = rest.where(F.col("size") * 2 <= capacity)
+            left = rest.count()
+            if left < 2:
+                break
         items = rest
         groups = max(-(-groups // fan_in), -(-left // group_items))
     if placements is None:

@@ -105,7 +105,6 @@ def test_hot_fingerprints_are_counted_apart(spark, docs, rows, monkeypatch):
 
 def check_packing(found, rows, capacity=2048):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     want = Counter((i, k, *p) for i, t in rows for k, p in brute.pieces(t, lambda x: tokenizer.encode(x, add_special_tokens=False).ids, capacity).items())
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
     by_bin = {}
@@ -129,6 +128,22 @@ def test_packing(docs, empty, rows, how):
     assert packing.pack_documents(empty, JSON, public_tokenizers.PATTERN).count() == 0
 
 
+def test_rounds_end_and_leave_one_small_bin(spark):
+    import random
+
+    rnd = random.Random(1)
+    sizes = [rnd.choice((40, 60, 1100, 1400, 1500, 2048)) for _ in range(3000)]
+    found = spark.createDataFrame([(i, 0, 0, n, i, i) for i, n in enumerate(sizes)], packing.PIECES)
+    packed = packing.pack(found, group_items=100, fan_in=2).collect()
+    used = Counter()
+    for r in packed:
+        used[r["sequence_id"]] += r["length"]
+    assert len(packed) == len(sizes) and max(used.values()) <= 2048
+    assert sum(2 * n <= 2048 for n in used.values()) <= 1
+    whole = packing.best_fit(__import__("numpy").array(sizes), 2048).max() + 1
+    assert len(used) <= 1.02 * whole
+
+
 def test_added_tokens_inside_texts(spark):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y <|endoftext", "plain"]
     tokenizer = Tokenizer.from_file(JSON)
@@ -275,9 +290,13 @@ def test_trees_learn_from_ruled_urls(spark):
 
 def test_shares_of_all_suffixes(spark):
     hosts = [f"a.s{i}.com" for i in range(600)]
-    labelled = spark.createDataFrame([(h, float(i % 3 == 0)) for i, h in enumerate(hosts) for _ in range(5)], "host string, label double")
-    shares = {r["suffix"]: r["share"] for r in url_filter.suffix_statistics(labelled).collect()}
-    assert shares == {"com": 1001 / 3002} | {s: 6 / 7 if i % 3 == 0 else 1 / 7 for i, h in enumerate(hosts) for s in (h, h[2:])}
+    labelled = spark.createDataFrame([(h, f"/p{i % 3}/x", float(i % 3 == 0)) for i, h in enumerate(hosts) for _ in range(5)], "host string, path string, label double")
+    found = url_filter.suffix_statistics(labelled).collect()
+    shares = {r["suffix"]: r["share"] for r in found}
+    # Without its own fold a host's own suffix has no statistics, and no label is part of its own feature.
+    folds = {r["host"]: r["f"] for r in labelled.select("host", url_filter.fold_of(F.col("host")).alias("f")).distinct().collect()}
+    assert all(r["without"][folds[r["suffix"]]] == 0.5 for r in found if r["suffix"] in folds)
+    assert shares == {"com": 1001 / 3002, "/p0": 1001 / 1002, "/p1": 1 / 1002, "/p2": 1 / 1002} | {s: 6 / 7 if i % 3 == 0 else 1 / 7 for i, h in enumerate(hosts) for s in (h, h[2:])}
 
 
 def test_entropy(spark):
