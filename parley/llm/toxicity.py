@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from parley.llm.store import cut
 
 #: At most about this many labelled documents are used.
-LABELLED_ROWS = 20_000
+LABELLED_ROWS = 10_000
 LEAST_DOCUMENTS = 4
 #: Standard errors from which on a term counts.
 CLEAR = 3.0
@@ -42,8 +42,6 @@ THRESHOLD = 0.4
 #: Categories in chain order, as conditions on a labelled row (columns ``toxic`` and ``quality``). The last is the verdict.
 CATEGORIES = (("poor", "quality = 0"), ("crude", "toxic = 1 and quality = 0"), ("toxic", "toxic = 1"))
 _NOT_WORD = r"[^\p{L}\p{N}']+"
-#: Rows of the matrix that are taken at once while fitting.
-_ROWS = 4096
 
 
 def terms_of(text: Column, stem: int = STEM) -> Column:
@@ -76,49 +74,103 @@ def choose_terms(labelled: DataFrame, label: str = "toxic", folds: int = FOLDS,
     return [r["term"] for r in found], np.array([[r[f"s{k}"] for r in found] for k in range(len(sides))], dtype=bool).reshape(len(sides), len(found))
 
 
+@dataclass
+class Matrix:
+    """0/1 columns by the positions of their ones, row after row, then dense columns."""
+
+    bounds: np.ndarray  # where each row's positions begin, and the end
+    ones: np.ndarray
+    width: int
+    dense: np.ndarray
+
+    @classmethod
+    def of(cls, lists: pa.Array, width: int) -> Matrix:
+        bounds = np.asarray(lists.offsets)
+        return cls(bounds - bounds[0], np.asarray(lists.flatten()), width, np.zeros((len(lists), 0)))
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def with_column(self, values: np.ndarray) -> Matrix:
+        return Matrix(self.bounds, self.ones, self.width, np.c_[self.dense, values])
+
+    def rows(self, where: np.ndarray) -> Matrix:
+        n = np.diff(self.bounds)
+        return Matrix(np.r_[0, np.cumsum(n[where])], self.ones[np.repeat(where, n)], self.width, self.dense[where])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """Of each row, the sum of ``w`` over its columns; the last weight is the bias."""
+        summed = np.r_[0.0, np.cumsum(w[self.ones])]
+        return summed[self.bounds[1:]] - summed[self.bounds[:-1]] + self.dense @ w[self.width : -1] + w[-1]
+
+    def back(self, r: np.ndarray, squared: bool = False) -> np.ndarray:
+        """Of each column, the sum of ``r`` over its rows."""
+        dense = self.dense**2 if squared else self.dense
+        return np.r_[np.bincount(self.ones, np.repeat(r, np.diff(self.bounds)), self.width), dense.T @ r, r.sum()]
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 @dataclass
 class Linear:
-    """P = sigmoid(x . weights + bias)."""
+    """P = sigmoid(x . weights + bias); ``weights`` ends with the bias."""
 
     weights: np.ndarray
-    bias: float
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
+    def predict(self, x: Matrix) -> np.ndarray:
+        return _sigmoid(x.times(self.weights))
+
 
+def fit_linear(x: Matrix, y: np.ndarray, use: np.ndarray | None = None, start: Linear | None = None, ridge: float = RIDGE, steps: int = 25) -> Linear:
+    """Ridge logistic regression by Newton's method, whose steps are solved by conjugate gradients.
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> Linear:
-    """Ridge logistic regression by Newton's method; ``x`` is taken a block of rows at a time."""
+    ``use``: which of the 0/1 columns may have a weight. Memory grows with the ones, not with rows times columns.
+    """
     share = (y.sum() + 0.0) / max(len(y), 1)
+    w = np.zeros(x.width + x.dense.shape[1] + 1)
     if not len(y) or share in (0.0, 1.0):
-        return Linear(np.zeros(x.shape[1]), -30.0 if share == 0 else 30.0)
-    w = np.zeros(x.shape[1] + 1)
+        w[-1] = -30.0 if share == 0 else 30.0
+        return Linear(w)
+    free = np.ones(len(w), bool)
+    if use is not None:
+        free[: x.width] = use
     w[-1] = np.log(share / (1 - share))
+    if start is not None:
+        w = np.where(free, start.weights, 0.0)
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
-    blocks = [slice(at, at + _ROWS) for at in range(0, len(x), _ROWS)]
-    whole = lambda block: np.c_[x[block].astype(np.float64), np.ones(len(x[block]))]
 
     def loss(w: np.ndarray) -> float:
-        z = np.concatenate([whole(b) @ w for b in blocks])
+        z = x.times(w)
         return float(np.sum(np.logaddexp(0, z) - y * z) + penalty @ (w * w) / 2)
 
     now = loss(w)
     for _ in range(steps):
-        gradient, hessian = penalty * w, np.diag(penalty)
-        for b in blocks:
-            part = whole(b)
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            gradient = gradient + part.T @ (p - y[b])
-            hessian = hessian + (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
-        step = np.linalg.solve(hessian, gradient)
+        p = _sigmoid(x.times(w))
+        curve = p * (1 - p) + 1e-9
+        gradient = np.where(free, x.back(p - y) + penalty * w, 0.0)
+        scale = x.back(curve, squared=True) + penalty
+        step, rest = np.zeros_like(w), gradient
+        along = head = rest / scale
+        size = rest @ head
+        for _ in range(60):
+            if size <= 1e-3 * (gradient @ (gradient / scale)) or size == 0:
+                break
+            bent = np.where(free, x.back(curve * x.times(along)) + penalty * along, 0.0)
+            far = size / (along @ bent)
+            step, rest = step + far * along, rest - far * bent
+            head = rest / scale
+            along, size = head + (rest @ head) / size * along, rest @ head
         # Whole steps may overshoot where classes are nearly separable: halve them until the loss falls.
         while (then := loss(w - step)) > now and np.abs(step).max() > 1e-6:
-            step /= 2
-        w, done, now = w - step, np.abs(step).max() < 1e-6, then
+            step = step / 2
+        done = now - then <= 1e-5 * abs(now)
+        w, now = w - step, then
         if done:
             break
-    return Linear(w[:-1], float(w[-1]))
+    return Linear(w)
 
 
 @dataclass
@@ -127,40 +179,37 @@ class Chain:
     names: list[str]
     models: list[Linear]
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def predict(self, x: Matrix) -> np.ndarray:
         """Probabilities, a column per category, each fed with those before it."""
         for model in self.models:
-            x = np.c_[x, model.predict(x)]
-        return x[:, x.shape[1] - len(self.models) :]
+            x = x.with_column(model.predict(x))
+        return x.dense
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, terms: list[str], names: list[str], chosen: np.ndarray | None = None) -> Chain:
+def fit_chain(x: Matrix, labels: np.ndarray, folds: np.ndarray, terms: list[str], names: list[str], chosen: np.ndarray | None = None) -> Chain:
     """``labels``: rows x categories; ``folds``: the fold of each row; ``chosen``: terms used by the chain, then by what predicts each fold."""
-    chosen = np.ones((1 + int(folds.max(initial=0) + 1), x.shape[1]), bool) if chosen is None else chosen
-    models, earlier = [], np.zeros((len(x), 0))
+    chosen = np.ones((1 + int(folds.max(initial=0) + 1), x.width), bool) if chosen is None else chosen
+    models = []
     for k in range(len(names)):
         y = labels[:, k].astype(float)
-        seen = lambda rows, which, earlier=earlier: np.c_[x[rows][:, chosen[which]], earlier[rows]]
-        models.append(fit_linear(seen(slice(None), 0), y))
+        models.append(fit_linear(x, y, chosen[0]))
         out_of_fold = np.zeros(len(x))
         for fold in np.unique(folds):
-            model = fit_linear(seen(folds != fold, 1 + fold), y[folds != fold])
-            out_of_fold[folds == fold] = model.predict(seen(folds == fold, 1 + fold))
-        earlier = np.c_[earlier, out_of_fold]
-    return Chain([t for t, use in zip(terms, chosen[0], strict=True) if use], names, models)
+            model = fit_linear(x.rows(folds != fold), y[folds != fold], chosen[1 + fold], models[-1])
+            out_of_fold[folds == fold] = model.predict(x.rows(folds == fold))
+        x = x.with_column(out_of_fold)
+    return Chain(terms, names, models)
 
 
-def indexes(terms: list[str], found: Column) -> Column:
-    """Positions in ``terms`` of those that the array ``found`` has."""
-    known = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    return F.transform(F.array_intersect(known, found), lambda t: (F.array_position(known, t) - 1).cast("int"))
+def matched(terms: list[str], found: Column) -> Column:
+    """Those of ``terms`` that the array ``found`` has."""
+    return F.array_intersect(found, F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>"))
 
 
-def _matrix(rows: list, width: int) -> np.ndarray:
-    x = np.zeros((len(rows), width), np.float32)
-    for i, found in enumerate(rows):
-        x[i, found] = 1
-    return x
+def _positions(words: pa.Array, terms: list[str]) -> pa.Array:
+    """Lists of words as lists of their positions in ``terms``; null lists are empty."""
+    at = {t: i for i, t in enumerate(terms)}
+    return pa.array([[at[w] for w in found or ()] for found in words.to_pylist()], pa.list_(pa.int32()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = LABELLED_ROWS) -> Chain:
@@ -175,10 +224,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = L
     fold = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(FOLDS)).cast("int")
     labelled = cut(docs.select(F.col("doc_id"), "text").join(chosen, "doc_id").select(fold.alias("fold"), "toxic", "quality", terms_of(F.col("text")).alias("terms")))
     terms, used = choose_terms(labelled)
-    frame = labelled.select(indexes(terms, F.col("terms")).alias("found"), "fold", *(F.expr(f"cast({where} as int)").alias(f"y{i}") for i, (_, where) in enumerate(categories))).toPandas()
+
+    def place(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_positions(batch.column(0), terms), *batch.columns[1:]], names=["found", *batch.schema.names[1:]])
+
     names = [name for name, _ in categories]
-    y = np.stack([frame[f"y{i}"].to_numpy().astype(float) for i in range(len(names))], axis=1) if len(frame) else np.zeros((0, len(names)))
-    return fit_chain(_matrix(list(frame["found"]), len(terms)), y, frame["fold"].to_numpy(), terms, names, used)
+    got = labelled.select(matched(terms, F.col("terms")).alias("found"), "fold", *(F.expr(f"cast({where} as int)").alias(f"y{i}") for i, (_, where) in enumerate(categories)))
+    got = got.mapInArrow(place, "found array<int>, fold int, " + ", ".join(f"y{i} int" for i in range(len(names)))).toArrow().combine_chunks()
+    y = np.stack([got.column(f"y{i}").to_numpy().astype(float) for i in range(len(names))], axis=1)
+    lists = got.column("found").combine_chunks() if len(got) else pa.array([], pa.list_(pa.int32()))
+    return fit_chain(Matrix.of(lists, len(terms)), y, got.column("fold").to_numpy(), terms, names, used)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,10 +243,10 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for batch in batches:
-            out = chain.predict(_matrix(batch.column(1).to_pylist(), len(chain.terms)))
+            out = chain.predict(Matrix.of(_positions(batch.column(1), chain.terms), len(chain.terms)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k]) for k in range(out.shape[1]))], names=["doc_id", *chain.names])
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), indexes(chain.terms, terms_of(F.col(text_col))).alias("found"))
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), matched(chain.terms, terms_of(F.col(text_col))).alias("found"))
     return found.mapInArrow(run, schema)
 
 
@@ -203,11 +259,11 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents judged toxic; all columns stay as they are."""
     chain = fit(docs, labels)
-    width = len(chain.terms)
 
     def verdict(found):
         import pandas as pd
 
-        return pd.Series(chain.predict(_matrix(list(found), width))[:, -1] < threshold) if len(found) else pd.Series([], dtype=bool)
+        words = pa.array(found, pa.list_(pa.string()))
+        return pd.Series(chain.predict(Matrix.of(_positions(words, chain.terms), len(chain.terms)))[:, -1] < threshold, dtype=bool)
 
-    return docs.where(F.pandas_udf(verdict, "boolean")(indexes(chain.terms, terms_of(F.col("text")))))
+    return docs.where(F.pandas_udf(verdict, "boolean")(matched(chain.terms, terms_of(F.col("text")))))

@@ -111,7 +111,7 @@ def test_later_models_get_earlier_probabilities(toxic):
     docs, labels, _ = toxic
     chain = toxicity.fit(docs, labels)
     width = len(chain.terms)
-    assert [len(m.weights) for m in chain.models] == [width, width + 1, width + 2]
+    assert [len(m.weights) for m in chain.models] == [width + 1, width + 2, width + 3]
     assert {"vile", "nasty", "rotten", "filthy", "nast*"} <= set(chain.terms)
 
 
@@ -124,15 +124,25 @@ def test_terms_of_a_fold_are_chosen_without_it(spark):
 
 def test_out_of_fold_probabilities_never_see_their_row():
     rng = np.random.default_rng(3)
-    x, y = rng.normal(size=(90, 40)), rng.integers(0, 2, 90).astype(float)
-    folds = np.arange(90) % 3
+    y, folds = rng.integers(0, 2, 90).astype(float), np.arange(90) % 3
+    x = toxicity.Matrix(np.arange(0, 901, 10), rng.integers(0, 60, 900), 60, rng.normal(size=(90, 5)))
     seen = toxicity.fit_linear(x, y).predict(x)
     apart = np.zeros(90)
     for f in range(3):
-        apart[folds == f] = toxicity.fit_linear(x[folds != f], y[folds != f]).predict(x[folds == f])
+        apart[folds == f] = toxicity.fit_linear(x.rows(folds != f), y[folds != f]).predict(x.rows(folds == f))
     assert np.mean((seen > 0.5) == y) > 0.8 and np.mean((apart > 0.5) == y) < 0.7
 
 
+def test_fit_is_where_the_gradient_is_zero():
+    rng = np.random.default_rng(5)
+    y, use = rng.integers(0, 2, 200).astype(float), np.arange(30) % 2 == 0
+    x = toxicity.Matrix(np.arange(0, 1001, 5), np.tile(rng.permutation(30)[:5], 200) ^ 1, 32, rng.normal(size=(200, 2)))
+    w = toxicity.fit_linear(x, y, np.r_[use, True, True]).weights
+    gradient = x.back(1 / (1 + np.exp(-x.times(w))) - y) + toxicity.RIDGE * np.r_[w[:-1], 0]
+    free = np.r_[use, [True] * 5]
+    assert np.abs(gradient[free]).max() < 1e-2 and (w[~free] == 0).all()
+
+
 def test_toxicity_without_labels_or_rows(docs, empty, labels):
     assert toxicity.reject(docs, labels.limit(0)).count() == docs.count()
     assert toxicity.judge(empty, labels).count() == 0
