@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import byte_bpe, fingerprints, html_extract, lm_score, packing, quality_rules, simhash, substring_dedup, toxicity, url_filter
+from parley.llm.store import bound_batches
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -130,8 +130,9 @@ class BKForest:
         """
         at = np.searchsorted(self.groups, groups)
         inside = (at < len(self.groups)) & (self.groups[np.minimum(at, len(self.groups) - 1)] == groups) if len(self.groups) else np.zeros(len(groups), bool)
-        for begin in range(0, len(groups), 4_000):
-            query = np.flatnonzero(inside[begin : begin + 4_000]) + begin
+        at_once = 4_000 if words.ndim == 1 else 1_000
+        for begin in range(0, len(groups), at_once):
+            query = np.flatnonzero(inside[begin : begin + at_once]) + begin
             node = self.roots[at[query]]
             while len(query):
                 found = distance(words[query], self.words[node])
@@ -438,7 +439,7 @@ def similar_links(distinct: DataFrame, count: int, bits: int = WIDE_BITS, simila
                 raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, bits // 8)
                 held.append(((batch.column(0).to_numpy() << 16) + batch.column(3).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy() > 1, raw))
                 rows += batch.num_rows
-                if rows > 200_000:
+                if rows > 50_000:
                     yield from grouped(False)
         if rows:
             yield from grouped(True)

@@ -10,8 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
+#: Bytes of a batch that Spark hands to Python. Its own default lets ten thousand long texts meet in one.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most ``BATCH`` bytes, unless they are smaller already."""
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH[0])))
+    if not 0 < now <= BATCH[1]:
+        spark.conf.set(BATCH[0], str(BATCH[1]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, a new local one for a local master, else an error."""
+    bound_batches(spark)
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
