@@ -61,8 +61,9 @@ def canonical_numbers(text: Column) -> Column:
         out = F.regexp_replace(out, rf"(?<![^ ])(?:{'|'.join(sorted(phrases, key=len, reverse=True))})(?![^ ])", value)
     known = F.create_map(*(F.lit(x) for pair in NUMBER_WORDS.items() for x in pair))
     mapped = F.array_join(F.transform(F.split(out, " "), lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
-    out = F.when(text.rlike(r"[\x{0900}-\x{097F}]"), mapped).otherwise(text)
-    return F.regexp_replace(out, r"(?<![^ ])1 100 8(?![^ ])", "108")
+    whole = lambda t: F.regexp_replace(t, r"(?<![^ ])1 100 8(?![^ ])", "108")
+    # Words and phrases are Devanagari; most other texts meet no pattern at all.
+    return F.when(text.rlike(r"[\x{0900}-\x{097F}]"), whole(mapped)).when(text.contains("1 100 8"), whole(text)).otherwise(text)
 
 
 def normalize(text: Column, numbers: bool = True, exact: bool = False) -> Column:

@@ -48,12 +48,24 @@ def split_calls(calls: DataFrame, call: str, seed: int = SEED) -> DataFrame:
     return hashed.select(call, F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test").alias("split"))
 
 
-def manifest(segments: DataFrame, splits: DataFrame, call: str, order: list[str], rate: int = 16_000) -> DataFrame:
-    """split, audio_filepath, text and duration of utterances with text and 0.2 s or more, numbered per split."""
+def manifest(segments: DataFrame, splits: DataFrame, call: str, order: list[str], rate: int = 16_000, seed: int = SEED) -> DataFrame:
+    """split, audio_filepath, text and duration of utterances with text and 0.2 s or more, numbered per split.
+
+    Numbers follow the hash order of the calls, as the split does: utterances are ranked within 4096 hash ranges
+    a split, and a range's offset comes from the counts of those before it.
+    """
     kept = segments.where("trim(coalesce(text, '')) <> '' and end - start >= 0.2").join(splits, call)
-    number = F.row_number().over(Window.partitionBy("split").orderBy(*order)) - 1
+    kept = kept.withColumn("_h", F.xxhash64(F.lit(seed), F.col(call))).withColumn("_b", F.shiftrightunsigned("_h", 52).cast("int"))
+    at, offsets = {}, []
+    for r in sorted(kept.groupBy("split", "_b").count().collect()):  # at most 3 * 4096 rows
+        offsets.append((r["split"], r["_b"], at.get(r["split"], 0)))
+        at[r["split"]] = offsets[-1][2] + r["count"]
+    before = segments.sparkSession.createDataFrame(offsets, "split string, _b int, _before long")
+    # Java's signed order of the hash would not follow the ranges, which are by its unsigned top bits.
+    within = Window.partitionBy("split", "_b").orderBy(F.col("_h").bitwiseAND(F.lit((1 << 52) - 1)), *order)
+    numbered = kept.join(F.broadcast(before), ["split", "_b"]).withColumn("_n", F.col("_before") + F.row_number().over(within) - 1)
     samples = F.rint(F.col("end") * rate) - F.rint(F.col("start") * rate)
-    return kept.select(call, "split", F.format_string("%s_%06d.wav", F.col("split"), number).alias("audio_filepath"), F.trim("text").alias("text"), (samples / rate).alias("duration"))
+    return numbered.select(call, "split", F.format_string("%s_%06d.wav", F.col("split"), F.col("_n")).alias("audio_filepath"), F.trim("text").alias("text"), (samples / rate).alias("duration"))
 
 
 def split_summary(segments: DataFrame, splits: DataFrame, call: str) -> DataFrame:

@@ -219,7 +219,9 @@ def context_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indic_to_devanagari(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every letter of the neighbouring scripts, and the texts of all turns, which stay."""
     letters = spark.range(0x0980, 0x0D80).select(F.col("id").alias("code"), F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("letter"))
-    return letters.select("code", "letter", text.to_devanagari(F.col("letter")).alias("devanagari"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    both = turns.unionByName(letters.select(F.lit(None).cast("long").alias("conv_id"), F.col("code").alias("turn"), F.col("letter").alias("text")))
+    return both.select("conv_id", "turn", "text", text.to_devanagari(F.col("text")).alias("devanagari"))
 
 
 @query()

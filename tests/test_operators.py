@@ -205,3 +205,15 @@ def test_promotion_gates(spark):
     assert tuple(metrics.promotion(reports, both).first()) == ("a", "b", "telephone", True, True)
     slow = reports.withColumn("runtime_40min", F.lit(1000.0))
     assert tuple(metrics.promotion(slow, both).first()) == ("a", None, "telephone", False, False)
+
+
+def test_manifest_numbers_each_split_without_gaps(spark):
+    rows = [(f"c{i}", k, float(k), k + (0.1 if k == 3 else 1.0), "" if k == 2 else f"text {k}") for i in range(30) for k in range(6)]
+    segments = spark.createDataFrame(rows, "call string, seg_no int, start double, end double, text string")
+    splits = training.split_calls(segments, "call")
+    found = training.manifest(segments, splits, "call", ["call", "seg_no"]).collect()
+    assert len(found) == 30 * 4
+    for split in ("train", "val", "test"):
+        numbers = sorted(r["audio_filepath"] for r in found if r["split"] == split)
+        assert numbers == [f"{split}_{n:06d}.wav" for n in range(len(numbers))]
+    assert training.manifest(segments.limit(0), splits, "call", ["call", "seg_no"]).count() == 0
