@@ -12,21 +12,43 @@ from pyspark.sql import functions as F
 from parley.functions.once import let
 from parley.functions.text import normalize, split_tokens
 
-#: Characters from 256 up to the surrogates stand for tokens.
-MOST_TOKENS = 0xD800 - 257
+#: Characters from 256 on, but the surrogates, stand for tokens.
+FIRST, SURROGATES = 256, (0xD800, 0x800)
+MOST_TOKENS = 0x110000 - FIRST - SURROGATES[1]
 
 
-def _as_characters(items: Column, vocabulary: Column) -> Column:
-    code = lambda v, t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v, t) + 256), 4, "0")), "UTF-16BE")
-    return F.array_join(let(vocabulary, lambda v: F.transform(items, lambda t: code(v, t))), "")
+def _coded(a: Column, b: Column) -> Column:
+    """Numbers of the tokens of ``a`` and then ``b``, equal for equal tokens: sorted, numbered by run, and put back in order."""
+    empty = F.array().cast("array<int>")
+    placed = lambda items, side: F.transform(items, lambda t, i: F.struct(t.alias("t"), F.lit(side).alias("side"), i.alias("i")))
+
+    def numbered(v: Column) -> Column:
+        places = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(v) - 1))).otherwise(empty)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(v, i)["t"] != F.get(v, i - 1)["t"]))
+        run = lambda at, i, k: F.slice(v, i + 1, F.coalesce(F.get(at, k + 1), F.size(v)) - i)
+        each = lambda at: F.transform(at, lambda i, k: F.transform(run(at, i, k), lambda x: F.struct(x["side"].alias("side"), x["i"].alias("i"), k.alias("k"))))
+        return let(starts, lambda at: F.array_sort(F.flatten(each(at))))
+
+    return F.transform(let(F.array_sort(F.concat(placed(a, 0), placed(b, 1))), numbered), lambda x: x["k"])
+
+
+def _as_characters(codes: Column) -> Column:
+    point = lambda c: F.when(c >= SURROGATES[0], c + SURROGATES[1]).otherwise(c)
+    whole = F.transform(codes, lambda k: F.lpad(F.hex(point(k + FIRST)), 8, "0"))
+    return F.decode(F.unhex(F.array_join(whole, "")), "UTF-32")
 
 
 def with_distance(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Adds the edit distance of the token arrays ``a`` and ``b``; more than ``MOST_TOKENS`` distinct tokens are an error."""
-    df = df.withColumn("_vocabulary", F.array_distinct(F.concat(a, b)))
-    distance = F.levenshtein(_as_characters(F.col(a), F.col("_vocabulary")), _as_characters(F.col(b), F.col("_vocabulary")))
-    checked = F.when(F.size("_vocabulary") <= MOST_TOKENS, distance).otherwise(F.raise_error(F.lit("too many distinct tokens in a pair of texts")).cast("int"))
-    return df.withColumn(out, checked).drop("_vocabulary")
+    """Adds the edit distance of the token arrays ``a`` and ``b``.
+
+    Every distinct token of a pair is one character, so a pair may have as many as there are (``MOST_TOKENS``, over
+    a million, where the table of distances would have 10^11 cells); more are an error.
+    """
+    df = df.withColumn("_codes", _coded(F.col(a), F.col(b)))
+    n = F.size(a)
+    left, right = F.slice("_codes", F.lit(1), n), F.slice("_codes", n + 1, F.size(b))
+    checked = F.when(F.coalesce(F.array_max("_codes"), F.lit(0)) < MOST_TOKENS, F.levenshtein(_as_characters(left), _as_characters(right)))
+    return df.withColumn(out, checked.otherwise(F.raise_error(F.lit("too many distinct tokens in a pair of texts")).cast("int"))).drop("_codes")
 
 
 def char_distance(a: Column, b: Column) -> Column:

@@ -106,23 +106,39 @@ def prompt_copied(heard: Column, supplied: Column, run: int = 4) -> Column:
 
 def context_copied(candidate: Column, context: Column, primary: Column) -> Column:
     """Whether over a quarter, and four or more, of the candidate's tokens are the context's and not the primary's."""
-    copied = F.size(let(context, lambda x: let(primary, lambda p: F.filter(candidate, lambda t: F.array_contains(x, t) & ~F.array_contains(p, t)))))
+    foreign = F.transform(F.array_except(context, primary), lambda t: F.struct(t.alias("item"), F.lit(2**31 - 1).alias("n")))
+    copied = common(counts(candidate), foreign)
     return (copied >= 4) & (copied / F.greatest(F.lit(1), F.size(candidate)) > 0.25)
 
 
 def counts(items: Column) -> Column:
-    """Distinct items with how often each is there: array<struct<item, n>>."""
-    return let(items, lambda v: F.transform(F.array_distinct(v), lambda t: F.struct(t.alias("item"), F.size(F.filter(v, lambda x: x == t)).alias("n"))))
+    """Distinct items, in order, with how often each is there: array<struct<item, n>>. Nulls don't count.
 
+    Items are sorted and the runs measured, so a text's work grows like that of a sort.
+    """
+    empty = F.array().cast("array<int>")
+
+    def runs(v: Column) -> Column:
+        places = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(v) - 1))).otherwise(empty)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+        length = lambda at, i, k: F.coalesce(F.get(at, k + 1), F.size(v)) - i
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(v, i).alias("item"), length(at, i, k).alias("n"))))
 
-def count_of(counted: Column, item: Column) -> Column:
-    """How often ``item`` is in what ``counts`` returned."""
-    return F.coalesce(F.get(F.filter(counted, lambda x: x["item"] == item), F.lit(0))["n"], F.lit(0))
+    return let(F.array_sort(F.array_compact(items)), runs)
 
 
 def common(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two results of ``counts``."""
-    return let(b, lambda v: F.aggregate(a, F.lit(0), lambda s, x: s + F.least(x["n"], count_of(v, x["item"]))))
+    """Size of the multiset intersection of two arrays of distinct items as ``counts`` returns them.
+
+    Both are sorted together, where an item of both has itself for its neighbour.
+    """
+    keyed = lambda c: F.transform(c, lambda x: F.struct(x["item"].alias("item"), x["n"].alias("n")))
+
+    def shared(v: Column) -> Column:
+        both = F.transform(v, lambda x, i: F.when(F.get(v, i + 1)["item"] == x["item"], F.least(x["n"], F.get(v, i + 1)["n"])).otherwise(0))
+        return F.aggregate(both, F.lit(0), lambda s, n: s + n)
+
+    return let(F.array_sort(F.concat(keyed(a), keyed(b))), shared)
 
 
 def recall(expected: Column, actual: Column) -> Column:

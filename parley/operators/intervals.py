@@ -126,15 +126,35 @@ def friendly_labels(turns: DataFrame, call: str, turn_no: str, names: tuple[str,
 def span_context(spans: DataFrame, segments: DataFrame, call: str, span_no: str, seg_no: str, limit: int = 600) -> DataFrame:
     """call, span_no and ``context``: the two segments before and the two after a span, the last ``limit`` characters.
 
-    Segments are those of a call, in order; the two before end at or before the span's start.
+    Before are the last two by ``seg_no`` of those that end at or before the span's start, after the first two of those that
+    start at or after its end. Both are found by one pass over spans and segments in order of time: running
+    frames keep the two greatest (or least) so far, so a span meets no segment but its own four.
     """
-    pairs = spans.select(call, span_no, F.col("start").alias("_s"), F.col("end").alias("_e")).join(segments.select(call, seg_no, "start", "end", "text"), call)
-    side = F.when(F.col("end") <= F.col("_s"), -1).when(F.col("start") >= F.col("_e"), 1)
-    met = pairs.withColumn("_side", side).where("_side is not null")
-    rank = F.row_number().over(Window.partitionBy(call, span_no, "_side").orderBy(F.col(seg_no) * F.col("_side")))
-    near = met.withColumn("_r", rank).where("_r <= 2")
-    texts = lambda k: F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == k, F.struct(seg_no, "text")))), lambda x: x["text"]), " "), F.lit(""))
-    joined = near.groupBy(call, span_no).agg(texts(-1).alias("_before"), texts(1).alias("_after"))
-    out = spans.select(call, span_no).join(joined, [call, span_no], "left")
-    whole = F.concat(F.lit("Previous: "), F.coalesce("_before", F.lit("")), F.lit("\nFollowing: "), F.coalesce("_after", F.lit("")))
-    return out.select(call, span_no, F.right(whole, F.lit(limit)).alias("context"))
+    entry = F.struct(F.col(seg_no).alias("no"), F.col("text").alias("text"))
+    kind = f"array<{segments.select(entry.alias('e')).schema['e'].dataType.simpleString()}>"
+    at = segments.where("start is not null and end is not null").select(call, "start", "end", entry.alias("_e"))
+    asked = spans.select(call, span_no, F.col("start").alias("_s"), F.col("end").alias("_t"))
+    none = F.lit(None).cast(at.schema["_e"].dataType)
+    key = F.lit(None).cast(spans.schema[span_no].dataType)
+
+    def two(edge: str, bound: str, last: bool) -> DataFrame:
+        rows = at.select(call, F.col(edge).alias("_m"), F.lit(0).alias("_side"), "_e", key.alias(span_no))
+        rows = rows.unionByName(asked.select(call, F.col(bound).alias("_m"), F.lit(1).alias("_side"), none.alias("_e"), span_no))
+        # A segment counts at the very edge of a span too, so it comes first among equal times.
+        order = ["_m", "_side", "_e"] if last else [F.desc("_m"), "_side", "_e"]
+        so_far = Window.partitionBy(call).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        best = F.max("_e") if last else F.min("_e")
+        marked = rows.withColumn("_one", best.over(so_far))
+        # The second is the best of those that were beaten: by a later row, or when they came.
+        prior = F.lag("_one").over(Window.partitionBy(call).orderBy(*order))
+        beats = (F.col("_e") > F.col("_prior")) if last else (F.col("_e") < F.col("_prior"))
+        beaten = F.when(F.col("_e").isNull() | F.col("_prior").isNull(), none).when(beats, F.col("_prior")).otherwise(F.col("_e"))
+        marked = marked.withColumn("_prior", prior).withColumn("_beaten", beaten)
+        second = (F.max("_beaten") if last else F.min("_beaten")).over(so_far)
+        found = marked.withColumn("_two", second).where("_side = 1")
+        return found.select(call, span_no, F.array_sort(F.array_compact(F.array("_one", "_two")).cast(kind)).alias("_before" if last else "_after"))
+
+    texts = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["text"]), " "), F.lit(""))
+    met = spans.select(call, span_no).join(two("end", "_s", True).join(two("start", "_t", False), [call, span_no]), [call, span_no], "left")
+    whole = F.concat(F.lit("Previous: "), texts("_before"), F.lit("\nFollowing: "), texts("_after"))
+    return met.select(call, span_no, F.right(whole, F.lit(limit)).alias("context"))
