@@ -233,6 +233,17 @@ def split_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def alignment_form(romanized: Column) -> Column:
+    """A romanised word in the letters of an aligner: a-z and the apostrophe, without spaces; a star if nothing is left."""
+    kept = F.regexp_replace(F.replace(F.lower(romanized), F.lit("’"), F.lit("'")), "[^a-z']+", "")
+    return F.when(kept == "", F.lit("*")).otherwise(kept)
+
+
+def merge_maps(a: Column, b: Column) -> Column:
+    """Both maps' entries; of equal keys those of ``b``, whatever the session's policy for duplicates."""
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b)
+
+
 def _devanagari() -> dict[int, str]:
     """Characters of neighbouring Indic scripts by the name that they share with a Devanagari one."""
     scripts = ("BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM")

@@ -100,3 +100,49 @@ def piece_words(rows: DataFrame, key: str) -> DataFrame:
     words = found.withColumn("_good", good).where("_good").select(key, "word_no", "word", "word_start", "word_end", "confidence", F.lit(False).alias("fallback"))
     rest = rows.join(words.select(key).distinct(), key, "left_anti")
     return words.unionByName(rest.select(key, F.lit(True).alias("fallback")), allowMissingColumns=True)
+
+
+def clamp_rows(rows: DataFrame, duration: str = "duration") -> DataFrame:
+    """A recogniser's segments and their nested ``words`` cut to the recording; what is then blank or empty goes.
+
+    ``rows``: start, end, text, confidence, words (array<struct<start, end, text, confidence>>) and the recording's length (0
+    or null: unknown). A null confidence is 0; a word's missing time is its segment's.
+    """
+    known = F.coalesce(duration, F.lit(0.0)) != 0
+    cut = rows.where(~known | (F.col("start") < F.col(duration)))
+    cut = cut.withColumns({"start": F.greatest(F.lit(0.0), "start"), "end": F.when(known, F.least("end", duration)).otherwise(F.col("end")), "text": F.trim("text"), "confidence": F.coalesce("confidence", F.lit(0.0))})
+    clipped = F.transform(
+        F.coalesce("words", F.array().cast(rows.schema["words"].dataType)),
+        lambda w: F.struct(
+            F.greatest(F.col("start"), F.coalesce(w["start"], F.col("start"))).alias("start"),
+            F.least(F.col("end"), F.coalesce(w["end"], F.col("end"))).alias("end"),
+            F.trim(F.coalesce(w["text"], F.lit(""))).alias("text"),
+            F.coalesce(w["confidence"], F.lit(0.0)).alias("confidence"),
+        ),
+    )
+    kept = cut.where("text <> '' and end > start")
+    return kept.withColumn("words", F.filter(clipped, lambda w: (w["text"] != "") & (w["end"] > w["start"])))
+
+
+def native_words(words: DataFrame, calls: DataFrame, call: str) -> DataFrame:
+    """call, ``word_no``, start, end and text: a recogniser's own word times, or shared ones for calls that have none.
+
+    Words with a missing or no positive length go. A call left without words has one segment as long as the recording (``calls``: call,
+    duration, text), whose words share its time; without text it has none.
+    """
+    good = words.where("start is not null and end is not null and end > start").select(call, "word_no", "start", "end", F.trim("text").alias("text"))
+    rest = calls.join(good.select(call).distinct(), call, "left_anti").select(call, F.lit(0.0).alias("start"), F.col("duration").alias("end"), F.trim("text").alias("text"))
+    shared = proportional_words(rest, [call]).select(call, "word_no", F.col("word_start").alias("start"), F.col("word_end").alias("end"), F.col("word").alias("text"))
+    return good.unionByName(shared)
+
+
+def span_score(spans: Column) -> Column:
+    """Mean score of aligned spans (array<struct<score, length>>) weighted by length; null of none."""
+    total = lambda f: F.aggregate(spans, F.lit(0.0), lambda s, x: s + f(x))
+    return F.try_divide(total(lambda x: x["score"] * x["length"]), total(lambda x: x["length"].cast("double")))
+
+
+def alignment_statistics(words: DataFrame, call: str) -> DataFrame:
+    """call, ``aligned_words``, ``total_words``, ``aligned_percent`` and ``mean_score`` of words with a ``score`` (null: not aligned)."""
+    found = words.groupBy(call).agg(F.count("score").alias("aligned_words"), F.count("*").alias("total_words"), F.round(F.avg("score"), 4).alias("mean_score"))
+    return found.withColumn("aligned_percent", F.round(100.0 * F.col("aligned_words") / F.greatest(F.lit(1), "total_words"), 2))

@@ -108,6 +108,83 @@ def pitch_label(hz: Column, first: Column, second: Column, first_label: Column,
     return F.when(valid(hz) & valid(first) & valid(second), F.when(distinct & clear, F.when(a < b, first_label).otherwise(second_label)))
 
 
+def pitch_centers(groups: DataFrame, call: str, least: float = 1.5) -> DataFrame:
+    """call, speaker and ``center``: the median pitch of a speaker's groups (seconds, pitch) of ``least`` seconds or more."""
+    return groups.where((F.col("seconds") >= least) & F.col("pitch").isNotNull()).groupBy(call, "speaker").agg(F.median("pitch").alias("center"))
+
+
+def attribute(groups: DataFrame) -> DataFrame:
+    """Adds ``selected`` speaker, ``source`` of the decision and ``confident`` to groups of words.
+
+    ``groups``: seconds, ``previous`` speaker; ``best_name``, ``best`` and ``second``, the similarities to the call's clusters; ``n_profiles``,
+    ``profile_name``, ``profile_best``, ``profile_second`` (null with one profile); ``anchored``: whether the best cluster is the one
+    profile's; ``pitch_name`` by ``pitch_label``, or null. Enrolled people come before clusters, and pitch only helps short
+    groups without either.
+    """
+    near = refine(groups).withColumnRenamed("confident", "_near")
+    alone = (F.col("n_profiles") == 1) & F.coalesce("anchored", F.lit(False)) & (F.col("profile_best") >= 0.42)
+    among = (F.col("n_profiles") >= 2) & (F.col("profile_best") >= 0.50) & (F.col("profile_best") - F.col("profile_second") >= 0.08)
+    known = F.coalesce(alone | among, F.lit(False))
+    cluster = F.coalesce("_near", F.lit(False))
+    pitched = ~known & ~cluster & (F.col("seconds") <= 1.2) & F.col("pitch_name").isNotNull()
+    pick = lambda a, b, c, d: F.when(known, a).when(cluster, b).when(pitched, c).otherwise(d)
+    made = near.withColumns(
+        {
+            "selected": pick(F.col("profile_name"), F.col("best_name"), F.col("pitch_name"), F.col("previous")),
+            "source": pick(F.lit("enrolled profile"), F.lit("call centroid"), F.lit("call pitch"), F.lit("timeline")),
+            "confident": known | cluster | pitched,
+        }
+    )
+    return made.drop("_near")
+
+
+def decision_summary(groups: DataFrame, call: str) -> DataFrame:
+    """call, groups, ``confident_groups``, ``overrides`` (words of confident groups whose speaker changed) and ``mean_margin``.
+
+    ``groups``: what ``attribute`` returns, with ``n_words``.
+    """
+    changed = F.when(F.col("confident") & ~F.col("selected").eqNullSafe(F.col("previous")), F.col("n_words")).otherwise(0)
+    margin = F.avg(F.when(F.col("confident"), F.col("best") - F.col("second")))
+    return groups.groupBy(call).agg(F.count("*").alias("groups"), F.count_if("confident").alias("confident_groups"), F.sum(changed).alias("overrides"), F.round(margin, 4).alias("mean_margin"))
+
+
+def enrollment_clips(clips: DataFrame, name: str, least: float = 0.40, total: float = 10.0, pause: float = 0.12) -> DataFrame:
+    """Clips (start, end) of ``least`` seconds or more with ``offset``, their place in a person's joined speech.
+
+    Clips are joined in order of time with ``pause`` seconds after each. A person with less than ``total`` seconds is an error.
+    """
+    kept = clips.where(F.col("end") - F.col("start") >= least).withColumn("_n", F.col("end") - F.col("start"))
+    by = Window.partitionBy(name)
+    before = by.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kept.withColumns({"offset": F.coalesce(F.sum(F.col("_n") + pause).over(before), F.lit(0.0)), "_total": F.sum("_n").over(by)})
+    fine = F.when(F.col("_total") >= total, F.col("offset")).otherwise(F.raise_error(F.concat(F.col(name).cast("string"), F.lit(" has too little verified speech"))).cast("double"))
+    return placed.withColumn("offset", fine).drop("_n", "_total")
+
+
+def save_profiles(store: DataFrame, people: DataFrame) -> DataFrame:
+    """A store (name, dimension, scale, payload) with people (name, vector) added or, where the name is there, replaced.
+
+    Names are trimmed; an empty, zero or not finite vector is an error. Of equal names among ``people`` the last vector in order counts.
+    """
+    stored = quantize(F.col("vector"))
+    checked = F.when(stored.isNotNull(), stored).otherwise(F.raise_error(F.concat(F.lit("no usable vector: "), F.col("name"))).cast("struct<scale:double,payload:array<tinyint>>"))
+    one = people.withColumn("name", F.trim("name")).groupBy("name").agg(F.max("vector").alias("vector")).select("name", F.size("vector").alias("dimension"), checked.alias("_q"))
+    new = one.select("name", "dimension", "_q.scale", "_q.payload")
+    return store.join(new.select("name"), "name", "left_anti").select(*new.columns).unionByName(new)
+
+
+def delete_profiles(store: DataFrame, names: DataFrame) -> DataFrame:
+    """A store without the given names; unknown names change nothing."""
+    return store.join(names.select("name"), "name", "left_anti")
+
+
+def load_profiles(store: DataFrame) -> DataFrame:
+    """name and unit ``vector`` of profiles with a valid name; a payload of another length, or without direction, is an error."""
+    whole = (F.size("payload") == F.col("dimension")) & ~F.isnan("scale") & (F.abs("scale") < float("inf")) & F.exists("payload", lambda x: x != 0)
+    vector = F.when(whole, dequantize(F.struct("scale", "payload"))).otherwise(F.raise_error(F.concat(F.lit("damaged profile: "), F.col("name"))).cast("array<double>"))
+    return store.where(F.col("name").rlike(NAME)).select("name", vector.alias("vector"))
+
+
 def refine(rows: DataFrame) -> DataFrame:
     """Adds ``confident``: whether an utterance (best, second, seconds) is clearly one cluster's.
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.functions.once import let
-from parley.functions.text import common, context_copied, repetition_count, tokens
-from parley.operators.sessions import merge_spans
+from parley.functions.text import common, context_copied, counts, repetition_count, tokens
+from parley.operators.sessions import merge_spans, words_to_segments
+
+#: Share of a call's time in spans beyond which the second model hears the whole call once.
+FULL_PASS = 0.35
 
 
 def flag_segments(segments: DataFrame) -> DataFrame:
@@ -76,7 +79,8 @@ def choose(candidates: DataFrame, keys: list[str]) -> DataFrame:
     accepted = (F.col("best.ins_no") > 0) & (F.col("best.score") >= F.col("primary.score") + 0.03) & (by_repeats | by_models)
     out = one.withColumn("accepted", accepted).withColumn("chosen", F.when(F.col("accepted"), F.col("best")).otherwise(F.col("primary")))
     others = F.slice(F.array_distinct(F.transform(F.filter("_all", lambda x: x["text"] != F.col("chosen.text")), lambda x: x["text"])), 1, 3)
-    return out.select(*keys, F.col("chosen.model").alias("model"), F.col("chosen.text").alias("text"), F.col("chosen.ins_no").alias("ins_no"), "accepted", (F.col("accepted") & (F.col("chosen.repeats") < F.col("primary.repeats"))).alias("repetition_removed"), others.alias("alternatives"))
+    removed = F.col("accepted") & (F.col("chosen.repeats") < F.col("primary.repeats"))
+    return out.select(*keys, *(F.col(f"chosen.{c}").alias(c) for c in ("model", "text", "ins_no", "score")), "accepted", F.col("primary.score").alias("primary_score"), removed.alias("repetition_removed"), others.alias("alternatives"))
 
 
 def copied_context(df: DataFrame, candidate: str, context: str, primary: str) -> DataFrame:
@@ -97,3 +101,87 @@ def crop(words: DataFrame, spans: DataFrame, call: str, inside: bool = True) ->
 def replace_in_spans(words: DataFrame, spans: DataFrame, replacement: DataFrame, call: str) -> DataFrame:
     """Words outside the spans and the replacement's words; both have the same columns."""
     return crop(words, spans, call, inside=False).unionByName(replacement)
+
+
+def numbered(spans: DataFrame, call: str) -> DataFrame:
+    """Spans with ``span_no`` from 0 in order of time; a call's spans are some seconds long each, and few."""
+    return spans.withColumn("span_no", F.row_number().over(Window.partitionBy(call).orderBy("start", "end")) - 1)
+
+
+def span_totals(spans: DataFrame, call: str) -> DataFrame:
+    """call, ``flagged_seconds``, ``flagged_percent`` and ``full_pass`` of spans with the call's ``duration``."""
+    share = F.sum(F.col("end") - F.col("start")) / F.greatest(F.lit(0.001), F.max("duration"))
+    return spans.groupBy(call).agg(F.sum(F.col("end") - F.col("start")).alias("flagged_seconds"), F.round(100 * share, 2).alias("flagged_percent"), (share > FULL_PASS).alias("full_pass"))
+
+
+def owned_retries(spans: DataFrame, shifted: DataFrame, second: DataFrame, call: str) -> DataFrame:
+    """call, span_no, ``ins_no`` from 1, model, ``part`` and text: which retries were made for which span.
+
+    ``shifted`` (call, span_no, part, model, text) are a span's own windows. ``second`` (call, part, model, text) has one part a
+    span, in order, or, where the call had a full pass, one part 0 that belongs to all its spans. A retry keeps its
+    (call, model, part), so it is aligned once however many spans own it. Retries without text have no number.
+    """
+    part = F.when(F.col("full_pass"), F.lit(0)).otherwise(F.col("span_no"))
+    asked = spans.select(call, "span_no", "duration", "start", "end").join(span_totals(spans, call).select(call, "full_pass"), call).select(call, "span_no", part.alias("part"))
+    own = shifted.join(spans.select(call, "span_no"), [call, "span_no"]).select(call, "span_no", F.lit(0).alias("_source"), "part", "model", "text")
+    both = own.unionByName(second.join(asked, [call, "part"]).select(call, "span_no", F.lit(1).alias("_source"), "part", "model", "text"))
+    number = F.row_number().over(Window.partitionBy(call, "span_no").orderBy("_source", "part"))  # three a span
+    return both.where("coalesce(text, '') <> ''").select(call, "span_no", number.alias("ins_no"), "model", "part", "text")
+
+
+def _in_spans(words: DataFrame, spans: DataFrame, call: str) -> DataFrame:
+    """Words with the ``span_no`` of each span that their midpoint lies in (closed), joined by call and time bucket."""
+    dealt = spans.select(call, "span_no", F.col("start").alias("_s"), F.col("end").alias("_e")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / 16), F.floor(F.col("_e") / 16))))
+    asked = words.withColumn("_m", (F.col("start") + F.col("end")) / 2).withColumn("_b", F.floor(F.col("_m") / 16))
+    return asked.join(dealt, [call, "_b"]).where(F.col("_m").between(F.col("_s"), F.col("_e"))).drop("_m", "_b", "_s", "_e")
+
+
+def recover(words: DataFrame, spans: DataFrame, retries: DataFrame, retry_words: DataFrame, call: str, seq: str) -> tuple[DataFrame, DataFrame]:
+    """(words, decisions): a call's words with those of suspect spans replaced by the best evidence, and what was decided.
+
+    ``words``: call, seq, start, end, text, confidence, speaker, overlap, uncertain; ``spans``: call, span_no, start, end, reasons,
+    ``context``; ``retries``: what ``owned_retries`` returns; ``retry_words`` (call, model, part, word_no, start, end, text,
+    confidence): each retry aligned to the recording. A retry whose words in the span are none, or mostly repeat its
+    context, is no candidate. Words of a span get ``origin``, ``alternatives``, ``uncertain`` unless a retry was accepted, and, at the
+    first one, ``repetition_removed``. A span without words keeps none and still has its decision.
+    """
+    keys = [call, "span_no"]
+    cols = [*keys, "ins_no", "_no", "start", "end", "text", "confidence", "speaker", "overlap"]
+    first = _in_spans(words, spans, call).select(*keys, F.lit(0).alias("ins_no"), F.struct("start", "end", F.col(seq).cast("long").alias("no")).alias("_no"), "start", "end", "text", "confidence", "speaker", "overlap")
+    inside = retry_words.join(retries.select(*keys, "ins_no", "model", "part"), [call, "model", "part"]).join(spans.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e")), keys)
+    inside = inside.where(((F.col("start") + F.col("end")) / 2).between(F.col("_s"), F.col("_e")))
+    again = inside.select(*keys, "ins_no", F.struct("start", "end", F.col("word_no").cast("long").alias("no")).alias("_no"), "start", "end", "text", "confidence", F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("overlap"))
+    each = first.select(*cols).unionByName(again.select(*cols))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "text"))), lambda x: x["text"]), " ")
+    texts = each.groupBy(*keys, "ins_no").agg(joined.alias("text"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_words"))
+
+    asked = spans.select(*keys, F.lit(0).alias("ins_no"), F.lit("primary").alias("model"), F.lit(None).cast("string").alias("_raw"))
+    heard = asked.unionByName(retries.select(*keys, "ins_no", "model", F.col("text").alias("_raw")))
+    found = heard.join(texts, [*keys, "ins_no"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    # A span and its candidates: four rows at most.
+    whole = Window.partitionBy(*keys)
+    found = found.withColumns({"_primary": F.max(F.when(F.col("ins_no") == 0, F.col("text"))).over(whole), "_said": F.collect_set(F.struct("ins_no", F.coalesce("_raw", "text").alias("text"))).over(whole)})
+    found = found.join(spans.select(*keys, "reasons", F.col("context").alias("_context"), (F.col("end") - F.col("start")).alias("_seconds")), keys)
+    found = copied_context(found, "text", "_context", "_primary").where("ins_no = 0 or (text <> '' and not context_copied)").withColumn("_t", tokens(F.col("text")))
+    others = F.transform(F.array_sort("_said"), lambda x: F.struct(x["text"].alias("text"), counts(tokens(x["text"])).alias("counted")))
+    found = found.withColumns({"_others": others, "repeats": repetition_count(F.col("_t"))})
+    score = candidate_score(F.col("confidence"), F.coalesce("n_words", F.lit(0)), F.col("repeats"), F.size("_t"), agreement(counts(F.col("_t")), F.col("text"), F.col("_others")), F.col("_seconds"))
+    decisions = choose(found.withColumn("score", score).select(*keys, "ins_no", "model", "text", "score", "repeats", "reasons"), keys)
+
+    taken = each.join(decisions.select(*keys, "ins_no", F.col("model").alias("origin"), "alternatives", "accepted", F.col("repetition_removed").alias("_removed")), [*keys, "ins_no"])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_no"))
+    taken = taken.withColumns({"uncertain": ~F.col("accepted"), "repetition_removed": F.col("_removed") & (place == 1), seq: F.col("_no.no")})
+    kept = crop(words, spans, call, inside=False).withColumns({"origin": F.lit("primary"), "alternatives": F.array().cast("array<string>"), "repetition_removed": F.lit(False), seq: F.col(seq).cast("long")})
+    out = [call, seq, "start", "end", "text", "confidence", "speaker", "overlap", "uncertain", "origin", "alternatives", "repetition_removed"]
+    return kept.select(*out).unionByName(taken.select(*out)), decisions
+
+
+def recovered_segments(words: DataFrame, call: str, seq: str) -> DataFrame:
+    """Recovered words as segments; one is uncertain if any of its words is."""
+    return words_to_segments(words, call, seq, 0.8)
+
+
+def recovery_report(spans: DataFrame, decisions: DataFrame, call: str) -> DataFrame:
+    """call, flagged seconds and percentage, ``full_pass`` and ``changes``, the spans for which a retry was accepted."""
+    changes = decisions.groupBy(call).agg(F.count_if("accepted").alias("changes"))
+    return span_totals(spans, call).join(changes, call, "left").fillna(0, ["changes"])

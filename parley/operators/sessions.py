@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parley.functions.text import token
+from parley.functions.timing import proportional_words
+
 
 def _islands(df: DataFrame, call: str, order: list, broken: Column) -> DataFrame:
     """Adds ``_island``, counting rows where ``broken`` (an expression that may use lag) holds or is null."""
@@ -247,3 +250,14 @@ def shifted_windows(spans: DataFrame, keys: list[str], shift: float = 1.5) -> Da
     each = spans.select(*keys, "start", "end", "duration", F.explode(F.array(F.lit(-shift), F.lit(shift))).alias("shift"))
     start = F.least(F.greatest(F.lit(0.0), F.col("start") + F.col("shift")), F.greatest(F.lit(0.0), F.col("duration") - length))
     return each.select(*keys, "shift", start.alias("start"), F.least("duration", start + length).alias("end"))
+
+
+def chunk_segments(chunks: DataFrame, call: str, seq: str, rate: int = 16_000) -> DataFrame:
+    """Segments of transcribed chunks (``first`` and ``last`` sample, text): blank ones go, and what a chunk repeats of the one before.
+
+    Words share their chunk's time by length.
+    """
+    timed = chunks.where(F.trim("text") != "").select(call, seq, (F.col("first") / rate).alias("start"), (F.col("last") / rate).alias("end"), F.trim("text").alias("text"))
+    entry = F.struct("word_no", F.struct(F.col("word_start").alias("start"), F.col("word_end").alias("end"), F.col("word").alias("text"), token(F.col("word")).alias("token")).alias("w"))
+    words = proportional_words(timed, [call, seq]).groupBy(call, seq).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["w"]).alias("words"))
+    return overlap_dedup(timed.select(call, seq, "start", "end").join(words, [call, seq]), call, seq)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from parley.functions import audio, text, timing
 from parley.functions.edit import with_error_rates
 from parley.functions.once import with_once
-from parley.operators import consensus, intervals, metrics, profiles, recovery, sessions, training
+from parley.operators import benchmarks, consensus, intervals, metrics, profiles, recovery, sessions, training
 from parley.plans import fixtures as fx
 from parley.sources import exports, transcripts
 from parley.streaming.sessions import live_sessions
@@ -281,6 +281,58 @@ def piece_word_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- joins ----------------------------------------------------------------------------------------
 
+_ROWS = f"""WITH {fx.WRD}, rw AS (SELECT call, seg_no, s - 1 AS s, e AS e, text, max(e) OVER (PARTITION BY call) - 3 AS d FROM seg), rc AS (SELECT call, seg_no, greatest(0.0, s) AS s, least(e, d) AS e, text FROM rw WHERE s < d),
+rk AS (SELECT * FROM rc WHERE trim(text) <> '' AND e > s)"""
+
+
+@query(
+    _ROWS
+    + """, kw AS (SELECT k.call, k.seg_no, count(*) AS n, sum(CASE WHEN w.word_no % 4 = 3 THEN 0 ELSE confidence END) AS c, min(greatest(k.s, ws - 1)) AS f, max(least(k.e, we + 1)) AS l FROM rk k JOIN (SELECT *, ((call * 31 + seg_no * 7 + word_no) % 16) / 16.0::DOUBLE AS confidence FROM wrd) w
+  ON w.call = k.call AND w.seg_no = k.seg_no AND least(k.e, we + 1) > greatest(k.s, ws - 1) GROUP BY ALL)
+SELECT k.call, k.seg_no, k.s AS start, k.e AS "end", CAST(coalesce(n, 0) AS INT) AS n_words, round(coalesce(c, 0), 6) AS confidence, round(f, 6) AS first_word, round(l, 6) AS last_word FROM rk k LEFT JOIN kw USING (call, seg_no)"""
+)
+def clamp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and words that reach a second beyond their time, of recordings three seconds shorter."""
+    words = fx.words(spark, sf_dir)
+    said = F.when(F.col("word_no") % 4 == 3, None).otherwise(F.col("confidence"))
+    entry = F.struct("word_no", F.struct((F.col("start") - 1).alias("start"), (F.col("end") + 1).alias("end"), "text", said.alias("confidence")).alias("w"))
+    nested = words.groupBy("call", "seg_no").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["w"]).alias("words"))
+    seg = fx.segments(spark, sf_dir).withColumns({"duration": F.max("end").over(Window.partitionBy("call")) - 3, "start": F.col("start") - 1, "confidence": F.lit(None).cast("double")})
+    rows = timing.clamp_rows(seg.join(nested, ["call", "seg_no"], "left"))
+    total = F.aggregate("words", F.lit(0.0), lambda s, w: s + w["confidence"])
+    edge = lambda f, c: F.round(f(F.transform("words", lambda w: w[c])), 6)
+    return rows.select("call", "seg_no", "start", "end", F.size("words").alias("n_words"), F.round(total, 6).alias("confidence"), edge(F.array_min, "start").alias("first_word"), edge(F.array_max, "end").alias("last_word"))
+
+
+@query(f"WITH {fx.SEG} SELECT call, seg_no, s + seg_no AS start, e + seg_no AS \"end\", array_to_string({fx.SPLIT.format('text')}, ' ') AS text, CAST(0 AS INT) AS dropped FROM seg WHERE trim(text) <> '' AND e > s")
+def chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as transcribed chunks a second apart, their edges in samples."""
+    seg = fx.segments(spark, sf_dir)
+    chunks = seg.select("call", "seg_no", "text", *(((F.col(c) + F.col("seg_no")) * 16_000).cast("long").alias(n) for c, n in (("start", "first"), ("end", "last"))))
+    return sessions.chunk_segments(chunks, "call", "seg_no")
+
+
+@query(
+    f"""WITH {fx.WRD}, a AS (SELECT call, seq, ws, we, text FROM wrd WHERE call % 3 <> 0 AND word_no % 5 <> 4), t AS (SELECT call, max(e) AS d, {fx.SPLIT.format("string_agg(text, ' ' ORDER BY seg_no)")} AS w FROM seg WHERE call % 3 = 0 GROUP BY call),
+u AS (SELECT call, d, w, unnest(range(1, len(w) + 1)) AS i FROM t), v AS (SELECT *, list_sum(list_transform(w, lambda x: length(x))) AS n, coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS b FROM u)
+SELECT call, CAST(seq AS BIGINT) AS word_no, round(ws, 6) AS start, text FROM a UNION ALL SELECT call, i - 1, round(d * b / n, 6), w[i] FROM v"""
+)
+def native_word_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with own times, but for every fifth, and for calls that have none at all."""
+    words = fx.words(spark, sf_dir).select("call", F.col("seq").cast("long").alias("word_no"), F.when((F.col("call") % 3 != 0) & (F.col("word_no") % 5 != 4), F.col("start")).alias("start"), "end", "text")
+    calls = fx.segments(spark, sf_dir).groupBy("call").agg(F.max("end").alias("duration"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return timing.native_words(words, calls, "call").select("call", F.col("word_no").cast("long").alias("word_no"), six("start"), "text")
+
+
+@query(
+    f"""WITH {fx.WRD}, c AS (SELECT call, CASE WHEN word_no % 6 = 5 THEN NULL ELSE ((call * 31 + seg_no * 7 + word_no) % 16) / 16.0::DOUBLE END AS score FROM wrd)
+SELECT call, count(score) AS aligned_words, count(*) AS total_words, round(avg(score), 4) AS mean_score, round(100.0 * count(score) / count(*), 2) AS aligned_percent FROM c GROUP BY call"""
+)
+def alignment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = fx.words(spark, sf_dir).withColumn("score", F.when(F.col("word_no") % 6 != 5, F.col("confidence")))
+    return timing.alignment_statistics(words, "call")
+
+
 _TURN = "trn AS (SELECT call, seg_no AS turn_no, speaker, s + 0.25 AS s, e + 0.25 AS e FROM seg), raw AS (SELECT call, seg_no AS turn_no, speaker, greatest(0.0, s - 0.5) AS s, e + 0.5 AS e FROM seg)"
 
 
@@ -427,6 +479,50 @@ def recovery_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.recovery_spans(seg.join(last, "call"), "call")
 
 
+# Every turn whose number is 1 in 3 is a span; the first windows are a word short, the second model hears the span or, in a full pass, the call.
+_SPANS = f"""WITH {fx.SEG}, sp AS (SELECT call, CAST(row_number() OVER (PARTITION BY call ORDER BY s) - 1 AS INT) AS span_no, s, e, d, text FROM (SELECT *, max(e) OVER (PARTITION BY call) AS d FROM seg) WHERE seg_no % 3 = 1 AND e > s),
+tt AS (SELECT call, sum(e - s) AS f, sum(e - s) / greatest(0.001, max(d)) AS q FROM sp GROUP BY call)"""
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = fx.segments(spark, sf_dir).withColumn("duration", F.max("end").over(Window.partitionBy("call"))).where("seg_no % 3 = 1 and end > start")
+    return recovery.numbered(seg.select("call", "start", "end", "duration", "text", F.array(F.lit("low_alignment")).alias("reasons")), "call")
+
+
+def _retries(spans: DataFrame) -> DataFrame:
+    shifted = spans.select("call", "span_no", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "text").select("call", "span_no", (2 * F.col("span_no") + F.col("k")).alias("part"), F.lit("first").alias("model"), F.when(F.col("k") == 0, F.col("text")).otherwise(fx.without_every(F.col("text"), 7)).alias("text"))
+    full = recovery.span_totals(spans, "call").select("call", "full_pass")
+    second = spans.join(full, "call").where("not full_pass or span_no = 0").select("call", F.col("span_no").alias("part"), F.lit("vaani").alias("model"), "text")
+    return recovery.owned_retries(spans, shifted, second, "call")
+
+
+@query(_SPANS + "SELECT call, f AS flagged_seconds, round(100 * q, 2) AS flagged_percent, q > 0.35 AS full_pass FROM tt")
+def span_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovery.span_totals(_spans(spark, sf_dir), "call")
+
+
+@query(
+    _SPANS
+    + f""", r AS (SELECT call, span_no, 0 AS o, 2 * span_no + k AS part, 'first' AS model, CASE WHEN k = 0 THEN text ELSE {fx.without_sql("text", 7)} END AS text FROM sp, (SELECT unnest([0, 1]) AS k)
+  UNION ALL SELECT a.call, a.span_no, 1, b.span_no, 'vaani', b.text FROM sp a JOIN tt USING (call) JOIN sp b ON a.call = b.call AND b.span_no = CASE WHEN q > 0.35 THEN 0 ELSE a.span_no END)
+SELECT call, span_no, CAST(row_number() OVER (PARTITION BY call, span_no ORDER BY o, part) AS INT) AS ins_no, model, CAST(part AS INT) AS part, text FROM r WHERE text <> ''"""
+)
+def retry_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retries(_spans(spark, sf_dir))
+
+
+@query()
+def recovered_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of calls of which suspect turns were heard again: spans, retries, their evidence, replacement and segments."""
+    spans = _spans(spark, sf_dir)
+    context = intervals.span_context(spans.select("call", "span_no", "start", "end"), fx.segments(spark, sf_dir), "call", "span_no", "seg_no")
+    retries = _retries(spans)
+    made = retries.join(spans.select("call", "span_no", "start", "end"), ["call", "span_no"]).dropDuplicates(["call", "model", "part"])
+    heard = timing.proportional_words(made.where("end > start"), ["call", "model", "part"]).select("call", "model", "part", "word_no", F.col("word").alias("text"), F.col("word_start").alias("start"), F.col("word_end").alias("end"), F.lit(0.9).alias("confidence"))
+    words, _ = recovery.recover(fx.words(spark, sf_dir), spans.join(context, ["call", "span_no"]), retries, heard, "call", "seq")
+    return recovery.recovered_segments(words, "call", "seq").select("call", "seg_no", six("start"), six("end"), "text", "speaker", "uncertain", "n_words")
+
+
 @query()
 def overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of which each begins with the last five words of the one before."""
@@ -536,6 +632,65 @@ def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.promotion(found.withColumn("runtime_40min", F.lit(900.0) + 100 * F.col("candidate_no")))
 
 
+# --- benchmarks -----------------------------------------------------------------------------------
+
+# Two turns of a call are the items of one benchmark; every other one is heard as its successor, the others lose words.
+_BENCH = f"""WITH {fx.SEG}, it AS (SELECT call * 1000 + seg_no // 2 AS bench, seg_no, speaker, e - s AS d, text AS rt,
+  CASE WHEN seg_no % 2 = 1 THEN coalesce(lead(text) OVER (PARTITION BY call ORDER BY seg_no), '') ELSE {fx.without_sql("text", 7)} END AS ht FROM seg)"""
+
+
+def _bench_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = fx.segments(spark, sf_dir)
+    after = F.lead("text", 1, "").over(Window.partitionBy("call").orderBy("seg_no"))
+    heard = F.when(F.col("seg_no") % 2 == 1, after).otherwise(fx.without_every(F.col("text"), 7))
+    bench = F.col("call") * 1000 + F.floor(F.col("seg_no") / 2)
+    return seg.select(bench.cast("long").alias("bench"), "seg_no", "speaker", (F.col("end") - F.col("start")).alias("duration"), F.col("text").alias("ref"), heard.alias("hyp"))
+
+
+@query(_BENCH + 'SELECT bench, seg_no, coalesce(sum(d + 1) OVER (PARTITION BY bench ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS "offset" FROM it')
+def item_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmarks.with_offsets(_bench_items(spark, sf_dir), "bench", "seg_no").select("bench", "seg_no", "offset")
+
+
+@query(
+    _BENCH
+    + f""", xs AS (SELECT bench AS k, {fx.norm_sql("string_agg(rt, ' ' ORDER BY seg_no)")} AS r, {fx.norm_sql("string_agg(ht, ' ' ORDER BY seg_no)")} AS h FROM it GROUP BY bench), {_NUMBERS},
+sp AS (SELECT bench AS k, sum(CASE WHEN seg_no % 4 = 3 THEN 0 ELSE d - 0.25 END) / sum(d - 0.25) AS acc FROM it WHERE d > 0.25 GROUP BY bench),
+ls AS (SELECT *, {fx.list_of("r")} AS a, {fx.list_of("h")} AS b FROM xs),
+ed AS (SELECT k, a, b, r, h, list_reduce(list_prepend(range(0, len(b) + 1), list_transform(a, lambda t, i: [CAST(i AS BIGINT)])), lambda prev, row:
+  list_reduce(list_prepend(row, list_transform(range(1, len(b) + 1), lambda j: [j])), lambda acc, j:
+    list_append(acc, least(acc[len(acc)] + 1, prev[j[1] + 1] + 1, prev[j[1]] + CASE WHEN a[row[1]] = b[j[1]] THEN 0 ELSE 1 END)))) AS last FROM ls),
+z AS (SELECT ed.k, len(a) AS n, last[len(b) + 1] AS we, levenshtein({_BYTES.format("r")}, {_BYTES.format("h")}) AS ce, length(r) AS nr, len(b) AS nb, h, coalesce(CAST(f AS DOUBLE) / nn.n, 1.0) AS number_accuracy, coalesce(acc, 1.0) AS speaker_accuracy,
+  list_filter([{", ".join(fx.norm_sql(f"'{n}'") for n in fx.NAMES)}], lambda y: contains(r, y)) AS nm FROM ed LEFT JOIN nn ON nn.k = ed.k LEFT JOIN sp ON sp.k = ed.k),
+o AS (SELECT k AS bench, CAST(n AS INT) AS n_ref, CAST(we AS INT) AS word_errors, CAST(ce AS INT) AS char_errors, CASE WHEN n > 0 THEN CAST(we AS DOUBLE) / n WHEN nb > 0 THEN 1.0 ELSE 0.0 END AS wer, CASE WHEN nr > 0 THEN CAST(ce AS DOUBLE) / nr WHEN length(h) > 0 THEN 1.0 ELSE 0.0 END AS cer,
+  number_accuracy, CASE WHEN len(nm) = 0 THEN 1.0 ELSE CAST(len(list_filter(nm, lambda y: contains(h, y))) AS DOUBLE) / len(nm) END AS name_accuracy, speaker_accuracy FROM z)
+SELECT bench, n_ref, word_errors, char_errors, round(wer, 6) AS wer, round(cer, 6) AS cer, round(number_accuracy, 6) AS number_accuracy, round(name_accuracy, 6) AS name_accuracy, round(speaker_accuracy, 6) AS speaker_accuracy, {_TARGET} AS meets_target FROM o"""
+)
+def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _bench_items(spark, sf_dir)
+    own = items.select("bench", "seg_no", F.lit(0.0).alias("start"), F.col("duration").alias("end"), "speaker")
+    other = F.when(F.col("seg_no") % 4 == 3, F.lit("nobody")).otherwise(F.col("speaker"))
+    report = benchmarks.joined_report(items, own, own.select("bench", "seg_no", (F.col("start") + 0.25).alias("start"), (F.col("end") + 0.25).alias("end"), other.alias("speaker")), "bench", "seg_no", fx.NAMES)
+    return report.select("bench", "n_ref", "word_errors", "char_errors", *(six(c) for c in metrics.TARGETS), "meets_target")
+
+
+@query("SELECT b.item_id, CAST(count(c.conv_id) AS BIGINT) AS n_drafts, string_agg(c.text, '|' ORDER BY c.turn) AS draft FROM benchmark b LEFT JOIN conversations c ON c.conv_id = b.item_id GROUP BY b.item_id")
+def draft_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items with the turns of the conversation of the same number as their draft."""
+    turns = fx.read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("item_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("segments"))
+    found = benchmarks.with_drafts(fx.read(spark, sf_dir, "benchmark").select("item_id"), turns, "item_id")
+    said = F.when(F.size("draft_segments") > 0, F.array_join(F.transform("draft_segments", lambda x: x["text"]), "|"))
+    return found.select("item_id", F.size("draft_segments").cast("long").alias("n_drafts"), said.alias("draft"))
+
+
+@query(f"WITH {fx.SEG}, g AS (SELECT call, seg_no, CASE WHEN seg_no % 3 = 2 THEN ' ' ELSE text END AS t, speaker FROM seg) SELECT call, string_agg(trim(t, ' '), ' ' ORDER BY seg_no) AS text, TRUE AS complete FROM g WHERE trim(t, ' ') <> '' GROUP BY call")
+def gold_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold segments of calls of which every third is blank, saved and read as reference texts."""
+    seg = fx.segments(spark, sf_dir).withColumns({"duration": F.max("end").over(Window.partitionBy("call")), "text": F.when(F.col("seg_no") % 3 == 2, " ").otherwise(F.col("text"))})
+    kept, items = benchmarks.save_gold(seg.where("end > start"), "call", "seg_no")
+    return benchmarks.gold_texts(kept, ["call"], "seg_no").join(items, "call")
+
+
 # --- profiles -------------------------------------------------------------------------------------
 
 
@@ -573,6 +728,72 @@ def quantize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", total.alias("payload_sum"), F.round(profiles.cosine(F.col("embedding"), profiles.dequantize(F.col("q"))), 4).alias("similarity"))
 
 
+@query(
+    """WITH f AS (SELECT label, arg_min(embedding, vec_id) AS a, arg_max(embedding, vec_id) AS z FROM embeddings GROUP BY label), p AS (SELECT 'voice ' || label AS name, CASE WHEN label % 2 = 0 THEN z ELSE a END AS embedding FROM f WHERE label % 5 <> 3),
+u AS (SELECT name, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / greatest(sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 1e-8)) AS v FROM p),
+q AS (SELECT name, list_transform(v, lambda x: round_even(x / (list_max(list_transform(v, lambda y: abs(y))) / 127), 0)) AS b FROM u)
+SELECT name, CAST(len(b) AS INT) AS dimension, CAST(list_sum(b) AS BIGINT) AS payload_sum FROM q"""
+)
+def profile_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People saved, every other one saved again, and some deleted."""
+    people = fx.read(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("a"), F.max_by("embedding", "vec_id").alias("z"))
+    named = people.select("label", F.concat(F.lit("voice "), F.col("label").cast("string")).alias("name"), "a", "z")
+    empty = spark.createDataFrame([], "name string, dimension int, scale double, payload array<tinyint>")
+    store = profiles.save_profiles(empty, named.select("name", F.col("a").alias("vector")))
+    store = profiles.save_profiles(store, named.where("label % 2 = 0").select("name", F.col("z").alias("vector")))
+    store = profiles.delete_profiles(store, named.where("label % 5 = 3"))
+    return store.select("name", "dimension", F.aggregate("payload", F.lit(0).cast("long"), lambda s, x: s + x).alias("payload_sum"))
+
+
+@query(
+    f"""WITH {fx.SEG}, k AS (SELECT call, seg_no, s, e, e - s AS n FROM seg WHERE e - s >= 0.4), t AS (SELECT call FROM k GROUP BY call HAVING sum(n) >= 10)
+SELECT call, seg_no, round(coalesce(sum(n + 0.12) OVER (PARTITION BY call ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS "offset" FROM k JOIN t USING (call)"""
+)
+def enrollment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls as people, of those who spoke for ten seconds."""
+    seg = fx.segments(spark, sf_dir)
+    enough = seg.where("end - start >= 0.4").groupBy("call").agg(F.sum(F.col("end") - F.col("start")).alias("n")).where("n >= 10").select("call")
+    return profiles.enrollment_clips(seg.join(enough, "call", "left_semi"), "call").select("call", "seg_no", six("offset"))
+
+
+# Groups of words with made-up similarities: whole sixteenths, from the rows' own numbers.
+_GROUPS = f"""WITH {fx.SEG}, g AS (SELECT call, seg_no, speaker AS previous, (1 + length(text) % 30) / 16.0::DOUBLE AS seconds, 80 + length(text) % 97 + 0.0::DOUBLE AS pitch, 4 + (seg_no % 9) / 16.0::DOUBLE AS x, 3 + length(text) % 5 AS n_words,
+  (4 + length(text) % 9) / 16.0::DOUBLE AS best, (2 + seg_no % 7) / 16.0::DOUBLE AS second, 'cluster ' || seg_no % 2 AS best_name, CAST(call % 3 AS INT) AS n_profiles, 'person' AS profile_name, (3 + length(text) % 8) / 16.0::DOUBLE AS profile_best, (1 + length(text) % 6) / 16.0::DOUBLE AS profile_second,
+  length(text) % 2 = 0 AS anchored, CASE WHEN seg_no % 3 = 0 THEN 'pitched' END AS pitch_name FROM seg),
+a AS (SELECT *, (n_profiles = 1 AND anchored AND profile_best >= 0.42) OR (n_profiles >= 2 AND profile_best >= 0.5 AND profile_best - profile_second >= 0.08) AS known, best >= 0.25 AND best - second >= CASE WHEN seconds < 0.7 THEN 0.10 ELSE 0.055 END AS near FROM g),
+b AS (SELECT *, CASE WHEN known THEN profile_name WHEN near THEN best_name WHEN seconds <= 1.2 AND pitch_name IS NOT NULL THEN pitch_name ELSE previous END AS selected,
+  CASE WHEN known THEN 'enrolled profile' WHEN near THEN 'call centroid' WHEN seconds <= 1.2 AND pitch_name IS NOT NULL THEN 'call pitch' ELSE 'timeline' END AS source FROM a)"""
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = F.length("text"), F.col("seg_no")
+    part = lambda c: c / 16
+    return fx.segments(spark, sf_dir).select(
+        "call", "seg_no", F.col("speaker").alias("previous"), "speaker", part(1 + n % 30).alias("seconds"), (80 + n % 97).cast("double").alias("pitch"), (3 + n % 5).alias("n_words"),
+        part(4 + n % 9).alias("best"), part(2 + k % 7).alias("second"), F.concat(F.lit("cluster "), (k % 2).cast("string")).alias("best_name"), (F.col("call") % 3).cast("int").alias("n_profiles"), F.lit("person").alias("profile_name"),
+        part(3 + n % 8).alias("profile_best"), part(1 + n % 6).alias("profile_second"), (n % 2 == 0).alias("anchored"), F.when(k % 3 == 0, "pitched").alias("pitch_name"),
+    )
+
+
+@query(_GROUPS + "SELECT call, seg_no, selected, source, source <> 'timeline' AS confident FROM b")
+def embedding_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.attribute(_groups(spark, sf_dir)).select("call", "seg_no", "selected", "source", "confident")
+
+
+@query(
+    _GROUPS
+    + """SELECT call, count(*) AS groups, count_if(source <> 'timeline') AS confident_groups, CAST(sum(CASE WHEN source <> 'timeline' AND selected <> previous THEN n_words ELSE 0 END) AS BIGINT) AS overrides,
+  round(avg(CASE WHEN source <> 'timeline' THEN best - second END), 4) AS mean_margin FROM b GROUP BY call"""
+)
+def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.decision_summary(profiles.attribute(_groups(spark, sf_dir)), "call")
+
+
+@query(_GROUPS + "SELECT call, previous AS speaker, median(pitch) AS center FROM g WHERE seconds >= 1.5 GROUP BY ALL")
+def pitch_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.pitch_centers(_groups(spark, sf_dir), "call")
+
+
 # --- documents, training, jobs, audio ---------------------------------------------------------------
 
 _WHO = "CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END"
