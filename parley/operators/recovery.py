@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.functions.once import let
+from parley.functions.once import let, with_once
 from parley.functions.text import common, context_copied, counts, repetition_count, tokens
 from parley.operators.sessions import merge_spans, words_to_segments
 
@@ -85,7 +85,7 @@ def choose(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 def copied_context(df: DataFrame, candidate: str, context: str, primary: str) -> DataFrame:
     """Adds ``context_copied``: a candidate that mostly repeats its prompt."""
-    made = df.withColumns({"_c": tokens(F.col(candidate)), "_x": tokens(F.col(context)), "_p": tokens(F.col(primary))})
+    made = with_once(df, {"_c": tokens(F.col(candidate)), "_x": tokens(F.col(context)), "_p": tokens(F.col(primary))})
     return made.withColumn("context_copied", context_copied(F.col("_c"), F.col("_x"), F.col("_p"))).drop("_c", "_x", "_p")
 
 
@@ -162,10 +162,12 @@ def recover(words: DataFrame, spans: DataFrame, retries: DataFrame, retry_words:
     whole = Window.partitionBy(*keys)
     found = found.withColumns({"_primary": F.max(F.when(F.col("ins_no") == 0, F.col("text"))).over(whole), "_said": F.collect_set(F.struct("ins_no", F.coalesce("_raw", "text").alias("text"))).over(whole)})
     found = found.join(spans.select(*keys, "reasons", F.col("context").alias("_context"), (F.col("end") - F.col("start")).alias("_seconds")), keys)
-    found = copied_context(found, "text", "_context", "_primary").where("ins_no = 0 or (text <> '' and not context_copied)").withColumn("_t", tokens(F.col("text")))
-    others = F.transform(F.array_sort("_said"), lambda x: F.struct(x["text"].alias("text"), counts(tokens(x["text"])).alias("counted")))
-    found = found.withColumns({"_others": others, "repeats": repetition_count(F.col("_t"))})
-    score = candidate_score(F.col("confidence"), F.coalesce("n_words", F.lit(0)), F.col("repeats"), F.size("_t"), agreement(counts(F.col("_t")), F.col("text"), F.col("_others")), F.col("_seconds"))
+    found = copied_context(found, "text", "_context", "_primary").where("ins_no = 0 or (text <> '' and not context_copied)")
+    said = F.transform(F.array_sort("_said"), lambda x: F.struct(x["text"].alias("text"), tokens(x["text"]).alias("t")))
+    found = with_once(found, {"_t": tokens(F.col("text")), "_others": said})
+    counted = F.transform("_others", lambda x: F.struct(x["text"].alias("text"), counts(x["t"]).alias("counted")))
+    found = with_once(found, {"_counted": counts(F.col("_t")), "_others": counted, "repeats": repetition_count(F.col("_t"))})
+    score = candidate_score(F.col("confidence"), F.coalesce("n_words", F.lit(0)), F.col("repeats"), F.size("_t"), agreement(F.col("_counted"), F.col("text"), F.col("_others")), F.col("_seconds"))
     decisions = choose(found.withColumn("score", score).select(*keys, "ins_no", "model", "text", "score", "repeats", "reasons"), keys)
 
     taken = each.join(decisions.select(*keys, "ins_no", F.col("model").alias("origin"), "alternatives", "accepted", F.col("repetition_removed").alias("_removed")), [*keys, "ins_no"])

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import consensus, intervals, metrics, profiles, recovery, sessions, training
+from parley.operators import benchmarks, consensus, intervals, metrics, profiles, recovery, sessions, training
 
 TURNS = "call int, turn_no int, start double, end double, speaker string"
 
@@ -217,3 +217,94 @@ def test_manifest_numbers_each_split_without_gaps(spark):
         numbers = sorted(r["audio_filepath"] for r in found if r["split"] == split)
         assert numbers == [f"{split}_{n:06d}.wav" for n in range(len(numbers))]
     assert training.manifest(segments.limit(0), splits, "call", ["call", "seg_no"]).count() == 0
+
+
+WORDS = "call int, seq long, start double, end double, text string, confidence double, speaker string, overlap boolean, uncertain boolean"
+
+
+def test_recovery_replaces_a_span_by_a_backed_retry(spark):
+    said = "zero one two three four five six seven eight nine".split()
+    words = spark.createDataFrame([(c, i, float(i), i + 1.0, w, 0.2, "a", False, False) for c in (1, 2) for i, w in enumerate(said)], WORDS)
+    spans = spark.createDataFrame([(1, 0, 3.0, 6.0, ["low_alignment"], "", 10.0), (2, 0, 3.0, 6.0, ["low_alignment"], "drei vier fuenf sechs", 10.0)], "call int, span_no int, start double, end double, reasons array<string>, context string, duration double")
+    heard = {"first": "drei vier fuenf", "vaani": "drei vier fuenf"}
+    retries = spark.createDataFrame([(c, 0, k, m, k, t) for c in (1, 2) for k, (m, t) in enumerate(heard.items(), 1)], "call int, span_no int, ins_no int, model string, part int, text string")
+    again = spark.createDataFrame([(c, m, k, i, 3.0 + i, 4.0 + i, w, 0.9) for c in (1, 2) for k, (m, t) in enumerate(heard.items(), 1) for i, w in enumerate(t.split())], "call int, model string, part int, word_no int, start double, end double, text string, confidence double")
+    found, decisions = recovery.recover(words, spans, retries, again, "call", "seq")
+    assert {r["call"]: r["accepted"] for r in decisions.collect()} == {1: True, 2: True}
+    rows = sorted((r["call"], r["start"], r["text"], r["origin"], r["uncertain"]) for r in found.collect())
+    assert [r[2] for r in rows if r[0] == 1] == "zero one two drei vier fuenf six seven eight nine".split()
+    assert {r[3] for r in rows if r[0] == 1 and 3 <= r[1] < 6} <= {"first", "vaani"} and not any(r[4] for r in rows if r[0] == 1)
+    report = {r["call"]: (r["flagged_seconds"], r["flagged_percent"], r["full_pass"], r["changes"]) for r in recovery.recovery_report(spans, decisions, "call").collect()}
+    assert report == {1: (3.0, 30.0, False, 1), 2: (3.0, 30.0, False, 1)}
+    assert [r["text"] for r in recovery.recovered_segments(found.where("call = 1"), "call", "seq").orderBy("seg_no").collect()] == ["zero one two", "drei vier fuenf", "six seven eight nine"]
+
+
+def test_recovery_without_evidence_keeps_the_words(spark):
+    words = spark.createDataFrame([(1, i, float(i), i + 1.0, w, 0.9, "a", False, False) for i, w in enumerate("a bb cc dd ee ff".split())], WORDS)
+    spans = spark.createDataFrame([(1, 0, 1.0, 4.0, ["fragment"], "one two three four five"), (1, 1, 50.0, 51.0, ["fragment"], "")], "call int, span_no int, start double, end double, reasons array<string>, context string")
+    retries = spark.createDataFrame([(1, 0, 1, "vaani", 0, "one two three four")], "call int, span_no int, ins_no int, model string, part int, text string")
+    again = spark.createDataFrame([(1, "vaani", 0, i, 1.0 + i / 2, 1.5 + i / 2, w, 1.0) for i, w in enumerate("one two three four".split())], "call int, model string, part int, word_no int, start double, end double, text string, confidence double")
+    found, decisions = recovery.recover(words, spans, retries, again, "call", "seq")
+    # The retry says what its prompt says; a span without words is decided too.
+    assert sorted((r["span_no"], r["accepted"], r["text"]) for r in decisions.collect()) == [(0, False, "bb cc dd"), (1, False, "")]
+    assert sorted((r["text"], r["uncertain"]) for r in found.collect()) == [("a", False), ("bb", True), ("cc", True), ("dd", True), ("ee", False), ("ff", False)]
+
+
+def test_a_full_pass_belongs_to_every_span(spark):
+    spans = spark.createDataFrame([(1, 0, 0.0, 4.0, 10.0), (1, 1, 5.0, 9.0, 10.0), (2, 0, 0.0, 1.0, 10.0)], "call int, span_no int, start double, end double, duration double")
+    shifted = spark.createDataFrame([(1, 0, 0, "q", "x"), (1, 0, 1, "q", ""), (2, 0, 0, "q", "y")], "call int, span_no int, part int, model string, text string")
+    second = spark.createDataFrame([(1, 0, "v", "all"), (2, 0, "v", "own")], "call int, part int, model string, text string")
+    got = sorted(tuple(r) for r in recovery.owned_retries(spans, shifted, second, "call").collect())
+    assert got == [(1, 0, 1, "q", 0, "x"), (1, 0, 2, "v", 0, "all"), (1, 1, 1, "v", 0, "all"), (2, 0, 1, "q", 0, "y"), (2, 0, 2, "v", 0, "own")]
+
+
+def test_span_context_by_brute_force(spark):
+    rnd = random.Random(3)
+    segments = [(c, i, a, a + rnd.randint(0, 6), f"t{i}") for c in (1, 2) for i, a in enumerate(rnd.randint(0, 40) for _ in range(30))]
+    spans = [(c, k, a, a + rnd.randint(0, 5)) for c in (1, 2, 3) for k, a in enumerate(rnd.randint(-2, 44) for _ in range(25))]
+    got = intervals.span_context(spark.createDataFrame(spans, "call int, span_no int, start int, end int"), spark.createDataFrame(segments, "call int, seg_no int, start int, end int, text string"), "call", "span_no", "seg_no")
+    want = {}
+    for c, k, s, e in spans:
+        before = [t for cc, _, _, b, t in segments if cc == c and b <= s][-2:]
+        after = [t for cc, _, a, b, t in segments if cc == c and a >= e and not b <= s][:2]
+        want[c, k] = f"Previous: {' '.join(before)}\nFollowing: {' '.join(after)}"
+    assert {(r["call"], r["span_no"]): r["context"] for r in got.collect()} == want
+
+
+def test_benchmark_items(spark):
+    items = spark.createDataFrame([("a", 0, 2.0), ("b", 1, 3.5), ("c", 2, None)], "id string, item_no int, duration double").withColumn("by", F.lit(1))
+    assert [r["offset"] for r in benchmarks.with_offsets(items, "by", "item_no").orderBy("item_no").collect()] == [0.0, 3.0, 7.5]
+    assert benchmarks.item_by_id(items, "id", "b").first()["item_no"] == 1
+    with pytest.raises(Exception, match="unknown item: x"):
+        benchmarks.item_by_id(items, "id", "x").collect()
+    gold = "id string, seg_no int, start double, end double, text string, speaker string, duration double"
+    kept, done = benchmarks.save_gold(spark.createDataFrame([("a", 0, 0.0, 1.0, " hi ", " ", 2.0), ("a", 1, 1.0, 2.0, "", None, 2.0), ("b", 0, 0.0, 1.0, " ", None, 2.0)], gold), "id", "seg_no")
+    assert [(r["id"], r["text"], r["speaker"]) for r in kept.collect()] == [("a", "hi", None)]
+    assert {r["id"]: r["complete"] for r in done.collect()} == {"a": True, "b": False}
+    with pytest.raises(Exception, match="ordered and inside"):
+        benchmarks.save_gold(spark.createDataFrame([("a", 0, 1.0, 1.0, "x", None, 2.0)], gold), "id", "seg_no")[0].collect()
+    drafts = spark.createDataFrame([("a", [("x",)]), ("b", None)], "id string, segments array<struct<text:string>>")
+    assert {r["id"]: len(r["draft_segments"]) for r in benchmarks.with_drafts(items, drafts, "id").collect()} == {"a": 1, "b": 0, "c": 0}
+    documents = benchmarks.result_documents(spark.createDataFrame([("a", 0.5, None)], "id string, wer double, note string"), ["id"])
+    assert documents.first()["content"] == '{"wer":0.5,"note":null}'
+
+
+def test_profile_store(spark):
+    empty = spark.createDataFrame([], "name string, dimension int, scale double, payload array<tinyint>")
+    save = lambda store, *rows: profiles.save_profiles(store, spark.createDataFrame(list(rows), "name string, vector array<double>"))
+    store = save(save(empty, (" b", [1.0, 0.0]), ("a", [0.0, 2.0])), ("b", [0.0, 1.0]))
+    assert sorted((r["name"], [round(x, 3) for x in r["vector"]]) for r in profiles.load_profiles(store).collect()) == [("a", [0.0, 1.0]), ("b", [0.0, 1.0])]
+    assert [r["name"] for r in profiles.delete_profiles(store, spark.createDataFrame([("a",), ("zz",)], "name string")).collect()] == ["b"]
+    for bad in ([], [0.0, 0.0], [float("nan")]):
+        with pytest.raises(Exception, match="no usable vector"):
+            save(empty, ("x", bad)).collect()
+    with pytest.raises(Exception, match="damaged profile"):
+        profiles.load_profiles(store.withColumn("dimension", F.lit(3))).collect()
+    with pytest.raises(Exception, match="too little"):
+        profiles.enrollment_clips(spark.createDataFrame([("x", 0.0, 9.0), ("x", 9.0, 9.3)], "name string, start double, end double"), "name").collect()
+
+
+def test_context_needs_no_known_call(spark):
+    spans = spark.createDataFrame([(None, 1, 0.0, 1.0), (1, 1, 0.0, 1.0)], "call int, span_no int, start double, end double")
+    none = spark.createDataFrame([], "call int, seg_no int, start double, end double, text string")
+    assert [r["context"] for r in intervals.span_context(spans, none, "call", "span_no", "seg_no").collect()] == ["Previous: \nFollowing: "] * 2

@@ -126,3 +126,36 @@ def test_pieces_become_words_or_fall_back(spark):
     rows = [(1, "hello you", 10.0, 12.0, ["▁hel", "lo", "▁you"], [0.0, 0.5, 1.0], [0.0, 0.0, -1.0]), (2, "hello you", 0.0, 2.0, ["▁a", "▁b"], [2.0, 0.0], None), (3, "three words here", 0.0, 2.0, ["▁a", "▁b"], [0.0, 1.0], None), (4, "x", 0.0, 1.0, None, None, None)]
     got = timing.piece_words(spark.createDataFrame(rows, schema), "key").orderBy("key", "word_no").collect()
     assert [(r["key"], r["word"], r["word_start"], r["word_end"], r["fallback"]) for r in got] == [(1, "hello", 10.0, 11.0, False), (1, "you", 11.0, 12.0, False), (2, None, None, None, True), (3, None, None, None, True), (4, None, None, None, True)]
+
+
+def test_multisets_of_long_texts(spark):
+    import collections
+    import random
+
+    rnd = random.Random(5)
+    pairs = [([rnd.choice("abcdefg") + str(rnd.randint(0, k)) for _ in range(n)], [rnd.choice("abcdefg") + str(rnd.randint(0, k)) for _ in range(m)]) for k, n, m in ((3, 200, 150), (9, 40, 0), (0, 0, 0), (10**6, 3_000, 2_000), (5, 0, 9))]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    for r in df.select("a", "b", text.counts(F.col("a")).alias("n"), text.common(text.counts(F.col("a")), text.counts(F.col("b"))).alias("c")).collect():
+        a, b = collections.Counter(r["a"]), collections.Counter(r["b"])
+        assert [(x["item"], x["n"]) for x in r["n"]] == sorted(a.items()) and r["c"] == sum((a & b).values())
+    assert spark.range(1).select(text.counts(F.array(F.lit(None).cast("string"), F.lit("x")))).first()[0][0]["n"] == 1
+
+
+def test_more_distinct_tokens_than_the_basic_plane(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: i.cast("string")).alias("a"), F.array(F.lit("60000"), F.lit("x"), F.lit("60000")).alias("b"))
+    assert with_distance(df, "a", "b", "d").select("d").first()["d"] == 59_999
+
+
+def test_letters_of_an_aligner_and_merged_maps(spark):
+    assert [one(spark, text.alignment_form(F.col("a")), a=x) for x in ("Don’t stop", "123 !", "")] == ["don'tstop", "*", "*"]
+    merged = text.merge_maps(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3)))
+    assert spark.range(1).select(merged).first()[0] == {"a": 1, "b": 3}
+
+
+def test_rows_are_clamped_to_the_recording(spark):
+    rows = [(1, -1.0, 3.0, " a ", None, 2.0, [(-1.0, 1.0, "x", None), (2.0, 3.0, "y", 0.5), (0.0, 1.0, " ", 0.5)]), (2, 2.0, 3.0, "b", 0.5, 2.0, []), (3, 2.0, 3.0, "c", 0.5, 0.0, None), (4, 0.0, 1.0, " ", 0.5, None, [])]
+    df = spark.createDataFrame(rows, "k int, start double, end double, text string, confidence double, duration double, words array<struct<start:double,end:double,text:string,confidence:double>>")
+    got = {r["k"]: (r["start"], r["end"], r["text"], r["confidence"], [tuple(w) for w in r["words"]]) for r in timing.clamp_rows(df).collect()}
+    assert got == {1: (0.0, 2.0, "a", 0.0, [(0.0, 1.0, "x", 0.0)]), 3: (2.0, 3.0, "c", 0.5, [])}
+    spans = F.array(F.struct(F.lit(0.5).alias("score"), F.lit(3).alias("length")), F.struct(F.lit(1.0).alias("score"), F.lit(1).alias("length")))
+    assert spark.range(1).select(timing.span_score(spans)).first()[0] == 0.625
