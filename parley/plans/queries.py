@@ -199,10 +199,23 @@ def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("call", "seg_no", "ins_no", "repeats", six("agreement"), six("score"))
 
 
-@query()
+@query(
+    _CANDIDATES
+    + """, z AS (SELECT call, seg_no, ins_no, c.text, repeats, ['primary', 'second', 'vaani'][ins_no + 1] AS model, 0.55 * conf + 0.20 * agreement + 0.15 * greatest(0.0, 1.0 - 2.5 * least(1.0, repeats / CAST(greatest(1, n_tokens) AS DOUBLE))) + 0.10 * least(1.0, n_words / greatest(1.0, sc.secs * 1.3)) AS score
+  FROM sc JOIN c USING (call, seg_no, ins_no)),
+b AS (SELECT call, seg_no, max(CASE WHEN ins_no = 0 THEN repeats END) AS pr, max(CASE WHEN ins_no = 0 THEN score END) AS ps, arg_max(ins_no, score * 1e6 - ins_no * 1e-6) AS bi, max(score) AS bs FROM z GROUP BY ALL),
+d AS (SELECT b.*, x.repeats AS br, (SELECT count(*) FROM z WHERE z.call = b.call AND z.seg_no = b.seg_no AND z.ins_no > 0 AND z.repeats < b.pr) AS fewer FROM b JOIN z x ON x.call = b.call AND x.seg_no = b.seg_no AND x.ins_no = b.bi),
+a AS (SELECT *, bi > 0 AND bs >= ps + 0.03 AND CASE WHEN pr > 0 THEN fewer >= 2 AND br < pr ELSE bs >= ps + 0.08 END AS accepted FROM d)
+SELECT a.call, a.seg_no, y.model, y.text, y.ins_no, round(y.score, 6) AS score, accepted, accepted AND y.repeats < pr AS repetition_removed,
+  (SELECT coalesce(string_agg(text, '|' ORDER BY sc DESC, i), '') FROM (SELECT text, max(score) AS sc, min(ins_no) AS i FROM z WHERE z.call = a.call AND z.seg_no = a.seg_no AND z.text <> y.text GROUP BY text)) AS alternatives
+FROM a JOIN z y ON y.call = a.call AND y.seg_no = a.seg_no AND y.ins_no = CASE WHEN accepted THEN bi ELSE 0 END"""
+)
 def candidate_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _candidates(spark, sf_dir).withColumns({"model": F.element_at(F.array(F.lit("primary"), F.lit("second"), F.lit("vaani")), F.col("ins_no") + 1), "reasons": F.when(F.col("repeats") > 0, F.array(F.lit("repetition"))).otherwise(F.array().cast("array<string>"))})
-    return recovery.choose(found, ["call", "seg_no"])
+    """A turn whose primary repeats itself is suspect of repetition."""
+    repeated = F.max(F.when(F.col("ins_no") == 0, F.col("repeats"))).over(Window.partitionBy("call", "seg_no")) > 0
+    found = _candidates(spark, sf_dir).withColumns({"model": F.element_at(F.array(F.lit("primary"), F.lit("second"), F.lit("vaani")), F.col("ins_no") + 1), "reasons": F.when(repeated, F.array(F.lit("repetition"))).otherwise(F.array().cast("array<string>"))})
+    chosen = recovery.choose(found, ["call", "seg_no"])
+    return chosen.select("call", "seg_no", "model", "text", "ins_no", six("score"), "accepted", "repetition_removed", F.array_join("alternatives", "|").alias("alternatives"))
 
 
 @query(
@@ -224,7 +237,7 @@ def indic_to_devanagari(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", "turn", "text", text.to_devanagari(F.col("text")).alias("devanagari"))
 
 
-@query()
+@query(f"WITH {fx.SEG} SELECT call, CAST(row_number() OVER (PARTITION BY call ORDER BY seg_no) - 1 AS INT) AS turn, CASE WHEN seg_no % 2 = 0 AND {fx.norm_sql('text')} <> '' THEN trim(text, ' ') END AS kept FROM seg")
 def structured_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns in a model's raw answer, read back, with every second text changed beyond what a rewrite may."""
     seg = fx.segments(spark, sf_dir)
@@ -237,7 +250,7 @@ def structured_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = each.withColumn("ok", text.valid_rewrite("a", "b"))
     back = each.groupBy("call").agg(F.array_sort(F.collect_list(F.struct("i", "source", "turn", "ok"))).alias("r"))
     back = back.select("call", F.transform("r", lambda x: x["source"]).alias("sources"), F.transform("r", lambda x: x["turn"]).alias("turns"), F.transform("r", lambda x: x["ok"]).alias("ok"))
-    return back.select("call", text.valid_turns(F.col("sources"), F.col("turns"), F.col("ok")).alias("kept"))
+    return back.select("call", F.posexplode_outer(text.valid_turns(F.col("sources"), F.col("turns"), F.col("ok"))).alias("turn", "kept"))
 
 
 # --- time -----------------------------------------------------------------------------------------
@@ -260,15 +273,26 @@ def clock_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.segments(spark, sf_dir).select("call", "seg_no", timing.clock(F.col("start")).alias("clock_start"), timing.clock(F.col("end"), srt=True).alias("srt_end"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {fx.WRD}, o AS (SELECT call, seq, text, CASE WHEN word_no % 5 = 4 THEN ws - 2 ELSE ws END AS s, we AS e, max(we) OVER (PARTITION BY call) - 5 AS d, row_number() OVER (PARTITION BY call ORDER BY seq) AS i FROM wrd),
+c AS MATERIALIZED (SELECT call, list({{'s': s, 'e': e, 'd': d}} ORDER BY i) AS l FROM o GROUP BY call),
+f AS (SELECT call, 1 AS i, least(l[1].d, greatest(0.0, l[1].s)) AS st, least(l[1].d, greatest(least(l[1].d, greatest(0.0, l[1].s)), l[1].e)) AS en, 0.0::DOUBLE AS last, l FROM c UNION ALL
+  SELECT call, i + 1, least(l[i + 1].d, greatest(nl, l[i + 1].s)), least(l[i + 1].d, greatest(least(l[i + 1].d, greatest(nl, l[i + 1].s)), l[i + 1].e)), nl, l FROM (SELECT *, CASE WHEN en - st >= 0.001 THEN st ELSE last END AS nl FROM f) WHERE i < len(l))
+SELECT f.call, o.seq, o.text, round(st, 6) AS start, round(en, 6) AS "end" FROM f JOIN o USING (call, i) WHERE en - st >= 0.001"""
+)
 def validate_word_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of which every fifth begins two seconds early, clamped in order; the call ends 5 s before its last word."""
     words = fx.words(spark, sf_dir).withColumn("start", F.when(F.col("word_no") % 5 == 4, F.col("start") - 2.0).otherwise(F.col("start")))
     last = words.groupBy("call").agg((F.max("end") - 5.0).alias("d"))
-    return timing.validate_words(words.join(last, "call"), "call", F.col("d"), ["seq"])
+    return timing.validate_words(words.join(last, "call"), "call", F.col("d"), ["seq"]).select("call", "seq", "text", six("start"), six("end"))
 
 
-@query()
+@query(
+    f"""WITH {fx.SEG}, l AS (SELECT call, seg_no, s, e, {fx.SPLIT.format("text")} AS w FROM seg), p AS (SELECT *, list_transform(w, lambda x: CASE WHEN length(x) > 2 THEN 2 ELSE 1 END) AS k FROM l WHERE len(w) > 0),
+u AS (SELECT *, unnest(range(1, len(w) + 1)) AS j, list_sum(k) AS n FROM p), v AS (SELECT *, CAST(coalesce(list_sum(k[1:j - 1]), 0) AS BIGINT) AS b FROM u)
+SELECT call || '-' || seg_no AS key, CAST(j - 1 AS INT) AS word_no, w[j] AS word, CAST(floor((s + (e - s) * b / n) * 1e6 + 0.5) AS BIGINT) AS word_start_us, CAST(floor(CASE WHEN j = len(w) THEN e ELSE s + (e - s) * (b + k[j]) / n END * 1e6 + 0.5) AS BIGINT) AS word_end_us,
+  round(list_avg(list_transform(range(b, b + k[j]), lambda x: exp(-(x % 4) / 4.0))), 6) AS confidence, FALSE AS fallback FROM v"""
+)
 def piece_word_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words from recogniser pieces: each word is cut in two, times run evenly over the segment."""
     seg = fx.segments(spark, sf_dir)
@@ -276,7 +300,8 @@ def piece_word_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = with_once(seg, {"tokens": pieces}).where(F.size("tokens") > 0)
     at = F.transform("tokens", lambda t, i: (F.col("end") - F.col("start")) * i / F.size("tokens"))
     seg = with_once(seg, {"timestamps": at, "logprobs": F.transform("tokens", lambda t, i: -(i % 4) / 4.0), "key": F.concat_ws("-", "call", "seg_no")})
-    return timing.piece_words(seg, "key").select("key", "word_no", "word", six("word_start"), six("word_end"), six("confidence"), "fallback")
+    micros = {f"{c}_us": F.floor(F.col(c) * 1e6 + 0.5) for c in ("word_start", "word_end")}
+    return timing.piece_words(seg, "key").withColumns(micros).select("key", "word_no", "word", *micros, six("confidence"), "fallback")
 
 
 # --- joins ----------------------------------------------------------------------------------------
@@ -456,27 +481,51 @@ def merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.merge_turns(fx.event_turns(spark, sf_dir), "call", "seq", 72_000_000_000, 36_000_000_000, 1)
 
 
-@query()
+@query(
+    f"""WITH {_EVENTS}, l AS (SELECT call, list({{'s': s, 'e': e, 'p': speaker}} ORDER BY s, e) AS t FROM ev GROUP BY call),
+a AS (SELECT call, list_reduce(list_transform(t, lambda x: [x]), lambda m, x: CASE WHEN len(m) >= 2 AND m[-1].e - m[-1].s < 61000000 AND m[-2].p = x[1].p THEN list_append(m[1:len(m) - 2], {{'s': m[-2].s, 'e': x[1].e, 'p': x[1].p}}) ELSE list_append(m, x[1]) END) AS t FROM l),
+b AS (SELECT call, list_reduce(list_transform(t, lambda x: [x]), lambda m, x: CASE WHEN m[-1].p = x[1].p AND x[1].s - m[-1].e <= 3600000000 THEN list_append(m[1:len(m) - 1], {{'s': m[-1].s, 'e': greatest(m[-1].e, x[1].e), 'p': x[1].p}}) ELSE list_append(m, x[1]) END) AS t FROM a)
+SELECT call, x.s AS start, x.e AS "end", x.p AS speaker FROM (SELECT call, unnest(t) AS x FROM b)"""
+)
 def smooth_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.smooth_turns(fx.event_turns(spark, sf_dir), "call", 61_000_000, 3_600_000_000)
 
 
-@query()
+@query(
+    f"""WITH {fx.WRD}, x AS (SELECT call, seq, we - ws < 0.5 AND lag(1) OVER o IS NOT NULL AND lead(1) OVER o IS NOT NULL AS op, CASE WHEN word_no % 5 = 3 THEN 'other' ELSE speaker END AS p, lead(CASE WHEN word_no % 5 = 3 THEN 'other' ELSE speaker END) OVER o AS nx FROM wrd WINDOW o AS (PARTITION BY call ORDER BY seq)),
+l AS (SELECT call, list(seq ORDER BY seq) AS q, list_reduce(list_transform(list({{'op': op, 'p': p, 'nx': nx}} ORDER BY seq), lambda y: [y]), lambda m, y: list_append(m, CASE WHEN y[1].op AND m[-1].p = y[1].nx THEN {{'op': FALSE, 'p': m[-1].p, 'nx': y[1].nx}} ELSE y[1] END)) AS t FROM x GROUP BY call)
+SELECT call, unnest(q) AS seq, unnest(list_transform(t, lambda y: y.p)) AS speaker FROM l"""
+)
 def suppress_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = fx.words(spark, sf_dir).withColumn("speaker", F.when(F.col("word_no") % 5 == 3, F.lit("other")).otherwise(F.col("speaker")))
     return sessions.suppress_flips(words, "call", ["seq"], 0.5).select("call", "seq", "speaker")
 
 
-@query()
+@query(
+    f"""WITH {fx.WRD}, l AS (SELECT call, list_reduce(list_transform(list({{'s': ws, 'e': we, 'p': speaker, 'n': 1}} ORDER BY ws, we, seq), lambda y: [y]), lambda m, y:
+  CASE WHEN m[-1].p = y[1].p AND y[1].s - m[-1].e < 0.5 AND y[1].e - m[-1].s <= 6.0 THEN list_append(m[1:len(m) - 1], {{'s': m[-1].s, 'e': y[1].e, 'p': m[-1].p, 'n': m[-1].n + 1}}) ELSE list_append(m, y[1]) END) AS t FROM wrd GROUP BY call)
+SELECT call, x.p AS speaker, round(x.s, 6) AS start, round(x.e, 6) AS "end", x.n AS n FROM (SELECT call, unnest(t) AS x FROM l)"""
+)
 def utterance_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.utterance_groups(fx.words(spark, sf_dir), "call", "seq").select("call", "speaker", six("start"), six("end"), "n")
 
 
-@query()
+@query(
+    f"""WITH {fx.SEG}, tk AS (SELECT call AS k1, seg_no AS k2, {fx.tokens_sql("text")} AS l FROM seg), u AS (SELECT k1, k2, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS t FROM tk), {_REPEATS},
+fl AS (SELECT call, s, e, len({fx.SPLIT.format("text")}) AS n, ((call * 31 + seg_no * 7) % 16) / 16.0::DOUBLE AS c, coalesce(repeats, 0) AS r, max(e) OVER (PARTITION BY call) AS d FROM seg LEFT JOIN rep ON rep.k1 = call AND rep.k2 = seg_no),
+re AS (SELECT *, list_filter([CASE WHEN r > 0 THEN 'repetition' END, CASE WHEN n >= 2 AND c < 0.18 THEN 'low_alignment' END, CASE WHEN n > 0 AND (e - s) / n > 1.15 THEN 'silence_to_word_ratio' END, CASE WHEN n <= 2 AND e - s < 0.8 THEN 'fragment' END], lambda x: x IS NOT NULL) AS why FROM fl),
+a AS (SELECT call, d, list_reduce(list_transform(list({{'s': s, 'e': e, 'w': why}} ORDER BY s, e), lambda y: [y]), lambda m, y:
+  CASE WHEN y[1].s - m[-1].e <= 2 THEN list_append(m[1:len(m) - 1], {{'s': m[-1].s, 'e': greatest(m[-1].e, y[1].e), 'w': list_distinct(list_concat(m[-1].w, y[1].w))}}) ELSE list_append(m, y[1]) END) AS t FROM re WHERE len(why) > 0 GROUP BY call, d),
+b AS (SELECT call, d, unnest(t) AS x FROM a), p AS (SELECT call, x.w AS w, d, least(18.0, greatest(6.0, x.e - x.s + 8)) AS n, (x.s + x.e) / 2 AS mid FROM b),
+q AS (SELECT call, w, n, least(d, greatest(0.0, mid - n / 2) + n) AS e FROM p), z AS (SELECT call, list({{'s': greatest(0.0, e - n), 'e': e, 'w': w}} ORDER BY greatest(0.0, e - n), e) AS t FROM q GROUP BY call),
+g AS (SELECT call, list_reduce(list_prepend([t[1]], list_transform(t[2:], lambda y: [y])), lambda m, y: CASE WHEN y[1].s <= m[-1].e AND greatest(m[-1].e, y[1].e) - m[-1].s <= 18 THEN list_append(m[1:len(m) - 1], {{'s': m[-1].s, 'e': greatest(m[-1].e, y[1].e), 'w': list_distinct(list_concat(m[-1].w, y[1].w))}})
+  WHEN y[1].e - greatest(y[1].s, m[-1].e) >= 0.5 THEN list_append(m, {{'s': greatest(y[1].s, m[-1].e), 'e': y[1].e, 'w': y[1].w}}) ELSE m END) AS t FROM z)
+SELECT call, round(x.s, 6) AS start, round(x.e, 6) AS "end", array_to_string(list_sort(x.w), ',') AS reasons FROM (SELECT call, unnest(t) AS x FROM g) WHERE x.e - x.s >= 0.5"""
+)
 def recovery_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = fx.segments(spark, sf_dir).groupBy("call").agg(F.max("end").alias("duration"))
     seg = fx.segments(spark, sf_dir).withColumns({"n_words": F.size(timing.words_of(F.col("text"))), "confidence": ((F.col("call") * 31 + F.col("seg_no") * 7) % 16) / 16})
-    return recovery.recovery_spans(seg.join(last, "call"), "call")
+    return recovery.recovery_spans(seg.join(last, "call"), "call").select("call", six("start"), six("end"), F.array_join("reasons", ",").alias("reasons"))
 
 
 # Every turn whose number is 1 in 3 is a span; the first windows are a word short, the second model hears the span or, in a full pass, the call.
@@ -523,7 +572,15 @@ def recovered_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.recovered_segments(words, "call", "seq").select("call", "seg_no", six("start"), six("end"), "text", "speaker", "uncertain", "n_words")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {fx.WRD}, tw AS (SELECT *, regexp_replace(lower(replace(text, 'ß', 'ss')), '[^\\p{{L}}\\p{{N}}\\x{{0900}}-\\x{{097F}}]', '', 'g') AS tok FROM wrd),
+sg AS (SELECT call, seg_no, list({{'s': ws, 'x': text, 't': tok}} ORDER BY word_no) AS w, max(we) AS e FROM tw GROUP BY ALL), lg AS (SELECT call, seg_no, e, list_concat(coalesce((lag(w) OVER o)[-5:], []), w) AS w FROM sg WINDOW o AS (PARTITION BY call ORDER BY seg_no)),
+o AS (SELECT *, w[1].s AS s, list_transform(w, lambda x: x.t) AS t, row_number() OVER (PARTITION BY call ORDER BY w[1].s, e, seg_no) AS i FROM lg),
+f AS (SELECT call, i, seg_no, 0::BIGINT AS dropped, t[-12:] AS recent, e AS last, w, e FROM o WHERE i = 1 UNION ALL
+  SELECT call, i, seg_no, k, CASE WHEN k < len(t) THEN list_concat(recent, t[k + 1:])[-12:] ELSE recent END, CASE WHEN k < len(t) THEN e ELSE last END, w, e FROM (SELECT o.call, o.i, o.seg_no, o.t, o.w, o.e, f.recent, f.last,
+    CASE WHEN o.s < f.last + 0.05 THEN coalesce(list_max(list_filter(range(1, least(12, len(f.recent), len(o.t)) + 1), lambda k: f.recent[len(f.recent) - k + 1:] = o.t[1:k] AND NOT list_contains(o.t[1:k], ''))), 0) ELSE 0 END AS k FROM f JOIN o ON o.call = f.call AND o.i = f.i + 1))
+SELECT call, seg_no, round(w[dropped + 1].s, 6) AS start, round(e, 6) AS "end", array_to_string(list_transform(w[dropped + 1:], lambda x: x.x), ' ') AS text, CAST(dropped AS INT) AS dropped FROM f WHERE dropped < len(w)"""
+)
 def overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of which each begins with the last five words of the one before."""
     words = fx.words(spark, sf_dir)
@@ -531,7 +588,8 @@ def overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = words.groupBy("call", "seg_no").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["w"]).alias("words"), F.max("end").alias("end"))
     tail = F.lag(F.slice(F.reverse("words"), 1, 5)).over(Window.partitionBy("call").orderBy("seg_no"))
     seg = seg.withColumn("words", F.concat(F.coalesce(F.reverse(tail), F.slice("words", 1, 0)), F.col("words")))
-    return sessions.overlap_dedup(seg.withColumn("start", F.get("words", F.lit(0))["start"]), "call", "seg_no")
+    kept = sessions.overlap_dedup(seg.withColumn("start", F.get("words", F.lit(0))["start"]), "call", "seg_no")
+    return kept.select("call", "seg_no", six("start"), six("end"), "text", "dropped")
 
 
 @query(
@@ -562,10 +620,13 @@ def shifted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.shifted_windows(seg, ["call", "seg_no"])
 
 
-@query()
+@query(
+    """WITH m AS (SELECT user_id, event_type, epoch_us(ts) AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 3600000000 THEN 0 ELSE 1 END AS b FROM m WINDOW w AS (PARTITION BY user_id, event_type ORDER BY t)),
+g AS (SELECT *, sum(b) OVER (PARTITION BY user_id, event_type ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM n) SELECT user_id, event_type, min(t) AS start, max(t) + 3600000000 AS "end", count(*) AS n_events FROM g GROUP BY user_id, event_type, k"""
+)
 def live_event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fx.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return live_sessions(events, "user_id", "event_type")
+    return live_sessions(events, "user_id", "event_type").withColumns({c: F.unix_micros(c) for c in ("start", "end")})
 
 
 # --- reports --------------------------------------------------------------------------------------
