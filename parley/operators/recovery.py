@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from parley.functions.once import let, with_once
 from parley.functions.text import common, context_copied, counts, repetition_count, tokens
 from parley.operators.sessions import merge_spans, words_to_segments
+from parley.shared import cut
 
 #: Share of a call's time in spans beyond which the second model hears the whole call once.
 FULL_PASS = 0.35
@@ -151,7 +152,8 @@ def recover(words: DataFrame, spans: DataFrame, retries: DataFrame, retry_words:
     inside = retry_words.join(retries.select(*keys, "ins_no", "model", "part"), [call, "model", "part"]).join(spans.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e")), keys)
     inside = inside.where(((F.col("start") + F.col("end")) / 2).between(F.col("_s"), F.col("_e")))
     again = inside.select(*keys, "ins_no", F.struct("start", "end", F.col("word_no").cast("long").alias("no")).alias("_no"), "start", "end", "text", "confidence", F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("overlap"))
-    each = first.select(*cols).unionByName(again.select(*cols))
+    # The words of all candidates are scored, and those of the chosen ones taken: read by two branches, written once.
+    each = cut(first.select(*cols).unionByName(again.select(*cols)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "text"))), lambda x: x["text"]), " ")
     texts = each.groupBy(*keys, "ins_no").agg(joined.alias("text"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_words"))
 
@@ -168,7 +170,7 @@ def recover(words: DataFrame, spans: DataFrame, retries: DataFrame, retry_words:
     counted = F.transform("_others", lambda x: F.struct(x["text"].alias("text"), counts(x["t"]).alias("counted")))
     found = with_once(found, {"_counted": counts(F.col("_t")), "_others": counted, "repeats": repetition_count(F.col("_t"))})
     score = candidate_score(F.col("confidence"), F.coalesce("n_words", F.lit(0)), F.col("repeats"), F.size("_t"), agreement(F.col("_counted"), F.col("text"), F.col("_others")), F.col("_seconds"))
-    decisions = choose(found.withColumn("score", score).select(*keys, "ins_no", "model", "text", "score", "repeats", "reasons"), keys)
+    decisions = cut(choose(found.withColumn("score", score).select(*keys, "ins_no", "model", "text", "score", "repeats", "reasons"), keys))
 
     taken = each.join(decisions.select(*keys, "ins_no", F.col("model").alias("origin"), "alternatives", "accepted", F.col("repetition_removed").alias("_removed")), [*keys, "ins_no"])
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_no"))

@@ -16,6 +16,7 @@ from parley.functions.edit import with_error_rates
 from parley.functions.once import with_once
 from parley.operators import benchmarks, consensus, intervals, metrics, profiles, recovery, sessions, training
 from parley.plans import fixtures as fx
+from parley.shared import cut
 from parley.sources import exports, transcripts
 from parley.streaming.sessions import live_sessions
 
@@ -563,9 +564,9 @@ def retry_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def recovered_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of calls of which suspect turns were heard again: spans, retries, their evidence, replacement and segments."""
-    spans = _spans(spark, sf_dir)
+    spans = cut(_spans(spark, sf_dir))
     context = intervals.span_context(spans.select("call", "span_no", "start", "end"), fx.segments(spark, sf_dir), "call", "span_no", "seg_no")
-    retries = _retries(spans)
+    retries = cut(_retries(spans))
     made = retries.join(spans.select("call", "span_no", "start", "end"), ["call", "span_no"]).dropDuplicates(["call", "model", "part"])
     heard = timing.proportional_words(made.where("end > start"), ["call", "model", "part"]).select("call", "model", "part", "word_no", F.col("word").alias("text"), F.col("word_start").alias("start"), F.col("word_end").alias("end"), F.lit(0.9).alias("confidence"))
     words, _ = recovery.recover(fx.words(spark, sf_dir), spans.join(context, ["call", "span_no"]), retries, heard, "call", "seq")
