@@ -191,3 +191,65 @@ def similar_components(rows, least=0.8):
         if i is not None:
             ids[at[s]] = min(i, ids.get(at[s], i))
     return [ids.get(at[s]) for s in sets]
+
+
+def filter_audit(docs, labels):
+    """{(part, order, step): (kept, removed, redundant, unique, good lost, toxic lost, shapley)} of (doc_id, part, text) rows."""
+    from itertools import permutations
+
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    least = {}
+    for i, _, text in docs:
+        if i is not None:
+            least[text or ""] = min(i, least.get(text or "", i))
+    failed = []
+    for i, part, text in docs:
+        text, found = text or "", words(text)
+        fails = {
+            "A": len(found) < 200,
+            "B": 100 * len(set(found)) < 50 * len(found),
+            "C": 100 * sum("A" <= c <= "Z" for c in text) > 2 * len(text),
+            "D": any(c in "#$%&*|" for c in text),
+            "E": i is not None and least[text] < i,
+        }
+        failed.append((i, part or "", {f for f, bad in fails.items() if bad}))
+    out = {}
+    for part in {p for _, p, _ in failed}:
+        here = [(i, f) for i, p, f in failed if p == part]
+        shapley = Counter()
+        for order in permutations("ABCDE"):
+            left = here
+            for step, f in enumerate(order, 1):
+                gone = [(i, x) for i, x in left if f in x]
+                left = [(i, x) for i, x in left if f not in x]
+                shapley[f] += len(gone)
+                bad = [x for _, x in here if f in x]
+                out[part, "".join(order), step] = [len(left), len(gone), len(bad) - len(gone), sum(x == {f} for x in bad), sum(i in good for i, _ in gone), sum(i in toxic for i, _ in gone), f]
+        for key, row in out.items():
+            if key[0] == part:
+                row[-1] = shapley[row[-1]]
+    return {key: tuple(row) for key, row in out.items()}
+
+
+def merkle(groups):
+    """(root, {group: subroot}, [(group, position, siblings, rights)]) of {group: leaves in order}, groups in order of their keys."""
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def tree(leaves):
+        levels = [list(leaves)]
+        while len(levels[-1]) > 1:
+            now = levels[-1]
+            levels.append([h("".join(now[i : i + 2])) for i in range(0, len(now), 2)])
+        proofs = []
+        for i in range(len(leaves)):
+            at = [(i >> k, level) for k, level in enumerate(levels[:-1])]
+            proofs.append(([level[j ^ 1] if j ^ 1 < len(level) else None for j, level in at], [bool(j & 1) for j, _ in at]))
+        return levels[-1][0], proofs
+
+    below = {g: tree(leaves) for g, leaves in groups.items()}
+    root, above = tree([below[g][0] for g in sorted(groups)])
+    found = []
+    for at, g in enumerate(sorted(groups)):
+        found += [(g, i, s + above[at][0], r + above[at][1]) for i, (s, r) in enumerate(below[g][1])]
+    return root, {g: x[0] for g, x in below.items()}, found
