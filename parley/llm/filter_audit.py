@@ -25,7 +25,7 @@ from parley.llm.store import cut
 
 FILTERS = "ABCDE"
 SETS = 1 << len(FILTERS)
-#: Bytes of stored input whose words one task counts.
+#: Bytes of text whose words one task counts.
 TASK_BYTES = 16 << 20
 #: Tasks over which rows that agree in id and text may spread.
 SALTS = 16
@@ -35,15 +35,13 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def word_totals(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``_h``, ``n_words`` and ``n_distinct`` of every (doc_id, _h) of ``docs``, from its ``text``.
+def word_totals(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id``, ``_h``, ``n_words`` and ``n_distinct`` of every (doc_id, _h) of ``docs``, from its ``text``; ``size`` is all texts' bytes.
 
     The texts are shuffled once, by document; both counts then stay within a task. Each row adds an empty word,
     which tells how many equal rows a count has seen. Equal rows are salted by the task that read them.
     """
-    spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // TASK_BYTES), 1 << 20))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     key = ["doc_id", "_h", "_salt"]
     dealt = docs.select("doc_id", "_h", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"), "text").repartition(tasks, *key)
     words = dealt.select(*key, F.explode(F.array_append(word_array(F.col("text")), F.lit(""))).alias("word"))
@@ -59,12 +57,14 @@ def failures(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text.alias("text"))
     base = base.withColumn("_digest", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))).withColumn("_h", F.xxhash64("_digest"))
     capitals = F.length("text") - F.length(F.regexp_replace("text", "[A-Z]+", ""))
-    flags = base.select("doc_id", "part", "_digest", "_h", (100 * capitals > 2 * F.length("text")).alias("C"), F.col("text").rlike("[#$%&*|]").alias("D"))
+    size = F.octet_length("text").cast("long").alias("_size")
+    flags = base.select("doc_id", "part", "_digest", "_h", size, (100 * capitals > 2 * F.length("text")).alias("C"), F.col("text").rlike("[#$%&*|]").alias("D"))
     flags = cut(flags.groupBy(*flags.columns).agg(F.count("*").alias("n")))
     # A text's smallest id is one row, so the join's key holds the id too and a common text spreads.
     first = flags.groupBy("_digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL").withColumn("_is_first", F.lit(True))
     known = flags.join(first, ["_digest", "doc_id"], "left").withColumn("E", F.col("doc_id").isNotNull() & F.col("_is_first").isNull())
-    words = word_totals(base.select("doc_id", "_h", "text")).withColumnRenamed("doc_id", "_id").withColumnRenamed("_h", "_hash")
+    total = flags.agg(F.sum(F.col("n") * F.col("_size"))).first()[0] or 0
+    words = word_totals(base.select("doc_id", "_h", "text"), total).withColumnRenamed("doc_id", "_id").withColumnRenamed("_h", "_hash")
     known = known.join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
     known = known.withColumns({"A": F.col("n_words") < 200, "B": 100 * F.col("n_distinct") < 50 * F.col("n_words")})
     fails = sum((F.when(F.col(f), 1 << i).otherwise(0) for i, f in enumerate(FILTERS)), F.lit(0))

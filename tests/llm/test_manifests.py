@@ -38,7 +38,7 @@ def test_filters_in_all_orders(spark, labels):
 def test_word_totals_of_equal_rows(spark):
     rows = [(1, 9, "a b a")] * 50 + [(None, 8, ""), (None, 7, "x"), (2, 7, "x  y\tx")]
     docs = spark.createDataFrame(rows, "doc_id long, _h long, text string").repartition(8)
-    got = {tuple(r) for r in filter_audit.word_totals(docs).collect()}
+    got = {tuple(r) for r in filter_audit.word_totals(docs, 1000).collect()}
     assert got == {(1, 9, 3, 2), (None, 8, 0, 0), (None, 7, 1, 1), (2, 7, 3, 2)}
 
 
