@@ -1,7 +1,7 @@
 """Edit distance over token arrays, word and character error rates.
 
-Tokens are written as one character each and compared by the JVM's ``levenshtein``, which keeps one
-row of the table at a time.
+Texts of close spelling are settled by the JVM's ``levenshtein`` in a narrow band; all others by whole columns of bits
+(``bits.distance``) in Arrow functions, whose memory is a few times the longer text.
 """
 
 from __future__ import annotations
@@ -9,52 +9,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.once import let
+from parley.functions.bits import distance
 from parley.functions.text import normalize, split_tokens
 
-#: Characters from 256 on, but the surrogates, stand for tokens.
-FIRST, SURROGATES = 256, (0xD800, 0x800)
-MOST_TOKENS = 0x110000 - FIRST - SURROGATES[1]
+#: Differences up to which the JVM compares two texts by itself.
+BAND = 24
 
 
-def _coded(a: Column, b: Column) -> Column:
-    """Numbers of the tokens of ``a`` and then ``b``, equal for equal tokens: sorted, numbered by run, and put back in order."""
-    empty = F.array().cast("array<int>")
-    placed = lambda items, side: F.transform(items, lambda t, i: F.struct(t.alias("t"), F.lit(side).alias("side"), i.alias("i")))
+def token_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two token arrays; null if either is null."""
 
-    def numbered(v: Column) -> Column:
-        places = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(v) - 1))).otherwise(empty)
-        starts = F.filter(places, lambda i: (i == 0) | (F.get(v, i)["t"] != F.get(v, i - 1)["t"]))
-        run = lambda at, i, k: F.slice(v, i + 1, F.coalesce(F.get(at, k + 1), F.size(v)) - i)
-        each = lambda at: F.transform(at, lambda i, k: F.transform(run(at, i, k), lambda x: F.struct(x["side"].alias("side"), x["i"].alias("i"), k.alias("k"))))
-        return let(starts, lambda at: F.array_sort(F.flatten(each(at))))
+    def run(left, right):
+        import pyarrow as pa
 
-    return F.transform(let(F.array_sort(F.concat(placed(a, 0), placed(b, 1))), numbered), lambda x: x["k"])
+        return pa.array([None if x is None or y is None else distance(x, y) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int32())
 
-
-def _as_characters(codes: Column) -> Column:
-    point = lambda c: F.when(c >= SURROGATES[0], c + SURROGATES[1]).otherwise(c)
-    whole = F.transform(codes, lambda k: F.lpad(F.hex(point(k + FIRST)), 8, "0"))
-    return F.decode(F.unhex(F.array_join(whole, "")), "UTF-32")
+    return F.arrow_udf(run, "int")(a, b)
 
 
 def with_distance(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Adds the edit distance of the token arrays ``a`` and ``b``.
+    """Adds the edit distance of the token arrays ``a`` and ``b``."""
+    return df.withColumn(out, token_distance(F.col(a), F.col(b)))
+
 
-    Every distinct token of a pair is one character, so a pair may have as many as there are (``MOST_TOKENS``, over
-    a million, where the table of distances would have 10^11 cells); more are an error.
-    """
-    df = df.withColumn("_codes", _coded(F.col(a), F.col(b)))
-    n = F.size(a)
-    left, right = F.slice("_codes", F.lit(1), n), F.slice("_codes", n + 1, F.size(b))
-    checked = F.when(F.coalesce(F.array_max("_codes"), F.lit(0)) < MOST_TOKENS, F.levenshtein(_as_characters(left), _as_characters(right)))
-    return df.withColumn(out, checked.otherwise(F.raise_error(F.lit("too many distinct tokens in a pair of texts")).cast("int"))).drop("_codes")
+def text_distances(a: Column, b: Column) -> Column:
+    """struct<words int, chars int>: edit distances of two normalised texts, whose tokens a space divides."""
+    near = F.nullif(F.levenshtein(a, b, BAND), F.lit(-1))
 
+    def run(left, right, known):
+        import pyarrow as pa
 
-def char_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two texts; close texts are settled within a narrow band of the table."""
-    within = lambda k: F.nullif(F.levenshtein(a, b, k), F.lit(-1))
-    return F.coalesce(within(32), within(256), F.levenshtein(a, b))
+        words, chars = [], []
+        for x, y, n in zip(left.to_pylist(), right.to_pylist(), known.to_pylist(), strict=True):
+            words.append(distance(x.split(" ") if x else [], y.split(" ") if y else []))
+            chars.append(distance(x, y) if n is None else n)
+        return pa.StructArray.from_arrays([pa.array(words, pa.int32()), pa.array(chars, pa.int32())], ["words", "chars"])
+
+    return F.arrow_udf(run, "words int, chars int")(a, b, near)
 
 
 def rate(distance: Column, expected: Column, actual: Column) -> Column:
@@ -63,23 +54,21 @@ def rate(distance: Column, expected: Column, actual: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores: texts are small next to the work on them, so partitions joined by size would leave cores idle."""
+    """``df`` as it is, or over all cores if by Catalyst's estimate it is too small to fill one partition a core."""
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), spark.sparkContext.defaultParallelism
+    part = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return df.repartition(cores) if size < cores * part else df
 
 
 def with_error_rates(df: DataFrame, ref: str, hyp: str) -> DataFrame:
-    """Adds ``n_ref``, ``word_errors``, ``wer``, ``char_errors`` and ``cer`` of two text columns (null: empty).
-
-    The work grows with the product of two texts' lengths, so rows are spread over all cores first.
-    """
+    """Adds ``n_ref``, ``word_errors``, ``wer``, ``char_errors`` and ``cer`` of two text columns (null: empty)."""
     df = spread(df).withColumns({"_r": F.coalesce(normalize(F.col(ref)), F.lit("")), "_h": F.coalesce(normalize(F.col(hyp)), F.lit(""))})
-    df = df.withColumns({"_rt": split_tokens(F.col("_r")), "_ht": split_tokens(F.col("_h"))})
-    df = with_distance(df, "_rt", "_ht", "word_errors").withColumn("char_errors", char_distance(F.col("_r"), F.col("_h")))
+    df = df.withColumn("_d", text_distances(F.col("_r"), F.col("_h")))
+    df = df.withColumns({"n_ref": F.size(split_tokens(F.col("_r"))), "_n_hyp": F.size(split_tokens(F.col("_h"))), "word_errors": F.col("_d.words"), "char_errors": F.col("_d.chars")})
     return df.withColumns(
         {
-            "n_ref": F.size("_rt"),
-            "wer": rate(F.col("word_errors"), F.size("_rt"), F.size("_ht")),
+            "wer": rate(F.col("word_errors"), F.col("n_ref"), F.col("_n_hyp")),
             "cer": rate(F.col("char_errors"), F.length("_r"), F.length("_h")),
         }
-    ).drop("_r", "_h", "_rt", "_ht")
+    ).drop("_r", "_h", "_d", "_n_hyp")

@@ -2,40 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def align(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
-    """A cheapest edit path as pairs of positions; of equal costs a pair first, then a token of ``a`` alone.
-
-    One row of costs at a time is filled from the one before; the moves are kept as bytes.
-    """
-    n = len(b)
-    costs = np.arange(n + 1)
-    moves = np.zeros((len(a) + 1, n + 1), np.uint8)
-    moves[0] = 2
-    moves[1:, 0] = 1
-    symbols = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
-    other = np.array([symbols[t] for t in b], np.int64)
-    at = np.arange(n + 1)
-    for i, t in enumerate(a, 1):
-        pair = costs[:-1] + (other != symbols[t])
-        down = costs[1:] + 1
-        best = np.minimum(pair, down)
-        # A run of moves to the right costs one each: the least of (best - position) so far, plus the position.
-        row = np.minimum.accumulate(np.r_[i, best - at[1:]]) + at
-        right = row[1:] < best
-        moves[i, 1:] = np.where(right, 2, np.where(pair <= down, 0, 1))
-        costs = row
-    path, i, j = [], len(a), n
-    while i or j:
-        move = moves[i, j]
-        i, j = i - (move != 2), j - (move != 1)
-        path.append((i if move != 2 else None, j if move != 1 else None))
-    return path[::-1]
+from parley.functions.bits import align
 
 
 ALIGNED = "a_no int, b_no int, step int"
@@ -44,7 +15,8 @@ ALIGNED = "a_no int, b_no int, step int"
 def align_words(a: DataFrame, b: DataFrame, call: str, no: str = "word_no", token: str = "token") -> DataFrame:
     """call, ``a_no``, ``b_no`` (null: unmatched) and ``step``: the cheapest edit path of each call's tokens.
 
-    Two transcripts of one call meet in a task as two columns; a call that only one has is unmatched.
+    Two transcripts of one call meet in a task as two columns; a call that only one has is unmatched. Of equal costs
+    a pair comes first, then a token of ``a`` alone, seen from the end.
     """
     kind = a.schema[call].dataType.simpleString()
 
@@ -61,6 +33,15 @@ def align_words(a: DataFrame, b: DataFrame, call: str, no: str = "word_no", toke
     return side(a).cogroup(side(b)).applyInPandas(one, f"{call} {kind}, {ALIGNED}")
 
 
+def alignment_cost(a: DataFrame, b: DataFrame, call: str, no: str = "word_no", token: str = "token") -> DataFrame:
+    """call, ``n_steps`` and ``cost``, the steps of the edit path that don't pair equal tokens."""
+    path = align_words(a, b, call, no, token)
+    left, right = a.select(call, F.col(no).alias("a_no"), F.col(token).alias("_a")), b.select(call, F.col(no).alias("b_no"), F.col(token).alias("_b"))
+    met = path.join(left, [call, "a_no"], "left").join(right, [call, "b_no"], "left")
+    same = F.col("a_no").isNotNull() & F.col("b_no").isNotNull() & F.col("_a").eqNullSafe(F.col("_b"))
+    return met.groupBy(call).agg(F.count("*").alias("n_steps"), F.count(F.when(~same, 1)).alias("cost"))
+
+
 def consensus_words(a: DataFrame, b: DataFrame, call: str, margin: float = 0.15, sure: float = 0.85) -> DataFrame:
     """Words of the consensus in order (``step``): the first transcript's but for confident disagreement.
 

@@ -439,12 +439,31 @@ def crop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.crop(fx.words(spark, sf_dir), spans, "call").select("call", "seq")
 
 
+def _two_transcripts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A call's words and those of the same call without every seventh, some replaced, of other confidence."""
+    words = fx.words(spark, sf_dir).withColumn("word_no", F.row_number().over(Window.partitionBy("call").orderBy("seq")) - 1).withColumn("token", text.token(F.col("text")))
+    return words, words.where("word_no % 7 <> 6").withColumns({"confidence": F.lit(1.0) - F.col("confidence"), "token": F.when(F.col("word_no") % 11 == 5, F.lit("other")).otherwise(F.col("token"))})
+
+
 @query()
 def consensus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call's words and those of the same call without every seventh, of other confidence."""
-    words = fx.words(spark, sf_dir).withColumn("word_no", F.row_number().over(Window.partitionBy("call").orderBy("seq")) - 1).withColumn("token", text.token(F.col("text")))
-    second = words.where("word_no % 7 <> 6").withColumns({"confidence": F.lit(1.0) - F.col("confidence"), "token": F.when(F.col("word_no") % 11 == 5, F.lit("other")).otherwise(F.col("token"))})
-    return consensus.consensus_words(words, second, "call")
+    return consensus.consensus_words(*_two_transcripts(spark, sf_dir), "call")
+
+
+@query(
+    rf"""WITH RECURSIVE {fx.WRD}, w AS (SELECT call, row_number() OVER (PARTITION BY call ORDER BY seq) - 1 AS n, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{{L}}\p{{N}}\x{{0900}}-\x{{097F}}]', '', 'g') AS t FROM wrd),
+a AS MATERIALIZED (SELECT call, n + 1 AS i, t FROM w),
+b AS MATERIALIZED (SELECT call, row_number() OVER (PARTITION BY call ORDER BY n) AS j, CASE WHEN n % 11 = 5 THEN 'other' ELSE t END AS t FROM w WHERE n % 7 <> 6),
+d(call, i, j, c) AS (
+ SELECT call, 0, j, j FROM b UNION ALL SELECT DISTINCT call, 0, 0, 0 FROM a
+ UNION ALL
+ SELECT call, i, j, min(best - j) OVER (PARTITION BY call ORDER BY j) + j FROM (
+  SELECT d.call, d.i + 1 AS i, d.j, CASE WHEN d.j = 0 THEN d.c + 1 ELSE least(d.c + 1, lag(d.c) OVER (PARTITION BY d.call ORDER BY d.j) + CASE WHEN a.t = b.t THEN 0 ELSE 1 END) END AS best
+  FROM d JOIN a ON a.call = d.call AND a.i = d.i + 1 LEFT JOIN b ON b.call = d.call AND b.j = d.j))
+SELECT call, max_by(c, i * 1000000 + j)::BIGINT AS cost FROM d GROUP BY call"""
+)
+def alignment_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.alignment_cost(*_two_transcripts(spark, sf_dir), "call").select("call", "cost")
 
 
 # --- sessions -------------------------------------------------------------------------------------

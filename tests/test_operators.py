@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from parley.functions.bits import distance
 from parley.operators import benchmarks, consensus, intervals, metrics, profiles, recovery, sessions, training
 
 TURNS = "call int, turn_no int, start double, end double, speaker string"
@@ -138,6 +139,27 @@ def test_alignment_and_consensus(spark):
     assert [(r["text"], r["start"], r["speaker"]) for r in got] == [("a", 0.0, "A"), ("x", 9.0, "B"), ("y", 1.0, "A"), ("c", 2.0, "A")]
 
 
+def test_long_alignments_need_little_memory():
+    import tracemalloc
+
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    a = [rnd.choice(vocabulary) for _ in range(12_000)]
+    b = [rnd.choice(vocabulary) if rnd.random() < 0.1 else x for x in a if rnd.random() > 0.1]
+    tracemalloc.start()
+    path = consensus.align(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+    assert sum(i is None or j is None or a[i] != b[j] for i, j in path) == distance(a, b)
+    assert distance(a[:300], b[:250]) == _distance(a[:300], b[:250])
+
+
+def test_alignment_cost(spark):
+    side = lambda items: spark.createDataFrame([(c, i, t) for c, text in items for i, t in enumerate(text)], "call int, word_no int, token string")
+    got = consensus.alignment_cost(side([(1, "abcd"), (2, "ab"), (3, "")]), side([(1, "xbd"), (3, "zz")]), "call")
+    assert {tuple(r) for r in got.collect()} == {(1, 4, 2), (2, 2, 2), (3, 2, 2)}
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
