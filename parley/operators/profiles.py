@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from parley.functions.once import let
@@ -57,28 +62,77 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return mean.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(vector))
 
 
+#: Profiles compared at a time: their vectors are sent to all tasks, a few megabytes.
+BLOCK = 4096
+
+
+def _blocks(profiles: DataFrame) -> Iterator[list]:
+    """Profiles in lists of at most ``BLOCK``; the driver holds one."""
+    held: list = []
+    for row in profiles.select("profile_no", "name", "vector").where("vector IS NOT NULL").toLocalIterator():
+        if len(held) == BLOCK:
+            yield held
+            held = []
+        held.append((row["profile_no"], row["name"], row["vector"]))
+    yield held
+
+
 def top_profiles(rows: DataFrame, profiles: DataFrame, key: str, k: int = 2) -> DataFrame:
-    """key, rank, name and similarity of the ``k`` profiles most similar to each row; ties to the higher ``profile_no``.
+    """key, rank, name, profile_no and similarity of the ``k`` profiles most similar to each row; ties to the higher ``profile_no``.
 
-    All profiles (a few enrolled people) are one array literal's worth of rows: each row is compared with
-    them in its own task and nothing is shuffled.
+    Rows are multiplied with blocks of at most ``BLOCK`` profiles, each sent to all tasks, and nothing is shuffled. With several blocks
+    each gives its ``k`` best, and the best of those are found by a shuffle of them alone. Vectors of other lengths are not compared.
     """
-    gathered = profiles.agg(F.collect_list(F.struct("profile_no", "name", F.col("vector").alias("v"))).alias("_all"))
-    scored = rows.join(F.broadcast(gathered), F.lit(True))  # one row
-    each = F.transform("_all", lambda p: F.struct(cosine(F.col("vector"), p["v"]).alias("similarity"), p["profile_no"].alias("profile_no"), p["name"].alias("name")))
-    best = F.slice(F.sort_array(F.filter(each, lambda x: x["similarity"].isNotNull()), asc=False), 1, k)
-    return scored.select(key, F.posexplode(best).alias("_i", "_p")).select(key, (F.col("_i") + 1).alias("rank"), "_p.name", "_p.profile_no", "_p.similarity")
+    out = StructType([rows.schema[key], *profiles.select(F.lit(1).alias("rank"), "name", "profile_no").schema.fields, StructField("similarity", DoubleType())])
+
+    def against(block: list) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            sizes: dict = {}
+            for no, name, vector in sorted(sent.value, key=lambda p: p[0], reverse=True):
+                sizes.setdefault(len(vector), []).append((no, name, vector))
+            scale = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
+            ready = {n: ([p[0] for p in found], [p[1] for p in found], scale(np.array([p[2] for p in found], np.float64))) for n, found in sizes.items()}
+            schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
+            for batch in batches:
+                vectors = batch.column("vector").to_pylist()
+                taken, made = [], []
+                for n, (numbers, names, matrix) in ready.items():
+                    at = [i for i, v in enumerate(vectors) if v is not None and len(v) == n]
+                    for begin in range(0, len(at), 256):
+                        some = at[begin : begin + 256]
+                        scores = scale(np.array([vectors[i] for i in some], np.float64)) @ matrix.T
+                        # The order is stable, so of equal scores the higher number, which comes first, wins.
+                        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                        for i, row, places in zip(some, scores, best, strict=True):
+                            taken += [i] * len(places)
+                            made += [(r, names[p], numbers[p], float(row[p])) for r, p in enumerate(places, 1)]
+                columns = [pa.array([m[j] for m in made], schema.field(j + 1).type) for j in range(4)]
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(taken, pa.int64())), *columns], schema=pa.schema([pa.field(key, batch.column(key).type), *(schema.field(j) for j in range(1, 5))]))
+
+        return rows.select(key, "vector").mapInArrow(run, out)
+
+    found = [against(block) for block in _blocks(profiles)]
+    if len(found) == 1:
+        return found[0]
+    met = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("similarity", "profile_no", "name")), asc=False), 1, k).alias("_b"))
+    return met.select(key, F.posexplode("_b").alias("_i", "_p")).select(key, (F.col("_i") + 1).alias("rank"), "_p.name", "_p.profile_no", "_p.similarity")
 
 
 def match_profiles(clusters: DataFrame, profiles: DataFrame, call: str, threshold: float = 0.55) -> DataFrame:
     """call, label, name and similarity: each call's clusters and people matched one to one, best pairs first.
 
     ``clusters``: call, label, label_no, vector; ``profiles``: name, profile_no, vector. With one profile and several
-    clusters the best is taken at 0.30 if it leads by 0.08. A call has a few clusters, so its pairs are few.
+    clusters the best is taken at 0.30 if it leads by 0.08. A cluster's match is among its best as many as the call has
+    clusters, since the others take one each: only those pairs meet.
     """
-    enrolled = F.broadcast(profiles.agg(F.collect_list(F.struct("name", "profile_no", F.col("vector").alias("v"))).alias("_all")))
-    pairs = clusters.join(enrolled, F.lit(True)).select(call, "label", "label_no", "vector", F.explode("_all").alias("p"))
-    pairs = pairs.select(call, "label", "label_no", F.col("p.name").alias("name"), F.col("p.profile_no").alias("profile_no"), cosine(F.col("vector"), F.col("p.v")).alias("similarity")).where("similarity is not null")
+    most = clusters.groupBy(call).count().agg(F.max("count")).first()[0] or 1
+    near = top_profiles(clusters.select(F.struct(call, "label", "label_no").alias("_k"), "vector"), profiles, "_k", most)
+    pairs = near.select("_k.*", "name", "profile_no", "similarity")
     kind = clusters.schema[call].dataType.simpleString()
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:

@@ -139,22 +139,41 @@ def suppress_flips(words: DataFrame, call: str, order: list[str], short: float =
     return flat.select(call, *(F.col(f"_x.e.{c}").alias(c) for c in dict.fromkeys([*order, "start", "end"])), F.col("_x.label").alias("speaker"))
 
 
-def utterance_groups(words: DataFrame, call: str, seq: str, pause: float = 0.50, longest: float = 6.0) -> DataFrame:
-    """Groups of consecutive words of a speaker: a pause of ``pause`` or more, or over ``longest`` seconds, ends one."""
+def label_groups(words: DataFrame, call: str, seq: str, pause: float = 0.50, longest: float = 6.0) -> DataFrame:
+    """call, seq, start, end, speaker and ``group``, the ``seq`` of the first word of the word's utterance.
+
+    Another speaker, a pause of ``pause`` or more, or a word that ends over ``longest`` seconds after the utterance began
+    starts one. The first two hold whatever came before and cut calls into islands; an island's words pass a task in order of time,
+    which remembers one start at a time.
+    """
     order = ["start", "end", seq]
     w = Window.partitionBy(call).orderBy(*order)
     broken = F.lag(F.lit(1)).over(w).isNull() | ~F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) | (F.col("start") - F.lag("end").over(w) >= pause)
-    runs = _islands(words, call, order, broken).groupBy(call, "_island").agg(F.first("speaker").alias("speaker"), F.array_sort(F.collect_list(F.struct(*order))).alias("_t"))
-    one = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(1).alias("n"))
-    empty = F.array().cast("array<struct<start:double,end:double,n:int>>")
+    dealt = _islands(words.select(call, *order, "speaker"), call, order, broken)
+    placed = dealt.repartition(call, "_island").sortWithinPartitions(call, "_island", *order)
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
 
-    def step(done, t):
-        last = F.element_at(done, -1)
-        grown = F.struct(last["start"].alias("start"), t["end"].alias("end"), (last["n"] + 1).alias("n"))
-        return F.when(t["end"] - last["start"] > longest, F.concat(done, F.array(one(t)))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown)))
+    def run(batches):
+        import pyarrow as pa
 
-    grouped = F.aggregate("_t", empty, lambda d, t: F.when(F.size(d) == 0, F.array(one(t))).otherwise(step(d, t)))
-    return runs.select(call, "speaker", F.inline(grouped))
+        island, begin, group = None, None, None
+        for batch in batches:
+            rows, groups = {c: batch.column(c).to_pylist() for c in (call, "_island", *order)}, []
+            for at in zip(rows[call], rows["_island"], rows["start"], rows["end"], rows[seq], strict=True):
+                if at[:2] != island or at[3] - begin > longest:
+                    island, begin, group = at[:2], at[2], at[4]
+                groups.append(group)
+            kept = [batch.column(c) for c in (call, *order, "speaker")]
+            made = pa.array(groups, batch.column(seq).type)
+            yield pa.RecordBatch.from_arrays([*kept, made], [call, *order, "speaker", "group"])
+
+    return placed.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (call, *order, "speaker")) + f", `group` {kinds[seq]}")
+
+
+def utterance_groups(words: DataFrame, call: str, seq: str, pause: float = 0.50, longest: float = 6.0) -> DataFrame:
+    """Groups of consecutive words of a speaker (``label_groups``): call, speaker, start, end and n words."""
+    grouped = label_groups(words, call, seq, pause, longest).groupBy(call, "group")
+    return grouped.agg(F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max_by("end", F.struct("start", "end", seq)).alias("end"), F.count("*").cast("int").alias("n")).drop("group")
 
 
 def merge_spans(spans: DataFrame, call: str, near=2.0, context=4.0, least=6.0, most=18.0) -> DataFrame:

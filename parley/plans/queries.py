@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from parley.functions import audio, text, timing
 from parley.functions.edit import with_error_rates
 from parley.functions.once import with_once
-from parley.operators import benchmarks, consensus, intervals, metrics, profiles, recovery, sessions, training
+from parley.operators import benchmarks, consensus, intervals, metrics, profiles, recovery, refinement, sessions, training
 from parley.plans import fixtures as fx
 from parley.shared import cut
 from parley.sources import exports, transcripts
@@ -875,6 +875,103 @@ def pitch_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.pitch_centers(_groups(spark, sf_dir), "call")
 
 
+_LABELLED = f"""{fx.WRD}, {_TURN},
+sc AS (SELECT w.call, w.seq, t.speaker, sum(least(w.we, t.e) - greatest(w.ws, t.s)) AS sec FROM wrd w JOIN trn t ON w.call = t.call AND w.ws < t.e AND t.s < w.we GROUP BY ALL),
+fs AS (SELECT call, speaker, min(turn_no) AS f, min(s) AS s FROM trn GROUP BY ALL),
+nm AS (SELECT call, speaker, CASE WHEN call % 3 = 0 AND speaker = 'user' THEN 'Caller' ELSE coalesce(['Asha', 'Ravi'][row_number() OVER (PARTITION BY call ORDER BY s, f)], 'Speaker ' || row_number() OVER (PARTITION BY call ORDER BY s, f)) END AS label FROM fs),
+best AS (SELECT call, seq, speaker FROM sc JOIN fs USING (call, speaker) QUALIFY row_number() OVER (PARTITION BY call, seq ORDER BY sec DESC, f) = 1),
+near AS (SELECT w.call, w.seq, t.speaker FROM wrd w JOIN trn t ON w.call = t.call ANTI JOIN best b ON w.call = b.call AND w.seq = b.seq QUALIFY row_number() OVER (PARTITION BY w.call, w.seq ORDER BY abs((w.ws + w.we) / 2 - (t.s + t.e) / 2), t.turn_no) = 1),
+lab AS (SELECT call, seq, label FROM (SELECT * FROM best UNION ALL SELECT * FROM near) JOIN nm USING (call, speaker)),
+rs AS (SELECT w.call, w.seq, t.speaker, sum(least(w.we, t.e) - greatest(w.ws, t.s)) AS sec FROM wrd w JOIN raw t ON w.call = t.call AND w.ws < t.e AND t.s < w.we GROUP BY ALL),
+ov AS (SELECT call, seq, sum(sec) - max(sec) AS o FROM rs GROUP BY ALL),
+lx AS (SELECT w.*, l.label AS p, coalesce(o, 0) >= 0.5 * greatest(0.001, we - ws) AS overlap FROM wrd w JOIN lab l ON w.call = l.call AND w.seq = l.seq LEFT JOIN ov ON w.call = ov.call AND w.seq = ov.seq),
+fx AS (SELECT call, seq, we - ws < 0.3 AND lag(1) OVER o IS NOT NULL AND lead(1) OVER o IS NOT NULL AS op, p, lead(p) OVER o AS nx, ws, we FROM lx WINDOW o AS (PARTITION BY call ORDER BY ws, we, seq)),
+fl AS (SELECT call, list(seq ORDER BY ws, we, seq) AS q, list_reduce(list_transform(list({{'op': op, 'p': p, 'nx': nx}} ORDER BY ws, we, seq), lambda y: [y]), lambda m, y: list_append(m, CASE WHEN y[1].op AND m[-1].p = y[1].nx THEN {{'op': FALSE, 'p': m[-1].p, 'nx': y[1].nx}} ELSE y[1] END)) AS t FROM fx GROUP BY call),
+fq AS (SELECT call, unnest(q) AS seq, unnest(list_transform(t, lambda y: y.p)) AS who FROM fl)"""
+
+
+@query(
+    f"""WITH {_LABELLED}, m AS (SELECT lx.*, who, CASE WHEN lag(lx.seq) OVER w IS NULL OR lag(who) OVER w IS DISTINCT FROM who OR lag(overlap) OVER w IS DISTINCT FROM overlap OR ws - lag(we) OVER w > 0.35 THEN 1 ELSE 0 END AS b
+ FROM lx JOIN fq ON lx.call = fq.call AND lx.seq = fq.seq WINDOW w AS (PARTITION BY lx.call ORDER BY ws, we, lx.seq)),
+g AS (SELECT *, sum(b) OVER (PARTITION BY call ORDER BY ws, we, seq ROWS UNBOUNDED PRECEDING) - 1 AS k FROM m)
+SELECT call, CAST(k AS INT) AS seg_no, round(min(ws), 6) AS start, round(arg_max(we, (ws, we, seq)), 6) AS "end", string_agg(text, ' ' ORDER BY ws, we, seq) AS text, any_value(who) AS speaker, any_value(overlap) AS overlap FROM g GROUP BY call, k"""
+)
+def named_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words labelled by turns, with names, overrides for every third call, and new segments."""
+    turns = fx.turns(spark, sf_dir)
+    overrides = turns.where("call % 3 = 0 AND speaker = 'user'").select("call", "speaker", F.lit("Caller").alias("label")).distinct()
+    found = refinement.assign_word_speakers(fx.words(spark, sf_dir), turns, fx.raw_turns(spark, sf_dir), "call", "seq", "turn_no", names=("Asha", "Ravi"), overrides=overrides)
+    return found.select("call", "seg_no", six("start"), six("end"), "text", "speaker", "overlap")
+
+
+# Utterances of the words, each with a vector of the table: two speakers of a call take from two labels, and every fourth utterance from the other's.
+_VOICES = f"""{fx.WRD},
+l AS (SELECT call, list_reduce(list_transform(list({{'s': ws, 'e': we, 'p': speaker, 'q': seq, 'g': seq, 'b': ws}} ORDER BY ws, we, seq), lambda y: [y]), lambda m, y: list_append(m,
+  CASE WHEN m[-1].p = y[1].p AND y[1].s - m[-1].e < 0.5 AND y[1].e - m[-1].b <= 6.0 THEN {{'s': y[1].s, 'e': y[1].e, 'p': y[1].p, 'q': y[1].q, 'g': m[-1].g, 'b': m[-1].b}} ELSE y[1] END)) AS t FROM wrd GROUP BY call),
+lw AS (SELECT call, x.q AS seq, x.g AS utterance, x.p AS p, x.s AS s, x.e AS e FROM (SELECT call, unnest(t) AS x FROM l)),
+gr AS (SELECT call, utterance, any_value(p) AS previous, min(s) AS s, arg_max(e, (s, e, seq)) AS e, count(*) AS n_words FROM lw GROUP BY call, utterance),
+gk AS (SELECT *, e - s AS seconds, row_number() OVER (PARTITION BY call ORDER BY utterance) - 1 AS k, CASE previous WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS ix FROM gr),
+em AS (SELECT label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+gv AS (SELECT gk.*, v, CASE WHEN k % 5 <> 4 THEN 100.0::DOUBLE + 80 * ix + k % 7 END AS pitch FROM gk JOIN em ON label = (call + ix + CASE WHEN k % 4 = 3 THEN 1 ELSE 0 END) % 10 AND r = (call * 7 + k) % n),
+ce AS (SELECT call, previous AS name, i, avg(v[i]) AS a FROM (SELECT call, previous, v, unnest(range(1, len(v) + 1)) AS i FROM gv) GROUP BY ALL),
+cc AS (SELECT call, name, list(a ORDER BY i) AS c FROM ce GROUP BY ALL),
+sm AS (SELECT call, utterance, name, list_cosine_similarity(v, c) AS sim, row_number() OVER (PARTITION BY call, utterance ORDER BY list_cosine_similarity(v, c) DESC, name DESC) AS k FROM gv JOIN cc USING (call) WHERE call IN (SELECT call FROM cc GROUP BY call HAVING count(*) >= 2)),
+bs AS (SELECT call, utterance, max(CASE WHEN k = 1 THEN name END) AS best_name, max(CASE WHEN k = 1 THEN sim END) AS best, max(CASE WHEN k = 2 THEN sim END) AS second FROM sm GROUP BY ALL),
+pe AS (SELECT label, 'voice ' || label AS name, list(a ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS a FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id % 2 = 0 AND label IN (PEOPLE)) GROUP BY ALL) GROUP BY label),
+ps AS (SELECT call, utterance, name, list_cosine_similarity(v, c) AS sim, row_number() OVER (PARTITION BY call, utterance ORDER BY list_cosine_similarity(v, c) DESC, label DESC) AS k FROM gv CROSS JOIN pe),
+pb AS (SELECT call, utterance, max(CASE WHEN k = 1 THEN name END) AS profile_name, max(CASE WHEN k = 1 THEN sim END) AS profile_best, max(CASE WHEN k = 2 THEN sim END) AS profile_second FROM ps GROUP BY ALL),
+an AS (SELECT call, arg_max(name, sim) AS anchor FROM (SELECT call, cc.name, list_cosine_similarity(cc.c, pe.c) AS sim FROM cc CROSS JOIN pe) GROUP BY call HAVING max(sim) >= 0.3 AND max(sim) - max(sim, 2)[2] >= 0.08),
+pc AS (SELECT call, list(previous ORDER BY previous) AS who, list(m ORDER BY previous) AS hz FROM (SELECT call, previous, median(pitch) AS m FROM gv WHERE seconds >= 1.5 AND pitch IS NOT NULL GROUP BY ALL) GROUP BY call HAVING count(*) = 2),
+d1 AS (SELECT gv.*, best_name, best, second, profile_name, profile_best, profile_second, (SELECT count(*) FROM pe) AS n_profiles, anchor,
+  CASE WHEN abs(log2(hz[1] / hz[2])) >= 0.25 AND least(abs(log2(pitch / hz[1])), abs(log2(pitch / hz[2]))) <= 0.22 AND abs(abs(log2(pitch / hz[1])) - abs(log2(pitch / hz[2]))) >= 0.15 THEN CASE WHEN abs(log2(pitch / hz[1])) < abs(log2(pitch / hz[2])) THEN who[1] ELSE who[2] END END AS pitch_name
+  FROM gv JOIN bs USING (call, utterance) LEFT JOIN pb USING (call, utterance) LEFT JOIN an USING (call) LEFT JOIN pc USING (call)),
+d2 AS (SELECT *, coalesce((n_profiles = 1 AND anchor = best_name AND profile_best >= 0.42) OR (n_profiles >= 2 AND profile_best >= 0.5 AND profile_best - profile_second >= 0.08), false) AS known, best >= 0.25 AND best - second >= CASE WHEN seconds < 0.7 THEN 0.10 ELSE 0.055 END AS near FROM d1),
+dc AS (SELECT *, CASE WHEN known THEN profile_name WHEN near THEN best_name WHEN seconds <= 1.2 AND pitch_name IS NOT NULL THEN pitch_name ELSE previous END AS selected,
+  CASE WHEN known THEN 'enrolled profile' WHEN near THEN 'call centroid' WHEN seconds <= 1.2 AND pitch_name IS NOT NULL THEN 'call pitch' ELSE 'timeline' END AS source FROM d2)"""
+
+
+def _refined(spark: SparkSession, sf_dir: str, people: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(segments, decisions) of all words and vectors."""
+    words = fx.words(spark, sf_dir)
+    rank = lambda by, order: F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    each = fx.read(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("vector"), rank("label", "vec_id").alias("_r"), F.count("*").over(Window.partitionBy("label")).alias("_n"))
+    groups = refinement.utterances(words, "call", "seq").withColumns({"_k": rank("call", "utterance"), "_ix": F.when(F.col("previous") == "user", 0).when(F.col("previous") == "assistant", 1).otherwise(2)})
+    groups = groups.withColumn("label", ((F.col("call") + F.col("_ix") + F.when(F.col("_k") % 4 == 3, 1).otherwise(0)) % 10).cast("int"))
+    sizes = each.select("label", "_n").distinct()
+    met = groups.join(sizes, "label").withColumn("_r", (F.col("call") * 7 + F.col("_k")) % F.col("_n")).join(each.drop("_n"), ["label", "_r"])
+    vectors = met.select("call", "utterance", "vector", F.when(F.col("_k") % 5 != 4, 100.0 + 80 * F.col("_ix") + F.col("_k") % 7).alias("pitch"))
+    return refinement.refine_segments(words, vectors, None, _profiles(spark, sf_dir).where(F.col("profile_no").isin(*people)), "call", "seq")
+
+
+_DECISION = "SELECT call, utterance, n_words, selected, source, source <> 'timeline' AS confident, best_name, round(best, 4) AS best, round(best - second, 4) AS margin FROM dc"
+
+
+def _decisions(found: DataFrame) -> DataFrame:
+    return found.select("call", "utterance", "n_words", "selected", "source", "confident", "best_name", F.round("best", 4).alias("best"), F.round(F.col("best") - F.col("second"), 4).alias("margin"))
+
+
+@query(f"WITH {_VOICES.replace('PEOPLE', '3, 4')} {_DECISION}")
+def voice_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What speaks for each utterance's speaker, with two people enrolled."""
+    return _decisions(_refined(spark, sf_dir, (3, 4))[1])
+
+
+@query(f"WITH {_VOICES.replace('PEOPLE', '3')} {_DECISION}")
+def anchored_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one person, who counts in calls where one speaker's centroid is clearly theirs."""
+    return _decisions(_refined(spark, sf_dir, (3,))[1])
+
+
+@query(
+    f"""WITH {_VOICES.replace('PEOPLE', '3, 4')}, rw AS (SELECT w.call, w.seq, w.text, ws, we, CASE WHEN source <> 'timeline' THEN selected ELSE speaker END AS who FROM wrd w JOIN lw ON w.call = lw.call AND w.seq = lw.seq LEFT JOIN dc ON dc.call = w.call AND dc.utterance = lw.utterance),
+m AS (SELECT *, CASE WHEN lag(seq) OVER w IS NULL OR lag(who) OVER w IS DISTINCT FROM who OR ws - lag(we) OVER w > 0.35 THEN 1 ELSE 0 END AS b FROM rw WINDOW w AS (PARTITION BY call ORDER BY ws, we, seq)),
+g AS (SELECT *, sum(b) OVER (PARTITION BY call ORDER BY ws, we, seq ROWS UNBOUNDED PRECEDING) - 1 AS k FROM m)
+SELECT call, CAST(k AS INT) AS seg_no, round(min(ws), 6) AS start, round(arg_max(we, (ws, we, seq)), 6) AS "end", string_agg(text, ' ' ORDER BY ws, we, seq) AS text, any_value(who) AS speaker FROM g GROUP BY call, k"""
+)
+def refined_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refined(spark, sf_dir, (3, 4))[0].select("call", "seg_no", six("start"), six("end"), "text", "speaker")
+
+
 # --- documents, training, jobs, audio ---------------------------------------------------------------
 
 _WHO = "CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END"
