@@ -48,8 +48,8 @@ def split_calls(calls: DataFrame, call: str, seed: int = SEED) -> DataFrame:
     return hashed.select(call, F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test").alias("split"))
 
 
-def manifest(segments: DataFrame, splits: DataFrame, call: str, order: list[str], rate: int = 16_000, seed: int = SEED) -> DataFrame:
-    """split, audio_filepath, text and duration of utterances with text and 0.2 s or more, numbered per split.
+def manifest(segments: DataFrame, splits: DataFrame, call: str, order: list[str], rate: int = 16_000, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """call, split, audio_filepath, text and duration of utterances with text and 0.2 s or more, numbered per split; ``keep`` columns stay.
 
     Numbers follow the hash order of the calls, as the split does: utterances are ranked within 4096 hash ranges
     a split, and a range's offset comes from the counts of those before it.
@@ -65,7 +65,7 @@ def manifest(segments: DataFrame, splits: DataFrame, call: str, order: list[str]
     within = Window.partitionBy("split", "_b").orderBy(F.col("_h").bitwiseAND(F.lit((1 << 52) - 1)), *order)
     numbered = kept.join(F.broadcast(before), ["split", "_b"]).withColumn("_n", F.col("_before") + F.row_number().over(within) - 1)
     samples = F.rint(F.col("end") * rate) - F.rint(F.col("start") * rate)
-    return numbered.select(call, "split", F.format_string("%s_%06d.wav", F.col("split"), F.col("_n")).alias("audio_filepath"), F.trim("text").alias("text"), (samples / rate).alias("duration"))
+    return numbered.select(call, "split", F.format_string("%s_%06d.wav", F.col("split"), F.col("_n")).alias("audio_filepath"), F.trim("text").alias("text"), (samples / rate).alias("duration"), *keep)
 
 
 def split_summary(segments: DataFrame, splits: DataFrame, call: str) -> DataFrame:

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import math
+import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.functions import audio, text, timing
 from parley.functions.edit import with_error_rates
 from parley.functions.once import with_once
-from parley.operators import benchmarks, consensus, intervals, metrics, profiles, recovery, refinement, sessions, training
+from parley.operators import benchmarks, consensus, intervals, matrix, metrics, profiles, recovery, refinement, sessions, training
 from parley.plans import fixtures as fx
-from parley.shared import cut
-from parley.sources import exports, transcripts
+from parley.shared import cut, shared_folder
+from parley.sources import audio as media
+from parley.sources import exports, shards, transcripts
 from parley.streaming.sessions import live_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -713,6 +715,41 @@ def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.promotion(found.withColumn("runtime_40min", F.lit(900.0) + 100 * F.col("candidate_no")))
 
 
+def _losing(n: int, fails: str | None = None) -> matrix.Recognizer:
+    """A stand-in for a speech model: it misses every n-th word, and fails in one mode."""
+
+    def recognize(items: DataFrame, mode: str) -> DataFrame:
+        text = fx.without_every(F.col("ref"), n if mode == "original" else n + 4)
+        heard = F.raise_error(F.lit("out of memory")).cast("string") if mode == fails else text
+        return items.select("item", heard.alias("hyp"), (F.col("end") - F.col("start")).alias("scored"), F.greatest(F.lit(0.0), F.col("end") - F.col("start") - 0.25).alias("correct"))
+
+    return recognize
+
+
+def _ran(n: int, candidate: str, k: int) -> str:
+    one = lambda mode, k: f"SELECT {n} AS candidate_no, '{candidate}' AS candidate, '{mode}' AS mode, {k} AS k0, call, seg_no, {fx.norm_sql('text')} AS r, {fx.norm_sql(fx.without_sql('text', k))} AS h, e - s AS sc, greatest(0.0, e - s - 0.25) AS co FROM seg"
+    return f"{one('original', k)} UNION ALL {one('telephone', k + 4)}"
+
+
+@query(
+    re.sub(r"ru AS \(.*?\),\nxs", lambda _: f"ru AS ({_ran(0, 'alpha', 5)} UNION ALL {_ran(2, 'gamma', 9)}),\nxs", _RUNS_SQL, count=1, flags=re.S)
+    + f"SELECT candidate_no, candidate, mode, n_items, 2 AS n_parts, round(wer, 6) AS wer, round(cer, 6) AS cer, round(number_accuracy, 6) AS number_accuracy, round(name_accuracy, 6) AS name_accuracy, round(speaker_accuracy, 6) AS speaker_accuracy, {_TARGET} AS meets_target FROM rp"
+)
+def benchmark_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three recognisers, of which one fails, over every other item and then over all: the second run computes the rest, a third nothing."""
+    items = fx.segments(spark, sf_dir).select(F.concat_ws("-", "call", "seg_no").alias("item"), "seg_no", F.col("text").alias("ref"), "start", "end", F.lit(True).alias("complete"))
+    run = {"alpha": _losing(5), "broken": _losing(5, "telephone"), "gamma": _losing(9)}
+    found = matrix.Matrix(spark, f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}")
+    found.run(items.where("seg_no % 2 = 0"), run)
+    found.run(items, run)
+    again, errors = found.run(items, run)
+    if again or list(errors) != ["broken:telephone"]:
+        raise RuntimeError("a finished matrix was computed again")
+    reports = found.reports(items, list(run), fx.NAMES)
+    parts = F.create_map(*(F.lit(x) for c in ("alpha", "gamma") for m in matrix.MODES for x in (f"{c}:{m}", len(found.parts(c, m)))))
+    return reports.select("candidate_no", "candidate", "mode", "n_items", parts[F.concat_ws(":", "candidate", "mode")].alias("n_parts"), *(six(c) for c in metrics.TARGETS), "meets_target")
+
+
 # --- benchmarks -----------------------------------------------------------------------------------
 
 # Two turns of a call are the items of one benchmark; every other one is heard as its successor, the others lose words.
@@ -1044,22 +1081,78 @@ def latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.latest_jobs(log)
 
 
-def _tones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A two-second tone with pauses for every nation, at its own pitch."""
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """call and ``pcm``, the call's texts as a waveform."""
+    entry = F.array_sort(F.collect_list(F.struct("seg_no", "text")))
+    whole = fx.segments(spark, sf_dir).groupBy("call").agg(entry.alias("e")).select("call", F.array_join(F.transform("e", lambda x: x["text"]), "").alias("text"))
+    return whole.where("text <> ''").select("call", fx.spoken(F.col("text")).alias("pcm"))
 
-    def make(keys: pd.Series) -> pd.Series:
-        t = np.arange(2 * audio.RATE) / audio.RATE
-        return keys.map(lambda k: (0.1 * np.sin(2 * math.pi * (200 + 150 * k) * t) * ((t % 1) < 0.7) + 0.0005 * np.sin(9001 * t)).astype("<f4").tobytes())
 
-    return fx.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.pandas_udf(make, "binary")("n_nationkey").alias("pcm"))
+_SAMPLES = f"""WITH {fx.SEG}, rc AS (SELECT call, string_agg(text, '' ORDER BY seg_no) AS t FROM seg GROUP BY call HAVING length(string_agg(text, '')) > 0),
+sa AS (SELECT call, list_transform(string_split(t, ''), lambda c: (unicode(c) % 256 - 128) / 128.0::DOUBLE) AS x FROM rc)"""
 
 
-@query()
+@query(
+    _SAMPLES
+    + f""" SELECT call, {fx.RATE} AS sample_rate, 16 * len(x) / {fx.RATE}.0::DOUBLE AS duration_seconds, round(20 * log10(list_max(list_transform(x, lambda v: abs(v)))), 6) AS peak_dbfs,
+  round(20 * log10(sqrt(list_avg(list_transform(x, lambda v: v * v)) + 1e-12)), 6) AS rms_dbfs, round(list_avg(x), 6) AS dc_offset, round(100.0 * len(list_filter(x, lambda v: abs(v) >= 0.999)) / len(x), 6) AS clipping_percent FROM sa"""
+)
 def audio_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tones(spark, sf_dir).select("key", audio.diagnostics(F.col("pcm")).alias("d")).select("key", "d.*")
+    """Of all measures those that SQL can take; the whole is in ``audio_report``."""
+    found = _recordings(spark, sf_dir).select("call", audio.diagnostics(F.col("pcm"), fx.RATE).alias("d"))
+    return found.select("call", "d.sample_rate", "d.duration_seconds", *(six(f"d.{c}").alias(c) for c in ("peak_dbfs", "rms_dbfs", "dc_offset", "clipping_percent")))
+
+
+@query()
+def audio_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recording's diagnostics document in automatic mode."""
+    found = _recordings(spark, sf_dir).select("call", audio.diagnostics(F.col("pcm"), fx.RATE).alias("d"))
+    return found.select("call", audio.diagnostics_json(F.col("d"), "auto").alias("content"))
 
 
 @query()
 def audio_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = _tones(spark, sf_dir).select("key", audio.variant(F.col("pcm"), "telephone", F.lit(False)).alias("pcm"))
-    return ready.select("key", F.length(audio.wav(F.col("pcm"))).alias("wav_bytes"), audio.diagnostics(F.col("pcm")).alias("d")).select("key", "wav_bytes", six("d.peak_dbfs").alias("peak_dbfs"))
+    ready = _recordings(spark, sf_dir).select("call", audio.variant(F.col("pcm"), "telephone", F.lit(False)).alias("pcm"))
+    return ready.select("call", F.length(audio.wav(F.col("pcm"))).alias("wav_bytes"), audio.diagnostics(F.col("pcm")).alias("d")).select("call", "wav_bytes", six("d.peak_dbfs").alias("peak_dbfs"))
+
+
+_PCM16 = "CAST(coalesce(list_sum(list_transform(string_split({0}, ''), lambda c: trunc((unicode(c) % 256 - 128) / 128.0::DOUBLE * 32767))), 0) AS BIGINT)"
+
+
+def _sum16(data: Column) -> Column:
+    """The sum of 16-bit samples."""
+
+    def add(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: int(np.frombuffer(d, "<i2").sum(dtype=np.int64)))
+
+    return F.pandas_udf(add, "long")(data)
+
+
+@query(f"WITH {fx.SEG} SELECT call, seg_no, 16 * length(text) AS n_samples, 16 * {_PCM16.format('text')} AS total FROM seg WHERE text <> ''")
+def recording_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls written as WAV files, and each segment cut from its call's file by its time."""
+    files = _recordings(spark, sf_dir).select(F.format_string("call-%d.wav", "call").alias("name"), audio.wav(F.col("pcm"), fx.RATE).alias("content"), "call")
+    written = cut(media.write_files(files, f"{shared_folder(spark)}/recordings-{uuid.uuid4().hex}"))
+    seg = fx.segments(spark, sf_dir).where("end > start").withColumn("name", F.format_string("call-%d.wav", "call"))
+    windows = seg.join(written, "name").select("call", "seg_no", "path", F.col("start").alias("source_start"), F.col("end").alias("source_end"))
+
+    def add(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: int(np.rint(audio.waveform(d) * 32768).sum(dtype=np.float64)))
+
+    return media.cut_windows(windows, fx.RATE).select("call", "seg_no", (F.octet_length("pcm") / 4).cast("long").alias("n_samples"), F.pandas_udf(add, "long")("pcm").alias("total"))
+
+
+@query(
+    f"""WITH {fx.SEG} SELECT CASE call % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, call, seg_no, trim(text, ' ') AS text, 16 * length(text) / {fx.RATE}.0::DOUBLE AS duration, 44 + 32 * length(text) AS n_bytes,
+  16 * {_PCM16.format("text")} AS total FROM seg WHERE e - s >= 0.2 AND trim(text, ' ') <> ''"""
+)
+def training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All utterances written as tar shards of a megabyte, published, and read back."""
+    seg = fx.segments(spark, sf_dir)
+    split = F.when(F.col("call") % 10 == 0, "test").when(F.col("call") % 10 == 1, "val").otherwise("train")
+    named = training.manifest(seg.withColumn("whole", F.col("text")), seg.select("call", split.alias("split")).distinct(), "call", ["call", "seg_no"], fx.RATE, keep=("seg_no", "whole"))
+    clips = named.select("split", F.format_string("%s_%d_%d.wav", F.regexp_replace("audio_filepath", "[.]wav$", ""), "call", "seg_no").alias("audio_filepath"), "text", "duration", audio.wav(fx.spoken(F.col("whole")), fx.RATE).alias("content"))
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    shards.write_shards(clips, path, 1 << 20)
+    part = lambda i: F.regexp_extract("audio_filepath", "_([0-9]+)_([0-9]+)[.]wav$", i).cast("long")
+    return shards.read_shards(spark, path).select("split", part(1).alias("call"), part(2).alias("seg_no"), "text", "duration", F.octet_length("content").cast("long").alias("n_bytes"), _sum16(F.expr("substring(content, 45)")).alias("total"))

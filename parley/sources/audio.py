@@ -208,3 +208,29 @@ def prepare_items(windows: DataFrame, total: float = 600.0, rate: int = RATE) ->
     """(items of a benchmark manifest, their audio as id and WAV ``content``) from windows (id, path, source_start, source_end)."""
     cut = cut_windows(windows.withColumn("source_name", F.element_at(F.split("path", "/"), -1)), rate)
     return manifest_items(cut, total), cut.select("id", wav(F.col("pcm"), rate).alias("content"))
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes ``content`` of rows (name, content) to ``folder``/name and returns name, ``path`` and ``size``; nothing happens before an action.
+
+    A file appears at once and whole; a task that runs again writes the same.
+    """
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        store, root = file_system(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            names, sizes = batch.column("name").to_pylist(), []
+            for name, content in zip(names, batch.column("content"), strict=True):
+                data, new = content.as_py(), f"{root}/{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(new) as file:
+                    file.write(data)
+                store.move(new, f"{root}/{name}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([f"{root}/{n}" for n in names], pa.string()), pa.array(sizes, pa.int64())], ["name", "path", "size"])
+
+    return files.select("name", "content").mapInArrow(run, "name string, path string, size long")
