@@ -12,9 +12,10 @@ finds and sends a spanning forest, not the pairs: links inside a dense group gro
 members. Connected components are found by alternating star contraction.
 
 ``keep_similar`` works on similarity instead of a few bits: word shingles of ``WIDE_SHINGLE`` words that
-texts share to ``SIMILARITY`` (Jaccard) or more. There fingerprints of ``WIDE_BITS`` bits estimate the
-similarity, shards are samples of bits, as many and as wide as the number of fingerprints asks for, and a
-shard's trees are built and searched where its fingerprints meet.
+texts share to ``SIMILARITY`` (Jaccard) or more. There fingerprints of ``WIDE_BITS`` bits propose pairs: shards are samples of bits, as
+many and as wide as the number of fingerprints asks for, and a shard's trees are built and searched where its fingerprints meet. Every link
+is then verified by both texts' sets of shingles. Where a proposed link falls, the texts around it propose further ones, until no pair
+within the radius is left that could connect two groups.
 
 Cases: a null, empty or blank text has no words and the fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; a null id keeps its row, with the
@@ -24,6 +25,8 @@ documents; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,7 +45,9 @@ TREE_NODES = 1 << 13
 BROADCAST_NODES = 1 << 20
 WIDE_SHINGLE, WIDE_BITS, SIMILARITY = 5, 512, 0.8
 #: Share of the pairs of just ``SIMILARITY`` that some shard shall hold; fingerprints that a shard holds on average; most of them in one tree.
-RECALL, SHARD_PRINTS, PART_PRINTS = 0.95, 24, 1 << 14
+RECALL, SHARD_PRINTS, PART_PRINTS = 0.97, 24, 1 << 14
+#: Standard deviations beyond the distance that is expected at ``SIMILARITY`` at which a pair is still proposed, and before it within which it is first.
+REACH, CLOSE = 2.0, -5.0
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LANES = np.uint64(0x0101010101010101)
@@ -161,15 +166,21 @@ class Union:
         self.values = np.unique(values)
         self.root = np.arange(len(self.values))
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = np.searchsorted(self.values, a), np.searchsorted(self.values, b)
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Unite the sets of a[i] and b[i]; returns which i did: a spanning forest of what was joined."""
+        a, b, at = np.searchsorted(self.values, a), np.searchsorted(self.values, b), np.arange(len(a))
+        taken = [at[:0]]
         while True:
             ra, rb = self.root[a], self.root[b]
             apart = ra != rb
             if not apart.any():
-                return
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
+                return np.concatenate(taken)
+            a, b, at = a[apart], b[apart], at[apart]
+            high, low = np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart]
+            order = np.lexsort((low, high))
+            first = order[np.r_[True, high[order][1:] != high[order][:-1]]]
+            self.root[high[first]] = low[first]
+            taken.append(at[first])
             while True:
                 up = self.root[self.root]
                 if (up == self.root).all():
@@ -321,7 +332,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, bits: int = WIDE_BITS) -> DataFrame:
-    """doc_id and ``fp``, as bytes, of every row: majority bits of the hashes of its distinct shingles."""
+    """doc_id, ``text_key``, ``node``, ``fp`` and ``grams`` of every row.
+
+    ``text_key`` hashes the text, ``node`` the set of its shingles; ``fp``: majority bits of the shingles' hashes, as bytes; ``grams``: the
+    set itself, 32 bits of each hash in ascending order (n shingles of two texts agree by chance in about n^2 / 2^33).
+    """
     offsets = mix(np.arange(1, bits // 64 + 1, dtype=np.uint64))
 
     def majorities(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -343,7 +358,7 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for batch in batches:
-            for row, data, ends in text_slices(batch.column(1)):
+            for row, data, ends in text_slices(batch.column(2)):
                 words = split_words(data, ends)
                 hashes = hash_words(data, words, lower=True)
                 count = np.diff(words.bounds)
@@ -354,15 +369,28 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 owner, h = np.r_[words.row[inside], short].astype(np.int64), np.r_[grams[inside], whole]
                 order = np.lexsort((h, owner))
                 owner, h = owner[order], h[order]
+                bounds, node = np.zeros(len(count) + 1, np.int64), np.zeros(len(count), np.uint64)
                 if len(h):
                     new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]
                     owner, h = owner[new], h[new]
-                    fp = majorities(h, np.searchsorted(owner, np.arange(len(count) + 1)))
+                    bounds = np.searchsorted(owner, np.arange(len(count) + 1))
+                    some = np.flatnonzero(np.diff(bounds))
+                    node[some] = mix(np.add.reduceat(mix(h ^ np.uint64(SEED)), bounds[some]) + np.diff(bounds)[some].astype(np.uint64))
+                    fp = majorities(h, bounds)
                 else:
                     fp = np.zeros((len(count), bits // 64), np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(count)), pa.array([x.tobytes() for x in fp], pa.binary())], names=["doc_id", "fp"])
+                # Hashes ascend within a text, and so do their upper halves.
+                upper = (h >> np.uint64(32)).astype("<u4")
+                sets = [upper[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                part = [batch.column(i).slice(row, len(count)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(node.view(np.int64)), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "text_key", "node", "fp", "grams"])
+
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, node long, fp binary, grams binary")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary")
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key")
 
 
 def samples(prints: int, bits: int = WIDE_BITS, similarity: float = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
@@ -378,125 +406,216 @@ def samples(prints: int, bits: int = WIDE_BITS, similarity: float = SIMILARITY,
     return [np.sort(rng.permutation(bits)[:k]) for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - together))))]
 
 
-def wide_radius(bits: int = WIDE_BITS, similarity: float = SIMILARITY) -> int:
-    """Bits in which fingerprints of texts with this similarity differ, and half a standard deviation more."""
+def wide_radius(bits: int = WIDE_BITS, similarity: float = SIMILARITY, deviations: float = REACH) -> int:
+    """Bits in which fingerprints of texts with this similarity differ, and some standard deviations more."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.floor(bits * p + np.sqrt(bits * p * (1 - p)) / 2))
+    return max(0, int(np.floor(bits * p + deviations * np.sqrt(bits * p * (1 - p)))))
 
 
-def similar_links(distinct: DataFrame, count: int, bits: int = WIDE_BITS, similarity: float = SIMILARITY, recall: float = RECALL, part_prints: int = PART_PRINTS) -> DataFrame:
-    """(a, b): links between the ``node`` of distinct fingerprints (node, fp) that connect all near pairs within shards.
+def _packed(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
-    A shard of more than ``part_prints`` fingerprints is dealt to several trees. Of each only those fingerprints that are
-    no tree-child of a near one go on to meet those of the shard's other trees, round by round.
-    """
-    radius, chosen = wide_radius(bits, similarity), samples(count, bits, similarity, recall)
 
-    def deal(batches):
+def deal(distinct: DataFrame, count: int, bits: int, similarity: float, recall: float) -> DataFrame:
+    """(shard, node, fp): every fingerprint in a shard of each sample."""
+    chosen = samples(count, bits, similarity, recall)
+
+    def run(batches):
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, bits // 8)
-            one = np.unpackbits(flat, axis=1, bitorder="little")
+            one = np.unpackbits(_packed(batch.column(1)).reshape(-1, bits // 8), axis=1, bitorder="little")
             for number, sample in enumerate(chosen):
                 shard = (number << 40) + one[:, sample].astype(np.int64) @ (1 << np.arange(len(sample), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(1)], names=["shard", "node", "fp"])
 
+    return distinct.select("node", "fp").mapInArrow(run, "shard long, node long, fp binary")
+
+
+def _by_group(batches, limit: int = 50_000):
+    """Arrays of whole groups of rows that agree in the first column and follow each other; about ``limit`` rows at a time."""
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([_packed(c).reshape(batch.num_rows, -1) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+            if rows > limit:
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                end = int(np.flatnonzero(columns[0] != columns[0][-1]).max(initial=-1)) + 1
+                held, rows = [[c[end:] for c in columns]], rows - end
+                if end:
+                    yield [c[:end] for c in columns]
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def proposed_links(shards: DataFrame, bits: int = WIDE_BITS, similarity: float = SIMILARITY, part_prints: int = PART_PRINTS) -> DataFrame:
+    """(a, b): near pairs of nodes that connect all that are near within a shard; the closest come first.
+
+    A shard of more than ``part_prints`` fingerprints is dealt to several trees. Of each only those fingerprints that hang on
+    no very close one go on to meet those of the shard's other trees, round by round. Where these hardly get fewer, trees meet in pairs.
+    """
+    radii = wide_radius(bits, similarity, CLOSE), wide_radius(bits, similarity)
+
     def meet(batches):
         """Links have a null shard; leaders name theirs, for the shards that were dealt to several trees."""
-        held: list = []
-        rows = 0
-
-        def look(groups: np.ndarray, node: np.ndarray, raw: np.ndarray, dealt: np.ndarray):
-            words = raw.view(np.uint64)
-            forest = BKForest(groups, words)
-            child, parent = forest.near_parents(radius)
-            union = Union(node)
-            union.join(node[child], node[parent])
-            for a, b in forest.search(groups, words, radius, connect=True):
-                union.join(node[a], node[b])
-            a, b = union.edges()
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([None] * len(a), pa.int64()), pa.array([None] * len(a), pa.binary())], names=names)
-            leads = np.ones(len(node), bool)
-            leads[child] = False
-            leads &= dealt
+        for group, shard, node, raw, open_ in _by_group(batches):
+            _, inverse, n = np.unique(group, return_inverse=True, return_counts=True)
+            met = (n[inverse] > 1) | open_
+            group, shard, node, raw, open_ = (x[met] for x in (group, shard, node, np.ascontiguousarray(raw), open_))
+            if not len(group):
+                continue
+            words = np.ascontiguousarray(raw).view(np.uint64)
+            forest, union = BKForest(group, words), Union(node)
+            for radius in radii:
+                child, parent = forest.near_parents(radius)
+                taken = union.join(node[child], node[parent])
+                yield links_of(node[child[taken]], node[parent[taken]])
+                for a, b in forest.search(group, words, radius, connect=True):
+                    taken = union.join(node[a], node[b])
+                    if len(taken):
+                        yield links_of(node[a[taken]], node[b[taken]])
+            leads = open_.copy()
+            leads[forest.near_parents(radii[0])[0]] = False
             if leads.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[leads]), pa.array([None] * int(leads.sum()), pa.int64()), pa.array(groups[leads] >> 16), pa.array([x.tobytes() for x in raw[leads]], pa.binary())], names=names)
-
-        def grouped(all_of_it: bool):
-            nonlocal held, rows
-            group, node, dealt, raw = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = len(group) if all_of_it else int(np.flatnonzero(group != group[-1]).max(initial=-1)) + 1
-            rest = (group[end:], node[end:], dealt[end:], raw[end:])
-            group, node, dealt, raw = group[:end], node[:end], dealt[:end], raw[:end]
-            held, rows = ([rest], len(rest[0])) if len(rest[0]) else ([], 0)
-            if end:
-                _, inverse, n = np.unique(group, return_inverse=True, return_counts=True)
-                met = (n[inverse] > 1) | dealt
-                if met.any():
-                    yield from look(group[met], node[met], np.ascontiguousarray(raw[met]), dealt[met])
+                yield pa.RecordBatch.from_arrays([pa.array(node[leads]), pa.array([None] * int(leads.sum()), pa.int64()), pa.array(shard[leads]), pa.array([x.tobytes() for x in raw[leads]], pa.binary())], names=names)
 
-        for batch in batches:
-            if batch.num_rows:
-                raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, bits // 8)
-                held.append(((batch.column(0).to_numpy() << 16) + batch.column(3).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy() > 1, raw))
-                rows += batch.num_rows
-                if rows > 50_000:
-                    yield from grouped(False)
-        if rows:
-            yield from grouped(True)
+    def links_of(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([None] * len(a), pa.int64()), pa.array([None] * len(a), pa.binary())], names=names)
 
     names = ["a", "b", "shard", "fp"]
-    shards = table(distinct.select("node", "fp").mapInArrow(deal, "shard long, node long, fp binary"), "simhash-shards")
     out, left, taken = [], None, 0
     while True:
         large = shards.groupBy("shard").count().where(F.col("count") > part_prints).select("shard", F.ceil(F.col("count") / part_prints).cast("int").alias("parts"))
         large = table(large, "simhash-large-shards")  # one in ``part_prints`` rows at most
         now, parts = shards.count(), F.coalesce("parts", F.lit(1))
-        # Where leaders no longer get fewer, the rest meets in one tree.
-        parts = F.lit(1) if left is not None and now > 0.7 * left else parts
+        pairs = left is not None and now > 0.7 * left
         keyed = shards.join(large, "shard", "left").select("shard", "node", "fp", F.pmod(F.xxhash64("node", F.lit(taken)), parts).cast("int").alias("part"), parts.alias("parts"))
-        met = keyed.repartition("shard", "part").sortWithinPartitions("shard", "part").select("shard", "node", "fp", "part", "parts")
-        found = table(met.select("shard", "node", "fp", F.col("part").cast("long"), F.col("parts").cast("long")).mapInArrow(meet, "a long, b long, shard long, fp binary"), "simhash-links")
+        if pairs:
+            other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+            keyed = keyed.withColumn("_o", other).select("shard", "node", "fp", F.struct(F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j")).alias("part"), F.lit(1).alias("parts"))
+        met = keyed.select(F.xxhash64("shard", "part").alias("group"), "shard", "node", "fp", (F.col("parts") > 1).alias("open")).repartition("group").sortWithinPartitions("group")
+        found = table(met.mapInArrow(meet, "a long, b long, shard long, fp binary"), "simhash-links")
         out.append(found.where("shard is null").select("a", "b"))
-        discard(shards, large)
+        discard(large)
         left, taken = now, taken + 1
-        shards = table(found.where("shard is not null").select("shard", F.col("a").alias("node"), "fp"), "simhash-leaders")
-        if not shards.limit(1).count():
+        shards = found.where("shard is not null").select("shard", F.col("a").alias("node"), "fp")
+        if shards.isEmpty():
             break
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-    return whole.distinct()
+    return reduce(DataFrame.unionByName, out).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(fp, node, root, component_id) of every distinct wide fingerprint; ``component_id`` is the smallest id of the component."""
+def further_links(shards: DataFrame, state: DataFrame, most: int, bits: int = WIDE_BITS, similarity: float = SIMILARITY, part_prints: int = PART_PRINTS) -> DataFrame:
+    """(a, b): of every open node the ``most`` nearest in each other group that it meets in a shard and could be connected with.
+
+    ``state``: node, ``f`` (connected by proposed links), ``v`` (by verified ones) and ``asks``, which is false for the largest ``v`` of
+    an ``f``. Large meetings are cut into pieces of nodes and of asking nodes, so that a task holds ``part_prints`` of each.
+    """
+    radius = wide_radius(bits, similarity)
+    met = shards.join(state, "node").withColumn("group", F.xxhash64("shard", "f"))
+    sizes = met.groupBy("group").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).where("q > 0 AND n > 1")
+    sizes = sizes.select("group", F.ceil(F.col("n") / part_prints).cast("int").alias("np"), F.ceil(F.col("q") / part_prints).cast("int").alias("qp"))
+    met = met.join(table(sizes, "simhash-open"), "group").withColumns({"i": F.pmod(F.xxhash64("node"), F.col("np")), "j": F.pmod(F.xxhash64("node", "f"), F.col("qp"))})
+    range_ = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)
+    nodes = met.select("group", "i", F.explode(range_("qp")).alias("j"), "node", "v", "fp", F.lit(False).alias("asks"))
+    asking = met.where("asks").select("group", F.explode(range_("np")).alias("i"), "j", "node", "v", "fp", F.lit(True).alias("asks"))
+    placed = nodes.unionByName(asking).select(F.xxhash64("group", "i", "j").alias("piece"), "node", "v", "fp", "asks").repartition("piece").sortWithinPartitions("piece")
+
+    def run(batches):
+        for piece, node, v, raw, asks in _by_group(batches):
+            words = np.ascontiguousarray(raw).view(np.uint64)
+            forest = BKForest(piece[~asks], words[~asks])
+            query = np.flatnonzero(asks)
+            there = np.flatnonzero(~asks)
+            found = [(query[a], there[b]) for a, b in forest.search(piece[query], words[query], radius)]
+            if not found:
+                continue
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            apart = v[a] != v[b]
+            a, b = a[apart], b[apart]
+            far = distance(words[a], words[b])
+            order = np.lexsort((far, v[b], a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (v[b][1:] != v[b][:-1])]) if len(a) else np.zeros(0, np.int64)
+            place = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
+            near = place < most
+            yield pa.RecordBatch.from_arrays([pa.array(node[a[near]]), pa.array(node[b[near]])], names=["a", "b"])
+
+    found = placed.mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verify(pairs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``pairs`` (a, b) with ``alike``: whether their sets of shingles have the similarity. Only the sets of nodes in pairs are shuffled."""
+    needed = table(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "simhash-needed")
+    sets = table(prints.select("node", "grams").join(needed, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("grams").alias(f"_{n}"))
+
+    def run(batches):
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(z.as_py(), "<u4") for z in (x, y))
+                # Of different sizes alone may follow that they are not alike.
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    alike.append(False)
+                    continue
+                both = len(np.intersect1d(x, y))
+                alike.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long, alike boolean")
+
+
+def _rooted(edges: DataFrame, name: str) -> DataFrame:
+    """(node, ``name``) of all nodes of an edge list, the root's own row included."""
+    member = components(edges).select("node", F.col("root").alias(name))
+    return member.unionByName(member.select(F.col(name).alias("node"), name).distinct())
+
+
+def similar_links(prints: DataFrame, bits: int = WIDE_BITS, similarity: float = SIMILARITY, recall: float = RECALL, part_prints: int = PART_PRINTS) -> DataFrame:
+    """(a, b): verified links between nodes that connect all pairs which are near in some shard and alike.
+
+    ``prints``: node, fp and grams of all rows. After the first proposals only groups that fell apart go on: their nodes but for the largest
+    piece's propose the nearest of each other piece, eight times as many a round, until all they can propose is verified.
+    """
+    how = {"bits": bits, "similarity": similarity, "part_prints": part_prints}
+    distinct = table(prints.select("node", "fp").distinct(), "simhash-distinct")
+    shards = table(deal(distinct, distinct.count(), bits, similarity, recall), "simhash-shards")
+    done = table(verify(table(proposed_links(shards, bits, similarity, part_prints), "simhash-proposed"), prints, similarity), "simhash-verified")
+    most = 2
+    while not done.where("not alike").isEmpty():
+        state = _rooted(done.select("a", "b"), "f").join(_rooted(done.where("alike").select("a", "b"), "v"), "node", "left").withColumn("v", F.coalesce("v", "node"))
+        sizes = state.groupBy("f", "v").count().groupBy("f").agg(F.max_by("v", F.struct("count", "v")).alias("_big"), F.count("*").alias("_pieces")).where("_pieces > 1").select("f", "_big")
+        state = table(state.join(sizes, "f").select("node", "f", "v", (F.col("v") != F.col("_big")).alias("asks")), "simhash-state")
+        if state.isEmpty():
+            break
+        more = table(further_links(shards, state, most, **how).join(done.select("a", "b"), ["a", "b"], "left_anti"), "simhash-further")
+        if more.isEmpty():
+            break
+        done = table(done.unionByName(verify(more, prints, similarity)), "simhash-verified")
+        most *= 8
+    discard(shards, distinct)
+    return done.where("alike").select("a", "b")
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id``, ``text_key`` and ``node`` of every row; ``node`` and ``root`` of the nodes with links): nodes of one root are connected."""
     prints = table(wide_fingerprints(docs, id_col, text_col), "simhash-prints")
-    least = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp")), "simhash-distinct")
-    member = components(similar_links(least.select("node", "fp"), least.count(), **how))
-    member = member.select(F.col("node").alias("m"), "root")
-    rooted = least.join(member, least["node"] == member["m"], "left").select("fp", "node", "least", F.coalesce("root", "node").alias("root"))
-    # A component of a third of all texts is one root: its smallest id is a map-side minimum and the join is split.
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = table(rooted.join(smallest, "root").select("fp", "node", "root", "component_id"), "simhash-classes")
-    discard(prints, least)
-    return out
+    return prints, table(components(similar_links(prints, **how)), "simhash-classes")
 
 
 def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of ``docs`` for each group of texts connected by similarities of ``SIMILARITY`` or more, the one with the smallest id.
+    """One row of ``docs`` for each group of texts connected by similarities of ``SIMILARITY`` or more: that with the smallest id, nulls last.
 
-    All columns stay. Similarity is that of the sets of shingles, estimated by the fingerprints with a standard error of about
-    0.04. Of repeated rows with the id one stays. Rows without an id stay only where no row of their group has one.
+    All columns stay. Similarity is that of the sets of shingles. Of rows with that id the text with the smallest hash stays, of repeated rows
+    one; other texts of the same id are kept or not by their own groups. Rows without an id are told apart by their texts.
     """
-    classes = similar_classes(docs, id_col, text_col, **how)
-    kept = classes.where("component_id is not null").select(F.col("component_id").alias("_parley_id")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("_parley_id"), "left_semi").dropDuplicates([id_col])
-    alone = classes.where("component_id is null and node = root").select(F.col("fp").alias("_parley_fp"))
-    if not alone.limit(1).count():
-        return named.select(*docs.columns)
-    # Rows without an id are told apart by their text.
-    texts = docs.where(F.col(id_col).isNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("_parley_text")).distinct()
-    made = wide_fingerprints(texts.select(F.xxhash64("_parley_text").alias("doc_id"), F.col("_parley_text").alias("text")))
-    chosen = made.join(alone, F.col("fp") == F.col("_parley_fp"), "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_parley_key")).select("_parley_key")
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("_parley_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(chosen, "_parley_key", "left_semi").dropDuplicates(["_parley_key"])
-    return named.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    prints, classes = similar_classes(docs, id_col, text_col, **how)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    # A text that a third of all rows have is one node: its smallest row is a map-side minimum.
+    least = prints.groupBy("node").agg(first.alias("_k")).join(classes, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("_k").alias("_k"))
+    chosen = table(least.select(F.col("_k.doc_id").alias("_parley_id"), F.col("_k.text_key").alias("_parley_key")), "simhash-chosen")
+    keyed = docs.withColumn("_parley_text", text_key(F.col(text_col)))
+    kept = keyed.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_parley_id")) & (F.col("_parley_text") == F.col("_parley_key")), "left_semi")
+    out = kept.dropDuplicates([id_col, "_parley_text"]).select(*docs.columns)
+    discard(prints)
+    return out
