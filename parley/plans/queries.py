@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.functions import audio, text, timing
+from parley.functions import audio, roman, text, timing
 from parley.functions.edit import with_error_rates
 from parley.functions.once import with_once
 from parley.operators import benchmarks, consensus, intervals, matrix, metrics, profiles, recovery, refinement, sessions, training
@@ -195,11 +195,13 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _CANDIDATES
-    + """SELECT call, seg_no, ins_no, repeats, round(agreement, 6) AS agreement, round(0.55 * conf + 0.20 * agreement + 0.15 * greatest(0.0, 1.0 - 2.5 * least(1.0, repeats / CAST(greatest(1, n_tokens) AS DOUBLE)))
-  + 0.10 * least(1.0, n_words / greatest(1.0, secs * 1.3)), 6) AS score FROM sc"""
+    + """SELECT call, seg_no, ins_no, repeats, floor(1e6 * agreement + 0.5) / 1e6 AS agreement, floor(1e6 * (0.55 * conf + 0.20 * agreement + 0.15 * greatest(0.0, 1.0 - 2.5 * least(1.0, repeats / CAST(greatest(1, n_tokens) AS DOUBLE)))
+  + 0.10 * least(1.0, n_words / greatest(1.0, secs * 1.3))) + 0.5) / 1e6 AS score FROM sc"""
 )
 def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).select("call", "seg_no", "ins_no", "repeats", six("agreement"), six("score"))
+    # Rounded by the same steps on both sides: Spark's round goes by a double's decimal text, DuckDB's by its binary value.
+    whole = lambda c: (F.floor(F.lit(1e6) * F.col(c) + 0.5) / F.lit(1e6)).alias(c)
+    return _candidates(spark, sf_dir).select("call", "seg_no", "ins_no", "repeats", whole("agreement"), whole("score"))
 
 
 @query(
@@ -231,6 +233,14 @@ def context_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.copied_context(seg, "text", "context", "before").select("call", "seg_no", "context_copied")
 
 
+@query(
+    f"""WITH {fx.WRD}, l AS (SELECT call, seq, regexp_replace(lower(replace(strip_accents(replace(replace(text, 'ß', 'ss'), 'œ', 'oe')), '’', '\'\'')), '[^a-z\'\']+', '', 'g') AS k FROM wrd)
+SELECT call, seq, CASE WHEN k = '' THEN '*' ELSE k END AS letters FROM l"""
+)
+def aligner_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roman.aligner_words(fx.words(spark, sf_dir).select("call", "seq", "text"), "text").select("call", "seq", "letters")
+
+
 @query()
 def indic_to_devanagari(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every letter of the neighbouring scripts, and the texts of all turns, which stay."""
