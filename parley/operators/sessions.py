@@ -7,6 +7,8 @@ islands at breaks that hold whatever came before, and only an island is folded i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,33 +56,63 @@ def gap_sessions(rows: DataFrame, call: str, order: list[str], start: str, end:
     return dealt.groupBy(call, (F.col("_island") - 1).cast("int").alias("session")).agg(F.first(speaker).alias("speaker"), F.min(start).alias("start"), F.max_by(end, F.struct(*order)).alias("end"), F.count("*").alias("n"))
 
 
-def merge_turns(turns: DataFrame, call: str, seq: str, max_duration=15.0, max_gap=0.45, least=0.20) -> DataFrame:
-    """Turns of one speaker joined over gaps up to ``max_gap`` while they span at most ``max_duration``.
+def _in_order(rows: DataFrame, call: str, order: list[str], take: list[str], out: str, kind: str, step: Callable[[tuple | None, tuple, bool], tuple]) -> DataFrame:
+    """``rows`` with ``out``, from a state that passes each island's rows in order: state = step(state, values of ``take``, whether an island begins).
 
-    Shorter turns than ``least`` go first. Another speaker or a longer gap breaks a run whatever
-    its span, so only such runs are folded.
+    ``step`` returns the new state, whose last entry is the row's ``out``. Islands are dealt to tasks and stream through them: work is linear in an
+    island's rows and a task remembers one state, however long the island.
+    """
+    placed = rows.repartition(call, "_island").sortWithinPartitions(call, "_island", *order)
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    kept = [c for c in placed.columns if c != "_island"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        made_of = {"string": pa.string(), "int": pa.int32()}.get(kind, pa.int64())
+        island, state = None, None
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in dict.fromkeys((call, "_island", *take))}
+            found = []
+            for here, *values in zip(zip(columns[call], columns["_island"], strict=True), *(columns[c] for c in take), strict=True):
+                state = step(state, tuple(values), here != island)
+                island = here
+                found.append(state[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, made_of)], [*kept, out])
+
+    return placed.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", `{out}` {kind}")
+
+
+def _starts(rows: DataFrame, call: str, seq: str, broken: Column, longest) -> DataFrame:
+    """call, start, end, seq, speaker and ``group``, the ``seq`` of the first row of the row's group.
+
+    A group begins where ``broken`` says so, whatever came before, and with a row that ends over ``longest`` after the group began.
     """
-    kept = turns.where(F.col("end") - F.col("start") >= least)
     order = ["start", "end", seq]
-    w = Window.partitionBy(call).orderBy(*order)
-    broken = F.lag(F.lit(1)).over(w).isNull() | ~F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) | (F.col("start") - F.lag("end").over(w) > max_gap)
-    runs = _islands(kept, call, order, broken).groupBy(call, "_island").agg(F.first("speaker").alias("speaker"), F.array_sort(F.collect_list(F.struct("start", "end", seq))).alias("_t"))
+    dealt = _islands(rows.select(call, *order, "speaker"), call, order, broken)
+
+    def step(state, row, new):
+        start, end, no = row
+        return (start, no) if new or end - state[0] > longest else state
+
+    return _in_order(dealt, call, order, order, "group", rows.schema[seq].dataType.simpleString(), step)
 
-    def step(done, t):
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (t["start"] - last["end"] <= max_gap) & (t["end"] - last["start"] <= max_duration)
-        one = F.struct(t["start"].alias("start"), t["end"].alias("end"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), t["end"].alias("end"))))).otherwise(F.concat(done, F.array(one)))
 
-    kind = turns.schema["start"].dataType.simpleString()
-    # element_at of an empty array is null behind the size check.
-    merged = F.aggregate("_t", F.array().cast(f"array<struct<start:{kind},end:{kind}>>"), lambda d, t: step_safe(step, d, t))
-    return runs.select(call, "speaker", F.inline(merged))
+def _groups(labelled: DataFrame, call: str, seq: str) -> DataFrame:
+    """call, speaker, start of the first row, end of the last and ``n`` rows of each group."""
+    place = F.struct("start", "end", seq)
+    return labelled.groupBy(call, "group").agg(F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max_by("end", place).alias("end"), F.count("*").cast("int").alias("n")).drop("group")
 
 
-def step_safe(step, done, t):
-    first = F.array(F.struct(t["start"].alias("start"), t["end"].alias("end")))
-    return F.when(F.size(done) == 0, first).otherwise(step(done, t))
+def merge_turns(turns: DataFrame, call: str, seq: str, max_duration=15.0, max_gap=0.45, least=0.20) -> DataFrame:
+    """Turns of one speaker joined over gaps up to ``max_gap`` while they span at most ``max_duration``.
+
+    Shorter turns than ``least`` go first. Another speaker or a longer gap breaks a run whatever its span.
+    """
+    kept = turns.where(F.col("end") - F.col("start") >= least)
+    w = Window.partitionBy(call).orderBy("start", "end", seq)
+    broken = F.lag(F.lit(1)).over(w).isNull() | ~F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) | (F.col("start") - F.lag("end").over(w) > max_gap)
+    return _groups(_starts(kept, call, seq, broken, max_duration), call, seq).drop("n")
 
 
 def smooth_turns(turns: DataFrame, call: str, short: float = 0.30, gap: float = 0.35) -> DataFrame:
@@ -126,54 +158,29 @@ def suppress_flips(words: DataFrame, call: str, order: list[str], short: float =
     rows = words.withColumns({"_open": is_short & ~edge, "_prev": F.lag("speaker").over(w), "_next": F.lead("speaker").over(w)})
     broken = ~F.col("_open") | ~F.coalesce(F.lag("_open").over(w), F.lit(False))
     runs = _islands(rows, call, order, broken)
-    entry = F.struct(*order, "speaker", "_prev", "_next", "_open", *(c for c in ("start", "end") if c not in order))
-    grouped = runs.groupBy(call, "_island").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.get("_e", F.lit(0))["_prev"].alias("last"))
 
-    def step(s, x):
-        label = F.when(x["_open"] & s["last"].eqNullSafe(x["_next"]) & ~x["speaker"].eqNullSafe(s["last"]), s["last"]).otherwise(x["speaker"])
-        return F.struct(F.concat(s["out"], F.array(label)).alias("out"), label.alias("last"))
+    def step(state, row, new):
+        speaker, before, after, is_open = row
+        last = before if new else state[0]
+        return (last if is_open and last == after and speaker != last else speaker,)
 
-    labels = F.aggregate("_e", state, step, lambda s: s["out"])
-    flat = grouped.select(call, F.posexplode(F.arrays_zip(F.col("_e").alias("e"), labels.alias("label"))).alias("_i", "_x"))
-    return flat.select(call, *(F.col(f"_x.e.{c}").alias(c) for c in dict.fromkeys([*order, "start", "end"])), F.col("_x.label").alias("speaker"))
+    made = _in_order(runs, call, order, ["speaker", "_prev", "_next", "_open"], "_label", "string", step)
+    return made.select(call, *dict.fromkeys([*order, "start", "end"]), F.col("_label").alias("speaker"))
 
 
 def label_groups(words: DataFrame, call: str, seq: str, pause: float = 0.50, longest: float = 6.0) -> DataFrame:
     """call, seq, start, end, speaker and ``group``, the ``seq`` of the first word of the word's utterance.
 
-    Another speaker, a pause of ``pause`` or more, or a word that ends over ``longest`` seconds after the utterance began
-    starts one. The first two hold whatever came before and cut calls into islands; an island's words pass a task in order of time,
-    which remembers one start at a time.
+    Another speaker, a pause of ``pause`` or more, or a word that ends over ``longest`` seconds after the utterance began starts one.
     """
-    order = ["start", "end", seq]
-    w = Window.partitionBy(call).orderBy(*order)
+    w = Window.partitionBy(call).orderBy("start", "end", seq)
     broken = F.lag(F.lit(1)).over(w).isNull() | ~F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) | (F.col("start") - F.lag("end").over(w) >= pause)
-    dealt = _islands(words.select(call, *order, "speaker"), call, order, broken)
-    placed = dealt.repartition(call, "_island").sortWithinPartitions(call, "_island", *order)
-    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
-
-    def run(batches):
-        import pyarrow as pa
-
-        island, begin, group = None, None, None
-        for batch in batches:
-            rows, groups = {c: batch.column(c).to_pylist() for c in (call, "_island", *order)}, []
-            for at in zip(rows[call], rows["_island"], rows["start"], rows["end"], rows[seq], strict=True):
-                if at[:2] != island or at[3] - begin > longest:
-                    island, begin, group = at[:2], at[2], at[4]
-                groups.append(group)
-            kept = [batch.column(c) for c in (call, *order, "speaker")]
-            made = pa.array(groups, batch.column(seq).type)
-            yield pa.RecordBatch.from_arrays([*kept, made], [call, *order, "speaker", "group"])
-
-    return placed.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (call, *order, "speaker")) + f", `group` {kinds[seq]}")
+    return _starts(words, call, seq, broken, longest)
 
 
 def utterance_groups(words: DataFrame, call: str, seq: str, pause: float = 0.50, longest: float = 6.0) -> DataFrame:
     """Groups of consecutive words of a speaker (``label_groups``): call, speaker, start, end and n words."""
-    grouped = label_groups(words, call, seq, pause, longest).groupBy(call, "group")
-    return grouped.agg(F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max_by("end", F.struct("start", "end", seq)).alias("end"), F.count("*").cast("int").alias("n")).drop("group")
+    return _groups(label_groups(words, call, seq, pause, longest), call, seq)
 
 
 def merge_spans(spans: DataFrame, call: str, near=2.0, context=4.0, least=6.0, most=18.0) -> DataFrame:
