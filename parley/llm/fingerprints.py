@@ -111,7 +111,7 @@ def fingerprint_documents(docs: DataFrame, k: int = SKETCH, shingle: int = SHING
 
 
 def edited_likeness(docs: DataFrame, k: int = SKETCH, shingle: int = SHINGLE) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness.
+    """Fingerprints of every text and of its edited text, their likeness, and how many shingles a text has and shares.
 
     The edited text has its last half, counted in code points and rounded down, replaced by as
     much of the beginning of the following document.
@@ -133,4 +133,7 @@ def edited_likeness(docs: DataFrame, k: int = SKETCH, shingle: int = SHINGLE) ->
         fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
+        distinct_shingles(F.col("sketch"), k).alias("distinct_shingles"),
+        containment(F.col("sketch"), F.col("edited_sketch"), k).alias("kept_in_edited"),
+        containment(F.col("sketch"), F.col("next_sketch"), k).alias("kept_in_next"),
     )

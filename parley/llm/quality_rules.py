@@ -234,11 +234,14 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def chosen_labels(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """(doc_id, quality, grow) of about ``rows`` labelled documents, chosen by a hash of their id; a third of them prune."""
-    labels = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    """(doc_id, quality, grow) of about ``rows`` labelled documents, chosen by a hash of their id; a third of them prune.
+
+    Of several labels of a document one that says 0 decides.
+    """
+    labels = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     share = min(1.0, rows / max(1, labels.count()))
     h = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1_000_000))
-    return labels.where(h < int(share * 1_000_000)).dropDuplicates(["doc_id"]).withColumn("grow", F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(3)) != 0)
+    return labels.where(h < int(share * 1_000_000)).withColumn("grow", F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(3)) != 0)
 
 
 def judge(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:

@@ -215,9 +215,11 @@ def _positions(words: pa.Array, terms: list[str]) -> pa.Array:
 def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = LABELLED_ROWS) -> Chain:
     """Fit a chain on about ``rows`` of the documents that have labels.
 
-    What the driver gets of each is the positions of its chosen terms and its labels.
+    What the driver gets of each is the positions of its chosen terms and its labels. Of several labels of a document one that
+    says toxic decides, and one that says poor.
     """
-    labels = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.coalesce(F.col("quality").cast("int"), F.lit(1)).alias("quality")).dropDuplicates(["doc_id"])
+    told = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id")
+    labels = told.agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.min(F.coalesce(F.col("quality").cast("int"), F.lit(1))).alias("quality"))
     share = min(1.0, rows / max(1, labels.count()))
     h = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1_000_000))
     chosen = F.broadcast(labels.where(h < int(share * 1_000_000)))  # bounded by ``rows``

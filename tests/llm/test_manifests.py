@@ -149,3 +149,21 @@ def test_manifests_are_proved(spark, height):
     got = Counter(tuple(r) for r in merkle.verify(docs, height).collect())
     assert got == want and any(not r[-1] for r in got)
     assert merkle.verify(docs.limit(0), height).count() == 0
+
+
+def test_several_labels_of_a_document_are_settled(spark):
+    from parley.llm import quality_rules
+
+    told = [(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, 1), (3, None, 1), (4, 0, 0), (None, 0, 1)]
+    labels = spark.createDataFrame(told * 3, "doc_id long, quality int, toxic int").repartition(3)
+    assert {(r["doc_id"], r["quality"]) for r in quality_rules.chosen_labels(labels).collect()} == {(1, 0), (2, 1), (4, 0)}
+
+
+def test_sketches_tell_how_much_is_kept(spark):
+    from parley.llm import fingerprints
+
+    prose = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    docs = spark.createDataFrame([(1, prose[0]), (2, prose[0] + " " + prose[1]), (3, ""), (4, "one two")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.edited_likeness(docs).collect()}
+    assert [got[i]["distinct_shingles"] for i in (1, 2, 3, 4)] == [56.0, 116.0, 0.0, 1.0]
+    assert got[1]["kept_in_next"] == 1.0 and got[2]["kept_in_next"] == 0.0 and got[3]["kept_in_next"] == 1.0 and 0.3 < got[1]["kept_in_edited"] < 0.7
