@@ -20,7 +20,7 @@ from parley.plans import fixtures as fx
 from parley.shared import cut, shared_folder
 from parley.sources import audio as media
 from parley.sources import exports, shards, transcripts
-from parley.streaming.sessions import live_sessions
+from parley.streaming.sessions import live_sessions, turn_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -661,6 +661,12 @@ def live_event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_sessions(events, "user_id", "event_type").withColumns({c: F.unix_micros(c) for c in ("start", "end")})
 
 
+@query(f"WITH {fx.SEG} SELECT call, speaker, CAST(floor(e / 60) * 60 AS BIGINT) AS minute, round(sum(e - s), 6) AS seconds FROM seg GROUP BY ALL")
+def speaking_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrived = fx.segments(spark, sf_dir).withColumn("arrived", F.timestamp_micros((F.col("end") * 1_000_000).cast("long")))
+    return turn_stream(arrived, "call").select("call", "speaker", F.unix_seconds("minute").alias("minute"), six("seconds"))
+
+
 # --- reports --------------------------------------------------------------------------------------
 
 _LESS = f"""WITH {fx.SEG}, x AS (SELECT call, {fx.norm_sql("string_agg(text, ' ' ORDER BY seg_no)")} AS r, {fx.norm_sql("string_agg(" + fx.without_sql("text", 7) + ", ' ' ORDER BY seg_no)")} AS h FROM seg GROUP BY call)"""

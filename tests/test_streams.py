@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import roman
 from parley.streaming import jobs
+from parley.streaming.sessions import turn_stream
 
 
 def test_silent_jobs_become_resumable_errors(spark, tmp_path):
@@ -41,6 +42,17 @@ def test_silent_jobs_become_resumable_errors(spark, tmp_path):
     assert sorted(map(tuple, jobs.current(spark, out).collect())) == before
 
 
+def test_streamed_speaking_time_equals_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 0.0, 5.0), (1, "a", 20.0, 61.0), (1, "b", 61.0, 90.0), (2, "a", 0.0, 1.5), (9, "z", 0.0, 90_000.0)], "call int, speaker string, start double, end double")
+    rows = rows.withColumn("arrived", F.timestamp_micros((F.col("end") * 1_000_000).cast("long")))
+    rows.write.parquet(str(tmp_path / "in"))
+    want = sorted(map(tuple, turn_stream(rows, "call").where("call < 9").collect()))
+    stream = turn_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "call")
+    running = stream.writeStream.format("memory").queryName("minutes").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    running.awaitTermination(60)
+    assert sorted(map(tuple, spark.table("minutes").where("call < 9").collect())) == want and len(want) == 4
+
+
 @pytest.mark.parametrize("word,want", [("नमस्ते", "namaste"), ("राम", "raam"), ("क", "ka"), ("हिंदी", "hindii"), ("कृपया", "krpayaa"), ("४२", "42"), ("தமிழ்", "tamilll"), ("Ça", "Ca"), ("Straße", "Strasse"), ("œuvre", "oeuvre"), ("ok", "ok"), ("", "")])
 def test_romanized_words(word, want):
     assert roman.romanize(word) == want
