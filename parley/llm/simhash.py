@@ -575,24 +575,35 @@ def similar_links(prints: DataFrame, bits: int = WIDE_BITS, similarity: float =
     """(a, b): verified links between nodes that connect all pairs which are near in some shard and alike.
 
     ``prints``: node, fp and grams of all rows. After the first proposals only groups that fell apart go on: their nodes but for the largest
-    piece's propose the nearest of each other piece, eight times as many a round, until all they can propose is verified.
+    piece's propose the nearest of each other piece, 64 times as many a round, until all they can propose is verified.
     """
     how = {"bits": bits, "similarity": similarity, "part_prints": part_prints}
     distinct = table(prints.select("node", "fp").distinct(), "simhash-distinct")
     shards = table(deal(distinct, distinct.count(), bits, similarity, recall), "simhash-shards")
     done = table(verify(table(proposed_links(shards, bits, similarity, part_prints), "simhash-proposed"), prints, similarity), "simhash-verified")
+    if done.where("not alike").isEmpty():
+        discard(shards, distinct)
+        return done.where("alike").select("a", "b")
+    state = table(_rooted(done.select("a", "b"), "f").join(_rooted(done.where("alike").select("a", "b"), "v"), "node", "left").withColumn("v", F.coalesce("v", "node")), "simhash-state")
     most = 2
-    while not done.where("not alike").isEmpty():
-        state = _rooted(done.select("a", "b"), "f").join(_rooted(done.where("alike").select("a", "b"), "v"), "node", "left").withColumn("v", F.coalesce("v", "node"))
+    while True:
         sizes = state.groupBy("f", "v").count().groupBy("f").agg(F.max_by("v", F.struct("count", "v")).alias("_big"), F.count("*").alias("_pieces")).where("_pieces > 1").select("f", "_big")
-        state = table(state.join(sizes, "f").select("node", "f", "v", (F.col("v") != F.col("_big")).alias("asks")), "simhash-state")
-        if state.isEmpty():
+        open_ = table(state.join(sizes, "f").select("node", "f", "v", (F.col("v") != F.col("_big")).alias("asks")), "simhash-pieces")
+        if open_.isEmpty():
             break
-        more = table(further_links(shards, state, most, **how).join(done.select("a", "b"), ["a", "b"], "left_anti"), "simhash-further")
+        more = table(further_links(shards, open_, most, **how).join(done.select("a", "b"), ["a", "b"], "left_anti"), "simhash-further")
         if more.isEmpty():
             break
-        done = table(done.unionByName(verify(more, prints, similarity)), "simhash-verified")
-        most *= 8
+        fresh = table(verify(more, prints, similarity), "simhash-verified")
+        done = done.unionByName(fresh)
+        new = fresh.where("alike").select("a", "b")
+        if not new.isEmpty():
+            # New links join pieces: a small graph, whose roots become the pieces' names.
+            piece = lambda n: open_.select(F.col("node").alias(n), F.col("v").alias(f"_{n}"))
+            joined = new.join(piece("a"), "a").join(piece("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+            moved = components(joined).select(F.col("node").alias("v"), "root")
+            state = table(open_.join(moved, "v", "left").select("node", "f", F.coalesce("root", "v").alias("v")), "simhash-state")
+        most *= 64
     discard(shards, distinct)
     return done.where("alike").select("a", "b")
 
