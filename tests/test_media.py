@@ -6,6 +6,7 @@ import struct
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,34 @@ def test_a_failed_write_publishes_nothing(spark, tmp_path):
     assert lost.shards and not any("_temporary" in s["tar"] for s in shards.read_index(path))
     writer.commit([kept, None])
     assert {r["audio_filepath"] for r in shards.read_shards(spark, path).collect()} == {r["audio_filepath"] for r in good.collect()} | {"y.wav"}
+
+
+def test_waveforms_of_texts_come_in_small_batches(spark):
+    from parley.plans import fixtures as fx
+
+    made = fx.spoken.__globals__["F"].pandas_udf
+    caught = []
+
+    def keep(f, kind):
+        caught.append(f)
+        return made(f, kind)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fx.F, "pandas_udf", keep)
+        column = fx.spoken(F.col("text"))
+    texts = pd.Series(["é" * 20_000, None, ""] * 30)
+    parts = list(caught[0](iter([texts])))
+    assert len(parts) > 5 and max(sum(map(len, p)) for p in parts) <= 2 * fx.SPOKEN_BYTES
+    assert [len(d) for p in parts for d in p] == [64 * len(t or "") for t in texts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string").select("k", column.alias("pcm")).collect()
+    assert all(len(r["pcm"]) == 64 * len(texts[r["k"]] or "") for r in rows)
+
+
+def test_peak_alone_is_that_of_the_diagnostics(spark):
+    from parley.functions import audio as measures
+
+    waves = [np.array(x, "<f4").tobytes() for x in ([0.25, -0.5], [0.0] * 9, [1.0])]
+    rows = spark.createDataFrame([(w,) for w in [*waves, b"", None]], "pcm binary")
+    got = rows.select(measures.peak_dbfs(F.col("pcm")).alias("p"), measures.diagnostics(F.col("pcm"))["peak_dbfs"].alias("d"), measures.pcm16(F.col("pcm")).alias("s")).collect()
+    assert [r["p"] for r in got] == [r["d"] for r in got]
+    assert [r["s"] if r["s"] is None else len(r["s"]) for r in got] == [4, 18, 2, 0, None]
