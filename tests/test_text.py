@@ -159,3 +159,12 @@ def test_rows_are_clamped_to_the_recording(spark):
     assert got == {1: (0.0, 2.0, "a", 0.0, [(0.0, 1.0, "x", 0.0)]), 3: (2.0, 3.0, "c", 0.5, [])}
     spans = F.array(F.struct(F.lit(0.5).alias("score"), F.lit(3).alias("length")), F.struct(F.lit(1.0).alias("score"), F.lit(1).alias("length")))
     assert spark.range(1).select(timing.span_score(spans)).first()[0] == 0.625
+
+
+def test_pieces_stay_in_their_row(spark):
+    schema = "key int, text string, start double, end double, tokens array<string>, timestamps array<double>, logprobs array<double>"
+    rows = [(k, "a bc", 0.0, 2.0, ["▁a", " ", "▁b", "c"], [0.0, 0.25, 0.5, 1.0], [-1.0, 0.0, -1.0]) for k in (1, 2)]
+    words = timing.piece_words(spark.createDataFrame(rows, schema), "key")
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+    got = [(r["key"], r["word_no"], r["word"], r["word_start"], r["word_end"], round(r["confidence"], 6)) for r in words.orderBy("key", "word_no").collect()]
+    assert got == [x for k in (1, 2) for x in ((k, 0, "a", 0.0, 0.5, 0.367879), (k, 1, "bc", 0.5, 2.0, 0.68394))]
