@@ -67,9 +67,11 @@ def assign_speakers(words: DataFrame, turns: DataFrame, call: str, key: str, tur
 
     Ties go to the speaker whose first turn comes first. ``turn_no`` orders the turns of a call.
     """
-    met = overlapping(words, turns.withColumnRenamed("speaker", "_speaker"), call, [key], ["_speaker"])
-    seen = turns.groupBy(call, F.col("speaker").alias("_speaker")).agg(F.min(turn_no).alias("_first"))
-    scored = met.groupBy(call, key, "_speaker").agg(F.sum("seconds").alias("_s")).join(seen, [call, "_speaker"])
+    named = turns.where("speaker is not null").withColumnRenamed("speaker", "_speaker")
+    seen = named.groupBy(call, "_speaker").agg(F.min(turn_no).alias("_first"))
+    # A word's pairs are dealt once, by the word: both aggregates then find them in place.
+    met = overlapping(words, named.join(seen, [call, "_speaker"]), call, [key], ["_speaker", "_first"]).repartition(call, key)
+    scored = met.groupBy(call, key, "_speaker").agg(F.sum("seconds").alias("_s"), F.first("_first").alias("_first"))
     # The best speaker by an aggregate: no sort of a word's speakers.
     best = scored.groupBy(call, key).agg(F.max_by("_speaker", F.struct("_s", (-F.col("_first")).alias("f"))).alias("speaker"))
     rest = words.join(best.select(call, key), [call, key], "left_anti")
@@ -78,11 +80,11 @@ def assign_speakers(words: DataFrame, turns: DataFrame, call: str, key: str, tur
 
 def overlap_flags(words: DataFrame, turns: DataFrame, call: str, key: str) -> DataFrame:
     """call, key of words of which other speakers than the loudest cover half or more."""
-    met = overlapping(words, turns.withColumnRenamed("speaker", "_speaker"), call, [key], ["_speaker"])
-    each = met.groupBy(call, key, "_speaker").agg(F.sum("seconds").alias("_s"))
-    other = each.groupBy(call, key).agg((F.sum("_s") - F.max("_s")).alias("_other"))
-    length = words.select(call, key, F.greatest(F.lit(0.001), F.col("end") - F.col("start")).alias("_length"))
-    return other.join(length, [call, key]).where("_other >= 0.5 * _length").select(call, key)
+    length = F.greatest(F.lit(0.001), F.col("end") - F.col("start"))
+    met = overlapping(words.withColumn("_length", length), turns.withColumnRenamed("speaker", "_speaker"), call, [key, "_length"], ["_speaker"]).repartition(call, key)
+    each = met.groupBy(call, key, "_speaker").agg(F.sum("seconds").alias("_s"), F.first("_length").alias("_length"))
+    other = each.groupBy(call, key).agg((F.sum("_s") - F.max("_s")).alias("_other"), F.first("_length").alias("_length"))
+    return other.where("_other >= 0.5 * _length").select(call, key)
 
 
 def attribution(reference: DataFrame, hypothesis: DataFrame, call: str) -> DataFrame:

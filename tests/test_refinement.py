@@ -87,3 +87,20 @@ def test_profiles_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(profiles, "BLOCK", 3)
     assert take() == whole
     assert profiles.top_profiles(rows, people(spark, []), "k").count() == 0
+
+
+def test_pairs_of_words_and_turns_are_dealt_once(spark):
+    from parley.operators import intervals
+
+    words = spark.createDataFrame([(1, 0, 0.0, 1.0), (1, 1, 63.5, 64.5), (1, 2, 90.0, 91.0)], "call int, seq int, start double, end double")
+    turns = spark.createDataFrame([(1, 0, "a", 0.0, 64.0), (1, 1, "b", 64.0, 70.0), (1, 2, None, 89.0, 95.0), (1, 3, "b", 0.5, 1.0)], "call int, turn_no int, speaker string, start double, end double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        flags = intervals.overlap_flags(words, turns, "call", "seq")
+        assert flags._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        assert sorted(r["seq"] for r in flags.collect()) == [0, 1]
+        found = intervals.assign_speakers(words, turns, "call", "seq", "turn_no").collect()
+        assert sorted((r["seq"], r["speaker"]) for r in found) == [(0, "a"), (1, "a")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
