@@ -26,7 +26,9 @@ def label_words(words: DataFrame, turns: DataFrame, raw: DataFrame, call: str, s
         labels = labels.join(overrides.select(call, "speaker", F.col("label").alias("_given")), [call, "speaker"], "left").select(call, "speaker", F.coalesce("_given", "_label").alias("_label"))
     known = turns.select(call).distinct()
     bare = words.join(known, call, "left_semi").select(call, seq, "start", "end")
-    found = intervals.assign_speakers(bare, turns, call, seq, turn_no).join(labels, [call, "speaker"]).select(call, seq, F.col("_label").alias("speaker"))
+    # Turns carry their label, so that words need no join by speaker.
+    named = turns.join(labels, [call, "speaker"], "left").withColumn("speaker", F.when(F.col("speaker").isNotNull(), F.struct("speaker", "_label"))).drop("_label")
+    found = intervals.assign_speakers(bare, named, call, seq, turn_no).select(call, seq, F.col("speaker._label").alias("speaker"))
     flags = intervals.overlap_flags(bare, raw, call, seq).withColumn("_over", F.lit(True))
     calm = sessions.suppress_flips(bare.join(found, [call, seq]), call, ["start", "end", seq]).select(call, seq, F.col("speaker").alias("_speaker"))
     met = words.join(calm, [call, seq], "left").join(flags, [call, seq], "left").join(known.withColumn("_known", F.lit(True)), call, "left")
