@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from parley.functions import text, timing
+from parley.functions import bits, text, timing
 from parley.functions.edit import with_distance, with_error_rates
 
 
@@ -168,3 +168,20 @@ def test_pieces_stay_in_their_row(spark):
     assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
     got = [(r["key"], r["word_no"], r["word"], r["word_start"], r["word_end"], round(r["confidence"], 6)) for r in words.orderBy("key", "word_no").collect()]
     assert got == [x for k in (1, 2) for x in ((k, 0, "a", 0.0, 0.5, 0.367879), (k, 1, "bc", 0.5, 2.0, 0.68394))]
+
+
+def test_words_left_out_need_no_table_of_distances(monkeypatch):
+    def never(items):
+        raise AssertionError("a table of distances was made")
+
+    monkeypatch.setattr(bits, "Places", never)
+    a = [f"w{i % 7}" for i in range(1000)]
+    assert bits.distance(a, [x for i, x in enumerate(a) if i % 5]) == 200
+    assert bits.distance(a[1::2], a) == 500
+    assert bits.distance("kitten on a mat", "kit on mat") == 5
+
+
+def test_error_rates_of_words_left_out_and_changed(spark):
+    rows = [("a bb ccc dddd", "bb dddd", 2, 6), ("bb dddd", "a bb ccc dddd", 2, 6), ("ab c", "a bc", 2, 2), ("", "a bb", 2, 4), ("a b", "a b", 0, 0)]
+    got = with_error_rates(spark.createDataFrame(rows, "r string, h string, w int, c int"), "r", "h").collect()
+    assert [(x["word_errors"], x["char_errors"]) for x in got] == [(x["w"], x["c"]) for x in got]
