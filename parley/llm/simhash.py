@@ -48,6 +48,8 @@ WIDE_SHINGLE, WIDE_BITS, SIMILARITY = 5, 512, 0.8
 RECALL, SHARD_PRINTS, PART_PRINTS = 0.97, 24, 1 << 14
 #: Standard deviations beyond the distance that is expected at ``SIMILARITY`` at which a pair is still proposed, and before it within which it is first.
 REACH, CLOSE = 2.0, -5.0
+#: Bins in which the shingles of a text are counted, to tell pairs that can't be alike.
+TALLIES = 512
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LANES = np.uint64(0x0101010101010101)
@@ -503,11 +505,38 @@ def proposed_links(shards: DataFrame, bits: int = WIDE_BITS, similarity: float =
     return reduce(DataFrame.unionByName, out).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def tallies(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, tally): of the set of shingles of each of ``nodes``, how many fall in each of ``TALLIES`` bins, a byte each."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for grams in batch.column(1).to_pylist():
+                found = np.bincount(np.frombuffer(grams, "<u4") % TALLIES, minlength=TALLIES)
+                out.append(np.minimum(found, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "tally"])
+
+    return prints.select("node", "grams").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(run, "node long, tally binary")
+
+
+def may_be_alike(tally: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float, pairs: int = 8192) -> np.ndarray:
+    """Of pairs of rows of ``tally``, which can have the similarity: sets share no more of a bin than the smaller count of it.
+
+    True as well where a full byte hides a larger count.
+    """
+    n, full, out = tally.sum(1, dtype=np.int64), (tally == 255).any(1), np.zeros(len(a), dtype=bool)
+    for i in range(0, len(a), pairs):
+        x, y = a[i : i + pairs], b[i : i + pairs]
+        both = np.minimum(tally[x], tally[y]).sum(1, dtype=np.int64)
+        out[i : i + pairs] = (both >= similarity * (n[x] + n[y] - both)) | full[x] | full[y]
+    return out
+
+
 def further_links(shards: DataFrame, state: DataFrame, most: int, bits: int = WIDE_BITS, similarity: float = SIMILARITY, part_prints: int = PART_PRINTS) -> DataFrame:
     """(a, b): of every open node the ``most`` nearest in each other group that it meets in a shard and could be connected with.
 
-    ``state``: node, ``f`` (connected by proposed links), ``v`` (by verified ones) and ``asks``, which is false for the largest ``v`` of
-    an ``f``. Large meetings are cut into pieces of nodes and of asking nodes, so that a task holds ``part_prints`` of each.
+    ``state``: node, ``f`` (connected by proposed links), ``v`` (by verified ones), ``asks``, which is false for the largest ``v`` of
+    an ``f``, and ``tally``, by which pairs are left out that can't be alike. Large meetings are cut into pieces of nodes and of asking nodes, so that a task holds ``part_prints`` of each.
     """
     radius = wide_radius(bits, similarity)
     met = shards.join(state, "node").withColumn("group", F.xxhash64("shard", "f"))
@@ -515,22 +544,26 @@ def further_links(shards: DataFrame, state: DataFrame, most: int, bits: int = WI
     sizes = sizes.select("group", F.ceil(F.col("n") / part_prints).cast("int").alias("np"), F.ceil(F.col("q") / part_prints).cast("int").alias("qp"))
     met = met.join(table(sizes, "simhash-open"), "group").withColumns({"i": F.pmod(F.xxhash64("node"), F.col("np")), "j": F.pmod(F.xxhash64("node", "f"), F.col("qp"))})
     range_ = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)
-    nodes = met.select("group", "i", F.explode(range_("qp")).alias("j"), "node", "v", "fp", F.lit(False).alias("asks"))
-    asking = met.where("asks").select("group", F.explode(range_("np")).alias("i"), "j", "node", "v", "fp", F.lit(True).alias("asks"))
-    placed = nodes.unionByName(asking).select(F.xxhash64("group", "i", "j").alias("piece"), "node", "v", "fp", "asks").repartition("piece").sortWithinPartitions("piece")
+    nodes = met.select("group", "i", F.explode(range_("qp")).alias("j"), "node", "v", "fp", "tally", F.lit(False).alias("asks"))
+    asking = met.where("asks").select("group", F.explode(range_("np")).alias("i"), "j", "node", "v", "fp", "tally", F.lit(True).alias("asks"))
+    placed = nodes.unionByName(asking).select(F.xxhash64("group", "i", "j").alias("piece"), "node", "v", "fp", "tally", "asks").repartition("piece").sortWithinPartitions("piece")
 
     def run(batches):
-        for piece, node, v, raw, asks in _by_group(batches):
+        for piece, node, v, raw, tally, asks in _by_group(batches):
             words = np.ascontiguousarray(raw).view(np.uint64)
             forest = BKForest(piece[~asks], words[~asks])
             query = np.flatnonzero(asks)
             there = np.flatnonzero(~asks)
-            found = [(query[a], there[b]) for a, b in forest.search(piece[query], words[query], radius)]
+            found = []
+            for x, y in forest.search(piece[query], words[query], radius):
+                x, y = query[x], there[y]
+                apart = v[x] != v[y]
+                x, y = x[apart], y[apart]
+                near = may_be_alike(tally, x, y, similarity)
+                found.append((x[near], y[near]))
             if not found:
                 continue
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            apart = v[a] != v[b]
-            a, b = a[apart], b[apart]
             far = distance(words[a], words[b])
             order = np.lexsort((far, v[b], a))
             a, b = a[order], b[order]
@@ -585,13 +618,14 @@ def similar_links(prints: DataFrame, bits: int = WIDE_BITS, similarity: float =
         discard(shards, distinct)
         return done.where("alike").select("a", "b")
     state = table(_rooted(done.select("a", "b"), "f").join(_rooted(done.where("alike").select("a", "b"), "v"), "node", "left").withColumn("v", F.coalesce("v", "node")), "simhash-state")
+    tally = table(tallies(prints, state), "simhash-tallies")
     most = 2
     while True:
         sizes = state.groupBy("f", "v").count().groupBy("f").agg(F.max_by("v", F.struct("count", "v")).alias("_big"), F.count("*").alias("_pieces")).where("_pieces > 1").select("f", "_big")
         open_ = table(state.join(sizes, "f").select("node", "f", "v", (F.col("v") != F.col("_big")).alias("asks")), "simhash-pieces")
         if open_.isEmpty():
             break
-        more = table(further_links(shards, open_, most, **how).join(done.select("a", "b"), ["a", "b"], "left_anti"), "simhash-further")
+        more = table(further_links(shards, open_.join(tally, "node"), most, **how).join(done.select("a", "b"), ["a", "b"], "left_anti"), "simhash-further")
         if more.isEmpty():
             break
         fresh = table(verify(more, prints, similarity), "simhash-verified")
@@ -604,7 +638,7 @@ def similar_links(prints: DataFrame, bits: int = WIDE_BITS, similarity: float =
             moved = components(joined).select(F.col("node").alias("v"), "root")
             state = table(open_.join(moved, "v", "left").select("node", "f", F.coalesce("root", "v").alias("v")), "simhash-state")
         most *= 64
-    discard(shards, distinct)
+    discard(shards, distinct, tally)
     return done.where("alike").select("a", "b")
 
 

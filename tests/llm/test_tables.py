@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -464,3 +465,16 @@ def test_pipeline(spark, docs, labels, tmp_path):
             assert sorted((i, len(t.split())) for i, t in after.elements() if i is not None) == sorted((i, w[0] - w[1]) for (i, _), w in zip(before, want, strict=True) if i is not None)
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_packing(found, [(r["doc_id"], r["text"]) for r in kept.collect()])
+
+
+def test_no_alike_pair_is_left_out_by_tallies():
+    rng, bins = np.random.default_rng(3), simhash.TALLIES
+    sets = [rng.integers(0, 1 << 32, n, dtype=np.uint64) for n in (40, 200, 900)]
+    texts = [np.unique(np.r_[s[: int(len(s) * keep)], rng.integers(0, 1 << 32, int(len(s) * new), dtype=np.uint64)]) for s in sets for keep, new in ((1, 0), (0.95, 0.05), (0.9, 0.1), (0.8, 0), (0.79, 0.02), (0.7, 0.3))]
+    tally = np.array([np.minimum(np.bincount((t % bins).astype(np.int64), minlength=bins), 255) for t in texts]).astype(np.uint8)
+    a, b = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    alike = np.array([(n := len(np.intersect1d(texts[i], texts[j]))) >= 0.8 * (len(texts[i]) + len(texts[j]) - n) for i, j in zip(a, b, strict=True)])
+    kept = simhash.may_be_alike(tally, a, b, 0.8)
+    assert kept[alike].all() and kept.sum() < 1.2 * alike.sum()
+    tally[:, 0] = 255
+    assert simhash.may_be_alike(tally, a, b, 0.8).all()
