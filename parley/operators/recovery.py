@@ -154,21 +154,22 @@ def recover(words: DataFrame, spans: DataFrame, retries: DataFrame, retry_words:
     again = inside.select(*keys, "ins_no", F.struct("start", "end", F.col("word_no").cast("long").alias("no")).alias("_no"), "start", "end", "text", "confidence", F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("overlap"))
     # The words of all candidates are scored, and those of the chosen ones taken: read by two branches, written once.
     each = cut(first.select(*cols).unionByName(again.select(*cols)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "text"))), lambda x: x["text"]), " ")
+    joined = F.array_join(F.sort_array(F.collect_list(F.struct("_no", "text")))["text"], " ")
     texts = each.groupBy(*keys, "ins_no").agg(joined.alias("text"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_words"))
 
     asked = spans.select(*keys, F.lit(0).alias("ins_no"), F.lit("primary").alias("model"), F.lit(None).cast("string").alias("_raw"))
     heard = asked.unionByName(retries.select(*keys, "ins_no", "model", F.col("text").alias("_raw")))
     found = heard.join(texts, [*keys, "ins_no"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    # A candidate's tokens are counted once, here, and not by each candidate that is compared with it.
+    raw = F.coalesce("_raw", "text")
+    found = with_once(found, {"_mine": F.struct("ins_no", raw.alias("text"), counts(tokens(raw)).alias("counted"))})
     # A span and its candidates: four rows at most.
     whole = Window.partitionBy(*keys)
-    found = found.withColumns({"_primary": F.max(F.when(F.col("ins_no") == 0, F.col("text"))).over(whole), "_said": F.collect_set(F.struct("ins_no", F.coalesce("_raw", "text").alias("text"))).over(whole)})
+    found = found.withColumns({"_primary": F.max(F.when(F.col("ins_no") == 0, F.col("text"))).over(whole), "_others": F.sort_array(F.collect_list("_mine").over(whole))}).drop("_mine", "_raw")
     found = found.join(spans.select(*keys, "reasons", F.col("context").alias("_context"), (F.col("end") - F.col("start")).alias("_seconds")), keys)
     found = copied_context(found, "text", "_context", "_primary").where("ins_no = 0 or (text <> '' and not context_copied)")
-    said = F.transform(F.array_sort("_said"), lambda x: F.struct(x["text"].alias("text"), tokens(x["text"]).alias("t")))
-    found = with_once(found, {"_t": tokens(F.col("text")), "_others": said})
-    counted = F.transform("_others", lambda x: F.struct(x["text"].alias("text"), counts(x["t"]).alias("counted")))
-    found = with_once(found, {"_counted": counts(F.col("_t")), "_others": counted, "repeats": repetition_count(F.col("_t"))})
+    found = with_once(found, {"_t": tokens(F.col("text"))})
+    found = with_once(found, {"_counted": counts(F.col("_t")), "repeats": repetition_count(F.col("_t"))})
     score = candidate_score(F.col("confidence"), F.coalesce("n_words", F.lit(0)), F.col("repeats"), F.size("_t"), agreement(F.col("_counted"), F.col("text"), F.col("_others")), F.col("_seconds"))
     decisions = cut(choose(found.withColumn("score", score).select(*keys, "ins_no", "model", "text", "score", "repeats", "reasons"), keys))
 

@@ -185,3 +185,18 @@ def test_error_rates_of_words_left_out_and_changed(spark):
     rows = [("a bb ccc dddd", "bb dddd", 2, 6), ("bb dddd", "a bb ccc dddd", 2, 6), ("ab c", "a bc", 2, 2), ("", "a bb", 2, 4), ("a b", "a b", 0, 0)]
     got = with_error_rates(spark.createDataFrame(rows, "r string, h string, w int, c int"), "r", "h").collect()
     assert [(x["word_errors"], x["char_errors"]) for x in got] == [(x["w"], x["c"]) for x in got]
+
+
+def test_sums_before_entries_are_made_by_blocks(spark):
+    """An aggregate that appends to one array for all words copied it for each: 3,000 words took 4.5 million copies, blocks take a hundredth."""
+    words = [["x" * (i % 9 + 1) for i in range(n)] for n in (0, 1, 31, 32, 33, 64, 1100)]
+    df = spark.createDataFrame([(w,) for w in words], "w array<string>")
+    got = {len(r["w"]): list(r["at"]) for r in df.select("w", timing.sums_before(F.transform("w", F.length)).alias("at")).collect()}
+    assert got == {len(w): [sum(map(len, w[:i])) for i in range(len(w))] for w in words}
+
+
+def test_multiset_intersection_by_sets_equals_that_by_order(spark):
+    pairs = [(["a", "a", "b 2", "b"], ["a", "a", "a", "b", "b"]), ([], ["x"]), (["x", "x", "x"], ["x", "x"]), (["x 2"], ["x", "x"])]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>").select(text.counts(F.col("a")).alias("a"), text.counts(F.col("b")).alias("b"))
+    got = df.select(text.common(F.col("a"), F.col("b")).alias("x"), text.common_sorted(F.col("a"), F.col("b")).alias("y")).collect()
+    assert sorted((r["x"], r["y"]) for r in got) == [(0, 0), (0, 0), (2, 2), (3, 3)]
