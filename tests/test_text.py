@@ -200,3 +200,19 @@ def test_multiset_intersection_by_sets_equals_that_by_order(spark):
     df = spark.createDataFrame(pairs, "a array<string>, b array<string>").select(text.counts(F.col("a")).alias("a"), text.counts(F.col("b")).alias("b"))
     got = df.select(text.common(F.col("a"), F.col("b")).alias("x"), text.common_sorted(F.col("a"), F.col("b")).alias("y")).collect()
     assert sorted((r["x"], r["y"]) for r in got) == [(0, 0), (0, 0), (2, 2), (3, 3)]
+
+
+def test_validated_words_need_no_fold(spark):
+    """A call's words are clamped by running frames, which spill: no array of a call's words is built, and each kept word copied it."""
+    rows = [(1, i, i * 0.5 - (2.0 if i % 5 == 4 else 0.0), i * 0.5 + 0.4, "w") for i in range(200)] + [(1, 200, 1.0, None, "w"), (1, 201, None, 200.0, "w"), (1, 202, 3.0, 3.0005, "w"), (1, 203, float("nan"), 5.0, "w"), (1, 204, 1.0, 300.0, " ")]
+    df = spark.createDataFrame(rows, "call int, seq int, start double, end double, text string")
+    made = timing.validate_words(df, "call", F.lit(90.0), ["seq"])
+    assert "aggregate" not in made._jdf.queryExecution().optimizedPlan().toString().lower().replace("windowexpression", "")
+    last, want = 0.0, {}
+    for _, seq, start, end, word in rows:
+        if word.strip() and start == start:
+            begin = min(90.0, max(last, last if start is None else start))
+            to = min(90.0, max(begin, begin if end is None else end))
+            if to - begin >= 0.001:
+                last, want[seq] = begin, (begin, to)
+    assert {r["seq"]: (r["start"], r["end"]) for r in made.collect()} == want
