@@ -139,6 +139,19 @@ def test_alignment_and_consensus(spark):
     assert [(r["text"], r["start"], r["speaker"]) for r in got] == [("a", 0.0, "A"), ("x", 9.0, "B"), ("y", 1.0, "A"), ("c", 2.0, "A")]
 
 
+def test_aligned_words_stay_in_their_call_s_row(spark):
+    """Words used to be found again by two joins with the path, each of which dealt all words once more."""
+    schema = "call int, word_no int, token string, text string, start double, end double, confidence double, speaker string, overlap boolean"
+    word = lambda call, i, t: (call, i, t, t.upper(), i * 1.0, i + 1.0, 0.9, "A", False)
+    first = spark.createDataFrame([word(1, 7, "b"), word(1, 3, "a"), word(2, 0, "x"), word(None, 0, "n")], schema)
+    second = spark.createDataFrame([word(1, 0, "a"), word(3, 0, "y"), word(None, 5, "n")], schema)
+    path = consensus.align_words(first, second, "call").collect()
+    assert {(r["call"], r["step"], r["a_no"], r["b_no"]) for r in path} == {(1, 0, 3, 0), (1, 1, 7, None), (2, 0, 0, None), (3, 0, None, 0), (None, 0, 0, 5)}
+    made = consensus.consensus_words(first, second, "call")
+    assert sorted((str(r["call"]), r["step"], r["text"], r["from_second"]) for r in made.collect()) == [("1", 0, "A", False), ("1", 1, "B", False), ("2", 0, "X", False), ("3", 0, "Y", True), ("None", 0, "N", False)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_long_alignments_need_little_memory():
     import tracemalloc
 
