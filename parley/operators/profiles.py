@@ -91,6 +91,7 @@ def top_profiles(rows: DataFrame, profiles: DataFrame, key: str, k: int = 2) ->
         def run(batches):
             import numpy as np
             import pyarrow as pa
+            import pyarrow.compute as pc
 
             sizes: dict = {}
             for no, name, vector in sorted(sent.value, key=lambda p: p[0], reverse=True):
@@ -99,13 +100,16 @@ def top_profiles(rows: DataFrame, profiles: DataFrame, key: str, k: int = 2) ->
             ready = {n: ([p[0] for p in found], [p[1] for p in found], scale(np.array([p[2] for p in found], np.float64))) for n, found in sizes.items()}
             schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
             for batch in batches:
-                vectors = batch.column("vector").to_pylist()
+                vectors = batch.column("vector")
+                lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
                 taken, made = [], []
                 for n, (numbers, names, matrix) in ready.items():
-                    at = [i for i, v in enumerate(vectors) if v is not None and len(v) == n]
+                    at = np.flatnonzero(lengths == n)
                     for begin in range(0, len(at), 256):
                         some = at[begin : begin + 256]
-                        scores = scale(np.array([vectors[i] for i in some], np.float64)) @ matrix.T
+                        # Elements go from Arrow's buffer to numpy as they lie, not one Python object each.
+                        values = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False)
+                        scores = scale(values.astype(np.float64).reshape(len(some), n)) @ matrix.T
                         # The order is stable, so of equal scores the higher number, which comes first, wins.
                         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                         for i, row, places in zip(some, scores, best, strict=True):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.operators import intervals, profiles, sessions
+from parley.shared import cut
 
 REGROUP_GAP = 0.35
 
@@ -41,9 +42,9 @@ def assign_word_speakers(words: DataFrame, turns: DataFrame, raw: DataFrame, cal
     return sessions.words_to_segments(label_words(words, turns, raw, call, seq, turn_no, **how), call, seq, REGROUP_GAP)
 
 
-def utterances(words: DataFrame, call: str, seq: str) -> DataFrame:
-    """call, ``utterance`` (its first word's ``seq``), ``previous`` speaker, start, end, seconds and n_words."""
-    grouped = sessions.label_groups(words, call, seq)
+def utterances(words: DataFrame, call: str, seq: str, grouped: DataFrame | None = None) -> DataFrame:
+    """call, ``utterance`` (its first word's ``seq``), ``previous`` speaker, start, end, seconds and n_words; ``grouped``: the words' ``label_groups``, where they are known."""
+    grouped = sessions.label_groups(words, call, seq) if grouped is None else grouped
     out = grouped.groupBy(call, F.col("group").alias("utterance")).agg(F.first("speaker").alias("previous"), F.min("start").alias("start"), F.max_by("end", F.struct("start", "end", seq)).alias("end"), F.count("*").alias("n_words"))
     return out.withColumn("seconds", F.col("end") - F.col("start"))
 
@@ -93,21 +94,24 @@ def decide(groups: DataFrame, clusters: DataFrame, people: DataFrame, call: str)
     return profiles.attribute(met.withColumn("pitch_name", named)).drop("_p", "_best_no")
 
 
-def refine_words(words: DataFrame, vectors: DataFrame, clusters: DataFrame | None, people: DataFrame, call: str, seq: str) -> tuple[DataFrame, DataFrame]:
+def refine_words(words: DataFrame, vectors: DataFrame, clusters: DataFrame | None, people: DataFrame, call: str, seq: str, grouped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(words with new speakers, decisions): the words of confident utterances take the selected speaker.
 
     ``vectors``: call, utterance, vector, pitch, as a voice model gives them for ``utterances``. Without ``clusters`` they are the
-    means of each speaker's utterances. Calls of fewer than two clusters stay as they are.
+    means of each speaker's utterances. Calls of fewer than two clusters stay as they are. ``grouped``: a stored table of the words'
+    ``label_groups``, where the caller has one.
     """
-    groups = utterances(words, call, seq).join(vectors, [call, "utterance"])
+    # Words are put into utterances once, and the utterances with their voices, which six branches read, are written once.
+    grouped = cut(sessions.label_groups(words, call, seq)) if grouped is None else grouped
+    groups = cut(utterances(words, call, seq, grouped).join(vectors, [call, "utterance"]))
     decisions = decide(groups, call_centroids(groups, call) if clusters is None else clusters, people, call)
     told = decisions.where("confident").select(call, F.col("utterance").alias("group"), "selected")
-    labelled = sessions.label_groups(words, call, seq).select(call, seq, "group").join(told, [call, "group"]).select(call, seq, "selected")
+    labelled = grouped.select(call, seq, "group").join(told, [call, "group"]).select(call, seq, "selected")
     out = words.join(labelled, [call, seq], "left").withColumn("speaker", F.coalesce("selected", "speaker"))
     return out.select(*words.columns), decisions
 
 
-def refine_segments(words: DataFrame, vectors: DataFrame, clusters: DataFrame | None, people: DataFrame, call: str, seq: str) -> tuple[DataFrame, DataFrame]:
+def refine_segments(words: DataFrame, vectors: DataFrame, clusters: DataFrame | None, people: DataFrame, call: str, seq: str, grouped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments, decisions) after ``refine_words``; a segment ends at a gap over 0.35 s."""
-    made, decisions = refine_words(words, vectors, clusters, people, call, seq)
+    made, decisions = refine_words(words, vectors, clusters, people, call, seq, grouped)
     return sessions.words_to_segments(made, call, seq, REGROUP_GAP), decisions

@@ -104,3 +104,20 @@ def test_pairs_of_words_and_turns_are_dealt_once(spark):
         assert sorted((r["seq"], r["speaker"]) for r in found) == [(0, "a"), (1, "a")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_words_are_put_into_utterances_once(spark, call, monkeypatch):
+    """Every branch of the decisions used to label all words anew."""
+    given, vectors, _ = call
+    made, label = [], sessions.label_groups
+    monkeypatch.setattr(sessions, "label_groups", lambda *a, **k: made.append(1) or label(*a, **k))
+    decisions = refinement.refine_segments(given, vectors, None, people(spark, [(0, "Ida", [1.0, 0.1, 0.0]), (1, "Jon", [0.0, 1.0, 0.0])]), "call", "seq")[1]
+    assert len(made) == 1 and decisions.count() == 5
+    # The only Python left in the decisions' plan compares utterances with people.
+    assert decisions._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_vectors_of_other_lengths_and_missing_ones_meet_no_person(spark):
+    rows = spark.createDataFrame([(0, [0.0, 1.0]), (1, None), (2, [1.0]), (3, [1.0, 1.0, 1.0]), (4, [2.0, 0.0])], "k int, vector array<float>")
+    found = profiles.top_profiles(rows, people(spark, [(0, "Ida", [1.0, 0.0]), (1, "Jon", [0.0, 1.0])]), "k", 1).collect()
+    assert {r["k"]: (r["name"], r["similarity"]) for r in found} == {0: ("Jon", 1.0), 4: ("Ida", 1.0)}
