@@ -130,11 +130,12 @@ def owned_retries(spans: DataFrame, shifted: DataFrame, second: DataFrame, call:
     return both.where("coalesce(text, '') <> ''").select(call, "span_no", number.alias("ins_no"), "model", "part", "text")
 
 
-def _in_spans(words: DataFrame, spans: DataFrame, call: str) -> DataFrame:
-    """Words with the ``span_no`` of each span that their midpoint lies in (closed), joined by call and time bucket."""
+def _by_span(words: DataFrame, spans: DataFrame, call: str) -> DataFrame:
+    """Words with the ``span_no`` of each span that their midpoint lies in (closed; null: in none), joined once, by call and time bucket."""
     dealt = spans.select(call, "span_no", F.col("start").alias("_s"), F.col("end").alias("_e")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / 16), F.floor(F.col("_e") / 16))))
     asked = words.withColumn("_m", (F.col("start") + F.col("end")) / 2).withColumn("_b", F.floor(F.col("_m") / 16))
-    return asked.join(dealt, [call, "_b"]).where(F.col("_m").between(F.col("_s"), F.col("_e"))).drop("_m", "_b", "_s", "_e")
+    met = asked.alias("w").join(dealt.alias("s"), (F.col(f"w.{call}") == F.col(f"s.{call}")) & (F.col("w._b") == F.col("s._b")) & F.col("_m").between(F.col("_s"), F.col("_e")), "left")
+    return met.select(*(F.col(f"w.{c}") for c in words.columns), "s.span_no")
 
 
 def recover(words: DataFrame, spans: DataFrame, retries: DataFrame, retry_words: DataFrame, call: str, seq: str) -> tuple[DataFrame, DataFrame]:
@@ -147,13 +148,14 @@ def recover(words: DataFrame, spans: DataFrame, retries: DataFrame, retry_words:
     first one, ``repetition_removed``. A span without words keeps none and still has its decision.
     """
     keys = [call, "span_no"]
-    cols = [*keys, "ins_no", "_no", "start", "end", "text", "confidence", "speaker", "overlap"]
-    first = _in_spans(words, spans, call).select(*keys, F.lit(0).alias("ins_no"), F.struct("start", "end", F.col(seq).cast("long").alias("no")).alias("_no"), "start", "end", "text", "confidence", "speaker", "overlap")
+    cols = [*keys, "ins_no", "_no", "start", "end", "text", "confidence", "speaker", "overlap", "uncertain"]
+    first = _by_span(words, spans, call).select(*keys, F.lit(0).alias("ins_no"), F.struct("start", "end", F.col(seq).cast("long").alias("no")).alias("_no"), "start", "end", "text", "confidence", "speaker", "overlap", "uncertain")
     inside = retry_words.join(retries.select(*keys, "ins_no", "model", "part"), [call, "model", "part"]).join(spans.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e")), keys)
     inside = inside.where(((F.col("start") + F.col("end")) / 2).between(F.col("_s"), F.col("_e")))
-    again = inside.select(*keys, "ins_no", F.struct("start", "end", F.col("word_no").cast("long").alias("no")).alias("_no"), "start", "end", "text", "confidence", F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("overlap"))
-    # The words of all candidates are scored, and those of the chosen ones taken: read by two branches, written once.
-    each = cut(first.select(*cols).unionByName(again.select(*cols)))
+    again = inside.select(*keys, "ins_no", F.struct("start", "end", F.col("word_no").cast("long").alias("no")).alias("_no"), "start", "end", "text", "confidence", F.lit(None).cast("string").alias("speaker"), F.lit(False).alias("overlap"), F.lit(None).cast("boolean").alias("uncertain"))
+    # The words of all candidates are scored, those of the chosen ones taken, and those in no span kept: read by three branches, made and written once.
+    placed = cut(first.select(*cols).unionByName(again.select(*cols)))
+    each = placed.where("span_no is not null").drop("uncertain")
     joined = F.array_join(F.sort_array(F.collect_list(F.struct("_no", "text")))["text"], " ")
     texts = each.groupBy(*keys, "ins_no").agg(joined.alias("text"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_words"))
 
@@ -176,7 +178,7 @@ def recover(words: DataFrame, spans: DataFrame, retries: DataFrame, retry_words:
     taken = each.join(decisions.select(*keys, "ins_no", F.col("model").alias("origin"), "alternatives", "accepted", F.col("repetition_removed").alias("_removed")), [*keys, "ins_no"])
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_no"))
     taken = taken.withColumns({"uncertain": ~F.col("accepted"), "repetition_removed": F.col("_removed") & (place == 1), seq: F.col("_no.no")})
-    kept = crop(words, spans, call, inside=False).withColumns({"origin": F.lit("primary"), "alternatives": F.array().cast("array<string>"), "repetition_removed": F.lit(False), seq: F.col(seq).cast("long")})
+    kept = placed.where("span_no is null").withColumns({"origin": F.lit("primary"), "alternatives": F.array().cast("array<string>"), "repetition_removed": F.lit(False), seq: F.col("_no.no")})
     out = [call, seq, "start", "end", "text", "confidence", "speaker", "overlap", "uncertain", "origin", "alternatives", "repetition_removed"]
     return kept.select(*out).unionByName(taken.select(*out)), decisions
 

@@ -343,3 +343,15 @@ def test_context_needs_no_known_call(spark):
     spans = spark.createDataFrame([(None, 1, 0.0, 1.0), (1, 1, 0.0, 1.0)], "call int, span_no int, start double, end double")
     none = spark.createDataFrame([], "call int, seg_no int, start double, end double, text string")
     assert [r["context"] for r in intervals.span_context(spans, none, "call", "span_no", "seg_no").collect()] == ["Previous: \nFollowing: "] * 2
+
+
+def test_recovery_places_words_once(spark):
+    """Words in a span and words in none come from one join; the second used to make all words again. A word at the edge of two spans is in both."""
+    words = spark.createDataFrame([(1, i, float(i), i + 1.0, w, 0.9, "a", False, i == 5) for i, w in enumerate("a bb cc dd ee ff".split())] + [(2, 0, 0.0, 1.0, "x", None, None, True, None)], WORDS)
+    spans = spark.createDataFrame([(1, 0, 1.0, 2.5, ["fragment"], ""), (1, 1, 2.5, 4.0, ["fragment"], "")], "call int, span_no int, start double, end double, reasons array<string>, context string")
+    none = spark.createDataFrame([], "call int, span_no int, ins_no int, model string, part int, text string")
+    unheard = spark.createDataFrame([], "call int, model string, part int, word_no int, start double, end double, text string, confidence double")
+    found, _ = recovery.recover(words, spans, none, unheard, "call", "seq")
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["call"], r["seq"], r["text"], str(r["uncertain"]), r["overlap"]) for r in found.collect())
+    assert got == [(1, 0, "a", "False", False), (1, 1, "bb", "True", False), (1, 2, "cc", "True", False), (1, 2, "cc", "True", False), (1, 3, "dd", "True", False), (1, 4, "ee", "False", False), (1, 5, "ff", "True", False), (2, 0, "x", "None", True)]
