@@ -161,14 +161,14 @@ class FingerprintIndex:
             remove(self.spark, self.path)
 
 
-CANDIDATES = "fp long, k1 long, k2 int, at int, known int, windows array<long>"
+CANDIDATES = "fp long, k1 long, k2 int, at int, known int, places array<int>, windows array<long>"
 
 
 def candidates(docs: DataFrame, bits, segments: int, text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """Windows whose fingerprint may be repeated, one row per anchor.
 
-    ``at`` is the first window of the row, ``windows`` their hashes, 0 where a hash needs no
-    look elsewhere; bit i of ``known`` says that window ``at + i`` is repeated in its slice.
+    ``at`` is the first window of the row, ``windows`` the hashes of those that need a look elsewhere, and
+    ``places`` the i of each, window ``at + i``; bit i of ``known`` says that this window is repeated in its slice.
     Of windows that repeat within a slice only the first is sent: a passage that fills
     documents costs one row a slice, however often it is there.
     """
@@ -195,16 +195,17 @@ def candidates(docs: DataFrame, bits, segments: int, text_col: str = "text", siz
                 runs = np.diff(np.r_[begin, len(at)])
                 bit = np.arange(len(at)) - np.repeat(begin, runs)
                 mask = np.add.reduceat(known.astype(np.int64) << bit, begin)
-                some = np.logical_or.reduceat(sent, begin)
+                many = np.add.reduceat(sent.astype(np.int32), begin)
                 row = words.row[at[begin]]
                 k1, k2 = keys[0][first_row + row], keys[1][first_row + row]
                 start = at[begin] - words.bounds[row]
                 fp = grams[anchor[begin]]
                 # Rows that send nothing need not meet others of their fingerprint.
-                fp = np.where(some, fp, mix(fp ^ k1.view(np.uint64) ^ start.astype(np.uint64)))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(at)].astype(np.int32)), pa.array(np.where(sent, hashes, 0).view(np.int64)))
+                fp = np.where(many > 0, fp, mix(fp ^ k1.view(np.uint64) ^ start.astype(np.uint64)))
+                ends = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (bit[sent].astype(np.int32), hashes[sent].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(start.astype(np.int32)), pa.array(mask.astype(np.int32)), lists], names=["fp", "k1", "k2", "at", "known", "windows"]
+                    [pa.array(fp.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(start.astype(np.int32)), pa.array(mask.astype(np.int32)), *lists], names=["fp", "k1", "k2", "at", "known", "places", "windows"]
                 )
 
     keyed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -215,21 +216,25 @@ def repeated_windows(found: DataFrame, hot: list[int] | None = None) -> DataFram
     """(k1, k2, at, mask): verified repeats, bit i standing for window ``at + i``.
 
     Rows meet by fingerprint; within it windows are counted by the hash of their words. Both
-    the count and the masks use that one shuffle. Rows of the fingerprints in ``hot`` don't meet: their
-    windows are counted with map-side sums, and the counts joined to the rows, which
-    the adaptive skew join can split.
+    the count and the masks use that one shuffle. Rows of the fingerprints in ``hot`` don't meet: equal
+    rows of different slices become one first, the windows of these are counted with map-side sums, and
+    the masks joined to the rows, which the adaptive skew join can split.
     """
     # Rows that send nothing are the many copies of a text: only their ``known`` counts, below.
-    sent = found.where(F.size(F.array_remove("windows", F.lit(0).cast("long"))) > 0)
+    sent = found.where(F.size("windows") > 0)
     weight = F.expr("1 + (shiftright(known, i) & 1)")  # a window that its slice has twice counts twice
-    each = lambda rows: rows.select("fp", "k1", "k2", "at", "known", F.posexplode("windows").alias("i", "h")).where("h <> 0")
+    each = lambda rows, *cols: rows.select(*cols, F.inline(F.arrays_zip("places", "windows")).alias("i", "h"))
+    united = F.bit_or(F.expr("shiftleft(1, i)")).alias("mask")
     cold = sent.where(~F.col("fp").isin(hot)) if hot else sent
-    counted = each(cold.repartition("fp")).select("*", F.sum(weight).over(Window.partitionBy("fp", "h")).alias("n")).where("n > 1")
-    masks = counted.groupBy("fp", "k1", "k2", "at").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask")).drop("fp")
+    counted = each(cold.repartition("fp"), "fp", "k1", "k2", "at", "known").select("*", F.sum(weight).over(Window.partitionBy("fp", "h")).alias("n")).where("n > 1")
+    masks = counted.groupBy("fp", "k1", "k2", "at").agg(united).drop("fp")
     if hot:
-        rows = each(sent.where(F.col("fp").isin(hot)))
-        often = rows.groupBy("h").agg(F.sum(weight).alias("n")).where("n > 1").select("h")
-        masks = masks.unionByName(rows.join(often, "h").select("k1", "k2", "at", F.expr("shiftleft(1, i)").alias("mask")))
+        same = ["known", "places", "windows"]
+        rows = sent.where(F.col("fp").isin(hot)).withColumns({"l1": F.xxhash64(*same), "l2": F.hash(*same)})
+        lists = rows.groupBy("l1", "l2", *same).agg(F.count("*").alias("rows"))
+        often = each(lists, "known", "rows").groupBy("h").agg(F.sum(weight * F.col("rows")).alias("n")).where("n > 1").select("h")
+        marked = each(lists, "l1", "l2").join(often, "h").groupBy("l1", "l2").agg(united)
+        masks = masks.unionByName(rows.join(marked, ["l1", "l2"]).select("k1", "k2", "at", "mask"))
     local = found.where("known <> 0").select("k1", "k2", "at", F.col("known").alias("mask"))
     return masks.unionByName(local)
 

@@ -104,6 +104,36 @@ def test_hot_fingerprints_are_counted_apart(spark, docs, rows, monkeypatch):
     assert seen and got == Counter((i, *w) for (i, _), w in zip(rows, brute.removals([t for _, t in rows]), strict=True))
 
 
+def generated_rows(df):
+    """Rows that the Generate nodes of a plan without adaptive stages made, and the result."""
+    rows, nodes, made = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        made += node.metrics().get("numOutputRows").get().value() if node.nodeName() == "Generate" else 0
+        nodes += [node.children().apply(i) for i in range(node.children().length())]
+    return made, rows
+
+
+def test_equal_rows_of_hot_fingerprints_are_exploded_once(spark, monkeypatch):
+    # A text of 100 windows in every one of some slices; in each also near copies that share all windows but the last.
+    monkeypatch.setattr(substring_dedup, "HOT_PLACES", 2)
+    words = [f"w{i}" for i in range(134)]
+    made, through = [], substring_dedup.repeated_windows
+    monkeypatch.setattr(substring_dedup, "repeated_windows", lambda found, hot: (made.append(generated_rows(through(found, hot))[0]), through(found, hot))[1])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for slices in (4, 16):
+            texts = [" ".join([*words[:-1], last]) for _ in range(slices) for last in ("end", "near", "other")]
+            docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), slices), "doc_id long, text string")
+            got = sorted(tuple(r) for r in substring_dedup.removal_digests(docs).collect())
+            assert got == [(i, *w) for i, w in enumerate(brute.removals(texts))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    # Counted once and marked once: 99 shared windows and three last ones.
+    assert made == [2 * 102] * 2
+
+
 def check_packing(found, rows, capacity=2048):
     tokenizer = Tokenizer.from_file(JSON)
     want = Counter((i, k, *p) for i, t in rows for k, p in brute.pieces(t, lambda x: tokenizer.encode(x, add_special_tokens=False).ids, capacity).items())
