@@ -177,3 +177,74 @@ def test_peak_alone_is_that_of_the_diagnostics(spark):
     got = rows.select(measures.peak_dbfs(F.col("pcm")).alias("p"), measures.diagnostics(F.col("pcm"))["peak_dbfs"].alias("d"), measures.pcm16(F.col("pcm")).alias("s")).collect()
     assert [r["p"] for r in got] == [r["d"] for r in got]
     assert [r["s"] if r["s"] is None else len(r["s"]) for r in got] == [4, 18, 2, 0, None]
+
+
+LONG = """
+import resource, sys
+import numpy as np
+from parley.functions import audio
+
+def used():
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+
+x = np.load(sys.argv[1])
+audio.presence(audio.highpass(x[:1000]))
+before = used()
+y = audio.presence(audio.highpass(x))
+print(used() - before)
+np.save(sys.argv[1], y)
+"""
+
+
+def lifted(x, rate=16_000):
+    hertz = np.fft.rfftfreq(len(x), 1 / rate)
+    lift = np.where((hertz >= 1800) & (hertz <= 3400), 1.5 * np.sin((hertz - 1800) / 1600 * np.pi), 0.0)
+    return np.fft.irfft(np.fft.rfft(x.astype(np.float64)) * 10 ** (lift / 20), len(x))
+
+
+def test_a_long_recording_is_prepared_in_little_memory(tmp_path):
+    import subprocess
+    import sys
+
+    from parley.functions import audio as measures
+
+    # A transform of this length, 16 times a prime, takes 180 bytes a sample.
+    x = np.repeat(np.random.default_rng(2).uniform(-0.5, 0.5, 131_071).astype("<f4"), 16)
+    np.save(tmp_path / "x.npy", x)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", LONG, str(tmp_path / "x.npy")], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 200
+    assert np.array_equal(np.load(tmp_path / "x.npy"), lifted(measures.highpass(x)).astype(np.float32))
+
+
+@pytest.mark.parametrize("size,rate", [(5000, 16_000), (4999, 16_000), (3000, 44_100), (2000, 5_000), (1999, 5_000), (2000, 6_800), (600, 3_000)])
+def test_any_part_of_the_lift_is_that_of_the_whole(monkeypatch, size, rate):
+    from parley.functions import audio as measures
+
+    one = np.zeros(size)
+    one[0] = 1
+    want = lifted(one, rate) - one
+    assert np.abs(measures.lift_response(np.arange(size), size, rate) - want).max() < 1e-15
+    assert np.abs(measures.lift_response(np.arange(-7, 5), size, rate) - want[np.arange(-7, 5)]).max() < 1e-15
+    x = np.random.default_rng(3).uniform(-0.5, 0.5, size).astype(np.float32)
+    for block in (64, 1000, size - 1):
+        monkeypatch.setattr(measures, "BLOCK", block)
+        assert np.abs(measures.presence(x, rate) - lifted(x, rate)).max() < 6e-8
+
+
+def test_variants_never_leave_python_but_as_measures(spark):
+    from parley import plans
+    from parley.functions import audio as measures
+    from parley.plans import fixtures as fx
+
+    rows = spark.createDataFrame([(0, "Hello there, é.\n" * 40), (1, "x"), (2, ""), (3, None)], "k int, text string")
+    for mode, noisy in (("original", False), ("telephone", True), ("auto", True), ("auto", False)):
+        v = measures.variant_file(F.col("text"), mode, F.lit(noisy), fx.wave)
+        apart = rows.select("k", measures.variant(fx.spoken(F.col("text")), mode, F.lit(noisy)).alias("pcm"))
+        want = {r["k"]: (r["n"], r["p"]) for r in apart.select("k", F.length(measures.wav(F.col("pcm"))).alias("n"), measures.peak_dbfs(F.col("pcm")).alias("p")).collect()}
+        got = {r["k"]: r["v"] for r in rows.select("k", v.alias("v")).collect()}
+        assert {k: got[k] and tuple(got[k]) for k in (0, 1)} == {k: want[k] for k in (0, 1)} and got[2] is None and got[3] is None
+    x = fx.wave("Hello")
+    assert spark.createDataFrame([(x.tobytes(),)], "pcm binary").select(measures.wav(F.col("pcm"), 8_000).alias("w")).first()["w"] == measures.wav_file(x, 8_000)
+    plan = plans.QUERIES["audio_variants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "pcm" not in plan
